@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import arc_warc, langid, mixing, mpeg_audio
+from . import arc_warc, html_text, langid, mixing, mpeg_audio, toxicity
 
 QUERIES = {
+    "op1_ordinal_toxicity": toxicity.op1_ordinal_toxicity,
+    "op3_text_tag_ratio": html_text.op3_text_tag_ratio,
     "op4_language_bitmasks": langid.op4_language_bitmasks,
     "op5_mpeg_audio": mpeg_audio.op5_mpeg_audio,
     "op6_arc_to_warc": arc_warc.op6_arc_to_warc,
