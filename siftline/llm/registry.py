@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import arc_warc, html_text, langid, mixing, mpeg_audio, toxicity
+from . import arc_warc, html_text, langid, minhash, mixing, mpeg_audio, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1_ordinal_toxicity,
+    "op2_bwt_merge_dedup": suffix_dedup.op2_bwt_merge_dedup,
     "op3_text_tag_ratio": html_text.op3_text_tag_ratio,
     "op4_language_bitmasks": langid.op4_language_bitmasks,
     "op5_mpeg_audio": mpeg_audio.op5_mpeg_audio,
     "op6_arc_to_warc": arc_warc.op6_arc_to_warc,
+    "op7_multi_index_hamming": minhash.op7_multi_index_hamming,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
 }
 
 ORACLE_SQL = {
     "op6_arc_to_warc": arc_warc.OP6_SQL,
+    "op7_multi_index_hamming": minhash.OP7_SQL,
     "op8_poisson_mixing": mixing.OP8_SQL,
 }
