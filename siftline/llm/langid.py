@@ -171,35 +171,55 @@ def learn(training: DataFrame, per_language: int = PER_LANGUAGE, least_rows: int
     return LanguageFilters.build({name: g["gram"].to_numpy(np.int64).view(np.uint64) for name, g in got.groupby("lang")})
 
 
+def decide(filters: LanguageFilters, texts: pa.Array, letter: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and score of each text. The score is the winner's share of the two best languages' votes, times the root of the share of the text that it explains."""
+    pred, score = [], []
+    for first, flat, off in chunks(texts):
+        rows = len(off) - 1
+        row, h = ngrams(flat, off)
+        if not filters.languages:
+            pred += ["und"] * rows
+            score += [0.0] * rows
+            continue
+        s = filters.scores(row, h, rows)
+        best = s.argmax(axis=1)
+        top = s[np.arange(rows), best]
+        rest = np.where(np.arange(s.shape[1])[None, :] == best[:, None], 0, s).max(axis=1)
+        sure = np.where(top > 0, top / np.maximum(top + rest, 1e-12), 0) * np.sqrt(np.clip(top, 0, 1))
+        has = letter[first : first + rows]
+        pred += [filters.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
+        score += np.where(has, np.clip(sure, 0, 1), 0.0).tolist()
+    return pred, score
+
+
+HAS_LETTER = F.coalesce(F.col("text").rlike(LETTERS), F.lit(False)).alias("has_letter")
+
+
 def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """(doc_id, text) -> (doc_id, lang_pred, score). score is the winner's share of the two best languages' votes, times how much of the text it explains."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # SLOTS masks: of fixed size
+    """(doc_id, text) -> (doc_id, lang_pred, score)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
         for b in batches:
-            letter = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            pred, score = [], []
-            for first, flat, off in chunks(b.column(1)):
-                rows = len(off) - 1
-                row, h = ngrams(flat, off)
-                if not f.languages:
-                    pred += ["und"] * rows
-                    score += [0.0] * rows
-                    continue
-                s = f.scores(row, h, rows)
-                best = s.argmax(axis=1)
-                top = s[np.arange(rows), best]
-                rest = np.where(np.arange(s.shape[1])[None, :] == best[:, None], 0, s).max(axis=1)
-                sure = np.where(top > 0, top / np.maximum(top + rest, 1e-12), 0) * np.sqrt(np.clip(top, 0, 1))
-                has = letter[first : first + rows]
-                pred += [f.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
-                score += np.where(has, np.clip(sure, 0, 1), 0.0).tolist()
+            pred, score = decide(shared.value, b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    ready = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(LETTERS), F.lit(False)).alias("has_letter"))
-    return ready.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", HAS_LETTER).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters, least_score: float) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language of at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_columns - 1
+            pred, score = decide(shared.value, b.column("text"), b.column(n).to_numpy(zero_copy_only=False).astype(bool))
+            good = pa.array([p != "und" and s >= least_score for p, s in zip(pred, score, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)], b.schema.names[:n]).filter(good)
+
+    own = docs.drop("has_letter")
+    return own.select("*", HAS_LETTER).mapInArrow(run, own.schema)
 
 
 def op4_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:

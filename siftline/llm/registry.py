@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_warc, html_text, langid, minhash, mixing, mpeg_audio, suffix_dedup, toxicity
+from . import arc_warc, decontam, gru_lm, html_text, langid, minhash, mixing, mpeg_audio, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ordinal_toxicity": toxicity.op1_ordinal_toxicity,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_arc_to_warc": arc_warc.op6_arc_to_warc,
     "op7_multi_index_hamming": minhash.op7_multi_index_hamming,
     "op8_poisson_mixing": mixing.op8_poisson_mixing,
+    "op9_gated_recurrent_lm": gru_lm.op9_gated_recurrent_lm,
+    "op10_latent_semantic_decontamination": decontam.op10_latent_semantic_decontamination,
 }
 
 ORACLE_SQL = {

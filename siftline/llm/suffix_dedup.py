@@ -380,6 +380,35 @@ def digests(marked: DataFrame, length: int = LENGTH) -> DataFrame:
     return marked.select("doc_id", "text", "marks", "is_copy").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs, with their columns, without the repeated passages; characters that a passage cuts through stay whole.
+
+    n_chars, where there is one, follows the text. Rows of which nothing but white space is left go.
+    """
+    marked = remove_repeats(docs, length)
+    names = docs.drop("marks", "is_copy").columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, texts, stay = b.column("text").to_pylist(), [], []
+            for before, (raw, gone) in zip(old, _rows(b, length), strict=True):
+                if not gone.any():
+                    texts.append(before)
+                    stay.append(True)
+                    continue
+                head = (raw & 0xC0) != 0x80
+                whole = np.logical_and.reduceat(gone, np.flatnonzero(head))[np.cumsum(head) - 1]
+                texts.append(raw[~whole].tobytes().decode())
+                stay.append(bool(texts[-1].strip()))
+            changed = {"text": pa.array(texts, b.schema.field("text").type)}
+            if "n_chars" in names:
+                kind = b.schema.field("n_chars").type
+                changed["n_chars"] = pa.array([n if new is same or new == same else len(new) for n, new, same in zip(b.column("n_chars").to_pylist(), texts, old, strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([changed.get(c, b.column(c)) for c in names], names).filter(pa.array(stay, pa.bool_()))
+
+    return marked.mapInArrow(run, docs.drop("marks", "is_copy").schema)
+
+
 def op2_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(remove_repeats(docs))
