@@ -192,7 +192,8 @@ def decide(filters: LanguageFilters, texts: pa.Array, letter: np.ndarray) -> tup
     return pred, score
 
 
-HAS_LETTER = F.coalesce(F.col("text").rlike(LETTERS), F.lit(False)).alias("has_letter")
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(LETTERS), F.lit(False)).alias("has_letter")
 
 
 def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
             pred, score = decide(shared.value, b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", HAS_LETTER).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", has_letter()).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least_score: float) -> DataFrame:
@@ -219,7 +220,7 @@ def keep_identified(docs: DataFrame, filters: LanguageFilters, least_score: floa
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)], b.schema.names[:n]).filter(good)
 
     own = docs.drop("has_letter")
-    return own.select("*", HAS_LETTER).mapInArrow(run, own.schema)
+    return own.select("*", has_letter()).mapInArrow(run, own.schema)
 
 
 def op4_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
