@@ -2,7 +2,7 @@
 
 The reader walks a byte string as an MPEG-1/2/2.5 audio stream: it skips ID3v2
 and APE tags at the front and ID3v1 at the end, finds frame headers (a sync is
-believed only if another plausible frame or the end follows it), recovers after
+believed only if a frame of the same kind, or the end, follows or precedes it), recovers after
 garbage by scanning for the next such sync, reads Xing, Info and VBRI tables,
 verifies each protected frame's CRC-16, and keeps the exact duration in samples
 and the byte offset of every frame.
@@ -186,11 +186,12 @@ def read_stream(data: bytes) -> Stream:
     """Walk a whole stream. Offsets and headers leave out the frame that only carries the seek table."""
     s = Stream()
     at, end = read_tags(data, s.tags)
-    synced, first = False, True
+    synced, first, last = False, True, None
     while at < end:
         h = header_at(data, at)
         after = at + h.length if h else 0
-        good = h is not None and after <= end and (synced or after == end or ((n := header_at(data, after)) is not None and n.hertz == h.hertz and n.layer == h.layer))
+        alike = lambda n: n is not None and (n.version, n.layer, n.hertz) == (h.version, h.layer, h.hertz)  # noqa: E731, B023
+        good = h is not None and after <= end and (synced and alike(last) or after == end or alike(header_at(data, after)))
         if not good:
             jump = data.find(b"\xff", at + 1, end)
             jump = end if jump < 0 else jump
@@ -198,7 +199,7 @@ def read_stream(data: bytes) -> Stream:
             s.resyncs += synced
             synced, at = False, jump
             continue
-        synced = True
+        synced, last = True, h
         if first:
             s.table = read_table(data[at:after], h)
         if not (first and s.table):
