@@ -110,6 +110,7 @@ class OrdinalModel:
     features: FeatureTable
     weights: np.ndarray
     thresholds: np.ndarray  # ascending; one fewer than grades
+    cut: float = 0.5  # P(grade > 0) from which a text counts as toxic
 
     def exceed(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) for every k."""
@@ -119,6 +120,9 @@ class OrdinalModel:
 def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features: int, grades: int = GRADES, l1: float = 2e-4, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Proximal adaptive gradient descent on the cumulative-link likelihood with an L1 penalty.
 
+    Weights stay at 0 or above: features are evidence of severity, and a long clean text
+    must not outweigh it.
+
     Thresholds are a first one plus exponentials of gaps, so they stay in order.
     """
     n = max(len(grade), 1)
@@ -147,12 +151,24 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
         past_t += gt * gt
         step = rate / np.sqrt(past_w)
         w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.maximum(w - step * l1, 0)
         move = rate / np.sqrt(past_t) * gt
         first, gaps = first - move[0], np.clip(gaps - move[1:], -4, 3)
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability that parts toxic from clean fitted rows best (by F1), midway (in log odds) between the two rows at the border."""
+    order = np.argsort(-p, kind="stable")
+    hit = np.cumsum(toxic[order])
+    f1 = 2 * hit / (np.arange(1, len(p) + 1) + toxic.sum())
+    f1[:-1][p[order][1:] == p[order][:-1]] = 0
+    k = int(f1.argmax())
+    odds = np.log(np.clip(p, 1e-12, 1 - 1e-12) / (1 - np.clip(p, 1e-12, 1 - 1e-12)))[order]
+    middle = (odds[k] + odds[min(k + 1, len(p) - 1)]) / 2
+    return float(np.clip(1 / (1 + np.exp(-middle)), 0.02, 0.5))
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> OrdinalModel:
     sample = labelled_sample(docs, labels, fit_rows)
     totals = sample.groupBy().agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good")).first()
@@ -188,7 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     grade = np.where(toxic, 1 + (marks > low) + (marks > high), 0)
     weights, thresholds = fit_ordinal(row, col, grade, len(keys))
     used = weights != 0
-    return OrdinalModel(FeatureTable(keys[used]), weights[used], thresholds)
+    model = OrdinalModel(FeatureTable(keys[used]), weights[used], thresholds)
+    model.cut = best_cut(model.exceed(np.bincount(row, weights=weights[col], minlength=len(got)))[:, 0], toxic)
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -205,7 +223,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             over = m.exceed(z)
             each = -np.diff(np.concatenate([np.ones((len(b), 1)), over, np.zeros((len(b), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(over.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0]), pa.array(over[:, 0] >= 0.5)],
+                [b.column(0), pa.array(over.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(over[:, 0]), pa.array(over[:, 0] >= m.cut)],
                 ["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
