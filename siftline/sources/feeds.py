@@ -21,8 +21,9 @@ VIDEO_PAGE = T.StructType([T.StructField("items", T.ArrayType(T.StructType([
 
 def published(*raw: Column) -> Column:
     """The first date that can be read; zone-less ones are UTC; null if none can."""
-    formats = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z"]
-    return F.coalesce(*(F.try_to_timestamp(r, F.lit(f)) for r in raw for f in formats))
+    formats = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]
+    day_off = lambda r: F.regexp_replace(F.trim(r), r"^[A-Za-z]{3,9},\s*", "")
+    return F.coalesce(*(F.try_to_timestamp(day_off(r), F.lit(f)) for r in raw for f in formats))
 
 
 def entries(raw: DataFrame) -> DataFrame:

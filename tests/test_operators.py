@@ -1,8 +1,8 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ def test_similar_pairs_in_blocks(spark):
 
 
 def test_quota_fill_and_forced(spark):
-    rows = [(i, c, 1 + i % 3, i % 5 == 0, float(i), pd.Timestamp("2024-01-01"), i == 3) for i, c in enumerate(["a"] * 9 + ["b"] * 2 + ["c"] * 12)]
+    rows = [(i, c, 1 + i % 3, i % 5 == 0, float(i), datetime(2024, 1, 1), i == 3) for i, c in enumerate(["a"] * 9 + ["b"] * 2 + ["c"] * 12)]
     df = spark.createDataFrame(rows, "id long, category string, priority int, urgent boolean, score double, published timestamp, manual boolean")
     got = selection.quota_select(df, per=5, total=15).collect()
     assert len(got) == 15 and any(r["id"] == 3 and r["pass"] == "forced" for r in got) and sum(r["category"] == "b" for r in got) == 2
@@ -97,7 +97,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_deduplicated_stream(spark, tmp_path):
-    df = spark.createDataFrame([("a", pd.Timestamp("2024-01-01")), ("a", pd.Timestamp("2024-01-02")), ("b", pd.Timestamp("2024-01-01"))], "item_key string, discovered_at timestamp")
+    df = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("a", datetime(2024, 1, 2)), ("b", datetime(2024, 1, 1))], "item_key string, discovered_at timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = folds.deduplicated(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("dedup").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
