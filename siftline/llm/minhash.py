@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stage, table
+from .shared import might_be_in, stage, table
 from .textbytes import U64, Words, chunks, mix, run_starts
 
 POSITIONS = 64
@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     vertices = stage(signed.filter("n_shingles > 0").groupBy(*one).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "vertices")
     groups = stage(pivot_groups(chunk_keys(vertices, distance_bound(percent / 100))), "groups")
     needed = groups.select("id").union(groups.select("pivot")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    # An inner join: Spark would push a semi join below the filter. The needed ids are distinct.
+    texts = might_be_in(docs.select("doc_id", "text"), needed).join(needed, F.col("doc_id") == F.col("id")).select("doc_id", "text").dropDuplicates(["doc_id"])
     rows = block_rows(groups, vertices.select("id", "n_shingles"))
     links = verified_links(rows, full_sets(texts, k), percent)
     classes = components(links)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FILTER_BITS = 1 << 22
+
+
+def might_be_in(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (column id), and a few others: a one-hash Bloom filter before a shuffle.
+
+    The filter is a table of at most bits/64 words, whatever the size of ids, so it can
+    go to every task; a full one lets all rows pass, and the exact join behind it decides.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))
+    words = ids.groupBy(F.floor(slot("id") / 64).alias("f_word")).agg(F.bit_or(bit("id")).alias("f_bits"))
+    return docs.join(F.broadcast(words), F.floor(slot("doc_id") / 64) == F.col("f_word")).filter(F.col("f_bits").bitwiseAND(bit("doc_id")) != 0).select(docs.columns)
