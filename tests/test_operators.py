@@ -151,3 +151,22 @@ def test_nearest_rank(spark, q):
         df = spark.createDataFrame([(1, x) for x in xs], "g int, x int")
         want = sorted(xs)[int(q * (n - 1) + 0.5)]
         assert reports.nearest_rank_by(df, ["g"], "x", q, "v").first()["v"] == want == df.agg(reports.nearest_rank(F.col("x"), q)).first()[0]
+
+
+def test_story_links_and_packing(spark):
+    from siftline.operators import rendering, stories
+
+    t = datetime(2024, 1, 1)
+    rows = [(1, "Harbour tunnel flooding closes Oldport ferry", "a", []), (2, "Oldport ferry closed: harbour tunnel flooding", "a", []), (3, "School opens", "a", []), (4, "Oldport harbour tunnel flooding again", "a", ["south"]), (5, "Oldport harbour tunnel flooding again", "a", ["north"])]
+    df = spark.createDataFrame([(i, x, c, "en", t, None, x.lower(), p) for i, x, c, p in rows], "id long, title string, category string, language string, published timestamp, story string, title_norm string, places array<string>")
+    from siftline.functions.text import grams
+
+    items = stories.with_core(df, ["again"]).withColumn("tgrams", grams(F.col("title_norm")))
+    got = {(r["a"], r["b"]) for r in stories.linked(stories.word_links(items), items).collect()}
+    assert (1, 2) in got and (4, 5) not in got and not any(3 in p for p in got)
+    lines = spark.createDataFrame([("e", s, k, f"S{s}", "x" * 60) for s in range(3) for k in range(4)], "edition string, section_order int, line_order int, section string, line string")
+    texts = [r["text"] for r in rendering.packed(lines, limit=200).orderBy("message").collect()]
+    assert all(rendering.units(x) <= 200 for x in texts) and any("(continued)" in x for x in texts) and sum(x.count("x" * 60) for x in texts) == 12
+    one = spark.createDataFrame([("A & B", "e" * 9000, "https://l", ["o"])], "t string, e string, l string, o array<string>")
+    text = one.select(rendering.alert_text(F.col("t"), F.col("e"), F.col("l"), F.col("o"))).first()[0]
+    assert rendering.units(text) <= 4000 and text.startswith("<b>A &amp; B</b>") and text.endswith("https://l")
