@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import CUT
-from .shared import table
-from .textbytes import U64, Words, chunks, mix
+from .shared import stage, table, top_rows
+from .textbytes import U64, Words, chunks, mix, tidy
 
 FIT_ROWS = 20_000
 FEATURES = 16_384
@@ -80,7 +80,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
                 all_ = np.bincount(where, minlength=len(g)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(bad), pa.array(all_ - bad)], ["feature", "toxic_rows", "clean_rows"])
 
-    counted = sample.mapInArrow(run, "feature long, toxic_rows long, clean_rows long")
+    counted = sample.mapInArrow(tidy(run), "feature long, toxic_rows long, clean_rows long")
     return counted.groupBy("feature").agg(F.sum("toxic_rows").alias("toxic_rows"), F.sum("clean_rows").alias("clean_rows"))
 
 
@@ -178,8 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     p, q = (F.col("toxic_rows") + 0.5) / (bad + 1.0), (F.col("clean_rows") + 0.5) / (good + 1.0)
     odds = F.ln(p / (1.0 + 1e-9 - p)) - F.ln(q / (1.0 + 1e-9 - q))
     certain = odds / F.sqrt(1 / (F.col("toxic_rows") + 0.5) + 1 / (F.col("clean_rows") + 0.5))
-    ranked = feature_counts(sample).filter(F.col("toxic_rows") + F.col("clean_rows") >= LEAST_ROWS).withColumn("z", certain)
-    top = ranked.orderBy(F.desc(F.abs("z")), "feature").limit(features).toPandas()
+    ranked = stage(feature_counts(sample), "features").filter(F.col("toxic_rows") + F.col("clean_rows") >= LEAST_ROWS).withColumn("z", certain)
+    top = top_rows(ranked.withColumn("sure", F.abs("z")), "sure", features).select("feature", "toxic_rows", "clean_rows", "z").toPandas()
     keys = top["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, z = keys[order], top["z"].to_numpy()[order]
@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(col, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(first, len(off) - 1), lists], ["toxic", "cols"])
 
-    got = sample.mapInArrow(run, "toxic int, cols array<int>").toPandas()
+    got = sample.mapInArrow(tidy(run), "toxic int, cols array<int>").toPandas()
     lengths = got["cols"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), lengths)
     col = np.concatenate(got["cols"].tolist()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 ["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
 def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
