@@ -1,34 +1,5 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components: the library's own operator."""
 
-from __future__ import annotations
+from siftline.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import stage
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, component) for every id in edges (a, b); component is the smallest id reachable.
-
-    Each round points every vertex at the smallest of its neighbours, first for
-    larger neighbours and then for smaller ones, and is written to the shared
-    folder. Group minima combine within tasks, and the joins are ones that Spark
-    can split, so a vertex of any degree is no bottleneck. Rounds grow with the
-    logarithm of the longest chain.
-    """
-    high, low = F.greatest("a", "b"), F.least("a", "b")
-    star = stage(edges.select(high.alias("u"), low.alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        seen = star.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == before or not seen["n"]:
-            break
-        before = seen
-        both = star.union(star.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = stage(small.union(own.select("u", F.col("m").alias("v"))).distinct(), "star")
-    return star.select(F.col("u").alias("id"), F.col("v").alias("component")).union(star.select("v", "v").distinct())
+__all__ = ["components"]

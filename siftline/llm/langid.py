@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textbytes import LOWER, SPACE, U64, chunks, mix, rolling
+from .textbytes import LOWER, SPACE, U64, chunks, mix, rolling, tidy
 
 NGRAM = 4
 PER_LANGUAGE = 6000
@@ -146,7 +146,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 part = slice(at, at + 65536)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g[part])), pa.array(g[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "gram", "rows"])
 
-    counted = docs.filter("lang is not null and lang <> '' and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram long, rows long")
+    counted = docs.filter("lang is not null and lang <> '' and text is not null").select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, rows long")
     return counted.groupBy("lang", "gram").agg(F.sum("rows").alias("rows"))
 
 
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
             pred, score = decide(shared.value, b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", has_letter()).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", has_letter()).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, filters: LanguageFilters, least_score: float) -> DataFrame:
@@ -220,7 +220,7 @@ def keep_identified(docs: DataFrame, filters: LanguageFilters, least_score: floa
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)], b.schema.names[:n]).filter(good)
 
     own = docs.drop("has_letter")
-    return own.select("*", has_letter()).mapInArrow(run, own.schema)
+    return own.select("*", has_letter()).mapInArrow(tidy(run), own.schema)
 
 
 def op4_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import might_be_in, stage, table
-from .textbytes import U64, Words, chunks, mix, run_starts
+from .textbytes import U64, Words, chunks, mix, run_starts, tidy
 
 POSITIONS = 64
 BLOCK_SHINGLES = 1_000_000
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
 def chunk_keys(vertices: DataFrame, distance: int) -> DataFrame:
@@ -133,7 +133,7 @@ def chunk_keys(vertices: DataFrame, distance: int) -> DataFrame:
                 keys = np.stack(keys, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, keys.shape[1]))], ["key", "id"])
 
-    return vertices.select("id", "signature").mapInArrow(run, "key long, id long")
+    return vertices.select("id", "signature").mapInArrow(tidy(run), "key long, id long")
 
 
 def pivot_groups(keys: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def verified_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
     joined = rows.join(sets, "id").select("unit", "id", "side", "shingles")
-    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    return joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -250,7 +250,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 raw = h.tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array([raw[cut[i] : cut[i + 1]] for i in range(rows)], pa.binary())], ["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

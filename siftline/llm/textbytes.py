@@ -7,12 +7,13 @@ numpy passes instead of a Python loop over characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -25,6 +26,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def give_back_memory() -> None:
+    """Returns freed memory to the system: workers stay between tasks, beside their executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every output bit depends on all input bits."""
     h = h ^ (h >> U64(30))
@@ -69,7 +91,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 8 * CHUNK_BYTES:
             _POWERS[base] = have
     return have[:n]
 
