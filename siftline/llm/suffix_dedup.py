@@ -10,15 +10,21 @@ doc_id is removed, whatever its offset; overlapping windows add up.
    has rules its windows out. Anchors travel packed, in ranges of the hash, after each
    task has settled those it sees twice itself.
 3. The stretches of text around the other anchors (runs of windows with one minimizer)
-   are made distinct, keep their first document, and go to units by anchor. An anchor
-   with too many different stretches is cut into its windows, dealt by their hash.
-4. A unit builds the transforms of two shards of its stretches and merges them by
+   are made distinct within a batch of documents, with their first document there, and
+   go packed to units by anchor. The most frequent anchors (at most MOST_HOT of them,
+   from HOT documents on) are dealt by the hash of each window instead, so no anchor
+   meets in one unit with more than a batch's worth per batch.
+4. A unit builds the transforms of two shards of its stretches (of each anchor with more
+   than one) and merges them by
    interleave refinement: round h sorts the interleave of all suffixes by h symbols,
    by one stable counting pass over the previous one, without comparing suffixes.
    The boundaries that appear in round h give common prefixes of h - 1; after LENGTH
    rounds the blocks left are the repeated intervals, and each block's smallest first
    document decides its windows.
-5. The decisions go back to the texts, as one bit per window.
+5. The decisions go back to the batches they came from, which turn them into one bit
+   per window and document, and those to the texts.
+
+Texts cross the network compressed, and only those that may hold a repeat do.
 
 Cases: null texts are empty; texts shorter than LENGTH bytes are never cut; windows
 never cross documents; a window that repeats inside one document only is kept;
@@ -29,22 +35,29 @@ others; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import stage, table
-from .textbytes import U64, chunks, mix, rolling, run_starts, sliding_min
+from .shared import might_be_in, stage, table
+from .textbytes import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, mix, powers, rolling, run_starts, sliding_min, tidy
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 MOST_WINDOWS = 32  # of one stretch
-FLUSH = 1_000_000
-UNIT_BYTES = 1_500_000
-HOT_STRETCHES = 12_000
+FLUSH = 500_000
+PIECE = 10_000  # settled anchors that travel together
+BATCH = 100_000
+UNIT_BYTES = 200_000
+HOT = 2_000
+MOST_HOT = 100_000
 
 
 def stretches(flat: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +88,15 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def packed_anchors(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, settled, anchors, docs): anchors in ranges of their hash; those that a task sees in two documents are settled."""
+    """(range, settled, anchors, docs, counts): anchors in ranges of their hash; those that a task sees in two documents are settled.
+
+    In the ranges an anchor stands once per batch, with one document and the number of the batch's documents.
+    """
     shift = U64(40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, turn = 0, 0
+        size = 0
 
         def flush() -> pa.RecordBatch:
             anchor, doc = np.concatenate([a for a, _ in held]), np.concatenate([d for _, d in held])
@@ -91,12 +107,16 @@ def packed_anchors(docs: DataFrame, ranges: int) -> DataFrame:
             first = run_starts(anchor)
             n = np.diff(np.r_[first, len(anchor)])
             again = np.repeat(n > 1, n)
-            rows = [(turn % ranges, True, pack(anchor[again]), pack(doc[again]))] if again.any() else []
+            known, own = anchor[again], doc[again]
+            begin = int(mix(known[:1])[0] % U64(ranges)) if len(known) else 0
+            rows = [((begin + i // PIECE) % ranges, True, pack(known[i : i + PIECE]), pack(own[i : i + PIECE]), b"") for i in range(0, len(known), PIECE)]
             anchor, doc = anchor[first], doc[first]
+            n = n.astype(np.uint64)
             which = ((anchor >> shift) * U64(ranges) >> U64(24)).astype(np.int64)  # ascending with the anchor
             cut = np.searchsorted(which, np.arange(ranges + 1))
-            rows += [(r, False, pack(anchor[cut[r] : cut[r + 1]]), pack(doc[cut[r] : cut[r + 1]])) for r in range(ranges) if cut[r] < cut[r + 1]]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())], ["range", "settled", "anchors", "docs"])
+            rows += [(r, False, *(pack(v[cut[r] : cut[r + 1]]) for v in (anchor, doc, n))) for r in range(ranges) if cut[r] < cut[r + 1]]
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], ["range", "settled", "anchors", "docs", "counts"])
 
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.int64)
@@ -107,89 +127,151 @@ def packed_anchors(docs: DataFrame, ranges: int) -> DataFrame:
                     size += len(row)
                 if size >= FLUSH:
                     yield flush()
-                    held, size, turn = [], 0, turn + 1
+                    held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "range int, settled boolean, anchors binary, docs binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "range int, settled boolean, anchors binary, docs binary, counts binary")
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, anchor) of the anchors that two documents or more have."""
+    """(doc_id, anchor, documents) of the anchors that two documents or more have. Rows of frequent anchors with null doc_id have the number of documents."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 8 * parts
+    ranges = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out(anchor: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64)), pa.array(anchor.view(np.int64))], ["doc_id", "anchor"])
+            return pa.RecordBatch.from_arrays([pa.array(doc.view(np.int64)), pa.array(anchor.view(np.int64)), pa.nulls(len(doc), pa.int64())], ["doc_id", "anchor", "documents"])
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                anchor, doc = np.concatenate([a for a, _ in held]), np.concatenate([d for _, d in held])
-                order = np.argsort(anchor, kind="stable")
-                anchor, doc = anchor[order], doc[order]
+                anchor, doc, count = (np.concatenate([x[k] for x in held]) for k in range(3))
+                order = np.argsort(anchor)
+                anchor, doc, count = anchor[order], doc[order], count[order]
                 first = run_starts(anchor)
                 n = np.diff(np.r_[first, len(anchor)])
                 two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
                 again = np.repeat(two, n)
                 yield out(anchor[again], doc[again])
+                total = np.add.reduceat(count, first).astype(np.int64)
+                hot = total >= HOT
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(hot.sum()), pa.int64()), pa.array(anchor[first][hot].view(np.int64)), pa.array(total[hot])], ["doc_id", "anchor", "documents"])
 
         for b in batches:
-            for r, settled, anchors, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                pair = unpack(anchors.as_py()), unpack(ids.as_py())
+            for r, settled, *parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), strict=True):
+                parts = [unpack(x.as_py()) for x in parts]
                 if settled:
-                    yield out(*pair)
+                    yield out(*parts[:2])
                     continue
                 if r != now:
                     yield from done()
                     now, held = r, []
-                held.append(pair)
+                held.append(parts)
         yield from done()
 
     packed = packed_anchors(docs, ranges)
-    return packed.repartition(ranges // 2, "range").sortWithinPartitions("range").mapInArrow(run, "doc_id long, anchor long")
+    return packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(tidy(run), "doc_id long, anchor long, documents long")
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs with the text's UTF-8 bytes compressed in place of the text (column `packed`, last)."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            packed = pa.array([None if t is None else press.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), packed], [*names, "packed"])
 
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("packed", T.BinaryType())])
+    return docs.mapInArrow(tidy(run), schema)
 
-def content_key(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for each stretch's bytes."""
-    from .textbytes import BASE_INVERSE, BYTE_CODE, powers
 
-    out = []
-    for base, code in ((0x9E3779B97F4A7C15, BYTE_CODE), (0xD1B54A32D192ED03, mix(BYTE_CODE))):
-        inverse = BASE_INVERSE if base == 0x9E3779B97F4A7C15 else pow(base, -1, 2**64)
-        total = np.zeros(len(flat) + 1, np.uint64)
-        np.cumsum(code[flat] * powers(base, len(flat)), out=total[1:])
-        out.append(mix((total[end] - total[start]) * powers(inverse, len(flat) + 1)[start] + (end - start).astype(np.uint64)))
-    return out[0], out[1]
+def opened(packed: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if x is None else press.decompress(x).decode() for x in packed.to_pylist()], pa.string())
 
 
-def candidate_stretches(docs: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(c1, c2, anchor, content, doc_id, at, windows) of the stretches whose anchor another document has too."""
-    wanted = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, their lengths included."""
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(BYTE_CODE[flat] * powers(BASE, len(flat)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(BASE_INVERSE, len(flat) + 1)[start] + (end - start).astype(np.uint64) * U64(0xD1B54A32D192ED03))
+
+
+def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units: int, length: int = LENGTH) -> DataFrame:
+    """Batches of stretches whose anchor another document has too: (batch, unit, data), all data compressed.
+
+    Rows with a unit have that unit's distinct stretches of the batch; the row with unit -1
+    says which document has which stretch where. texts has doc_id and packed.
+    """
+    wanted = shared.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    known_hot = texts.sparkSession.sparkContext.broadcast(np.sort(hot))  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        held: list[tuple] = []  # per chunk: contents' bytes and lengths, keys, documents, positions, windows, content hashes
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            raw = np.concatenate([x[0] for x in held])
+            lengths, key, doc, at, windows, content = (np.concatenate([x[k] for x in held]) for k in range(1, 7))
+            end = np.cumsum(lengths)
+            start = end - lengths
+            _, first, which = np.unique(content, return_index=True, return_inverse=True)
+            low = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(low, which, doc)
+            unit = (mix(key[first]) % U64(units)).astype(np.int64)
+            order = np.lexsort((key[first], unit))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            which, first, low, unit = place[which], first[order], low[order], unit[order]
+            cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+            batch = uuid.uuid4().int >> 65
+            rows = [(batch, -1, (which, doc, at, windows))]
+            data = raw.tobytes()
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own = first[lo:hi]
+                body = b"".join(data[s:e] for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True))
+                rows.append((batch, int(unit[lo]), (np.array([lo]), lengths[own], key[own].view(np.int64), low[lo:hi], np.frombuffer(body, np.uint8))))
+            blobs = [press.compress(pickle.dumps(x[2], 5)) for x in rows]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array(blobs, pa.binary())], ["batch", "unit", "data"])
+
         for b in batches:
-            ids = b.column(0).to_numpy()
-            lists = b.column(2)
-            cut, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
-            for first, flat, off in chunks(b.column(1)):
+            ids, lists = b.column(0).to_numpy(), b.column(2)
+            border, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+            for first, flat, off in chunks(opened(b.column(1))):
                 rows = len(off) - 1
-                row, start, windows, anchor = stretches(flat, off, length)
-                own = values[cut[first] : cut[first + rows]]
-                owner = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(cut[first : first + rows + 1]))
-                hit = np.isin(mix(anchor + row.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), mix(own + owner * U64(0x9E3779B97F4A7C15)))
-                row, start, windows, anchor = row[hit], start[hit], windows[hit], anchor[hit]
-                end = start + windows + length - 1
-                c1, c2 = content_key(flat, start, end)
-                raw = flat.tobytes()
-                content = pa.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
-                arrays = [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(anchor.view(np.int64)), content, pa.array(ids[first + row]), pa.array((start - off[row]).astype(np.int64)), pa.array(windows.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["c1", "c2", "anchor", "content", "doc_id", "at", "windows"])
-
-    joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "anchors")
-    return joined.mapInArrow(run, "c1 long, c2 long, anchor long, content binary, doc_id long, at long, windows int")
+                row, start, windows, key = stretches(flat, off, length)
+                own = values[border[first] : border[first + rows]]
+                owner = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(border[first : first + rows + 1]))
+                hit = np.isin(mix(key + row.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), mix(own + owner * U64(0x9E3779B97F4A7C15)))
+                row, start, windows, key = row[hit], start[hit], windows[hit], key[hit]
+                if len(known_hot.value) and len(key):  # a frequent anchor's windows one by one, under their own hash
+                    many = np.isin(key, known_hot.value)
+                    if many.any():
+                        n = windows[many]
+                        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        s = np.repeat(start[many], n) + step
+                        own_hash = span_hashes(flat, s, s + length)
+                        row, start = np.r_[row[~many], np.repeat(row[many], n)], np.r_[start[~many], s]
+                        windows, key = np.r_[windows[~many], np.ones(len(s), windows.dtype)], np.r_[key[~many], own_hash]
+                if not len(row):
+                    continue
+                lengths = windows + length - 1
+                take = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                held.append((flat[take], lengths, key, ids[first + row], start - off[row], windows.astype(np.int64), span_hashes(flat, start, start + lengths)))
+                size += len(row)
+                if size >= BATCH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    joined = might_be_in(texts.select("doc_id", "packed"), wanted.select(F.col("doc_id").alias("id"))).join(wanted, "doc_id").select("doc_id", "packed", "anchors")
+    return joined.mapInArrow(tidy(run), "batch long, unit long, data binary")
 
 
 class ShardTransform:
@@ -211,11 +293,11 @@ class ShardTransform:
         place = np.arange(n) - begin
         # Ranks by 1, 2, 4, ... symbols of the rotation, until all differ.
         rank, reach = flat.astype(np.int64), 1
-        rows = np.argsort(flat, kind="stable")
+        rows = np.zeros(0, np.int64)
         while True:
             ahead = rank[begin + (place + reach) % length]
             key = rank * (int(rank.max()) + 1 if n else 1) + ahead
-            rows = np.argsort(key, kind="stable")
+            rows = np.argsort(key)
             step = np.r_[0, (key[rows][1:] != key[rows][:-1]).astype(np.int64)] if n else np.zeros(0, np.int64)
             rank = np.empty(n, np.int64)
             rank[rows] = np.cumsum(step)
@@ -223,31 +305,42 @@ class ShardTransform:
             if not n or rank[rows[-1]] == n - 1 or reach > 2 * int(size.max()):
                 break
         self.symbols = flat[begin + (place - 1) % length][rows]
+        self.before = flat[begin + (place - 2) % length][rows]
         self.string, self.offset = self.string[rows], place[rows]
 
+    def pairs(self) -> np.ndarray:
+        """The two symbols before each rotation, as one number in their order."""
+        wide = np.uint16 if self.symbols.dtype == np.uint8 else np.uint32
+        return self.before.astype(wide) * wide(256 if wide is np.uint16 else 65536) + self.symbols
 
-def merge_transforms(a: ShardTransform, b: ShardTransform, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from_b, block, lcp) after `depth` rounds of interleave refinement of two transforms.
+
+def merge_transforms(a: ShardTransform, b: ShardTransform, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from_b, block, lcp) after interleave refinement of two transforms to `depth` symbols.
 
     from_b says for each merged row which transform it comes from (rows of one keep
     their order); rows of a block agree in their first `depth` symbols; lcp[i] is how
-    many symbols row i shares with row i - 1, at most depth.
+    many symbols row i shares with row i - 1, at most depth. With step 2 a round takes
+    the two symbols before each rotation at once, for half the rounds; depth must be
+    even and lcp is then rounded down to an even number.
     """
     n = len(a.symbols) + len(b.symbols)
     from_b = np.zeros(n, bool)
     from_b[len(a.symbols) :] = True
     block = np.zeros(n, np.int32)
     lcp = np.full(n, depth, np.int32)
-    symbols = np.empty(n, np.result_type(a.symbols, b.symbols))
-    border = np.zeros(n, bool)
-    for h in range(depth):
-        symbols[~from_b] = a.symbols
-        symbols[from_b] = b.symbols
+    own = [t.symbols if step == 1 else t.pairs() for t in (a, b)]
+    symbols = np.empty(n, np.result_type(*own))
+    border, seen = np.zeros(n, bool), np.zeros(n, bool)
+    for h in range(0, depth, step):
+        symbols[~from_b], symbols[from_b] = own
         order = np.argsort(symbols, kind="stable")
         from_b, block, symbols = from_b[order], block[order], symbols[order]
         border[:1] = True
-        border[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        lcp[border & (lcp == depth)] = h
+        np.not_equal(symbols[1:], symbols[:-1], out=border[1:])
+        border[1:] |= block[1:] != block[:-1]
+        fresh = np.flatnonzero(border > seen)
+        lcp[fresh] = h
+        seen[fresh] = True
         np.cumsum(border, out=block)
     return from_b, block, lcp
 
@@ -256,7 +349,7 @@ def first_documents(strings: list[bytes], first: np.ndarray, length: int) -> lis
     """For every window of every string the smallest first document of the strings that hold it."""
     half = max(1, len(strings) // 2)
     shards = [ShardTransform(strings[:half]), ShardTransform(strings[half:])] if len(strings) > 1 else [ShardTransform(strings), ShardTransform([])]
-    from_b, block, _ = merge_transforms(*shards, depth=length)
+    from_b, block, _ = merge_transforms(*shards, depth=length, step=2 - length % 2)
     string, offset = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
     string[~from_b], offset[~from_b] = shards[0].string, shards[0].offset
     string[from_b], offset[from_b] = shards[1].string + half, shards[1].offset
@@ -273,54 +366,119 @@ def first_documents(strings: list[bytes], first: np.ndarray, length: int) -> lis
     return np.split(out, at[1:-1])
 
 
-def unit_results(rows: DataFrame, length: int) -> DataFrame:
-    """(unit, c1, c2, piece, content, first_doc) -> (c1, c2, piece, firsts); one value in firsts stands for equal ones."""
+def decided_stretches(packed: DataFrame, units: int, length: int = LENGTH) -> DataFrame:
+    """(batch, data): per unit and batch the smallest first document of every window of the batch's stretches there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                found = first_documents([x[3] for x in held], np.array([x[4] for x in held], np.int64), length)
-                short = [f[:1] if (f == f[0]).all() else f for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array([x[1] for x in held]), pa.array([x[2] for x in held], pa.int32()), pa.array(short, pa.list_(pa.int64()))], ["c1", "c2", "piece", "firsts"])
+        press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            """held: (batch, place, lengths, keys, first documents, bytes) of one unit."""
+            where: dict[bytes, int] = {}
+            strings, first, keys, refs = [], [], [], []
+            for _, _, lengths, key, low, body in held:
+                raw, end = body.tobytes(), np.cumsum(lengths)
+                ref = np.empty(len(lengths), np.int64)
+                for i, (e, n, k, f) in enumerate(zip(end.tolist(), lengths.tolist(), key.tolist(), low.tolist(), strict=True)):
+                    text = raw[e - n : e]
+                    j = where.setdefault(text, len(strings))
+                    if j == len(strings):
+                        strings.append(text)
+                        first.append(f)
+                        keys.append(k)
+                    elif f < first[j]:
+                        first[j] = f
+                    ref[i] = j
+                refs.append(ref)
+            found: list[np.ndarray] = [None] * len(strings)
+            _, key_of, n_of = np.unique(np.array(keys), return_inverse=True, return_counts=True)
+            alone = n_of[key_of] == 1
+            for i in np.flatnonzero(alone).tolist():  # all that hold its windows hold it: its windows are the blocks, nothing to merge
+                found[i] = np.full(len(strings[i]) - length + 1, first[i])
+            order = np.argsort(key_of, kind="stable")
+            order = order[~alone[order]]
+            sizes = np.cumsum(np.array([len(strings[i]) for i in order], np.int64))
+            lo = 0
+            while lo < len(order):  # pieces end where the key changes
+                hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + UNIT_BYTES, "right"))
+                hi = max(hi, lo + 1)
+                while hi < len(order) and keys[order[hi]] == keys[order[hi - 1]]:
+                    hi += 1
+                own = order[lo:hi].tolist()
+                for i, f in zip(own, first_documents([strings[i] for i in own], np.array([first[i] for i in own], np.int64), length), strict=True):
+                    found[i] = f
+                lo = hi
+            blobs = []
+            for (_, place, *_), ref in zip(held, refs, strict=True):
+                blobs.append(press.compress(pickle.dumps((place, np.array([len(found[j]) for j in ref]), np.concatenate([found[j] for j in ref])), 5)))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array(blobs, pa.binary())], ["batch", "data"])
 
+        now, held = None, []
         for b in batches:
-            for u, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if u != now:
-                    yield from done()
-                    now, held = u, []
-                held.append(row)
-        yield from done()
+            for batch, unit, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if unit != now:
+                    if held:
+                        yield done(held)
+                    now, held = unit, []
+                held.append((batch, *pickle.loads(open_.decompress(data.as_py()))))
+        if held:
+            yield done(held)
 
-    ready = rows.select("unit", "c1", "c2", "piece", "content", "first_doc").repartition("unit").sortWithinPartitions("unit")
-    return ready.mapInArrow(run, "c1 long, c2 long, piece int, firsts array<long>")
+    return packed.filter("unit >= 0").repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "batch long, data binary")
 
 
-def window_decisions(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Distinct stretches (c1, c2, anchor, content, first_doc) -> (c1, c2, piece, firsts)."""
-    total = found.agg(F.sum(F.octet_length("content") + 1).alias("b")).first()["b"] or 0
-    units = max(1, -(-total // UNIT_BYTES))
-    hot = found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_STRETCHES).select("anchor", F.lit(True).alias("hot"))
-    marked = found.join(hot, "anchor", "left")
-    whole = marked.filter("hot is null").select(F.pmod(F.xxhash64("anchor"), F.lit(units)).alias("unit"), "c1", "c2", F.lit(-1).alias("piece"), "content", "first_doc")
-    windows = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("content") - (length - 1)), lambda i: F.substring(F.col("content"), i, F.lit(length))))
-    cut = marked.filter("hot").select("c1", "c2", "first_doc", windows.alias("piece", "content"))
-    more = F.lit(units) + F.pmod(F.xxhash64("content"), F.lit(units * 8))
-    return unit_results(whole.unionByName(cut.withColumn("unit", more)), length)
+def removal_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, marks): per document the removed windows, as packed (at, bits) of its stretches; documents must be distinct texts.
 
+    texts has doc_id and text.
+    """
+    spark = texts.sparkSession
+    units = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = stage(shared_anchors(texts), "anchors")
+    hot = shared.filter("doc_id is null").orderBy(F.desc("documents"), "anchor").limit(MOST_HOT).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)
+    packed = stage(packed_stretches(compressed(texts), shared, hot, units, length), "stretches")
+    decided = decided_stretches(packed, units, length)
 
-def removal_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, marks): per document the removed windows, as (at, bits) of stretches; documents must be distinct texts."""
-    found = stage(candidate_stretches(docs, shared_anchors(docs), length), "stretches")
-    distinct = stage(found.groupBy("c1", "c2").agg(F.min("doc_id").alias("first_doc"), F.min("anchor").alias("anchor"), F.min("content").alias("content")), "distinct")
-    decided = window_decisions(distinct, length)
-    joined = found.select("c1", "c2", "doc_id", "at", "windows").join(decided, ["c1", "c2"])
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    each = F.aggregate(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x + y)
-    one = F.col("firsts")[0] < F.col("doc_id")
-    bits = F.when(F.col("piece") >= 0, F.when(one, bit(F.col("piece"))).otherwise(F.lit(0))).when(F.size("firsts") == 1, F.when(one, bit(F.col("windows")) - 1).otherwise(F.lit(0))).otherwise(each)
-    return joined.select("doc_id", "at", bits.alias("bits")).filter("bits <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+
+        def done(own: tuple, parts: list[tuple]) -> pa.RecordBatch:
+            which, doc, at, windows = own
+            parts.sort(key=lambda x: int(x[0][0]))
+            count, first = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+            begin = np.cumsum(count) - count
+            # Every window of every occurrence: is its first document smaller than this one?
+            step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            gone = first[np.repeat(begin[which], windows) + step] < np.repeat(doc, windows)
+            bits = np.add.reduceat(gone.astype(np.int64) << step, np.cumsum(windows) - windows)
+            keep = bits != 0
+            doc, at, bits = doc[keep], at[keep], bits[keep]
+            order = np.argsort(doc, kind="stable")
+            doc, at, bits = doc[order], at[order], bits[order]
+            lo = run_starts(doc)
+            hi = np.r_[lo[1:], len(doc)]
+            marks = [np.stack([at[s:e], bits[s:e]]).tobytes() for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(marks, pa.binary())], ["doc_id", "marks"])
+
+        now, own, parts = None, None, []
+        for b in batches:
+            for batch, unit, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if batch != now:
+                    if own is not None:
+                        yield done(own, parts)
+                    now, own, parts = batch, None, []
+                value = pickle.loads(open_.decompress(data.as_py()))
+                if unit == -1:
+                    own = value
+                else:
+                    parts.append(value)
+        if own is not None:
+            yield done(own, parts)
+
+    both = packed.filter("unit = -1").unionByName(decided.select("batch", F.lit(0).cast("long").alias("unit"), "data"))
+    back = both.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(run), "doc_id long, marks binary")
+    # A repeated row may stand in two batches; its marks are equal there.
+    return back.groupBy("doc_id").agg(F.first("marks").alias("marks"))
 
 
 def removed_bytes(n: int, at: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:
@@ -341,27 +499,30 @@ def copies_of(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with marks (array of (at, bits), null if nothing goes) and is_copy; the other columns stay."""
+    """docs with its text compressed (packed), packed marks (null if no passage goes) and is_copy; the other columns stay."""
+    docs = docs.drop("marks", "is_copy", "packed")
     copies = stage(copies_of(docs), "copies")
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text").join(copies, "doc_id", "left_anti")
     marks = removal_marks(texts, length).withColumn("is_copy", F.lit(False))
-    copied = copies.select("doc_id", F.lit(None).cast("array<struct<at:bigint,bits:bigint>>").alias("marks"), F.lit(True).alias("is_copy"))
-    return docs.drop("marks", "is_copy").join(marks.unionByName(copied), "doc_id", "left")
+    copied = copies.select("doc_id", F.lit(None).cast("binary").alias("marks"), F.lit(True).alias("is_copy"))
+    return compressed(docs).join(marks.unionByName(copied), "doc_id", "left")
 
 
-def keep_mask(raw: np.ndarray, marks, is_copy: bool | None, length: int) -> np.ndarray:
+def removed_of(raw: np.ndarray, marks: bytes | None, is_copy: bool | None, length: int) -> np.ndarray:
     """Which bytes of one text are removed."""
     if is_copy:
         return np.full(len(raw), len(raw) >= length)
-    if marks is None or not len(marks):
+    if not marks:
         return np.zeros(len(raw), bool)
-    return removed_bytes(len(raw), np.array([m["at"] for m in marks], np.int64), np.array([m["bits"] for m in marks], np.int64), length)
+    at, bits = np.frombuffer(marks, np.int64).reshape(2, -1)
+    return removed_bytes(len(raw), at, bits, length)
 
 
 def _rows(b: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for text, marks, copy in zip(b.column("text"), b.column("marks"), b.column("is_copy").to_pylist(), strict=True):
-        raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-        yield raw, keep_mask(raw, marks.as_py(), copy, length)
+    press = zstandard.ZstdDecompressor()
+    for packed, marks, copy in zip(b.column("packed"), b.column("marks"), b.column("is_copy").to_pylist(), strict=True):
+        raw = np.frombuffer(press.decompress(packed.as_py()) if packed.is_valid else b"", np.uint8)
+        yield raw, removed_of(raw, marks.as_py(), copy, length)
 
 
 def digests(marked: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -377,7 +538,7 @@ def digests(marked: DataFrame, length: int = LENGTH) -> DataFrame:
                 sha.append(hashlib.sha256(raw[~gone].tobytes() if removed[-1] else raw.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select("doc_id", "text", "marks", "is_copy").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "packed", "marks", "is_copy").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -385,28 +546,26 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     n_chars, where there is one, follows the text. Rows of which nothing but white space is left go.
     """
-    marked = remove_repeats(docs, length)
-    names = docs.drop("marks", "is_copy").columns
+    docs = docs.drop("marks", "is_copy", "packed")
+    names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            old, texts, stay = b.column("text").to_pylist(), [], []
-            for before, (raw, gone) in zip(old, _rows(b, length), strict=True):
-                if not gone.any():
-                    texts.append(before)
-                    stay.append(True)
-                    continue
-                head = (raw & 0xC0) != 0x80
-                whole = np.logical_and.reduceat(gone, np.flatnonzero(head))[np.cumsum(head) - 1]
-                texts.append(raw[~whole].tobytes().decode())
-                stay.append(bool(texts[-1].strip()))
-            changed = {"text": pa.array(texts, b.schema.field("text").type)}
+            texts, stay, changed = [], [], []
+            for valid, (raw, gone) in zip(b.column("packed").is_valid().to_pylist(), _rows(b, length), strict=True):
+                cut = bool(gone.any())
+                if cut:
+                    head = (raw & 0xC0) != 0x80
+                    raw = raw[~np.logical_and.reduceat(gone, np.flatnonzero(head))[np.cumsum(head) - 1]]
+                texts.append(raw.tobytes().decode() if valid else None)
+                changed.append(cut)
+                stay.append(not cut or bool(texts[-1].strip()))
+            own = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                kind = b.schema.field("n_chars").type
-                changed["n_chars"] = pa.array([n if new is same or new == same else len(new) for n, new, same in zip(b.column("n_chars").to_pylist(), texts, old, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([changed.get(c, b.column(c)) for c in names], names).filter(pa.array(stay, pa.bool_()))
+                own["n_chars"] = pa.array([len(t) if c else n for n, t, c in zip(b.column("n_chars").to_pylist(), texts, changed, strict=True)], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else b.column(c) for c in names], names).filter(pa.array(stay, pa.bool_()))
 
-    return marked.mapInArrow(run, docs.drop("marks", "is_copy").schema)
+    return remove_repeats(docs, length).mapInArrow(tidy(run), schema)
 
 
 def op2_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
