@@ -125,3 +125,24 @@ def test_id_filter_loses_nothing(spark):
     docs, ids = spark.range(2000).select(F.col("id").alias("doc_id")), spark.range(0, 2000, 7)
     kept = {r["doc_id"] for r in might_be_in(docs, ids, bits=1 << 12).collect()}
     assert set(range(0, 2000, 7)) <= kept and len(kept) < 1500
+
+
+
+def test_long_items_and_heavy_paraphrases_are_found(spark):
+    rng = np.random.default_rng(4)
+    common = [f"c{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500)]
+    share = 1 / np.arange(1, 501)
+    text = lambda n: rng.choice(common, n, p=share / share.sum()).tolist()
+    items = [text(n) for n in (16, 24, 40, 59, 100, 110, 169, 186, 250, 400)]
+    docs = []
+    for k, words in enumerate(items):
+        kept = np.ones(len(words), bool)
+        kept[rng.choice(len(words), len(words) * 3 // 10, replace=False)] = False
+        light = [w if ok else "other" for w, ok in zip(words, kept, strict=True)]
+        less = [w if ok and j % 2 else "other" for j, (w, ok) in enumerate(zip(words, kept, strict=True))]
+        docs += [(3 * k, " ".join(text(300) + words + text(77))), (3 * k + 1, " ".join(text(33) + light + text(200))), (3 * k + 2, " ".join(less))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.find_leaks(rows, bench).collect()}
+    assert all(k in got[3 * k]["item_ids"] and k in got[3 * k + 1]["item_ids"] for k in range(len(items)))
+    assert all(got[3 * k]["coverage"] == 1.0 and k not in got[3 * k + 2]["item_ids"] for k in range(len(items)))
