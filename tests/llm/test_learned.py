@@ -146,3 +146,23 @@ def test_long_items_and_heavy_paraphrases_are_found(spark):
     got = {r["doc_id"]: r for r in decontam.find_leaks(rows, bench).collect()}
     assert all(k in got[3 * k]["item_ids"] and k in got[3 * k + 1]["item_ids"] for k in range(len(items)))
     assert all(got[3 * k]["coverage"] == 1.0 and k not in got[3 * k + 2]["item_ids"] for k in range(len(items)))
+
+
+def test_short_unspaced_and_many_items_are_found(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    share = 1 / np.arange(1, len(words) + 1)
+    many = [" ".join(rng.choice(words, 40, p=share / share.sum())) for _ in range(1500)]
+    items = [*enumerate(many), (5000, "What is 17 * 23?"), (5001, "法国的首都是哪个城市请回答"), (5002, "Paris"), (5003, "Name 1900, 1914.")]
+    docs = [(k, f"zz yy {many[k]} xx") for k in range(0, 1500, 30)]
+    docs += [(5000, "so what is 17*23 then"), (5001, "我问：法国的首都是哪个城市,请回答。好的"), (5002, "in Paris, yes"), (5003, "name 1900 and 1914"), (5004, "what is 17 * 24"), (5005, "法国城市"), (5006, "name"), (5007, "1900 1914")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontam.find_leaks(rows, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(k in got[k] for k in [*range(0, 1500, 30), 5000, 5001, 5002])
+    assert not any(got[k] for k in (5003, 5004, 5005, 5006, 5007))
+
+
+def test_terms_split_unspaced_scripts():
+    raw = np.frombuffer("ab12 中文x、カ é。".encode() + "ก𠀀".encode(), np.uint8)
+    t = decontam.Terms(raw, np.array([0, len(raw)]))
+    assert [raw[a:b].tobytes().decode() for a, b in zip(t.start, t.end, strict=True)] == ["ab12", "中", "文", "x", "カ", "é", "ก", "𠀀"]
