@@ -9,8 +9,9 @@ is a proper distribution over all texts.
 Counts cover all training rows: they are combined within tasks and added up by word.
 Frequent words' counts go to every task (FREQUENT of them, a parameter); the other
 words of each document are joined to the count table by word. The network is trained
-by truncated backpropagation in numpy on about FIT_DOCS training rows chosen by a
-hash of doc_id (a parameter). Scoring runs many documents in lanes side by side; a
+by truncated backpropagation in numpy on all training rows: in each of EPOCHS rounds
+every partition trains the round's network on its rows, and the changes are averaged
+by tokens, in steps of MERGED partitions, so the driver sees parameters only. Scoring runs many documents in lanes side by side; a
 document's state is carried from window to window, so its log-likelihood is that of
 the complete text.
 
@@ -38,8 +39,9 @@ VOCABULARY = 4095
 CLASS_WORDS = 64
 HIDDEN = 24
 FREQUENT = 65_536
-FIT_DOCS = 1000
 EPOCHS = 3
+RATE = 0.01
+MERGED = 16
 WINDOW = 32
 LANES = 512
 SCORE_BYTES = 4 << 20
@@ -134,6 +136,20 @@ class Gru:
     def parts(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in ("gates", "back", "back_n", "class_w", "class_b", "word_w", "word_b")}
 
+    def copy(self) -> Gru:
+        return Gru(**{k: v.copy() for k, v in self.parts().items()})
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.parts().values()])
+
+    def moved(self, change: np.ndarray) -> Gru:
+        """This network with a change of all parameters, in the order of flat()."""
+        out, at = self.copy(), 0
+        for v in out.parts().values():
+            v += change[at : at + v.size].reshape(v.shape)
+            at += v.size
+        return out
+
     def step(self, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         k = h.shape[1]
         zr = given[:, : 2 * k] + h @ self.back
@@ -236,15 +252,27 @@ def lane_grid(word: np.ndarray, border: np.ndarray, dealt: list[list[int]]) -> t
     return grid, grid >= 0
 
 
-def train(model: Gru, word: np.ndarray, border: np.ndarray, end: int, epochs: int = EPOCHS, lanes: int = 64, rate: float = 0.01) -> list[float]:
-    """Truncated backpropagation with adaptive moments; returns the mean loss per token of each epoch."""
+class Moments:
+    """Running moments of gradients, kept from chunk to chunk."""
+
+    def __init__(self, model: Gru):
+        self.first = {k: np.zeros_like(v) for k, v in model.parts().items()}
+        self.second = {k: np.zeros_like(v) for k, v in model.parts().items()}
+        self.steps = 0
+
+
+def train(model: Gru, word: np.ndarray, border: np.ndarray, end: int, epochs: int = EPOCHS, lanes: int = 64, rate: float = RATE, moments: Moments | None = None, warm: int = 20) -> list[float]:
+    """Truncated backpropagation with adaptive moments; returns the mean loss per token of each epoch.
+
+    With moments, training goes on from them at a steady rate; else the rate falls to a tenth.
+    """
     if len(border) < 2:
         return []
     grid, live = lane_grid(word, border, lanes_of(border, min(lanes, len(border) - 1)))
     parts = model.parts()
-    first = {k: np.zeros_like(v) for k, v in parts.items()}
-    second = {k: np.zeros_like(v) for k, v in parts.items()}
-    told, n = [], 0
+    falls = moments is None
+    moments = moments or Moments(model)
+    first, second, told, n = moments.first, moments.second, [], moments.steps
     total = epochs * -(-len(grid) // WINDOW)
     for _ in range(epochs):
         h, loss = np.zeros((grid.shape[1], model.back.shape[0]), np.float32), 0.0
@@ -253,7 +281,7 @@ def train(model: Gru, word: np.ndarray, border: np.ndarray, end: int, epochs: in
             part, grads, h = model.window_gradient(h, np.where(ok, word[g], end), ok, end)
             loss += part
             n += 1
-            now = rate * min(1.0, n / 20) * (1 - 0.9 * n / total)
+            now = rate * min(1.0, n / warm) * (1 - 0.9 * n / total if falls else 1)
             norm = math.sqrt(sum(float((v.astype(np.float64) ** 2).sum()) for v in grads.values())) / max(1, ok.sum())
             scale = min(1.0, 5 / max(norm, 1e-9)) / max(1, ok.sum())
             for k, v in parts.items():
@@ -262,6 +290,7 @@ def train(model: Gru, word: np.ndarray, border: np.ndarray, end: int, epochs: in
                 second[k] = 0.99 * second[k] + 0.01 * d * d
                 v -= now * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-7)
         told.append(loss / max(1, int(live.sum())))
+    moments.steps = n
     return told
 
 
@@ -304,7 +333,56 @@ class Scorer:
         return np.where(known, at, -1), np.where(known, self.named[at], self.model.rare)
 
 
-def learn(docs: DataFrame, counts: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[Scorer, int, int, int, int]:
+def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One (change, n) row: the mean of rows' changes by n."""
+    total, n = None, 0
+    for b in batches:
+        for change, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(change.as_buffer(), np.float32)
+            n += k
+            total = part.copy() if total is None else total + (part - total) * np.float32(k / n)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["change", "n"])
+
+
+def fit(docs: DataFrame, scorer: Scorer, epochs: int = EPOCHS) -> Gru:
+    """The scorer's network trained on all texts of docs, epochs times."""
+    spark = docs.sparkSession
+
+    def one_round(epoch: int) -> np.ndarray | None:
+        shared = spark.sparkContext.broadcast(scorer)  # FREQUENT words and the network: of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = shared.value
+            model, n = s.model.copy(), 0
+            moments = Moments(model)
+            for b in batches:
+                for _, flat, off in chunks(b.column(0)):
+                    h, border = tokens(flat, off)
+                    train(model, s.look_up(h)[1], border, s.end, 1, rate=RATE * (1 - 0.9 * epoch / epochs), moments=moments, warm=1 if epoch else 20)
+                    n += len(h)
+            if n:
+                change = (model.flat() - s.model.flat()).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([change.tobytes()], pa.binary()), pa.array([n])], ["change", "n"])
+
+        changes = stage(docs.select("text").mapInArrow(tidy(run), "change binary, n long"), "changes")
+        left = changes.count()
+        while left > 1:  # a tree: each task takes about MERGED changes
+            left = -(-left // MERGED)
+            changes = changes.repartition(left).mapInArrow(tidy(average), "change binary, n long")
+        got = changes.first()
+        shared.unpersist()
+        return None if got is None else np.frombuffer(bytes(got["change"]), np.float32)
+
+    for epoch in range(epochs):
+        change = one_round(epoch)
+        if change is None:
+            break
+        scorer = Scorer(scorer.words, scorer.counts, scorer.named, scorer.model.moved(change), scorer.end)
+    return scorer.model
+
+
+def learn(docs: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int, int, int]:
     """The scorer and N, V, and N, V of the words the network doesn't name."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
@@ -325,12 +403,7 @@ def learn(docs: DataFrame, counts: DataFrame, fit_docs: int = FIT_DOCS) -> tuple
     order = np.argsort(word)
     named = np.where(named < size, named, size)
     scorer = Scorer(word[order], c[order], named[order], model, int(where[0]))
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    fit = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").toArrow().column(0)
-    if len(fit):
-        got = [tokens(flat, off) for _, flat, off in chunks(fit.combine_chunks() if fit.num_chunks != 1 else fit.chunk(0))]
-        border = np.concatenate([[0], *(b[1:] + s for (_, b), s in zip(got, np.concatenate([[0], np.cumsum([len(t) for t, _ in got])[:-1]]), strict=True))]).astype(np.int64)
-        train(model, scorer.look_up(np.concatenate([t for t, _ in got]))[1], border, scorer.end)
+    scorer.model = fit(docs, scorer)
     return scorer, n, v, rare_n, max(rare_v, 0)
 
 

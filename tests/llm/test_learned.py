@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import decontam, html_text, langid, toxicity
+from siftline.llm import decontam, gru_lm, html_text, langid, toxicity
 from siftline.llm.shared import might_be_in
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,3 +166,14 @@ def test_terms_split_unspaced_scripts():
     raw = np.frombuffer("ab12 中文x、カ é。".encode() + "ก𠀀".encode(), np.uint8)
     t = decontam.Terms(raw, np.array([0, len(raw)]))
     assert [raw[a:b].tobytes().decode() for a, b in zip(t.start, t.end, strict=True)] == ["ab12", "中", "文", "x", "カ", "é", "ก", "𠀀"]
+
+
+def test_network_learns_from_every_training_row(spark):
+    """The second half by hash of doc_id, which a sample of 1,000 documents never held, has sentences of its own."""
+    half = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < 500_000
+    say = lambda x: " ".join(f"{x}{k}" for k in "abcdefgh")
+    rows = spark.range(5000).toDF("doc_id").withColumn("text", F.repeat(F.when(half, say("p") + " ").otherwise(say("q") + " "), 12)).filter(~gru_lm.held_out(F.col("doc_id")))
+    scorer = gru_lm.learn(rows.repartition(4), gru_lm.token_counts(rows))[0]
+    score = lambda t: gru_lm.score_rows(scorer.model, *(lambda h, border: (scorer.look_up(h)[1], border))(*gru_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))), scorer.end)[0]
+    for x in "pq":
+        assert score(f"{say(x)} {say(x)}") > score(" ".join(f"{x}{k}" for k in "hcfaebgdgcahdbfe")) + 5
