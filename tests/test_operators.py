@@ -170,3 +170,11 @@ def test_story_links_and_packing(spark):
     one = spark.createDataFrame([("A & B", "e" * 9000, "https://l", ["o"])], "t string, e string, l string, o array<string>")
     text = one.select(rendering.alert_text(F.col("t"), F.col("e"), F.col("l"), F.col("o"))).first()[0]
     assert rendering.units(text) <= 4000 and text.startswith("<b>A &amp; B</b>") and text.endswith("https://l")
+
+
+def test_long_chains_are_decided_to_their_end(spark):
+    for n, few in ((300, graph.FEW_LINKS), (12, 0)):
+        ranked = spark.range(n).select("id", F.col("id").alias("rank"))
+        edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        got = {r["id"]: r["representative"] for r in graph.greedy_representatives(ranked, edges, few_links=few).collect()}
+        assert got == {k: k - k % 2 for k in range(n)}
