@@ -3,7 +3,8 @@
 Parser events of the standard library are cut into lines at block tags. A line's
 text-to-tag ratio is smoothed over its neighbours with a Gaussian; a threshold
 between the two clusters of smoothed ratios marks content lines. The region is the
-smallest container that holds nearly all of the marked text; every line of it that
+article element around nearly all of the marked text, else the smallest container that
+holds all of it and whose parent would add lines of links; every line of it that
 no boilerplate element holds belongs to the text, so short paragraphs between long
 ones stay.
 
@@ -174,15 +175,19 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = smoothed(np.array([0.0 if x.dropped else x.size / max(1, x.tags) for x in lines]))
     content = ratio >= cluster_threshold(ratio) if ratio.max() > ratio.min() else np.ones(len(lines), bool)
-    # The smallest container with nearly all of the marked text.
+    # The smallest container with nearly all, and that with all, of the marked text.
     weight: dict[int, int] = {}
+    menus: dict[int, int] = {}  # unmarked lines of links by container
     total = 0
     for x, marked in zip(lines, content, strict=True):
-        if marked and not x.dropped:
-            total += x.size
+        if x.dropped:
+            continue
+        if marked or x.linked >= 0.7 * x.size:
+            total += x.size if marked else 0
+            tally, n = (weight, x.size) if marked else (menus, 1)
             c = x.container
             while c >= 0:
-                weight[c] = weight.get(c, 0) + x.size
+                tally[c] = tally.get(c, 0) + n
                 c = events.parent[c]
     if not total:
         return ""
@@ -190,18 +195,20 @@ def main_text(html: str | None) -> str:
     c = region
     while c > 0 and events.kind[c] not in ("article", "main"):  # an article element around it is the better border
         c = events.parent[c]
-    region = c if c > 0 else region
-    inside: dict[int, bool] = {region: True, -1: False}
-
-    def within(c: int) -> bool:
-        if c not in inside:
-            inside[c] = within(events.parent[c])
-        return inside[c]
+    if c > 0:
+        region = c
+    else:
+        region = max(c for c, w in weight.items() if w == total)
+        while region > 0 and menus.get(events.parent[region], 0) == menus.get(region, 0):
+            region = events.parent[region]
+    inside: list[bool] = []
+    for c, parent in enumerate(events.parent):  # parents come first
+        inside.append(c == region or parent >= 0 and inside[parent])
 
     own = events.kind[region] in ("article", "main")
     kept = []
     for x, marked in zip(lines, content, strict=True):
-        if not x.dropped and within(x.container) and (own or marked or x.linked < 0.7 * x.size):
+        if not x.dropped and inside[x.container] and (own or marked or x.linked < 0.7 * x.size):
             text = SPACES.sub(" ", "".join(x.parts)).strip()
             if text:
                 kept.append(text)

@@ -177,3 +177,18 @@ def test_network_learns_from_every_training_row(spark):
     score = lambda t: gru_lm.score_rows(scorer.model, *(lambda h, border: (scorer.look_up(h)[1], border))(*gru_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))), scorer.end)[0]
     for x in "pq":
         assert score(f"{say(x)} {say(x)}") > score(" ".join(f"{x}{k}" for k in "hcfaebgdgcahdbfe")) + 5
+
+
+LONG = "A long paragraph of the story that goes on for a while and says a lot of things, one after the other, until it ends."
+
+
+@pytest.mark.parametrize(
+    ("main", "text"),
+    [
+        (f"<div class=post><h1>Title</h1><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title {LONG} {LONG}"),
+        (f"<div class=post><div><h1>Title</h1><p>Short lead of it.</p></div><div class=entry>{f'<p>{LONG}</p>' * 12}</div><div><p>{LONG}</p></div></div>", " ".join(["Title Short lead of it.", *[LONG] * 13])),
+        (f"<div class=wrap><div class=list><p><a href=/a>One</a></p><p><a href=/b>Two</a></p></div><div class=post><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div></div></div>", f"Title {LONG} {LONG}"),
+    ],
+)
+def test_html_keeps_what_stands_beside_the_body(main, text):
+    assert html_text.main_text(PAGE.replace("{main}", main)) == text
