@@ -9,9 +9,10 @@ is a proper distribution over all texts.
 Counts cover all training rows: they are combined within tasks and added up by word.
 Frequent words' counts go to every task (FREQUENT of them, a parameter); the other
 words of each document are joined to the count table by word. The network is trained
-by truncated backpropagation in numpy on all training rows: in each of EPOCHS rounds
-every partition trains the round's network on its rows, and the changes are averaged
-by tokens, in steps of MERGED partitions, so the driver sees parameters only. Scoring runs many documents in lanes side by side; a
+by truncated backpropagation in numpy on all training rows, once each: a hash of doc_id
+deals them to ROUNDS rounds, in a round every partition trains the round's network on its
+share, and the changes are averaged by tokens, in steps of MERGED partitions, so the driver
+sees parameters only. Training and scoring run many documents in lanes side by side; a
 document's state is carried from window to window, so its log-likelihood is that of
 the complete text.
 
@@ -33,18 +34,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stage, table, top_rows
-from .textbytes import U64, Words, chunks, run_starts, tidy
+from .textbytes import U64, Words, chunks, gathered, run_starts, tidy
 
-VOCABULARY = 4095
-CLASS_WORDS = 64
-HIDDEN = 24
+VOCABULARY = 2047
+CLASS_WORDS = 48
+HIDDEN = 16
 FREQUENT = 65_536
-EPOCHS = 3
-RATE = 0.01
+ROUNDS = 3
+RATE = 0.02
 MERGED = 16
-WINDOW = 32
+WINDOW = 16
 LANES = 512
-SCORE_BYTES = 4 << 20
+LEAST_UPDATES = 24  # of one chunk; fewer lanes where a chunk has too few tokens for that
+CHUNK = 4 << 20
+MOST_LOGIT = np.float32(80)
 END = np.uint64(0xE0D0C0B0A0908071)
 LN10 = math.log(10)
 
@@ -152,79 +155,115 @@ class Gru:
 
     def step(self, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         k = h.shape[1]
-        zr = given[:, : 2 * k] + h @ self.back
-        zr = 1 / (1 + np.exp(-zr))
+        zr = h @ self.back
+        zr += given[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(np.minimum(zr, MOST_LOGIT, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(given[:, 2 * k :] + (r * h) @ self.back_n)
+        n = (r * h) @ self.back_n
+        n += given[:, 2 * k :]
+        np.tanh(n, out=n)
         return n + z * (h - n), z, r, n
 
     def losses(self, h: np.ndarray, word: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(word | h) per row (for the rare token, of its class only); with grads, also the gradient of -sum by h."""
+
+        def shares(logit: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """ln of the chosen column's share; logit becomes the shares, less 1 in that column, if there are grads."""
+            rows = np.arange(len(own))
+            np.minimum(logit, MOST_LOGIT, out=logit)
+            chosen = logit[rows, own]
+            np.exp(logit, out=logit)
+            total = logit.sum(axis=1)
+            if grads is not None:
+                logit /= total[:, None]
+                logit[rows, own] -= 1
+            return chosen - np.log(total)
+
         group = np.where(word == self.rare, self.rare_class, word // CLASS_WORDS)
-        rows = np.arange(len(word))
-        logit = h @ self.class_w + self.class_b
-        logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1)
-        out = logit[rows, group] - np.log(total)
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        h, word, group = h[order], word[order], group[order]
+        p = h @ self.class_w
+        p += self.class_b
+        found = shares(p, group)
         dh = None
         if grads is not None:
-            p /= total[:, None]
-            p[rows, group] -= 1
             grads["class_w"] += h.T @ p
             grads["class_b"] += p.sum(axis=0)
             dh = p @ self.class_w.T
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cut = np.searchsorted(group[order], np.arange(self.rare_class + 1))
-        for c in np.flatnonzero(np.diff(cut)):
-            own = order[cut[c] : cut[c + 1]]
-            place = word[own] - c * CLASS_WORDS
-            logit = h[own] @ self.word_w[c] + self.word_b[c]
-            logit -= logit.max(axis=1, keepdims=True)
-            p = np.exp(logit)
-            total = p.sum(axis=1)
-            own_rows = np.arange(len(own))
-            out[own] += logit[own_rows, place] - np.log(total)
+        cut = np.searchsorted(group, np.arange(self.rare_class + 1))
+        named = int(cut[-1])
+        if named:
+            p = np.empty((named, CLASS_WORDS), h.dtype)
+            there = np.flatnonzero(np.diff(cut)).tolist()
+            for c in there:
+                own = p[cut[c] : cut[c + 1]]
+                np.matmul(h[cut[c] : cut[c + 1]], self.word_w[c], out=own)
+                own += self.word_b[c]
+            found[:named] += shares(p, word[:named] - group[:named] * CLASS_WORDS)
             if grads is not None:
-                p /= total[:, None]
-                p[own_rows, place] -= 1
-                grads["word_w"][c] += h[own].T @ p
-                grads["word_b"][c] += p.sum(axis=0)
-                dh[own] += p @ self.word_w[c].T
+                for c in there:
+                    rows = slice(cut[c], cut[c + 1])
+                    grads["word_w"][c] += h[rows].T @ p[rows]
+                    grads["word_b"][c] += p[rows].sum(axis=0)
+                    dh[rows] += p[rows] @ self.word_w[c].T
+        out = np.empty_like(found)
+        out[order] = found
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
     def window_gradient(self, h0: np.ndarray, word: np.ndarray, live: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss and gradients over one window (time, lanes), and the state after it. Gradients stop at its start."""
         steps, lanes = word.shape
-        grads = {k: np.zeros_like(v) for k, v in self.parts().items()}
-        states, kept = [h0], []
+        k = h0.shape[1]
+        grads = {name: np.zeros_like(v) for name, v in self.parts().items()}
+        states = np.empty((steps + 1, lanes, k), h0.dtype)
+        states[0] = h0
+        goes_on = (word != end)[:, :, None].astype(h0.dtype)
+        given = self.gates[word]
+        kept = []
         for t in range(steps):
-            h, z, r, n = self.step(states[-1], self.gates[word[t]])
+            h, z, r, n = self.step(states[t], given[t])
             kept.append((z, r, n))
-            states.append(np.where((word[t] != end)[:, None], h, 0).astype(np.float32))
-        flat = np.concatenate(states[:-1])
+            np.multiply(h, goes_on[t], out=states[t + 1])
+        flat = states[:-1].reshape(-1, k)
         which = np.flatnonzero(live.ravel())
         loss, d = self.losses(flat[which], word.ravel()[which], grads)
         dh_out = np.zeros_like(flat)
         dh_out[which] = d
-        dh_out = dh_out.reshape(steps, lanes, -1)
-        dgiven = np.zeros((steps, lanes, self.gates.shape[1]), np.float32)
+        dh_out = dh_out.reshape(steps, lanes, k)
+        dgiven, reset = np.empty_like(given), np.empty_like(states[1:])
         ahead = np.zeros_like(h0)
         for t in range(steps - 1, -1, -1):
             z, r, n = kept[t]
             h = states[t]
-            g = np.where((word[t] != end)[:, None], ahead, 0)
-            dn = g * (1 - z) * (1 - n * n)
-            dz = g * (h - n) * z * (1 - z)
+            g = ahead * goes_on[t]
+            dn = g * (1 - z)
+            dn *= 1 - n * n
             drh = dn @ self.back_n.T
-            dr = drh * h * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            grads["back_n"] += (r * h).T @ dn
-            grads["back"] += h.T @ dzr
-            dgiven[t] = np.concatenate([dzr, dn], axis=1)
-            ahead = g * z + drh * r + dzr @ self.back.T + dh_out[t]
-        np.add.at(grads["gates"], word.ravel(), dgiven.reshape(-1, dgiven.shape[2]))
-        return float(-loss.sum()), grads, states[-1]
+            own = dgiven[t]
+            np.multiply(g * (h - n), z * (1 - z), out=own[:, :k])
+            np.multiply(drh * h, r * (1 - r), out=own[:, k : 2 * k])
+            own[:, 2 * k :] = dn
+            np.multiply(r, h, out=reset[t])
+            ahead = g * z
+            ahead += drh * r
+            ahead += own[:, : 2 * k] @ self.back.T
+            ahead += dh_out[t]
+        rows = dgiven.reshape(-1, 3 * k)
+        grads["back_n"] += reset.reshape(-1, k).T @ rows[:, 2 * k :]
+        grads["back"] += flat.T @ rows[:, : 2 * k]
+        names = word.ravel().astype(np.uint16)
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        at = run_starts(names)
+        grads["gates"][names[at]] += np.add.reduceat(rows[order], at, axis=0)
+        return float(-loss.sum()), grads, states[-1].copy()
 
 
 def lanes_of(border: np.ndarray, lanes: int) -> list[list[int]]:
@@ -261,37 +300,47 @@ class Moments:
         self.steps = 0
 
 
-def train(model: Gru, word: np.ndarray, border: np.ndarray, end: int, epochs: int = EPOCHS, lanes: int = 64, rate: float = RATE, moments: Moments | None = None, warm: int = 20) -> list[float]:
-    """Truncated backpropagation with adaptive moments; returns the mean loss per token of each epoch.
+def train(model: Gru, word: np.ndarray, end: int, rate: float = RATE, lanes: int = LANES, moments: Moments | None = None, warm: int = 20) -> float:
+    """One pass of truncated backpropagation with adaptive moments, which go on from chunk to chunk; returns the mean loss per token.
 
-    With moments, training goes on from them at a steady rate; else the rate falls to a tenth.
+    The documents of a chunk, one after the other, are cut into lanes of equal length; a lane's
+    state goes on from window to window and starts anew with each document.
     """
-    if len(border) < 2:
-        return []
-    grid, live = lane_grid(word, border, lanes_of(border, min(lanes, len(border) - 1)))
-    parts = model.parts()
-    falls = moments is None
-    moments = moments or Moments(model)
-    first, second, told, n = moments.first, moments.second, [], moments.steps
-    total = epochs * -(-len(grid) // WINDOW)
-    for _ in range(epochs):
-        h, loss = np.zeros((grid.shape[1], model.back.shape[0]), np.float32), 0.0
-        for at in range(0, len(grid), WINDOW):
-            g, ok = grid[at : at + WINDOW], live[at : at + WINDOW]
-            part, grads, h = model.window_gradient(h, np.where(ok, word[g], end), ok, end)
-            loss += part
-            n += 1
-            now = rate * min(1.0, n / warm) * (1 - 0.9 * n / total if falls else 1)
-            norm = math.sqrt(sum(float((v.astype(np.float64) ** 2).sum()) for v in grads.values())) / max(1, ok.sum())
-            scale = min(1.0, 5 / max(norm, 1e-9)) / max(1, ok.sum())
-            for k, v in parts.items():
-                d = grads[k] * np.float32(scale)
-                first[k] = 0.9 * first[k] + 0.1 * d
-                second[k] = 0.99 * second[k] + 0.01 * d * d
-                v -= now * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-7)
-        told.append(loss / max(1, int(live.sum())))
-    moments.steps = n
-    return told
+    if not len(word):
+        return 0.0
+    lanes = max(1, min(lanes, len(word) // (WINDOW * LEAST_UPDATES)))
+    deep = -(-len(word) // lanes)
+    grid = np.arange(deep)[:, None] + deep * np.arange(lanes)[None, :]
+    live = grid < len(word)
+    parts, moments = model.parts(), moments or Moments(model)
+    h, told, step = np.zeros((grid.shape[1], model.back.shape[0]), np.float32), 0.0, {k: np.empty_like(v) for k, v in parts.items()}
+    for at in range(0, len(grid), WINDOW):
+        g, ok = grid[at : at + WINDOW], live[at : at + WINDOW]
+        loss, grads, h = model.window_gradient(h, np.where(ok, word[np.minimum(g, len(word) - 1)], end), ok, end)
+        told += loss
+        moments.steps += 1
+        n, count = moments.steps, max(1, int(ok.sum()))
+        norm = math.sqrt(sum(float(np.vdot(v, v)) for v in grads.values())) / count
+        scale = np.float32(min(1.0, 5 / max(norm, 1e-9)) / count)
+        pace = np.float32(rate * min(1.0, n / warm) / (1 - 0.9**n))
+        level = np.float32(1 / math.sqrt(1 - 0.99**n))
+        for k, v in parts.items():
+            d, first, second, move = grads[k], moments.first[k], moments.second[k], step[k]
+            d *= scale
+            first *= np.float32(0.9)
+            np.multiply(d, np.float32(0.1), out=move)
+            first += move
+            second *= np.float32(0.99)
+            d *= d
+            d *= np.float32(0.01)
+            second += d
+            np.sqrt(second, out=move)
+            move *= level
+            move += np.float32(1e-7)
+            np.divide(first, move, out=move)
+            move *= pace
+            v -= move
+    return told / max(1, int(live.sum()))
 
 
 def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes: int = LANES) -> np.ndarray:
@@ -300,17 +349,18 @@ def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes
     out = np.zeros(len(word), np.float32)
     grid, live = lane_grid(word, border, lanes_of(border, max(1, min(lanes, rows))))
     h = np.zeros((grid.shape[1], model.back.shape[0]), np.float32)
+    lane = np.arange(grid.shape[1])
     for at in range(0, len(grid), WINDOW):
-        g, ok = grid[at : at + WINDOW], live[at : at + WINDOW]
-        active = np.flatnonzero(ok[0])  # lanes end for good
-        g, ok, h = g[:, active], ok[:, active], h[active]
-        grid, live = grid[:, active], live[:, active]
+        active = np.flatnonzero(live[at, lane])  # lanes end for good
+        if len(active) < len(lane):
+            lane, h = lane[active], h[active]
+        g, ok = grid[at : at + WINDOW, lane], live[at : at + WINDOW, lane]
         w = np.where(ok, word[g], end)
         states = np.empty((len(g), *h.shape), np.float32)
         for t in range(len(g)):
             states[t] = h
             h = model.step(h, model.gates[w[t]])[0]
-            h[w[t] == end] = 0
+            h *= (w[t] != end)[:, None]
         which = np.flatnonzero(ok.ravel())
         out[g.ravel()[which]] = model.losses(states.reshape(-1, h.shape[1])[which], w.ravel()[which])[0]
     return np.add.reduceat(out.astype(np.float64), border[:-1])
@@ -345,27 +395,29 @@ def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["change", "n"])
 
 
-def fit(docs: DataFrame, scorer: Scorer, epochs: int = EPOCHS) -> Gru:
-    """The scorer's network trained on all texts of docs, epochs times."""
+def fit(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> Gru:
+    """The scorer's network trained on all rows of docs (doc_id, text), each in one of the rounds."""
     spark = docs.sparkSession
 
-    def one_round(epoch: int) -> np.ndarray | None:
+    def one_round(k: int) -> np.ndarray | None:
         shared = spark.sparkContext.broadcast(scorer)  # FREQUENT words and the network: of fixed size
+        rate = RATE * (1 - k / rounds)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shared.value
             model, n = s.model.copy(), 0
             moments = Moments(model)
-            for b in batches:
-                for _, flat, off in chunks(b.column(0)):
-                    h, border = tokens(flat, off)
-                    train(model, s.look_up(h)[1], border, s.end, 1, rate=RATE * (1 - 0.9 * epoch / epochs), moments=moments, warm=1 if epoch else 20)
+            for b in gathered(batches, CHUNK):
+                for _, flat, off in chunks(b.column(0), CHUNK):
+                    h, _ = tokens(flat, off)
+                    train(model, s.look_up(h)[1], s.end, rate, moments=moments)
                     n += len(h)
             if n:
                 change = (model.flat() - s.model.flat()).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([change.tobytes()], pa.binary()), pa.array([n])], ["change", "n"])
 
-        changes = stage(docs.select("text").mapInArrow(tidy(run), "change binary, n long"), "changes")
+        own = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k)
+        changes = stage(own.select("text").mapInArrow(tidy(run), "change binary, n long"), "changes")
         left = changes.count()
         while left > 1:  # a tree: each task takes about MERGED changes
             left = -(-left // MERGED)
@@ -374,11 +426,10 @@ def fit(docs: DataFrame, scorer: Scorer, epochs: int = EPOCHS) -> Gru:
         shared.unpersist()
         return None if got is None else np.frombuffer(bytes(got["change"]), np.float32)
 
-    for epoch in range(epochs):
-        change = one_round(epoch)
-        if change is None:
-            break
-        scorer = Scorer(scorer.words, scorer.counts, scorer.named, scorer.model.moved(change), scorer.end)
+    for k in range(rounds):
+        change = one_round(k)
+        if change is not None:
+            scorer = Scorer(scorer.words, scorer.counts, scorer.named, scorer.model.moved(change), scorer.end)
     return scorer.model
 
 
@@ -386,7 +437,7 @@ def learn(docs: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int, int, in
     """The scorer and N, V, and N, V of the words the network doesn't name."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    top = top_rows(counts, "n", FREQUENT).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    top = top_rows(counts, "n", FREQUENT, "word").toPandas().sort_values(["n", "word"], ascending=[False, True])
     word, c = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     if not (word == END).any():
         row = counts.filter(F.col("word") == int(END.astype(np.int64))).select("n").first()
@@ -414,8 +465,8 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         logs = np.log10(s.counts + 1.0)
-        for b in batches:
-            for first, flat, off in chunks(b.column(1), SCORE_BYTES):
+        for b in gathered(batches, CHUNK):
+            for first, flat, off in chunks(b.column(1), CHUNK):
                 h, border = tokens(flat, off)
                 at, word = s.look_up(h)
                 known = (at >= 0) & (s.counts[at] > 0)

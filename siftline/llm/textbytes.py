@@ -80,6 +80,20 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have about `least` bytes, for work that gains from many rows at once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -134,10 +148,10 @@ class Words:
 
 
 def rolling(flat: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte strings of a flat array, built by doubling."""
+    """Hashes of all k-byte strings of a flat array, built by doubling; 64-bit values are taken as codes of symbols."""
     if len(flat) < k:
         return np.zeros(0, np.uint64)
-    cur, cl, res, rl = BYTE_CODE[flat], 1, None, 0
+    cur, cl, res, rl = flat if flat.dtype == np.uint64 else BYTE_CODE[flat], 1, None, 0
     left = k
     while left:
         if left & 1:
