@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext.getCheckpointDir()
         path = kept.rsplit("/", 1)[0] if kept else None
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -39,33 +41,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-FILTER_BITS = 1 << 22
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 
-def might_be_in(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def might_be_in(docs: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
     """Rows of docs whose doc_id is in ids (column id), and a few others: a one-hash Bloom filter before a shuffle.
 
-    The filter is a table of at most bits/64 words, whatever the size of ids, so it can
-    go to every task; a full one lets all rows pass, and the exact join behind it decides.
+    The filter has eight bits or more per id, so about an eighth of the other rows pass at most.
+    It goes to every task, as a table of MOST_BITS/64 words at most; for more ids than that
+    holds (17 million) there is no filter, and the exact join behind it shuffles all rows.
     """
+    if bits is None:
+        n = ids.count()
+        bits = max(LEAST_BITS, 1 << max(0, 8 * n - 1).bit_length())
+        if bits > MOST_BITS:
+            return docs
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))
     words = ids.groupBy(F.floor(slot("id") / 64).alias("f_word")).agg(F.bit_or(bit("id")).alias("f_bits"))
     return docs.join(F.broadcast(words), F.floor(slot("doc_id") / 64) == F.col("f_word")).filter(F.col("f_bits").bitwiseAND(bit("doc_id")) != 0).select(docs.columns)
 
 
-def top_rows(df: DataFrame, value: str, most: int) -> DataFrame:
-    """The rows with the largest positive values, at most `most` of them; rows within 2 % of each other stay or go together.
+def top_rows(df: DataFrame, value: str, most: int, key: str) -> DataFrame:
+    """The `most` rows with the largest positive values, or all if there are fewer; equal ones by a hash of key, whose values are distinct.
 
-    A histogram of logarithms, of a few thousand rows at most, gives the border, so no task
-    and not the driver sorts more than what is kept.
+    Three histograms of at most a few thousand rows each narrow the border down: by the value's
+    logarithm, by the value within that step, by the hash among equal values. So no task and
+    not the driver sorts more than what is kept.
     """
-    step = F.floor(F.log2(F.col(value).cast("double")) * 32)
-    histogram = df.filter(F.col(value) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
-    border, total = None, 0
-    for row in sorted(histogram, key=lambda r: -r["step"]):
-        total += row["n"]
-        if total > most:
-            break
-        border = row["step"]
-    return df.filter(F.lit(False)) if border is None else df.filter((F.col(value) > 0) & (step >= border))
+    rows = df.filter(F.col(value) > 0)
+    log = F.floor(F.log2(F.col(value).cast("double")) * 32)
+    place = F.pmod(F.xxhash64(key, F.lit("top")), F.lit(1 << 40))
+    keep, border, left = F.lit(False), F.lit(True), most
+
+    def narrow(step: Column) -> bool:
+        """Keeps whole steps from the top while they fit; the next one is the new border. True if everything fits."""
+        nonlocal keep, border, left
+        histogram = rows.filter(border).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+        for row in sorted(histogram, key=lambda r: -r["step"]):
+            if row["n"] > left:
+                keep, border = keep | border & (step > row["step"]), border & (step == row["step"])
+                return False
+            left -= row["n"]
+        keep = keep | border
+        return True
+
+    if not narrow(log):
+        edge = rows.filter(border).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+        done, lo, hi = False, edge["lo"], edge["hi"]
+        while not done and hi > lo:  # each turn looks at a 4096th of the values' range, until they are equal
+            width = (hi - lo) / 4096
+            done = narrow(F.least(F.floor((F.col(value).cast("double") - lo) / width), F.lit(4095)))
+            if not done:
+                edge = rows.filter(border).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+                if (edge["lo"], edge["hi"]) == (lo, hi):
+                    break
+                lo, hi = edge["lo"], edge["hi"]
+        shift = 28
+        while not done and shift >= 0:  # equal values: 12 bits of the hash a turn
+            done = narrow(F.floor(place / (1 << shift)) % 4096)
+            shift -= 12
+    return rows.filter(keep)

@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     odds = F.ln(p / (1.0 + 1e-9 - p)) - F.ln(q / (1.0 + 1e-9 - q))
     certain = odds / F.sqrt(1 / (F.col("toxic_rows") + 0.5) + 1 / (F.col("clean_rows") + 0.5))
     ranked = stage(feature_counts(sample), "features").filter(F.col("toxic_rows") + F.col("clean_rows") >= LEAST_ROWS).withColumn("z", certain)
-    top = top_rows(ranked.withColumn("sure", F.abs("z")), "sure", features).select("feature", "toxic_rows", "clean_rows", "z").toPandas()
+    top = top_rows(ranked.withColumn("sure", F.abs("z")), "sure", features, "feature").select("feature", "toxic_rows", "clean_rows", "z").toPandas()
     keys = top["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, z = keys[order], top["z"].to_numpy()[order]
