@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of language bitmasks.
 
-Character n-grams that are typical of a language are put into one Bloom filter
-per language; the filters are stored bit-sliced, as one array whose every slot
+Character n-grams (four characters of spaced scripts, two of others) that are typical of
+a language are put into one Bloom filter per language; the filters are stored bit-sliced, as one array whose every slot
 is a bitmask of languages, so one lookup (the AND of k slots) returns all
 languages that contain an n-gram. A text's votes are the popcounts per language
 over its n-grams, corrected for each filter's false-positive rate; the largest
@@ -13,8 +13,9 @@ language (a parameter), so its size has a fixed bound.
 
 Cases: null text and text without a letter are `und` with score 0; texts shorter
 than an n-gram are matched with their word-boundary n-grams; ties between
-languages go to the first in alphabetical order; rows with a null or empty lang
-are not learned from; without any training row every text is `und`. Repeated rows
+languages go to the first in alphabetical order; rows with a null lang or text are
+not learned from, every other value of lang is a language, also one of a single row;
+without any training row every text is `und`. Repeated rows
 count as often as they occur. Any number of languages works: masks widen in steps
 of 64. Extra columns are ignored.
 """
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from .shared import table
 from .textbytes import LOWER, SPACE, U64, chunks, mix, rolling, tidy
 
-NGRAM = 4
+NGRAM, SHORT_NGRAM = 4, 2
+FIRST_UNSPACED = 0x0E00  # scripts from here on write words without spaces or letters as syllables
 PER_LANGUAGE = 6000
-LEAST_ROWS = 3
 SLOTS = 1 << 20
 HASHES = 3
 LETTERS = r"\p{L}"
@@ -46,27 +47,56 @@ CUT = SPACE.copy()
 CUT[[b for b in range(128) if not chr(b).isalpha()]] = True
 
 
-def ngrams(flat: np.ndarray, off: np.ndarray, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the n-byte grams of words, each word with one blank on both sides."""
+def characters(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, code point) of each character of UTF-8 bytes."""
+    at = np.flatnonzero((flat & 0xC0) != 0x80)
+    code = flat[at].astype(np.uint32)
+    wide = np.flatnonzero(code >= 0x80)
+    if len(wide):
+        lead, place = code[wide], at[wide]
+        more = np.where(lead >= 0xF0, 3, np.where(lead >= 0xE0, 2, 1))
+        value = lead & np.array([0, 0x1F, 0x0F, 0x07], np.uint32)[more]
+        for k in (1, 2, 3):
+            on = more >= k
+            value[on] = (value[on] << 6) | (flat[place[on] + k] & 0x3F)
+        code[wide] = value
+    return at, code
+
+
+def ngrams(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the character n-grams of words, each word with one blank on both sides.
+
+    N-grams that begin with a character of an unspaced script have SHORT_NGRAM characters, others NGRAM.
+    """
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # One blank before and after every row; runs of cut bytes become one blank.
+    at, code = characters(np.where(CUT[flat], np.uint8(32), LOWER[flat]))
+    # One blank before and after every row; runs of cut characters become one blank.
     rows = len(off) - 1
-    at = np.arange(len(flat)) + 2 * np.repeat(np.arange(rows), np.diff(off)) + 1
-    wide = np.full(len(flat) + 2 * rows, 32, np.uint8)
-    wide[at] = np.where(CUT[flat], np.uint8(32), LOWER[flat])
-    row = np.repeat(np.arange(rows), np.diff(off) + 2)
+    count = np.diff(np.searchsorted(at, off))
+    row = np.repeat(np.arange(rows), count)
+    wide = np.full(len(code) + 2 * rows, 32, np.uint32)
+    wide[np.arange(len(code)) + 2 * row + 1] = code
+    row = np.repeat(np.arange(rows), count + 2)
     blank = wide == 32
     keep = np.ones(len(wide), bool)
     keep[1:] = ~(blank[1:] & blank[:-1] & (row[1:] == row[:-1]))
     wide, row, blank = wide[keep], row[keep], blank[keep]
-    h = rolling(wide, n)
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = row[: len(h)] == row[n - 1 :]
-    for k in range(1, n - 1):  # a blank only as first or last byte
-        inside &= ~blank[k : k + len(h)]
-    return row[: len(h)][inside], h[inside]
+    own = mix(wide.astype(np.uint64) + U64(0x51ED270B))
+    found = []
+    for n, sort in ((NGRAM, wide < FIRST_UNSPACED), (SHORT_NGRAM, wide >= FIRST_UNSPACED)):
+        h = rolling(own, n)
+        first = np.flatnonzero(sort[: len(h)])
+        inside = row[first] == row[first + n - 1]
+        for k in range(1, n - 1):  # a blank only as first or last character
+            inside &= ~blank[first + k]
+        first = first[inside]
+        found.append((row[first], h[first]))
+    if not len(found[1][0]):
+        return found[0]
+    row, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    return row[order], h[order]
 
 
 @dataclass
@@ -146,7 +176,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 part = slice(at, at + 65536)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g[part])), pa.array(g[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "gram", "rows"])
 
-    counted = docs.filter("lang is not null and lang <> '' and text is not null").select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, rows long")
+    counted = docs.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, rows long")
     return counted.groupBy("lang", "gram").agg(F.sum("rows").alias("rows"))
 
 
@@ -159,9 +189,9 @@ def _distinct(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g[new]
 
 
-def learn(training: DataFrame, per_language: int = PER_LANGUAGE, least_rows: int = LEAST_ROWS) -> LanguageFilters:
-    """Filters of each language's most frequent n-grams (by rows that hold them, ties by hash)."""
-    counts = gram_counts(training).filter(F.col("rows") >= least_rows)
+def learn(training: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageFilters:
+    """Filters of each language's most frequent n-grams (by rows that hold them, ties by hash), however few rows it has."""
+    counts = gram_counts(training)
     # The best of each salt first, so that no window holds all n-grams of a language.
 
     salted = counts.withColumn("salt", F.pmod("gram", F.lit(64)))
