@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from siftline.operators.graph import components
+
 from .shared import might_be_in, stage, table
 from .textbytes import U64, Words, chunks, mix, run_starts, tidy
 
@@ -149,9 +150,9 @@ def pivot_groups(keys: DataFrame) -> DataFrame:
 def block_rows(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """(unit, id, side): each group with its pivot, cut into blocks of bounded size; a unit is a pair of blocks (or one)."""
     sized = groups.join(sizes, "id")
-    total = sized.groupBy("pivot").agg(F.sum("n_shingles").alias("weight"))
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    placed = sized.join(total.select("pivot", blocks.alias("blocks")), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Only pivots of several blocks are in this table, so it is a small share of the vertices at most; a group isn't gathered to learn its size.
+    large = sized.groupBy("pivot").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = sized.join(stage(large, "large"), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("pivot", F.least("block", "other"), F.greatest("block", "other"))
     rows = other.select(unit.alias("unit"), "id", (F.col("block") > F.col("other")).cast("int").alias("side"), "pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
@@ -259,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     one = ["set_a", "set_b", "n_shingles"]
     vertices = stage(signed.filter("n_shingles > 0").groupBy(*one).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "vertices")
     groups = stage(pivot_groups(chunk_keys(vertices, distance_bound(percent / 100))), "groups")
-    needed = groups.select("id").union(groups.select("pivot")).distinct()
+    needed = stage(groups.select("id").union(groups.select("pivot")).distinct(), "needed")
     # An inner join: Spark would push a semi join below the filter. The needed ids are distinct.
     texts = might_be_in(docs.select("doc_id", "text"), needed).join(needed, F.col("doc_id") == F.col("id")).select("doc_id", "text").dropDuplicates(["doc_id"])
     rows = block_rows(groups, vertices.select("id", "n_shingles"))
