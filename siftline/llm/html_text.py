@@ -1,12 +1,13 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 Parser events of the standard library are cut into lines at block tags. A line's
-text-to-tag ratio is smoothed over its neighbours with a Gaussian; a threshold
-between the two clusters of smoothed ratios marks content lines. The region is the
-article element around nearly all of the marked text, else the smallest container that
-holds all of it and whose parent would add lines of links; every line of it that
-no boilerplate element holds belongs to the text, so short paragraphs between long
-ones stay.
+text-to-tag ratio, less its share of link text and less for text that stands bare in a
+container instead of in a text element, is smoothed over its neighbours with a Gaussian; a
+threshold between the two clusters of smoothed ratios marks content lines. The region is the
+smallest container with most of the marked text, or the article element around it; every
+line of it that no boilerplate element holds and that isn't links belongs to the text, so
+short paragraphs between long ones stay. Beside the region, marked lines in text elements
+belong to it too, with what stands in their container, and headings next to marked lines.
 
 Boilerplate elements are those whose tag, role, or class and id words say so: menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
@@ -42,6 +43,9 @@ NAMES = frozenset(
 )
 TOPS = frozenset("header masthead topbar".split())
 KEPT = frozenset("html body main article".split())
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BARE = 0.2  # how much bare text counts
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
 ENDS_P = BLOCKS - frozenset(["br", "html", "body", "head", "title"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -49,11 +53,20 @@ SPACES = re.compile(r"\s+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "container", "dropped", "linked", "size")
+    __slots__ = ("parts", "tags", "container", "dropped", "linked", "size", "kind")
 
-    def __init__(self, container: int, dropped: bool):
+    def __init__(self, container: int, dropped: bool, kind: str = ""):
         self.parts: list[str] = []
-        self.tags, self.container, self.dropped, self.linked, self.size = 0, container, dropped, 0, 0
+        self.tags, self.container, self.dropped, self.linked, self.size, self.kind = 0, container, dropped, 0, 0, kind
+
+    @property
+    def links(self) -> bool:
+        return self.linked >= 0.7 * self.size
+
+    @property
+    def ratio(self) -> float:
+        """Characters to a tag, less links and bare text."""
+        return 0.0 if self.dropped else (self.size - self.linked) / max(1, self.tags) * (1.0 if self.kind else BARE)
 
 
 class Events(HTMLParser):
@@ -74,10 +87,12 @@ class Events(HTMLParser):
     def _line(self) -> None:
         _, dropped, container = self._top
         last = self.lines[-1]
+        kind = next((t for t, _, c in reversed(self.stack) if c != container or t in TEXT_ELEMENTS), "")
+        kind = kind if kind in TEXT_ELEMENTS else ""
         if last.parts:
-            self.lines.append(Line(container, dropped))
+            self.lines.append(Line(container, dropped, kind))
         else:
-            last.container, last.dropped = container, dropped
+            last.container, last.dropped, last.kind = container, dropped, kind
 
     def _names_boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
@@ -173,48 +188,55 @@ def main_text(html: str | None) -> str:
     lines = [x for x in events.lines if x.size]
     if not lines:
         return ""
-    ratio = smoothed(np.array([0.0 if x.dropped else x.size / max(1, x.tags) for x in lines]))
-    content = ratio >= cluster_threshold(ratio) if ratio.max() > ratio.min() else np.ones(len(lines), bool)
-    # The smallest container with nearly all, and that with all, of the marked text.
+    ratio = smoothed(np.array([x.ratio for x in lines]))
+    marked = ratio >= cluster_threshold(ratio) if ratio.max() > ratio.min() else np.ones(len(lines), bool)
+    marked &= np.array([not x.dropped and not x.links for x in lines])
+    for k, x in enumerate(lines):  # headings next to content
+        if x.kind in HEADINGS and not x.dropped and not x.links and marked[max(0, k - 1) : k + 3].any():
+            marked[k] = True
+    # The smallest container with most of the marked text.
     weight: dict[int, int] = {}
-    menus: dict[int, int] = {}  # unmarked lines of links by container
-    total = 0
-    for x, marked in zip(lines, content, strict=True):
-        if x.dropped:
-            continue
-        if marked or x.linked >= 0.7 * x.size:
-            total += x.size if marked else 0
-            tally, n = (weight, x.size) if marked else (menus, 1)
-            c = x.container
-            while c >= 0:
-                tally[c] = tally.get(c, 0) + n
-                c = events.parent[c]
+    total = bare = 0
+    for x in (x for x, m in zip(lines, marked, strict=True) if m):
+        total += x.size
+        bare += x.size * (not x.kind)
+        c = x.container
+        while c >= 0:
+            weight[c] = weight.get(c, 0) + x.size
+            c = events.parent[c]
     if not total:
         return ""
-    region = max((c for c, w in weight.items() if w >= 0.9 * total), default=0)
+    region = max(c for c, w in weight.items() if 2 * w > total)
     c = region
     while c > 0 and events.kind[c] not in ("article", "main"):  # an article element around it is the better border
         c = events.parent[c]
-    if c > 0:
-        region = c
-    else:
-        region = max(c for c, w in weight.items() if w == total)
-        while region > 0 and menus.get(events.parent[region], 0) == menus.get(region, 0):
-            region = events.parent[region]
+    own = c > 0
+    region = c if own else region
+    # Beside it, text elements count, or bare text where most of the content is bare.
+    joined = set() if own else {x.container for x, m in zip(lines, marked, strict=True) if m and (x.kind or 2 * bare > total)}
+    joined &= around(events.parent, region)
     inside: list[bool] = []
     for c, parent in enumerate(events.parent):  # parents come first
         inside.append(c == region or parent >= 0 and inside[parent])
-
-    own = events.kind[region] in ("article", "main")
     kept = []
-    for x, marked in zip(lines, content, strict=True):
-        if not x.dropped and inside[x.container] and (own or marked or x.linked < 0.7 * x.size):
+    for x, m in zip(lines, marked, strict=True):
+        if x.dropped or x.links and not (own and inside[x.container]):
+            continue
+        if inside[x.container] or x.container in joined and (m or x.kind):
             text = SPACES.sub(" ", "".join(x.parts)).strip()
             if text:
                 kept.append(text)
     return " ".join(kept)
 
 
+def around(parent: list[int], region: int) -> set[int]:
+    """The containers of a page but the region's inside."""
+    inside: list[bool] = []
+    for c, up in enumerate(parent):
+        inside.append(c == region or up >= 0 and inside[up])
+    return {c for c, x in enumerate(inside) if not x}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, text, n_chars)."""
 
