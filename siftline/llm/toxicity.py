@@ -6,7 +6,8 @@ first four and five bytes (inflected forms share them), each hashed to 64 bits.
 output is the expected severity, the most likely grade and P(grade > 0).
 
 Labels only say toxic or not, so grades of toxic rows come from how many of the
-words that mark toxic rows they hold: 0 clean, 1, 2, 3 by thirds. Fitting uses at
+words that mark toxic rows they hold: 0 clean, 1, 2, 3 by thirds, or fewer grades where
+ties leave fewer different counts. Fitting uses at
 most about `fit_rows` labelled rows, chosen by a hash of doc_id (a parameter); feature
 counts for it are added up in Spark, and what reaches the driver is bounded by
 `features` and `fit_rows`. Every document is scored over its whole text.
@@ -157,6 +158,21 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
     return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def severity_steps(marks: np.ndarray, of: np.ndarray, steps: int = GRADES - 1) -> np.ndarray:
+    """0, 1, 2 by where a row's count stands among the counts `of`: cuts between different counts, as near to equal shares as ties allow.
+
+    No step is empty: fewer different counts give fewer steps.
+    """
+    values, n = np.unique(of, return_counts=True)
+    share = np.cumsum(n) / n.sum()
+    cuts: list[float] = []
+    for k in range(1, min(steps, len(values))):
+        near = int(np.abs(share[:-1] - k / steps).argmin())
+        if values[near] not in cuts:
+            cuts.append(values[near])
+    return sum(((marks > c).astype(np.int64) for c in cuts), np.zeros(len(marks), np.int64))
+
+
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     """The probability that parts toxic from clean fitted rows best (by F1), midway (in log odds) between the two rows at the border."""
     order = np.argsort(-p, kind="stable")
@@ -200,9 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features
     col = np.concatenate(got["cols"].tolist()).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
     toxic = got["toxic"].to_numpy() > 0
     marks = np.bincount(row, weights=marker[col].astype(float), minlength=len(got))
-    low, high = np.quantile(marks[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (marks > low) + (marks > high), 0)
-    weights, thresholds = fit_ordinal(row, col, grade, len(keys))
+    grade = np.where(toxic, 1 + severity_steps(marks, marks[toxic]), 0)
+    weights, thresholds = fit_ordinal(row, col, grade, len(keys), int(grade.max()) + 1)
     used = weights != 0
     model = OrdinalModel(FeatureTable(keys[used]), weights[used], thresholds)
     model.cut = best_cut(model.exceed(np.bincount(row, weights=weights[col], minlength=len(got)))[:, 0], toxic)
