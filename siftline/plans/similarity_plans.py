@@ -29,25 +29,22 @@ def near_dup_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
-    found = similarity.duplicate_clusters(similarity.similar_pairs(bodies(spark, d)))
+    found = similarity.duplicate_clusters(bodies(spark, d))
     named = found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return named.groupBy("component").agg(F.count("*").alias("members"), F.countDistinct("source").alias("sources"), F.max("id").alias("last_id"))
 
 
 def event_outlets(spark: SparkSession, d: str) -> DataFrame:
     """Outlets of every cluster in order of their first report."""
-    found = similarity.duplicate_clusters(similarity.similar_pairs(bodies(spark, d)))
+    found = similarity.duplicate_clusters(bodies(spark, d))
     first = found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id").groupBy("component", "source").agg(F.min("id").alias("first_id"))
     return first.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "source"))), lambda x: x["source"]), ",").alias("outlets"))
 
 
-def title_items(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).withColumn("title", F.substring("title", 1, 120))
-
-
 def title_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = title_items(spark, d).filter(F.length("title") >= 12).select("id", "host", "title", F.xxhash64("language").alias("band"))
-    return similarity.similar_pairs(rows, threshold=0.6, cross_host=False, text="title", chars=120).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Whole titles (here: first lines) at the body's threshold, whatever their hosts."""
+    rows = items(spark, d).filter(F.length("title") >= 12).select("id", "host", "title", F.xxhash64("language").alias("band"))
+    return similarity.similar_pairs(rows, cross_host=False, text="title", chars=None).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def anchored_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +56,12 @@ def anchored_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def equal_titles(spark: SparkSession, d: str) -> DataFrame:
-    return merge.equal_title_links(merge.with_title_keys(title_items(spark, d)))
+    return merge.equal_title_links(merge.with_title_keys(items(spark, d)))
 
 
 def rerun_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """The later half of the items without those that the earlier half ran already."""
-    rows = written(merge.with_title_keys(title_items(spark, d)).withColumn("band", F.xxhash64("language")), "titled")
+    rows = written(merge.with_title_keys(items(spark, d)).withColumn("band", F.xxhash64("language")), "titled")
     half = rows.agg(F.floor((F.max("id") + 1) / 2).alias("half")).first()["half"] or 0
     old, new = rows.filter(F.col("id") < half), rows.filter(F.col("id") >= half)
     pairs = similarity.similar_pairs(rows.filter("extract_status = 'OK'"), threshold=0.8, cross_host=False).filter((F.col("a") < half) & (F.col("b") >= half))
@@ -103,7 +100,7 @@ e AS (SELECT a, b FROM p WHERE similarity >= 0.45 UNION ALL SELECT b, a FROM p W
 r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
 c AS (SELECT id, least(id, min(other)) AS component FROM r GROUP BY id)"""
 TITLES = f"""
-ti AS (SELECT doc_id AS id, source AS host, lang, n_chars, substr(split_part(text, chr(10), 1), 1, 120) AS title, text FROM documents)"""
+ti AS (SELECT doc_id AS id, source AS host, lang, n_chars, split_part(text, chr(10), 1) AS title, text FROM documents)"""
 # The short " - tail" rule never fires on these titles: they hold no " - ".
 NTITLE = f"CASE WHEN length({SIM_NORM.format('title')}) >= 12 THEN trim(regexp_replace(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}_\\x{{0B80}}-\\x{{0BFF}}]+', ' ', 'g')) END".replace("{{", "{").replace("}}", "}")
 
@@ -115,7 +112,7 @@ PLANS = {
     "title_dup_pairs": (title_dup_pairs, f"""WITH {TITLES}, i AS (SELECT id AS doc_id, lang, {SIM_NORM.format('title')} AS s FROM ti WHERE length(title) >= 12),
         g AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda k: substr(s, k, 4))) AS gs FROM i), u AS (SELECT doc_id, lang, len(gs) AS n, unnest(gs) AS gram FROM g)
         SELECT a.doc_id AS a, b.doc_id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM u a JOIN u b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id
-        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.6"""),
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.45"""),
     "anchored_merge": (anchored_merge, None),
     "equal_titles": (equal_titles, f"WITH {TITLES}, k AS (SELECT id, {NTITLE} AS ntitle FROM ti), m AS (SELECT *, min(id) OVER (PARTITION BY ntitle) AS b FROM k WHERE ntitle IS NOT NULL AND length(ntitle) >= 12) SELECT id AS a, b FROM m WHERE id <> b"),
     "rerun_antijoin": (rerun_antijoin, None),

@@ -21,16 +21,20 @@ VOCABULARY = matching.Vocabulary.of(
         {"tier": "constituency", "term": "worthless", "group": "south"},
         {"tier": "district", "term": "disgusting"},
         {"tier": "area", "term": "thin"},
-        {"tier": "civic", "term": "license", "group": "papers"},
+        {"tier": "civic", "term": "license", "group": "papers", "weight": 1},
         {"tier": "civic", "term": "tras*", "group": "waste", "role": "urgent"},
-        {"tier": "crime", "term": "scum", "group": "scum", "role": "urgent"},
+        {"tier": "crime", "term": "scum", "group": "scum", "role": "urgent", "weight": 3},
         {"tier": "crime", "term": "moron", "group": "moron", "role": "urgent"},
         {"tier": "portfolio", "term": "mit license"},
         {"tier": "party", "term": "clown"},
         {"tier": "penalty", "term": "loser"},
         {"tier": "collision", "term": "stupid"},
         {"tier": "veto", "term": "released under"},
-    ]
+        {"tier": "exclude", "term": "apache license", "role": "exclude"},
+    ],
+    named=r"\bworthless\b",
+    titles=r"\bidiot\b",
+    mention=(r"\bclown", r"\bscum\b"),
 )
 
 
@@ -39,8 +43,8 @@ def sim_norm_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_profile(spark: SparkSession, d: str) -> DataFrame:
-    grams = text.grams(text.sim_norm(F.substring("text", 1, 1200)))
-    return table(spark, d, "documents").select("doc_id", F.size(grams).alias("grams"))
+    """Distinct four-character strings of every whole text."""
+    return table(spark, d, "documents").select("doc_id", F.size(text.gram_hashes(text.sim_norm(F.col("text")))).alias("grams"))
 
 
 def clean_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -122,13 +126,14 @@ def link_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_hits_docs(spark: SparkSession, d: str) -> DataFrame:
-    norm = text.norm_match(F.substring("text", 1, 1200))
+    norm = text.norm_match(F.col("text"))
     terms = [t for t in VOCABULARY.terms if t.tier in ("crime", "party")]
     hits = matching.native_hits(F.col("norm"), terms)
     return table(spark, d, "documents").select("doc_id", norm.alias("norm")).select("doc_id", F.array_join(F.transform(hits, lambda x: x["term"]), ",").alias("terms"), F.size(hits).alias("n"))
 
 
 def keyword_score_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Score and band by occurrence in the first 1,200 characters, which is what the rule looks at."""
     norm = table(spark, d, "documents").select("doc_id", text.norm_match(F.substring("text", 1, 1200)).alias("norm"))
     s = matching.native_score(F.col("norm"), VOCABULARY)
     return norm.select("doc_id", s["score"].alias("score"), s["band"].alias("band"))
@@ -138,32 +143,103 @@ def _word(p: str) -> str:
     return f"regexp_matches(norm, '(^|[^a-z0-9]){p}([^a-z0-9]|$)')"
 
 
+MENTION = r"\\bclown[^.\\n]{0,40}\\bscum\\b|\\bscum\\b[^.\\n]{0,40}\\bclown".replace("\\\\", "\\")
 KEYWORD_SCORE_SQL = f"""
 WITH n AS (SELECT doc_id, {MATCH_NORM.format("substr(text, 1, 1200)")} AS norm FROM documents),
-h AS (SELECT doc_id, {_word("pathetic")} OR {_word("worthless")} AS con, {_word("disgusting")} AS dis, {_word("thin")} AS area, {_word("license")} OR {_word("tras[a-z0-9]*")} AS civic,
-  {_word("scum")} OR {_word("moron")} AS crime, {_word("mit license")} AS port, {_word("clown")} AS party, {_word("loser")} AS pen, {_word("stupid")} AS col, {_word("released under")} AS veto FROM n),
+h AS (SELECT doc_id, {_word("pathetic")} OR {_word("worthless")} AS con, {_word("disgusting")} AS dis, {_word("thin")} AS area, {_word("license")} AS license, {_word("tras[a-z0-9]*")} AS tras,
+  {_word("scum")} AS scum, {_word("moron")} AS moron, regexp_matches(norm, '{MENTION}') AS mention, {_word("mit license")} AS port, {_word("clown")} AS party, {_word("loser")} AS pen, {_word("stupid")} AS col, {_word("released under")} AS veto FROM n),
 s AS (SELECT doc_id, veto, CASE WHEN con OR dis THEN 3 WHEN area THEN 1 ELSE 0 END
-  + CASE WHEN con OR dis OR area THEN CASE WHEN civic THEN 2 ELSE 0 END + CASE WHEN crime THEN 2 ELSE 0 END ELSE 0 END
-  + CASE WHEN port THEN 1 ELSE 0 END + CASE WHEN party THEN 1 ELSE 0 END - CASE WHEN pen THEN 3 ELSE 0 END - CASE WHEN col AND NOT con THEN 4 ELSE 0 END AS score FROM h)
+  + CASE WHEN con OR dis OR area THEN CASE WHEN scum THEN 3 WHEN tras OR moron THEN 2 WHEN license THEN 1 ELSE 0 END ELSE 0 END
+  + CASE WHEN port THEN 1 ELSE 0 END + CASE WHEN party THEN 1 ELSE 0 END + CASE WHEN mention THEN 2 ELSE 0 END - CASE WHEN pen THEN 3 ELSE 0 END - CASE WHEN col AND NOT con THEN 4 ELSE 0 END AS score FROM h)
 SELECT doc_id, score::INTEGER AS score, CASE WHEN veto THEN 'DROP' WHEN score >= 7 THEN 'AUTO_KEEP' WHEN score >= 2 THEN 'AI' ELSE 'DROP' END AS band FROM s"""
 
 
+def documents_as_items(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).select("id", "title", F.lit(None).cast("string").alias("description"), "body")
+
+
 def full_scores(spark: SparkSession, d: str) -> DataFrame:
     """The complete scorer, with masking, buried hits, vetoes by nearness and matched terms."""
-    s = matching.score_items(items(spark, d).select("id", "title", F.lit(None).cast("string").alias("description"), "body"), VOCABULARY)
+    s = matching.score_items(documents_as_items(spark, d), VOCABULARY)
     return s.select("id", "scored.score", "scored.band", F.array_join("scored.terms", ",").alias("terms"), F.array_join("scored.tags", ",").alias("tags"))
 
 
 def urgent_docs(spark: SparkSession, d: str) -> DataFrame:
-    u = matching.urgent_items(items(spark, d).select("id", "title", F.lit(None).cast("string").alias("description"), "body"), VOCABULARY)
-    return u.filter("urgent.zone is not null").select("id", "urgent.zone", F.array_join("urgent.groups", ",").alias("groups"), "urgent.target", "urgent.place")
+    u = matching.urgent_items(documents_as_items(spark, d), VOCABULARY)
+    named = [F.array_join(f"urgent.{c}", ",").alias(c) for c in ("groups", "anchors", "triggers")]
+    return u.filter("urgent.zone is not null").select("id", "urgent.zone", *named, "urgent.target")
+
+
+# A word that isn't ASCII and has no letters of a caseless script ends where the text's word ends, and may begin anywhere.
+ENDINGS = matching.Vocabulary.of([{"tier": "area", "term": t} for t in ("é", "té", "ré", "ä")])
 
 
 def buried_terms(spark: SparkSession, d: str) -> DataFrame:
-    """How often a short term stands alone and how often inside a longer one of its tier."""
-    v = matching.Vocabulary.of([{"tier": "area", "term": "the*"}, {"tier": "area", "term": "then"}])
-    scored = matching.score_items(items(spark, d).select("id", F.lit("").alias("title"), F.lit("").alias("description"), "body"), v)
-    return scored.select("id", F.array_join("scored.terms", ",").alias("terms"))
+    """How often each ending stands in a whole text, without those that are the end of a longer one."""
+    counted = matching.term_counts(items(spark, d).select("id", "body"), "body", ENDINGS)
+    return counted.select("id", *(F.coalesce(F.col("counts")[t.text], F.lit(0)).alias(n) for t, n in zip(ENDINGS.terms, ("e", "te", "re", "a"), strict=True)))
+
+
+def hits_sql(source: str, text: str, name: str) -> str:
+    """Every hit (id, ord, term, tier, tpos, weight, role, grp, s, e) of the vocabulary in a normalised, masked column; DuckDB has no match positions, so places are tried one by one."""
+    return f"""{name} AS (SELECT id, t.*, i - 1 AS s, i - 1 + CASE WHEN wild THEN length(regexp_extract(substr({text}, i, 80), '^[a-z0-9]*')) ELSE length(term) END AS e
+  FROM {source} JOIN terms t ON contains({text}, term), unnest(range(1, length({text}) - length(term) + 2)) AS u(i)
+  WHERE substr({text}, i, length(term)) = term AND (i = 1 OR NOT regexp_matches(substr({text}, i - 1, 1), '[a-z0-9]')) AND (wild OR NOT regexp_matches(substr({text}, i + length(term), 1), '[a-z0-9]')))"""
+
+
+def masked_sql(text: str) -> str:
+    blank = " " * len("apache license")
+    out = text
+    for _ in range(2):  # phrases that share a border
+        out = f"regexp_replace({out}, '(^|[^a-z0-9])apache license([^a-z0-9]|$)', '\\1{blank}\\2', 'g')"
+    return out
+
+
+TERMS_SQL = "terms(ord, term, tier, tpos, weight, role, grp, wild) AS (VALUES " + ", ".join(
+    f"({k}, '{t.text.rstrip('*')}', '{t.tier}', {list(matching.TIERS).index(t.tier)}, {t.weight}, '{t.role}', '{t.group}', {str(t.text.endswith('*')).lower()})" for k, t in enumerate(VOCABULARY.counted)
+) + ")"
+ITEMS_SQL = "base AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS body FROM documents)"
+
+FULL_SCORES_SQL = f"""
+WITH {ITEMS_SQL}, {TERMS_SQL},
+n AS (SELECT id, {masked_sql(MATCH_NORM.format("(title || ' —  — ' || substr(body, 1, 1200))"))} AS t FROM base),
+{hits_sql("n", "t", "h")},
+o AS (SELECT id, i - 1 AS s, i + 4 AS e FROM n, unnest(range(1, length(t) - 3)) AS u(i) WHERE contains(t, 'idiot') AND substr(t, i, 5) = 'idiot' AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '\w')) AND NOT regexp_matches(substr(t, i + 5, 1), '\w')),
+b AS (SELECT DISTINCT h.id FROM h JOIN o ON h.id = o.id AND h.tier = 'collision' AND greatest(h.s, o.s) - least(h.e, o.e) <= 40),
+f AS (SELECT n.id, regexp_matches(t, '\bworthless\b') AS named, regexp_matches(regexp_replace(t, '\b([a-z])\.\s?', '\1 ', 'g'), '{MENTION}') AS mention,
+  max(weight) FILTER (tier IN ('constituency', 'district', 'area')) AS place, coalesce(max(weight) FILTER (tier = 'constituency') >= 3, false) AS strong, max(weight) FILTER (tier IN ('civic', 'crime')) AS context,
+  max(weight) FILTER (tier = 'portfolio') AS port, max(weight) FILTER (tier = 'party') AS party, max(abs(weight)) FILTER (tier = 'penalty') AS pen, max(abs(weight)) FILTER (tier = 'collision') AS col, bool_or(tier = 'veto') AS vetoed
+  FROM n LEFT JOIN h ON n.id = h.id GROUP BY ALL),
+s AS (SELECT f.*, coalesce(place, 0) + CASE WHEN place IS NULL THEN 0 ELSE coalesce(context, 0) END + coalesce(port, 0) + coalesce(party, 0) + CASE WHEN mention THEN 2 ELSE 0 END - coalesce(pen, 0) - CASE WHEN strong OR named THEN 0 ELSE coalesce(col, 0) END AS score,
+  CASE WHEN b.id IS NOT NULL AND NOT named THEN 'collision:stupid' WHEN vetoed THEN 'veto:released under' END AS veto FROM f LEFT JOIN b ON f.id = b.id),
+d AS (SELECT DISTINCT id, ord, term || CASE WHEN wild THEN '*' ELSE '' END AS term, tier, tpos, weight FROM h),
+l AS (SELECT id, 1 AS part, k, term FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, tpos, ord) AS k FROM d WHERE tier IN ('constituency', 'district', 'area')) WHERE k <= 3
+  UNION ALL SELECT x.id, 2, k, term FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tpos, ord) AS k FROM d WHERE tier IN ('civic', 'crime')) x JOIN s ON x.id = s.id AND place IS NOT NULL WHERE k <= 4
+  UNION ALL SELECT id, CASE tier WHEN 'portfolio' THEN 3 ELSE 5 END, 1, term FROM d WHERE tier IN ('portfolio', 'party') UNION ALL SELECT id, 4, 1, 'mention' FROM s WHERE mention
+  UNION ALL SELECT id, 6, ord, '-' || term FROM d WHERE tier = 'penalty' UNION ALL SELECT id, 7, ord, '!' || term FROM d WHERE tier = 'collision' UNION ALL SELECT id, 8, 1, '✖' || veto FROM s WHERE veto IS NOT NULL),
+g AS (SELECT id, 1 AS part, tier AS tag FROM d WHERE tier IN ('constituency', 'district', 'area') UNION SELECT id, CASE tier WHEN 'portfolio' THEN 2 ELSE 4 END, tier FROM d WHERE tier IN ('portfolio', 'party') UNION SELECT id, 3, 'mention' FROM s WHERE mention)
+SELECT s.id, score::INTEGER AS score, CASE WHEN veto IS NOT NULL OR score < 2 THEN 'DROP' WHEN score >= 7 THEN 'AUTO_KEEP' ELSE 'AI' END AS band,
+  coalesce((SELECT string_agg(term, ',' ORDER BY part, k) FROM l WHERE l.id = s.id), '') AS terms, coalesce((SELECT string_agg(tag, ',' ORDER BY part, tag) FROM g WHERE g.id = s.id), '') AS tags FROM s"""
+
+URGENT_SQL = f"""
+WITH {ITEMS_SQL}, {TERMS_SQL},
+n AS (SELECT id, {masked_sql(MATCH_NORM.format("title"))} AS t, {masked_sql(MATCH_NORM.format("regexp_replace(regexp_replace(body, 'https?://\S+', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g')"))} AS z FROM base),
+{hits_sql("n", "t", "ht")}, {hits_sql("n", "z", "hz")},
+th AS (SELECT *, tier IN ('constituency', 'district') AS place FROM ht WHERE tier IN ('constituency', 'district') OR tier IN ('civic', 'crime') AND role = 'urgent'),
+zh AS (SELECT *, tier IN ('constituency', 'district') AS place, e <= 400 AS lede FROM hz WHERE tier IN ('constituency', 'district') OR tier IN ('civic', 'crime') AND role = 'urgent'),
+k AS (SELECT n.id, EXISTS (FROM th WHERE th.id = n.id AND place) AS tp, EXISTS (FROM th WHERE th.id = n.id AND NOT place) AS tt, EXISTS (FROM zh WHERE zh.id = n.id AND place AND lede) AS lp, EXISTS (FROM zh WHERE zh.id = n.id AND NOT place AND lede) AS lt FROM n),
+w AS (SELECT id, CASE WHEN tp AND tt THEN 'title' WHEN tp AND lt THEN 'title+lede' WHEN lp AND tt THEN 'lede+title' END AS zone FROM k),
+pairs AS (SELECT p.id, p.ord AS po, q.ord AS qo, row_number() OVER (PARTITION BY p.id ORDER BY greatest(0, greatest(p.s, q.s) - least(p.e, q.e)), p.tpos, p.ord, q.tpos, q.ord, p.s, q.s) AS k, greatest(0, greatest(p.s, q.s) - least(p.e, q.e)) AS gap FROM zh p JOIN zh q ON p.id = q.id AND p.place AND NOT q.place),
+c AS (SELECT w.id, coalesce(zone, 'body') AS zone, po, qo FROM w LEFT JOIN pairs ON w.id = pairs.id AND k = 1 AND gap <= 160 WHERE zone IS NOT NULL OR po IS NOT NULL),
+m AS (SELECT DISTINCT c.id, zone, ord, term, tier, tpos, weight, grp, wild, place FROM c JOIN th x ON c.id = x.id AND (zone = 'title' OR zone = 'title+lede' AND place OR zone = 'lede+title' AND NOT place)
+  UNION SELECT DISTINCT c.id, zone, ord, term, tier, tpos, weight, grp, wild, place FROM c JOIN zh x ON c.id = x.id AND (zone = 'title+lede' AND lede AND NOT place OR zone = 'lede+title' AND lede AND place OR zone = 'body' AND (place AND ord = po OR NOT place AND ord = qo)))
+SELECT id, zone, (SELECT string_agg(DISTINCT grp, ',' ORDER BY grp) FROM m x WHERE x.id = m.id AND NOT place) AS groups, string_agg(term, ',' ORDER BY tpos, ord) FILTER (place) AS anchors, string_agg(term, ',' ORDER BY tpos, ord) FILTER (NOT place) AS triggers,
+  CASE WHEN bool_or(tier = 'constituency') THEN 'constituency' ELSE 'district' END AS target FROM m GROUP BY id, zone"""
+
+BURIED_SQL = rf"""
+WITH n AS (SELECT doc_id AS id, {MATCH_NORM.format("text")} AS t FROM documents)
+SELECT id, len(regexp_extract_all(t, 'é(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER - te - re AS e, te, re, a FROM (
+  SELECT id, t, len(regexp_extract_all(t, 'té(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS te, len(regexp_extract_all(t, 'ré(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS re, len(regexp_extract_all(t, 'ä(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS a FROM n)"""
 
 
 def rule_rank_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +300,7 @@ STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace
 
 PLANS = {
     "sim_norm_docs": (sim_norm_docs, f"SELECT doc_id, md5({SIM_NORM.format('text')}) AS digest FROM documents"),
-    "ngram_profile": (ngram_profile, f"WITH n AS (SELECT doc_id, {SIM_NORM.format('substr(text, 1, 1200)')} AS s FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 4))))::INTEGER AS grams FROM n"),
+    "ngram_profile": (ngram_profile, f"WITH n AS (SELECT doc_id, {SIM_NORM.format('text')} AS s FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 4))))::INTEGER AS grams FROM n"),
     "clean_titles": (clean_titles, r"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents)
         SELECT id, md5(trim(title)) AS title_digest, substr(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 24) AS slug, length(title)::INTEGER AS units FROM t"""),
     "host_parts": (host_parts, r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^\w+://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_extract(url, '^\w+://[^/?#]*([^?#]*)', 1) AS path FROM pages"),
@@ -241,13 +317,13 @@ PLANS = {
         SELECT lang, source, n, rank::INTEGER AS rank, languages = 1 AS exclusive FROM m WHERE rank <= 3"""),
     "text_search": (text_search, "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 60"),
     "link_scan": (link_scan, """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages) SELECT page_id, (unnest(range(0, len(ls))))::INTEGER AS place, unnest(ls) AS link FROM l"""),
-    "keyword_hits_docs": (keyword_hits_docs, f"""WITH n AS (SELECT doc_id, {MATCH_NORM.format("substr(text, 1, 1200)")} AS norm FROM documents),
+    "keyword_hits_docs": (keyword_hits_docs, f"""WITH n AS (SELECT doc_id, {MATCH_NORM.format("text")} AS norm FROM documents),
         h AS (SELECT doc_id, list_filter([CASE WHEN {_word('scum')} THEN 'scum' END, CASE WHEN {_word('moron')} THEN 'moron' END, CASE WHEN {_word('clown')} THEN 'clown' END], lambda x: x IS NOT NULL) AS t FROM n)
         SELECT doc_id, coalesce(array_to_string(t, ','), '') AS terms, len(t)::INTEGER AS n FROM h"""),
     "keyword_score_docs": (keyword_score_docs, KEYWORD_SCORE_SQL),
-    "full_scores": (full_scores, None),
-    "urgent_docs": (urgent_docs, None),
-    "buried_terms": (buried_terms, None),
+    "full_scores": (full_scores, FULL_SCORES_SQL),
+    "urgent_docs": (urgent_docs, URGENT_SQL),
+    "buried_terms": (buried_terms, BURIED_SQL),
     "rule_rank_docs": (rule_rank_docs, RULE_RANK_SQL),
     "ua_classify": (ua_classify, UA_SQL),
 }
