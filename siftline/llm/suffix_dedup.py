@@ -14,16 +14,21 @@ doc_id is removed, whatever its offset; overlapping windows add up.
    go packed to units by anchor. The most frequent anchors (at most MOST_HOT of them,
    from HOT documents on) are dealt by the hash of each window instead, so no anchor
    meets in one unit with more than a batch's worth per batch.
-4. A unit builds the transforms of two shards of its stretches (of each anchor with more
-   than one) and merges them by
-   interleave refinement: round h sorts the interleave of all suffixes by h symbols,
-   by one stable counting pass over the previous one, without comparing suffixes.
-   The boundaries that appear in round h give common prefixes of h - 1; after LENGTH
-   rounds the blocks left are the repeated intervals, and each block's smallest first
-   document decides its windows.
-5. The decisions go back to the batches they came from, which turn them into one bit
+4. The stretches of a unit form two shards, by a hash. A task makes a shard's stretches
+   distinct and builds their Burrows-Wheeler transform, in pieces of bounded size by anchor;
+   what leaves it is the transform and the strings' first documents, in its order.
+5. Another task merges the two shards' transforms by interleave refinement: a round sorts
+   the interleave of all suffixes by STEP more symbols, by one stable counting pass over
+   the previous one, without comparing suffixes, and leaves out suffixes that have ended.
+   The boundaries that appear in a round
+   give the common prefixes (down to a multiple of STEP); the intervals whose common prefix
+   is LENGTH are the repeated ones, and each one's smallest first document decides its
+   windows. Walking the transforms backwards tells which row is which place of which string.
+6. The decisions go back to the batches they came from, which turn them into one bit
    per window and document, and those to the texts.
 
+The numbers of ranges and units follow the bytes, so that what a task holds doesn't grow.
+
 Texts cross the network compressed, and only those that may hold a repeat do.
 
 Cases: null texts are empty; texts shorter than LENGTH bytes are never cut; windows
@@ -35,9 +40,9 @@ others; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import pickle
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +55,16 @@ from .shared import might_be_in, stage, table
 from .textbytes import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, mix, powers, rolling, run_starts, sliding_min, tidy
 
 LENGTH = 50
-ANCHOR = 24
+ANCHOR = 20
 MOST_WINDOWS = 32  # of one stretch
 FLUSH = 500_000
 PIECE = 10_000  # settled anchors that travel together
 BATCH = 100_000
-UNIT_BYTES = 200_000
+RANGE_BYTES = 32 << 20  # of anchors
+UNIT_BYTES = 24 << 20  # of stretches, before they are made distinct
+PIECE_BYTES = 50_000  # of the stretches of a unit that are merged together
+STRETCH_BYTES = 72  # about
+STEP = 10
 HOT = 2_000
 MOST_HOT = 100_000
 
@@ -87,6 +96,22 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def frame(*arrays: np.ndarray) -> bytes:
+    """Compressed arrays of 64-bit numbers or bytes; see unframe."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+
+
+def unframe(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    head = np.frombuffer(raw, np.int64, 1 + 2 * int(np.frombuffer(raw, np.int64, 1)[0]))
+    at, out = head.nbytes, []
+    for size, n in head[1:].reshape(-1, 2).tolist():
+        out.append(np.frombuffer(raw, {1: np.uint8, 4: np.int32, 8: np.int64}[size], n, at))
+        at += size * n
+    return out
+
+
 def packed_anchors(docs: DataFrame, ranges: int) -> DataFrame:
     """(range, settled, anchors, docs, counts): anchors in ranges of their hash; those that a task sees in two documents are settled.
 
@@ -134,9 +159,10 @@ def packed_anchors(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "range int, settled boolean, anchors binary, docs binary, counts binary")
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
+def shared_anchors(docs: DataFrame, text_bytes: int) -> DataFrame:
     """(doc_id, anchor, documents) of the anchors that two documents or more have. Rows of frequent anchors with null doc_id have the number of documents."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-2 * text_bytes // RANGE_BYTES))  # an anchor with its document and count, 24 bytes, every 16 bytes of text
     ranges = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +227,17 @@ def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * powers(BASE_INVERSE, len(flat) + 1)[start] + (end - start).astype(np.uint64) * U64(0xD1B54A32D192ED03))
 
 
-def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units: int, length: int = LENGTH) -> DataFrame:
+def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units: int, pieces: int, length: int = LENGTH) -> DataFrame:
     """Batches of stretches whose anchor another document has too: (batch, unit, data), all data compressed.
 
-    Rows with a unit have that unit's distinct stretches of the batch; the row with unit -1
+    Rows with a unit have that unit's distinct stretches of the batch, those of its first shard
+    under twice the unit, those of its second under one more; the row with unit -1
     says which document has which stretch where. texts has doc_id and packed.
     """
     wanted = shared.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     known_hot = texts.sparkSession.sparkContext.broadcast(np.sort(hot))  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         held: list[tuple] = []  # per chunk: contents' bytes and lengths, keys, documents, positions, windows, content hashes
         size = 0
 
@@ -223,21 +249,20 @@ def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units
             _, first, which = np.unique(content, return_index=True, return_inverse=True)
             low = np.full(len(first), np.iinfo(np.int64).max)
             np.minimum.at(low, which, doc)
-            unit = (mix(key[first]) % U64(units)).astype(np.int64)
+            unit = (mix(key[first]) % U64(units)).astype(np.int64) * 2 + (content[first] >> U64(63)).astype(np.int64)
             order = np.lexsort((key[first], unit))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             which, first, low, unit = place[which], first[order], low[order], unit[order]
             cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
             batch = uuid.uuid4().int >> 65
-            rows = [(batch, -1, (which, doc, at, windows))]
-            data = raw.tobytes()
+            rows = [(batch, -1, frame(which, doc, at, windows))]
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own = first[lo:hi]
-                body = b"".join(data[s:e] for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True))
-                rows.append((batch, int(unit[lo]), (np.array([lo]), lengths[own], key[own].view(np.int64), low[lo:hi], np.frombuffer(body, np.uint8))))
-            blobs = [press.compress(pickle.dumps(x[2], 5)) for x in rows]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array(blobs, pa.binary())], ["batch", "unit", "data"])
+                n = lengths[own]
+                body = raw[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                rows.append((batch, int(unit[lo]), frame(np.array([lo]), n.astype(np.uint8 if length < 200 else np.int32), (mix(key[own] + U64(0x7F4A7C15)) % U64(pieces)).astype(np.int32), low[lo:hi], content[own].view(np.int64), body)))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.binary())], ["batch", "unit", "data"])
 
         for b in batches:
             ids, lists = b.column(0).to_numpy(), b.column(2)
@@ -270,178 +295,273 @@ def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units
         if held:
             yield flush()
 
-    joined = might_be_in(texts.select("doc_id", "packed"), wanted.select(F.col("doc_id").alias("id"))).join(wanted, "doc_id").select("doc_id", "packed", "anchors")
+    ids = stage(shared.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "ids")
+    joined = might_be_in(texts.select("doc_id", "packed"), ids).join(wanted, "doc_id").select("doc_id", "packed", "anchors")
     return joined.mapInArrow(tidy(run), "batch long, unit long, data binary")
 
 
+def cyclic_order(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, before, string) of closed strings that stand one after the other: rotations in full order, each place's predecessor, its string.
+
+    Ranks by seven symbols, then by 14, 28 and so on, until all differ; the strings must be distinct.
+    """
+    n = len(flat)
+    start = np.cumsum(size) - size
+    string = np.repeat(np.arange(len(size)), size)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[start + size - 1], before[start] = start, start + size - 1
+    rank, jump = np.zeros(n, np.int64), np.arange(n)
+    for _ in range(7):
+        rank = rank << 9 | flat[jump]
+        jump = after[jump]
+    reach, rows = 7, np.argsort(rank)
+    while True:
+        key = rank[rows]
+        step = np.zeros(n, np.int64)
+        step[1:] = key[1:] != key[:-1]
+        rank = np.empty(n, np.int64)
+        rank[rows] = np.cumsum(step)
+        if not n or rank[rows[-1]] == n - 1 or reach > 2 * int(size.max()):
+            return rows, before, string
+        rank = rank * n + rank[jump]
+        rows = np.argsort(rank)
+        jump, reach = jump[jump], 2 * reach
+
+
 class ShardTransform:
     """The Burrows-Wheeler transform of a set of strings, each closed by a terminator (symbol 0; byte b is b + 1).
 
-    Rows are the rotations of the closed strings in full order; row r starts at offset[r] of string text[r].
+    Rows are the rotations of the closed strings in full order; symbols has the symbol before
+    each. The strings are known by their place in sorted order, which the rows that begin with
+    a terminator, the first ones, are in.
     """
 
-    def __init__(self, strings: list[bytes]):
-        size = np.array([len(s) + 1 for s in strings])
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint16) + 1
-        flat[start + size - 1] = 0
-        if flat.max(initial=0) < 256:
-            flat = flat.astype(np.uint8)
-        n = len(flat)
-        self.string = np.repeat(np.arange(len(strings)), size)
-        begin, length = start[self.string], size[self.string]
-        place = np.arange(n) - begin
-        # Ranks by 1, 2, 4, ... symbols of the rotation, until all differ.
-        rank, reach = flat.astype(np.int64), 1
-        rows = np.zeros(0, np.int64)
-        while True:
-            ahead = rank[begin + (place + reach) % length]
-            key = rank * (int(rank.max()) + 1 if n else 1) + ahead
-            rows = np.argsort(key)
-            step = np.r_[0, (key[rows][1:] != key[rows][:-1]).astype(np.int64)] if n else np.zeros(0, np.int64)
-            rank = np.empty(n, np.int64)
-            rank[rows] = np.cumsum(step)
-            reach *= 2
-            if not n or rank[rows[-1]] == n - 1 or reach > 2 * int(size.max()):
-                break
-        self.symbols = flat[begin + (place - 1) % length][rows]
-        self.before = flat[begin + (place - 2) % length][rows]
-        self.string, self.offset = self.string[rows], place[rows]
-
-    def pairs(self) -> np.ndarray:
-        """The two symbols before each rotation, as one number in their order."""
-        wide = np.uint16 if self.symbols.dtype == np.uint8 else np.uint32
-        return self.before.astype(wide) * wide(256 if wide is np.uint16 else 65536) + self.symbols
-
-
-def merge_transforms(a: ShardTransform, b: ShardTransform, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from_b, block, lcp) after interleave refinement of two transforms to `depth` symbols.
-
-    from_b says for each merged row which transform it comes from (rows of one keep
-    their order); rows of a block agree in their first `depth` symbols; lcp[i] is how
-    many symbols row i shares with row i - 1, at most depth. With step 2 a round takes
-    the two symbols before each rotation at once, for half the rounds; depth must be
-    even and lcp is then rounded down to an even number.
+    def __init__(self, symbols: np.ndarray):
+        self.symbols = symbols
+        self.back = np.empty(len(symbols), np.int64)  # the row of the rotation that begins one symbol earlier
+        self.back[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+        self.strings = int((symbols == 0).sum())
+
+    @classmethod
+    def build(cls, strings: list[bytes]) -> tuple[ShardTransform, np.ndarray]:
+        """The transform and the strings' indices in its order."""
+        symbols, order = shard_symbols(np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings], np.int64))
+        return cls(symbols), order
+
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, offset) of every row and the strings' lengths, by walking backwards from all terminators at once."""
+        string, end = np.empty(len(self.symbols), np.int64), np.empty(len(self.symbols), np.int64)
+        length = np.zeros(self.strings, np.int64)
+        row = own = np.arange(self.strings)
+        far = 0
+        while len(row):
+            string[row], end[row] = own, far
+            go = self.symbols[row] != 0
+            length[own[~go]] = far
+            row, own = self.back[row[go]], own[go]
+            far += 1
+        return string, length[string] - end, length
+
+    def earlier(self, step: int) -> np.ndarray:
+        """The row of the rotation that begins `step` symbols earlier."""
+        row = self.back
+        for _ in range(step - 1):
+            row = self.back[row]
+        return row
+
+    def grams(self, step: int) -> np.ndarray:
+        """The `step` symbols before each rotation as one number in their order."""
+        row, out = np.arange(len(self.symbols)), np.zeros(len(self.symbols), np.int64)
+        for k in range(step):
+            out |= self.symbols[row].astype(np.int64) << (9 * k)
+            row = self.back[row]
+        return out
+
+
+def shard_symbols(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(transform, strings' indices in its order) of distinct strings that stand one after the other."""
+    closed = np.zeros(len(flat) + len(size), np.uint8 if flat.max(initial=0) < 255 else np.uint16)
+    closed[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat.astype(closed.dtype) + 1
+    rows, before, string = cyclic_order(closed, size + 1)
+    return closed[before[rows]], string[rows[: len(size)]]
+
+
+def gram_ranks(a: ShardTransform, b: ShardTransform, step: int) -> np.ndarray:
+    """The place of the `step` symbols before each row of a, then of b, among all such; seven symbols fit a number, more are ranked by their halves."""
+    if step <= 7:
+        value = np.concatenate([a.grams(step), b.grams(step)])
+    else:
+        half = gram_ranks(a, b, step // 2)
+        late = gram_ranks(a, b, step - step // 2).astype(np.int64) if step % 2 else half.astype(np.int64)
+        earlier = np.concatenate([a.earlier(step - step // 2), b.earlier(step - step // 2) + len(a.symbols)])
+        value = half[earlier].astype(np.int64) * (int(late.max(initial=0)) + 1) + late
+    values, rank = np.unique(value, return_inverse=True)
+    return rank.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
+
+
+def merge_transforms(a: ShardTransform, b: ShardTransform, depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, lcp) after interleave refinement of two transforms to `depth` symbols, for the suffixes of that length or more.
+
+    rows are rows of a, and rows of b counted on from them, interleaved in the order of their
+    first `depth` symbols (those of one transform keep their order); lcp[i] is how many symbols
+    row i shares with row i - 1, at most depth and down to a multiple of step. A round takes
+    the `step` symbols before each row at once; depth must be a multiple of step.
     """
-    n = len(a.symbols) + len(b.symbols)
-    from_b = np.zeros(n, bool)
-    from_b[len(a.symbols) :] = True
-    block = np.zeros(n, np.int32)
-    lcp = np.full(n, depth, np.int32)
-    own = [t.symbols if step == 1 else t.pairs() for t in (a, b)]
-    symbols = np.empty(n, np.result_type(*own))
-    border, seen = np.zeros(n, bool), np.zeros(n, bool)
+    places = [t.places for t in (a, b)]
+    kind = np.uint8 if max((int(size.max(initial=0)) for _, _, size in places), default=0) < 256 else np.int32
+    offset = np.concatenate([at for _, at, _ in places]).astype(kind)
+    left = np.concatenate([size[string] - at for string, at, size in places]).astype(kind)
+    rank = gram_ranks(a, b, step)
+    before = np.concatenate([a.earlier(step), b.earlier(step) + len(a.symbols)]).astype(np.int32)
+    rows = np.arange(len(before), dtype=np.int32)
+    block, lcp = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
     for h in range(0, depth, step):
-        symbols[~from_b], symbols[from_b] = own
+        # The boundaries so far, of the suffixes that go on.
+        stay = np.flatnonzero(left[rows] >= h + step)
+        if not len(stay):
+            return rows[:0], lcp[:0]
+        lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.r_[0, stay[:-1] + 1])
+        # Every row leads to the one `step` symbols before it in its string, where there is one.
+        leads = np.flatnonzero(offset[rows] >= step)
+        rows, block = rows[leads], block[leads]
+        symbols = rank[rows]
         order = np.argsort(symbols, kind="stable")
-        from_b, block, symbols = from_b[order], block[order], symbols[order]
-        border[:1] = True
+        symbols, block, rows = symbols[order], block[order], before[rows[order]]
+        border = np.ones(len(order), bool)
         np.not_equal(symbols[1:], symbols[:-1], out=border[1:])
         border[1:] |= block[1:] != block[:-1]
-        fresh = np.flatnonzero(border > seen)
-        lcp[fresh] = h
-        seen[fresh] = True
-        np.cumsum(border, out=block)
-    return from_b, block, lcp
-
-
-def first_documents(strings: list[bytes], first: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every window of every string the smallest first document of the strings that hold it."""
-    half = max(1, len(strings) // 2)
-    shards = [ShardTransform(strings[:half]), ShardTransform(strings[half:])] if len(strings) > 1 else [ShardTransform(strings), ShardTransform([])]
-    from_b, block, _ = merge_transforms(*shards, depth=length, step=2 - length % 2)
-    string, offset = np.empty(len(block), np.int64), np.empty(len(block), np.int64)
-    string[~from_b], offset[~from_b] = shards[0].string, shards[0].offset
-    string[from_b], offset[from_b] = shards[1].string + half, shards[1].offset
-    size = np.array([len(s) for s in strings])
-    window = offset + length <= size[string]
-    string, offset, block = string[window], offset[window], block[window]
-    starts = run_starts(block)
-    low = np.minimum.reduceat(first[string], starts)
-    value = np.repeat(low, np.diff(np.r_[starts, len(block)]))
-    counts = size - length + 1
-    at = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(at[-1], np.int64)
-    out[at[string] + offset] = value
-    return np.split(out, at[1:-1])
-
-
-def decided_stretches(packed: DataFrame, units: int, length: int = LENGTH) -> DataFrame:
-    """(batch, data): per unit and batch the smallest first document of every window of the batch's stretches there."""
+        lcp = np.where(border, np.minimum(lcp, np.int32(h)), np.int32(h + step))
+        block = np.cumsum(border, dtype=np.int32)
+    return rows, lcp
+
+
+def first_documents(a: ShardTransform, b: ShardTransform, first: tuple[np.ndarray, np.ndarray], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard (windows of each string, for every window the smallest first document of the strings that hold it)."""
+    step = next(k for k in (STEP, 5, 4, 3, 2, 1) if length % k == 0)
+    rows, lcp = merge_transforms(a, b, length, step)
+    low = np.concatenate([own[t.places[0]] for t, own in ((a, first[0]), (b, first[1]))])[rows]
+    if len(low):
+        interval = np.flatnonzero(lcp < length)  # where a repeated interval, or a single window, begins
+        low = np.repeat(np.minimum.reduceat(low, interval), np.diff(np.r_[interval, len(low)]))
+    out, from_b = [], rows >= len(a.symbols)
+    for side, t, skip in ((~from_b, a, 0), (from_b, b, len(a.symbols))):
+        string, offset, size = t.places
+        counts, own = np.maximum(size - length + 1, 0), rows[side] - skip
+        found = np.empty(int(counts.sum()), np.int64)
+        found[(np.cumsum(counts) - counts)[string[own]] + offset[own]] = low[side]
+        out.append((counts, found))
+    return out
+
+
+def gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at start and have n elements, one run after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def shard_transforms(packed: DataFrame, units: int, pieces: int) -> DataFrame:
+    """(unit, shard, data): per unit and shard the transforms of its pieces, their strings' first documents, and which batch has which strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-
-        def done(held: list[tuple]) -> pa.RecordBatch:
-            """held: (batch, place, lengths, keys, first documents, bytes) of one unit."""
-            where: dict[bytes, int] = {}
-            strings, first, keys, refs = [], [], [], []
-            for _, _, lengths, key, low, body in held:
-                raw, end = body.tobytes(), np.cumsum(lengths)
-                ref = np.empty(len(lengths), np.int64)
-                for i, (e, n, k, f) in enumerate(zip(end.tolist(), lengths.tolist(), key.tolist(), low.tolist(), strict=True)):
-                    text = raw[e - n : e]
-                    j = where.setdefault(text, len(strings))
-                    if j == len(strings):
-                        strings.append(text)
-                        first.append(f)
-                        keys.append(k)
-                    elif f < first[j]:
-                        first[j] = f
-                    ref[i] = j
-                refs.append(ref)
-            found: list[np.ndarray] = [None] * len(strings)
-            _, key_of, n_of = np.unique(np.array(keys), return_inverse=True, return_counts=True)
-            alone = n_of[key_of] == 1
-            for i in np.flatnonzero(alone).tolist():  # all that hold its windows hold it: its windows are the blocks, nothing to merge
-                found[i] = np.full(len(strings[i]) - length + 1, first[i])
-            order = np.argsort(key_of, kind="stable")
-            order = order[~alone[order]]
-            sizes = np.cumsum(np.array([len(strings[i]) for i in order], np.int64))
-            lo = 0
-            while lo < len(order):  # pieces end where the key changes
-                hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + UNIT_BYTES, "right"))
-                hi = max(hi, lo + 1)
-                while hi < len(order) and keys[order[hi]] == keys[order[hi - 1]]:
-                    hi += 1
-                own = order[lo:hi].tolist()
-                for i, f in zip(own, first_documents([strings[i] for i in own], np.array([first[i] for i in own], np.int64), length), strict=True):
-                    found[i] = f
-                lo = hi
-            blobs = []
-            for (_, place, *_), ref in zip(held, refs, strict=True):
-                blobs.append(press.compress(pickle.dumps((place, np.array([len(found[j]) for j in ref]), np.concatenate([found[j] for j in ref])), 5)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array(blobs, pa.binary())], ["batch", "data"])
+        def done(unit: int, shard: int, held: list[tuple]) -> pa.RecordBatch:
+            lengths, piece, low, content, body = (np.concatenate([x[k] for x in held]) for k in range(2, 7))
+            lengths = lengths.astype(np.int64)
+            _, first, which = np.unique(content, return_index=True, return_inverse=True)
+            least = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, low)
+            piece = piece[first]
+            by_piece = np.argsort(piece, kind="stable")
+            cut = np.searchsorted(piece[by_piece], np.arange(pieces + 1))
+            start = np.cumsum(lengths) - lengths
+            symbols, order = [], []
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own = by_piece[lo:hi]
+                n = lengths[first[own]]
+                found, names = shard_symbols(body[gather(start[first[own]], n)], n)
+                symbols.append(found)
+                order.append(own[names])
+            order = np.concatenate(order)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            counts = np.array([len(x[2]) for x in held], np.int64)
+            arrays = (np.array([len(x) for x in symbols], np.int64), np.concatenate(symbols).astype(np.uint8), least[order], np.array([x[0] for x in held], np.int64), np.array([x[1][0] for x in held], np.int64), counts, place[which].astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([shard], pa.int32()), pa.array([frame(*arrays)], pa.binary())], ["unit", "shard", "data"])
 
         now, held = None, []
         for b in batches:
-            for batch, unit, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for batch, unit, shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if (unit, shard) != now:
+                    if held:
+                        yield done(*now, held)
+                    now, held = (unit, shard), []
+                held.append((batch, *unframe(data.as_buffer())))
+        if held:
+            yield done(*now, held)
+
+    dealt = packed.filter("unit >= 0").select("batch", F.floor(F.col("unit") / 2).alias("unit"), F.pmod("unit", F.lit(2)).cast("int").alias("shard"), "data")
+    return dealt.repartition(2 * units, "unit", "shard").sortWithinPartitions("unit", "shard").mapInArrow(tidy(run), "unit long, shard int, data binary")
+
+
+def decided_stretches(transforms: DataFrame, units: int, pieces: int, length: int = LENGTH) -> DataFrame:
+    """(batch, data): per unit and batch the smallest first document of every window of the batch's stretches there, from the merged transforms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = [np.zeros(pieces, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)]
+
+        def done(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+            sides = [held.get(k, nothing) for k in (0, 1)]
+            at, named, found = [0, 0], [0, 0], ([], [])
+            for piece in range(pieces):
+                shards, first = [], []
+                for k, (sizes, symbols, low, *_) in enumerate(sides):
+                    t = ShardTransform(symbols[at[k] : at[k] + sizes[piece]])
+                    shards.append(t)
+                    first.append(low[named[k] : named[k] + t.strings])
+                    at[k] += int(sizes[piece])
+                    named[k] += t.strings
+                if len(shards[0].symbols) + len(shards[1].symbols):
+                    for k, x in enumerate(first_documents(*shards, tuple(first), length)):
+                        found[k].append(x)
+            names, blobs = [], []
+            for k, own in held.items():
+                counts, values = (np.concatenate([x[i] for x in found[k]]) for i in (0, 1))
+                start = np.cumsum(counts) - counts
+                batch, place, n, which = own[3:]
+                for i, (lo, hi) in enumerate(zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True)):
+                    ref = which[lo:hi]
+                    names.append(int(batch[i]))
+                    blobs.append(frame(place[i : i + 1], counts[ref], values[gather(start[ref], counts[ref])]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "data"])
+
+        now, held = None, {}
+        for b in batches:
+            for unit, shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if unit != now:
                     if held:
                         yield done(held)
-                    now, held = unit, []
-                held.append((batch, *pickle.loads(open_.decompress(data.as_py()))))
+                    now, held = unit, {}
+                held[shard] = unframe(data.as_buffer())
         if held:
             yield done(held)
 
-    return packed.filter("unit >= 0").repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "batch long, data binary")
+    return transforms.repartition(units, "unit").sortWithinPartitions("unit").mapInArrow(tidy(run), "batch long, data binary")
 
 
-def removal_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def removal_marks(texts: DataFrame, text_bytes: int, length: int = LENGTH) -> DataFrame:
     """(doc_id, marks): per document the removed windows, as packed (at, bits) of its stretches; documents must be distinct texts.
 
-    texts has doc_id and text.
+    texts has doc_id and text, of text_bytes or less in all.
     """
     spark = texts.sparkSession
-    units = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = stage(shared_anchors(texts), "anchors")
+    shared = stage(shared_anchors(texts, text_bytes), "anchors")
+    size = STRETCH_BYTES * shared.count()
+    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // UNIT_BYTES))
+    pieces = max(1, -(-size // (units * PIECE_BYTES)))
     hot = shared.filter("doc_id is null").orderBy(F.desc("documents"), "anchor").limit(MOST_HOT).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)
-    packed = stage(packed_stretches(compressed(texts), shared, hot, units, length), "stretches")
-    decided = decided_stretches(packed, units, length)
+    packed = stage(packed_stretches(compressed(texts), shared, hot, units, pieces, length), "stretches")
+    decided = decided_stretches(shard_transforms(packed, units, pieces), units, pieces, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-
         def done(own: tuple, parts: list[tuple]) -> pa.RecordBatch:
             which, doc, at, windows = own
             parts.sort(key=lambda x: int(x[0][0]))
@@ -456,7 +576,7 @@ def removal_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             order = np.argsort(doc, kind="stable")
             doc, at, bits = doc[order], at[order], bits[order]
             lo = run_starts(doc)
-            hi = np.r_[lo[1:], len(doc)]
+            hi = np.r_[lo[1:], len(doc)][: len(lo)]  # none if nothing of the batch goes
             marks = [np.stack([at[s:e], bits[s:e]]).tobytes() for s, e in zip(lo.tolist(), hi.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(marks, pa.binary())], ["doc_id", "marks"])
 
@@ -467,7 +587,7 @@ def removal_marks(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     if own is not None:
                         yield done(own, parts)
                     now, own, parts = batch, None, []
-                value = pickle.loads(open_.decompress(data.as_py()))
+                value = unframe(data.as_buffer())
                 if unit == -1:
                     own = value
                 else:
@@ -491,19 +611,25 @@ def removed_bytes(n: int, at: np.ndarray, bits: np.ndarray, length: int) -> np.n
     return np.cumsum(change[:-1]) > 0
 
 
-def copies_of(docs: DataFrame) -> DataFrame:
-    """doc_id of every document whose whole text a smaller doc_id has."""
-    digest = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.octet_length("text").alias("n"))
-    first = digest.groupBy("digest", "n").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return digest.join(first, ["digest", "n"]).filter("doc_id > first_doc").select("doc_id").distinct()
+def text_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, n): each text's digest and bytes."""
+    return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+
+
+def copies_of(digests: DataFrame) -> DataFrame:
+    """doc_id of every document whose whole text a smaller doc_id has. The first ones are written before the join, so that large groups of copies can be split."""
+    first = digests.groupBy("digest", "n").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
+    return digests.join(stage(first, "firsts"), ["digest", "n"]).filter("doc_id > first_doc").select("doc_id").distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with its text compressed (packed), packed marks (null if no passage goes) and is_copy; the other columns stay."""
     docs = docs.drop("marks", "is_copy", "packed")
-    copies = stage(copies_of(docs), "copies")
+    digest = stage(text_digests(docs), "digests")
+    copies = stage(copies_of(digest), "copies")
+    text_bytes = digest.agg(F.sum("n")).first()[0] or 0
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    marks = removal_marks(texts, length).withColumn("is_copy", F.lit(False))
+    marks = removal_marks(texts, text_bytes, length).withColumn("is_copy", F.lit(False))
     copied = copies.select("doc_id", F.lit(None).cast("binary").alias("marks"), F.lit(True).alias("is_copy"))
     return compressed(docs).join(marks.unionByName(copied), "doc_id", "left")
 

@@ -64,7 +64,9 @@ def test_passages_like_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BATCH", 50)
     monkeypatch.setattr(suffix_dedup, "FLUSH", 200)
+    texts.append((texts[40] or "") + "z" * 600_000)
     rows = docs(spark, texts, extra=True).repartition(3)
+    rows = rows.union(rows.filter("doc_id % 10 = 1"))  # repeated rows
     got = {r["doc_id"]: r for r in suffix_dedup.digests(suffix_dedup.remove_repeats(rows)).collect()}
     for i, (b, gone) in enumerate(brute_removed(texts)):
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -84,29 +86,43 @@ def test_passages_keep_columns_and_characters(spark):
     assert suffix_dedup.cut_texts(docs(spark, texts)).columns == docs(spark, texts).columns
 
 
-def test_merged_transform_is_the_sorted_order():
+@pytest.mark.parametrize("step", [1, 2, 3, 6])
+def test_merged_transform_is_the_sorted_order(step):
     rng = random.Random(4)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() for _ in range(14)]
     strings = list(dict.fromkeys(strings))
-    a, b = suffix_dedup.ShardTransform(strings[:5]), suffix_dedup.ShardTransform(strings[5:])
-    from_b, block, lcp = suffix_dedup.merge_transforms(a, b, 6)
-
-    def rotation(s, k):
-        closed = [0, *(x + 1 for x in s)]
-        at = (k + 1) % len(closed)
-        return ((closed[at:] + closed[:at]) * 8)[:6]
-
-    rows = [list(zip(a.string, a.offset)), list(zip(b.string + 5, b.offset))]
-    seen = [0, 0]
-    order = []
-    for side in from_b.astype(int):
-        s, k = rows[side][seen[side]]
-        seen[side] += 1
-        order.append(rotation(strings[s], k if k < len(strings[s]) else -1))
-    assert order == sorted(order)
+    shards = [strings[:5], strings[5:]]
+    (a, names_a), (b, names_b) = (suffix_dedup.ShardTransform.build(x) for x in shards)
+    assert [shards[0][k] for k in names_a] == sorted(shards[0]) and [shards[1][k] for k in names_b] == sorted(shards[1])
+    merged, lcp = suffix_dedup.merge_transforms(a, b, 6, step)
+
+    rows = []
+    for t, names, own in ((a, names_a, shards[0]), (b, names_b, shards[1])):
+        string, offset, size = t.places
+        assert size.tolist() == [len(own[k]) for k in names]
+        rows += [own[names[x]][k : k + 6] for x, k in zip(string, offset, strict=True)]
+    order = [rows[k] for k in merged]
+    assert (np.diff(merged[merged < len(a.symbols)]) > 0).all() and (np.diff(merged[merged >= len(a.symbols)]) > 0).all()
+    assert order == sorted(s[k : k + 6] for s in strings for k in range(len(s) - 5))
     for i in range(1, len(order)):
         shared = next((j for j in range(6) if order[i][j] != order[i - 1][j]), 6)
-        assert lcp[i] == shared and (block[i] == block[i - 1]) == (shared == 6)
+        assert lcp[i] == shared // step * step
+
+
+def test_merging_decides_windows_like_a_dictionary():
+    rng = random.Random(6)
+    shards = [list(dict.fromkeys("".join(rng.choice("ab") for _ in range(rng.randint(4, 30))).encode() for _ in range(n))) for n in (20, 30)]
+    built = [suffix_dedup.ShardTransform.build(x) for x in shards]
+    docs = [np.array([rng.randrange(1000) for _ in x]) for x in shards]
+    first = {}
+    for own, doc in zip(shards, docs, strict=True):
+        for s, d in zip(own, doc, strict=True):
+            for k in range(len(s) - 7):
+                first[s[k : k + 8]] = min(first.get(s[k : k + 8], 9999), d)
+    got = suffix_dedup.first_documents(built[0][0], built[1][0], tuple(d[names] for d, (_, names) in zip(docs, built, strict=True)), 8)
+    for (counts, values), own, (_, names) in zip(got, shards, built, strict=True):
+        want = [[first[own[k][i : i + 8]] for i in range(len(own[k]) - 7)] for k in names]
+        assert counts.tolist() == [len(x) for x in want] and values.tolist() == [y for x in want for y in x]
 
 
 def brute_components(texts, k, percent):
