@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Callable
 
@@ -94,6 +95,40 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def unescape(c: Column) -> Column:
+    """All character references of HTML decoded, in Arrow batches; rows without an ampersand stay out of Python."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: html.unescape(x) if x is not None else None)
+
+    return F.coalesce(run(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
+def meta_content(page: Column, names: str) -> Column:
+    """The content of the first meta tag of these names (a pattern), whichever attribute comes first; empty if there is none."""
+    name = rf"""(?:property|name)\s*=\s*["'](?:{names})["']"""
+    forms = [rf"""(?is)<meta\b[^>]*?{name}[^>]*?\scontent\s*=\s*(["'])(.*?)\1""", rf"""(?is)<meta\b[^>]*?\scontent\s*=\s*(["'])([^>]*?)\1[^>]*?{name}"""]
+    return F.coalesce(*(F.nullif(F.regexp_extract(page, p, 2), F.lit("")) for p in forms), F.lit(""))
+
+
+def page_title(page: Column) -> Column:
+    """og:title, else the title element; decoded, one line, without a video site's suffix."""
+    raw = F.coalesce(F.nullif(meta_content(page, "og:title"), F.lit("")), F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(unescape(raw), r"\s+", " ")), r"\s*[-|]\s*YouTube$", ""))
+
+
+def page_description(page: Column, most: int = 1500) -> Column:
+    return F.substring(F.trim(F.regexp_replace(unescape(meta_content(page, "og:description|description")), r"\s+", " ")), 1, most)
+
+
+def lead_image(page: Column, head: int = 60_000, longest: int = 600) -> Column:
+    """The address in og:image (or its secure form) or twitter:image of the page's head; null if none is a usable web address."""
+    top = F.substring(page, 1, head)
+    found = [unescape(F.trim(meta_content(top, names))) for names in ("og:image|og:image:secure_url", "twitter:image")]
+    return F.coalesce(*(F.when(F.startswith(f, F.lit("http")) & (F.length(f) < longest), f) for f in found))
+
+
 def strip_urls(c: Column) -> Column:
     return F.regexp_replace(c, r"https?://\S+", " ")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 HOUR = 3600
 QUIET_S, CLOSE_S, SPAN_S = 6 * HOUR, 24 * HOUR, 24 * HOUR
-STALE_S, PLACE_S = 6 * HOUR, 3 * HOUR
+STALE_S, PLACE_S, KEEP_S = 6 * HOUR, 3 * HOUR, 21 * 24 * HOUR
 
 
 class Lifecycle:
@@ -38,35 +38,47 @@ class Lifecycle:
 
 
 class Decisions:
-    """Alert decisions for one target: stale, same url, same event, same place, update or new."""
+    """Alert decisions of one desk: stale, same url, same event, same place, update or new.
+
+    State: per url its first alert, per event its first alert with all groups and targets so
+    far, and the alerts of the last three hours. Urls and events are forgotten after KEEP_S.
+    """
 
     def __init__(self, saved: dict | None = None):
-        self.alerts: list[dict] = []  # live: id, ts, event, url, groups, places
+        self.urls: dict[str, list[int]] = {}  # url -> first alert, its time
+        self.events: dict[str, dict] = {}
+        self.recent: list[dict] = []  # id, ts, target, groups, places
         self.__dict__.update(saved or {})
 
     def step(self, row: dict) -> dict:
-        """row: id, ts and published (seconds), event, url, groups, places."""
-        ts, groups = row["ts"], sorted(set(row["groups"] or []))
-        self.alerts = [a for a in self.alerts if ts - a["ts"] < SPAN_S + PLACE_S]
-
-        def said(status: str, reason: str, ref: int | None = None, update: list[str] = ()) -> dict:
-            if status == "PENDING":
-                self.alerts.append({"id": row["id"], "ts": ts, "event": row["event"], "url": row["url"], "groups": groups, "places": sorted(set(row["places"] or []))})
-            return {"status": status, "reason": reason, "ref": ref, "update": ",".join(update)}
-
-        if ts - (row["published"] if row["published"] is not None else ts) > STALE_S:
-            return said("SUPPRESSED", "stale")
-        if row["url"] and (same := [a for a in self.alerts if a["url"] == row["url"]]):
-            return said("SUPPRESSED", "same url", same[-1]["id"])
-        own = [a for a in self.alerts if a["event"] == row["event"]]
-        if own:
-            new = sorted(set(groups) - {g for a in own for g in a["groups"]})
-            return said("PENDING", "update", own[-1]["id"], new) if new else said("SUPPRESSED", "same event", own[-1]["id"])
-        near = [a for a in self.alerts if ts - a["ts"] <= PLACE_S and set(a["places"]) & set(row["places"] or [])]
-        if near:
-            new = sorted(set(groups) - {g for a in near for g in a["groups"]})
-            return said("PENDING", "update", near[-1]["id"], new) if new else said("SUPPRESSED", "same place", near[-1]["id"])
-        return said("PENDING", "new")
+        """row: id, ts and published (seconds), target, event, url, groups, places. ts is the clock of the batch."""
+        ts, groups, places = row["ts"], sorted(set(row["groups"] or [])), set(row["places"] or [])
+        self.recent = [a for a in self.recent if ts - a["ts"] <= PLACE_S]
+        self.urls = {u: x for u, x in self.urls.items() if ts - x[1] <= KEEP_S}
+        self.events = {e: x for e, x in self.events.items() if ts - x["ts"] <= KEEP_S}
+        event = self.events.get(row["event"])
+        near = [a for a in self.recent if a["target"] == row["target"] and places & set(a["places"])]
+        published = ts if row["published"] is None else row["published"]
+        status, reason, ref, new = "PENDING", "new", None, []
+        if ts - published > STALE_S:
+            status, reason = "SUPPRESSED", "stale"
+        elif row["url"] and row["url"] in self.urls:
+            status, reason, ref = "SUPPRESSED", "same url", self.urls[row["url"]][0]
+        elif event or near:
+            seen = set(event["groups"]) if event else {g for a in near for g in a["groups"]}
+            new = [g for g in groups if g not in seen]
+            if event and row["target"] not in event["targets"]:
+                new.append(row["target"].lower())
+            ref = event["id"] if event else near[-1]["id"]
+            reason = "update" if new else "same event" if event else "same place"
+            status = "PENDING" if new else "SUPPRESSED"
+        if status == "PENDING":
+            own = self.events.setdefault(row["event"], {"id": row["id"], "ts": ts, "groups": [], "targets": []})
+            own["ts"], own["groups"], own["targets"] = ts, sorted({*own["groups"], *groups}), sorted({*own["targets"], row["target"]})
+            self.recent.append({"id": row["id"], "ts": ts, "target": row["target"], "groups": groups, "places": sorted(places)})
+            if row["url"]:
+                self.urls.setdefault(row["url"], [row["id"], ts])
+        return {"status": status, "reason": reason, "ref": ref, "update": ",".join(new)}
 
 
 class Pacing:
@@ -109,15 +121,20 @@ def lifecycle(reports: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
     return ordered_fold(ready, "key", ["ts", "id"], Lifecycle, lambda s, r: {"id": r["id"], "key": r["key"], **s.step(r["ts"])}, "id long, key long, event_no int, member int, reopened boolean")
 
 
-def decide(reports: DataFrame) -> DataFrame:
-    """(id, target, status, reason, ref, update) for rows (id, target, ts, published, event, url, groups, places)."""
+def decide(reports: DataFrame, desk: str = "target") -> DataFrame:
+    """(id, target, status, reason, ref, update) for rows (id, target, ts, published, event, url, groups, places).
+
+    A desk's rows are decided in order, so an event, a url or a place that must be seen
+    together belongs to one desk.
+    """
 
     def step(s: Decisions, r: dict) -> dict:
         listed = lambda x: [] if x is None else list(x)
         published = None if pd.isna(r["published"]) else int(r["published"])
         return {"id": r["id"], "target": r["target"], **s.step({**r, "published": published, "groups": listed(r["groups"]), "places": listed(r["places"])})}
 
-    out = ordered_fold(reports, "target", ["ts", "id"], Decisions, step, "id long, target string, status string, reason string, ref double, update string")
+    keyed = reports.withColumn("desk_key", F.col(desk))
+    out = ordered_fold(keyed, "desk_key", ["ts", "id"], Decisions, step, "id long, target string, status string, reason string, ref double, update string")
     return out.withColumn("ref", F.col("ref").cast("long"))
 
 

@@ -158,3 +158,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     cols = [c for c in old.columns if c != key]
     return o.join(n, key, "full_outer").select(key, *(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}").alias(c) for c in cols))
+
+
+def clipped(text: Column, n: int) -> Column:
+    """At most n characters, the last one an ellipsis where something is cut."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+
+
+def table_cell(text: Column) -> Column:
+    """Text for a cell of a pipe table."""
+    return F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("|"), F.lit("\\|"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.when(whole != 0, F.format_string("%.0f%%", (100.0 * part / whole).cast("double")))
+
+
+def band_mark(band: Column) -> Column:
+    return F.when(band == "AUTO_KEEP", "●").when(band == "AI", "◐").when(band == "KEYWORD_KEEP", "○").otherwise("·")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.session import written
 
-def selection_order() -> list[Column]:
-    """Priority, urgent first, higher score, older first, id."""
-    return [F.coalesce("priority", F.lit(9)), F.desc("urgent"), F.desc("score"), F.asc("published"), F.asc("id")]
+
+def selection_order(columns: list[str] = ()) -> list[Column]:
+    """Priority, urgent first, higher impact where there is one, higher score, older first, id."""
+    impact = [F.desc(F.coalesce("impact", F.lit(0)))] if "impact" in columns else []
+    return [F.coalesce("priority", F.lit(9)), F.desc("urgent"), *impact, F.desc("score"), F.asc("published"), F.asc("id")]
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -20,16 +23,35 @@ def quota_select(df: DataFrame, per: int, total: int, uncapped: list[str] = ())
     """Chosen rows with `pass`: forced (manual, or of an uncapped category), head (the first per category among
     priorities 1 and 2), fill (the best of the rest up to total; forced and head rows always stay).
 
-    The fill is a global top-k: Spark takes each partition's best before it merges them.
+    The head keeps `per` rows a category in every partition before it is shuffled, and the fill is a
+    global top-k of what the head left, so no category and no table is sorted whole.
     """
-    forced = F.col("manual") | F.col("category").isin(list(uncapped))
-    marked = df.withColumn("forced", F.coalesce(forced, F.lit(False)))
-    rank = F.row_number().over(W.partitionBy("category", "forced", F.col("priority") <= 2).orderBy(*selection_order()))
-    marked = marked.withColumn("head", ~F.col("forced") & F.coalesce(F.col("priority") <= 2, F.lit(False)) & (rank <= per))
-    first = marked.filter("forced or head").withColumn("pass", F.when(F.col("forced"), "forced").otherwise("head"))
-    room = max(0, total - first.count())
-    fill = marked.filter("not forced and not head").orderBy(*selection_order()).limit(room).withColumn("pass", F.lit("fill"))
-    return first.unionByName(fill).drop("forced", "head")
+    marked = df.withColumn("forced", F.coalesce(F.col("manual") | F.col("category").isin(list(uncapped)), F.lit(False)))
+    rest = marked.filter("not forced")
+    head = top_per_group(rest.filter("priority <= 2"), "category", selection_order(df.columns), per).drop("rank")
+    head = written(head, "head")
+    forced = marked.filter("forced").withColumn("pass", F.lit("forced"))
+    room = max(0, total - head.count() - marked.filter("forced").count())
+    others = rest.join(head.select("id"), "id", "left_anti").select(rest.columns)
+    fill = others.orderBy(*selection_order(df.columns)).limit(room).withColumn("pass", F.lit("fill"))
+    return forced.unionByName(head.withColumn("pass", F.lit("head"))).unionByName(fill).drop("forced")
+
+
+def one_card_per_story(df: DataFrame) -> DataFrame:
+    """Of the rows of a category with one story key (those with an @ name a cluster) the best stays, with the ids of all in `merged`."""
+    clustered = F.contains(F.coalesce("story", F.lit("")), F.lit("@"))
+    order = selection_order(df.columns)
+    place = F.row_number().over(W.partitionBy("category", "story").orderBy(*order))
+    rows = df.filter(clustered).withColumn("place", place)
+    ids = rows.groupBy("category", "story").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("merged"))
+    first = rows.filter("place = 1").drop("place").join(ids, ["category", "story"]).select(*df.columns, "merged")
+    return first.unionByName(df.filter(~clustered).withColumn("merged", F.array("id")).select(*df.columns, "merged"))
+
+
+def urgent_block(chosen: DataFrame, categories: list[str]) -> DataFrame:
+    """With `block`: urgent for urgent rows of priority 1 in one of the categories, else the category."""
+    first = (F.col("priority") == 1) & F.col("category").isin(categories) & F.coalesce("urgent", F.lit(False))
+    return chosen.withColumn("block", F.when(first, "urgent").otherwise(F.col("category")))
 
 
 def stratified(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:

@@ -29,7 +29,7 @@ def items_per_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_profile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id", F.substring("props", 1, 7).alias("prefix")).agg(F.count("*").alias("n"))
+    return table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id", F.substring("props", 1, 40).alias("prefix")).agg(F.count("*").alias("n"))
 
 
 def status_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def ok_rate_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poll_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return R.gaps(events(spark, d), "user_id", "ts", 15 * 60)
+    return R.gaps(events(spark, d), "user_id", "ts", 15)
 
 
 def due_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -221,11 +221,11 @@ PLANS = {
         SELECT host, n, ok, thin, failed, CASE WHEN ok = n THEN 'good' WHEN thin >= 2 AND tl = 1 THEN 'same stub every time' WHEN failed * 2 > n THEN 'mostly fails' ELSE 'mixed' END AS diagnosis FROM e"""),
     "items_per_hour": (items_per_hour, """WITH h AS (SELECT date_trunc('hour', ts) AS hr, count(*) AS n FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 18)
         SELECT strftime(hr, '%Y-%m-%d %H:00') AS hour, n, repeat('#', ceil(40.0::DOUBLE * n / max(n) OVER ())::INTEGER) AS bar FROM h"""),
-    "error_profile": (error_profile, "SELECT user_id, substr(props, 1, 7) AS prefix, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL"),
+    "error_profile": (error_profile, "SELECT user_id, substr(props, 1, 40) AS prefix, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL"),
     "status_distribution": (status_distribution, "SELECT o_orderstatus, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percent FROM orders GROUP BY 1"),
     "ok_rate_by_host": (ok_rate_by_host, "SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS ok, round(count(*) FILTER (event_type <> 'error')::DOUBLE / count(*), 6) AS ok_rate FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 15"),
     "poll_gaps": (poll_gaps, """WITH g AS (SELECT user_id, epoch_us(ts) // 1000000 - lag(epoch_us(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY ts) AS gap_s FROM events)
-        SELECT user_id, count(*) AS gaps, sum(gap_s)::BIGINT AS gap_seconds, max(gap_s)::BIGINT AS longest_s FROM g WHERE gap_s > 54000 GROUP BY 1"""),
+        SELECT user_id, count(*) AS gaps, sum(gap_s)::BIGINT AS gap_seconds, max(gap_s)::BIGINT AS longest_s FROM g WHERE gap_s > 900 GROUP BY 1"""),
     "due_sources": (due_sources, "SELECT user_id, (epoch_us(max(ts)) // 1000000)::BIGINT AS last_s FROM events GROUP BY 1 HAVING epoch_us(TIMESTAMP '2024-01-30 12:00:00') // 1000000 - epoch_us(max(ts)) // 1000000 >= 21600"),
     "latency_quantiles": (latency_quantiles, """WITH x AS (SELECT o_orderpriority, datediff('day', o_orderdate::DATE, l_shipdate::DATE) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
         r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY days) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS c FROM x)

@@ -60,13 +60,16 @@ def equal_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerun_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """The later half of the items without those that the earlier half ran already."""
+    """The later half of the items without those that the earlier half ran already: an equal title, a similar one (0.8), or a similar body with a title that is somewhat alike."""
     rows = written(merge.with_title_keys(items(spark, d)).withColumn("band", F.xxhash64("language")), "titled")
     half = rows.agg(F.floor((F.max("id") + 1) / 2).alias("half")).first()["half"] or 0
     old, new = rows.filter(F.col("id") < half), rows.filter(F.col("id") >= half)
-    pairs = similarity.similar_pairs(rows.filter("extract_status = 'OK'"), threshold=0.8, cross_host=False).filter((F.col("a") < half) & (F.col("b") >= half))
-    both = merge.title_similarity(pairs, rows).select(F.col("b").alias("id"), F.col("a").alias("old_id"), F.col("similarity").alias("body_sim"), "title_sim")
-    return merge.drop_reruns(new, old, both).select("id", "host")
+    across = (F.col("a") < half) & (F.col("b") >= half)
+    bodies_ = similarity.similar_pairs(rows.filter("extract_status = 'OK'"), threshold=merge.RERUN_SIM, cross_host=False).filter(across)
+    titles = similarity.similar_pairs(rows.filter("ntitle is not null").withColumn("body", F.col("ntitle")), threshold=merge.RERUN_SIM, cross_host=False, chars=None).filter(across)
+    both = merge.title_similarity(bodies_, rows).select(F.col("b").alias("id"), F.col("a").alias("old_id"), F.col("similarity").alias("body_sim"), "title_sim")
+    similar = both.union(titles.select(F.col("b").alias("id"), F.col("a").alias("old_id"), F.lit(0.0).alias("body_sim"), F.col("similarity").alias("title_sim")))
+    return merge.drop_reruns(new, old, similar).select("id", "host")
 
 
 def best_report_per_outlet(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +107,19 @@ ti AS (SELECT doc_id AS id, source AS host, lang, n_chars, split_part(text, chr(
 # The short " - tail" rule never fires on these titles: they hold no " - ".
 NTITLE = f"CASE WHEN length({SIM_NORM.format('title')}) >= 12 THEN trim(regexp_replace(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}_\\x{{0B80}}-\\x{{0BFF}}]+', ' ', 'g')) END".replace("{{", "{").replace("}}", "}")
 
+# One step an item, longest first: the representatives so far are a list in order of rank.
+MERGE_SQL = f"""WITH RECURSIVE {CROSS}, d AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE n_chars >= 400),
+l AS (SELECT id, list(other) AS links FROM (SELECT a AS id, b AS other FROM p WHERE similarity >= 0.45 UNION ALL SELECT b, a FROM p WHERE similarity >= 0.45) GROUP BY id),
+o AS MATERIALIZED (SELECT d.id, d.k, coalesce(links, []) AS links FROM d LEFT JOIN l ON d.id = l.id),
+f(k, id, rep, reps) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] UNION ALL
+  SELECT k, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(reps, id) ELSE reps END FROM (SELECT o.k, o.id, f.reps, list_filter(f.reps, lambda r: list_contains(o.links, r))[1] AS hit FROM f JOIN o ON o.k = f.k + 1))
+SELECT rep AS representative, count(*) AS members, max(id) AS last_id FROM f WHERE k > 0 GROUP BY 1 HAVING count(*) > 1"""
+RERUN_SQL = f"""WITH {GRAMS}, {PAIRS.format('')}, {TITLES}, k AS (SELECT id, host, lang, {NTITLE} AS nt FROM ti), t AS (SELECT id, host, lang, CASE WHEN length(nt) >= 12 THEN nt END AS nt FROM k),
+h AS (SELECT floor((max(id) + 1) / 2)::BIGINT AS half FROM t), w AS (SELECT id, lang, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda k: substr(s, k, 4))) AS gs FROM (SELECT id, lang, {SIM_NORM.format('nt')} AS s FROM t WHERE nt IS NOT NULL)),
+x AS (SELECT id, lang, len(gs) AS n, unnest(gs) AS gram FROM w), ts AS (SELECT a.id AS a, b.id AS b, a.lang = b.lang AS same, count(*)::DOUBLE / (a.n + b.n - count(*)) AS sim FROM x a JOIN x b ON a.gram = b.gram, h WHERE a.id < half AND b.id >= half GROUP BY a.id, b.id, a.n, b.n, a.lang, b.lang)
+SELECT id, host FROM t, h WHERE id >= half AND NOT (nt IS NOT NULL AND nt IN (SELECT nt FROM t, h WHERE id < half AND nt IS NOT NULL)) AND id NOT IN (SELECT b FROM ts WHERE same AND sim >= 0.8)
+  AND id NOT IN (SELECT p.b FROM p JOIN ts ON p.a = ts.a AND p.b = ts.b WHERE p.similarity >= 0.8 AND ts.sim >= 0.3)"""
+
 PLANS = {
     "near_dup_pairs": (near_dup_pairs, f"WITH {CROSS} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.45"),
     "near_dup_threshold_sweep": (near_dup_threshold_sweep, f"WITH {GRAMS}, {PAIRS.format('')} SELECT t AS threshold, count(*) AS pairs, count(*) FILTER (sa <> sb) AS cross_pairs, count(DISTINCT b) AS suppressed FROM p JOIN (SELECT unnest([0.25::DOUBLE, 0.35, 0.45, 0.55]) AS t) ON similarity >= t GROUP BY t"),
@@ -113,9 +129,9 @@ PLANS = {
         g AS (SELECT doc_id, lang, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1)), lambda k: substr(s, k, 4))) AS gs FROM i), u AS (SELECT doc_id, lang, len(gs) AS n, unnest(gs) AS gram FROM g)
         SELECT a.doc_id AS a, b.doc_id AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS similarity FROM u a JOIN u b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.45"""),
-    "anchored_merge": (anchored_merge, None),
+    "anchored_merge": (anchored_merge, MERGE_SQL),
     "equal_titles": (equal_titles, f"WITH {TITLES}, k AS (SELECT id, {NTITLE} AS ntitle FROM ti), m AS (SELECT *, min(id) OVER (PARTITION BY ntitle) AS b FROM k WHERE ntitle IS NOT NULL AND length(ntitle) >= 12) SELECT id AS a, b FROM m WHERE id <> b"),
-    "rerun_antijoin": (rerun_antijoin, None),
+    "rerun_antijoin": (rerun_antijoin, RERUN_SQL),
     "best_report_per_outlet": (best_report_per_outlet, """WITH b AS (SELECT lang, source AS outlet, n_chars AS detail, doc_id AS id, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id DESC) AS k FROM documents),
         p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY detail DESC, id) AS place FROM b WHERE k = 1) SELECT lang, outlet, detail, id, place::INTEGER AS place FROM p WHERE place <= 8"""),
     "hidden_groups": (hidden_groups, 'SELECT doc_id, md5(text) AS "group" FROM documents QUALIFY NOT bool_or(doc_id % 7 = 0) OVER (PARTITION BY md5(text))'),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions import matching, text, urls
+from siftline.functions import agents, matching, text, urls
 from siftline.operators import ranking
 from siftline.operators.selection import top_per_group
 from siftline.sources.adapters import items, table
@@ -95,16 +95,20 @@ def strip_html_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
-    og = F.nullif(F.regexp_extract("html", r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 1), F.lit(""))
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return table(spark, d, "pages").select("page_id", F.trim(F.coalesce(og, title)).alias("title"))
+    """Title and description; every third page gets an og:title, a description and a site's suffix first."""
+    page = table(spark, d, "pages").select("page_id", tagged(F.col("html"), F.col("page_id")).alias("html"))
+    return page.select("page_id", text.page_title(F.col("html")).alias("title"), text.page_description(F.col("html")).alias("description"))
+
+
+def tagged(html: Column, n: Column) -> Column:
+    """Test pages have no meta tags but the charset's, so some are put in front."""
+    first = F.lit("""<meta property="og:title" content="A &amp; B  title - YouTube"><meta name='description' content='What it\n says'><meta property="og:image" content="https://img.example/a.png?x=1&amp;y=2">""")
+    second = F.lit("""<META NAME="twitter:image" CONTENT="http://img.example/t.jpg">""")
+    return F.when(n % 3 == 0, F.concat(first, html)).when(n % 3 == 1, F.concat(second, html)).otherwise(html)
 
 
 def lead_images(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("html", 1, 60000)
-    found = [F.regexp_extract(head, p, 1) for p in (r'(?is)<meta[^>]+property="og:image"[^>]+content="([^"]+)"', r'(?is)<meta[^>]+name="twitter:image"[^>]+content="([^"]+)"', r'(?is)<img[^>]+src="(http[^"]+)"')]
-    image = F.coalesce(*(F.when(F.startswith(f, F.lit("http")) & (F.length(f) < 600), f) for f in found))
-    return table(spark, d, "pages").select("page_id", image.alias("image"))
+    return table(spark, d, "pages").select("page_id", text.lead_image(tagged(F.col("html"), F.col("page_id"))).alias("image"))
 
 
 def host_exclusivity(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +204,7 @@ TERMS_SQL = "terms(ord, term, tier, tpos, weight, role, grp, wild) AS (VALUES "
 ) + ")"
 ITEMS_SQL = "base AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS body FROM documents)"
 
-FULL_SCORES_SQL = f"""
+FULL_SCORES_SQL = rf"""
 WITH {ITEMS_SQL}, {TERMS_SQL},
 n AS (SELECT id, {masked_sql(MATCH_NORM.format("(title || ' —  — ' || substr(body, 1, 1200))"))} AS t FROM base),
 {hits_sql("n", "t", "h")},
@@ -221,9 +225,10 @@ g AS (SELECT id, 1 AS part, tier AS tag FROM d WHERE tier IN ('constituency', 'd
 SELECT s.id, score::INTEGER AS score, CASE WHEN veto IS NOT NULL OR score < 2 THEN 'DROP' WHEN score >= 7 THEN 'AUTO_KEEP' ELSE 'AI' END AS band,
   coalesce((SELECT string_agg(term, ',' ORDER BY part, k) FROM l WHERE l.id = s.id), '') AS terms, coalesce((SELECT string_agg(tag, ',' ORDER BY part, tag) FROM g WHERE g.id = s.id), '') AS tags FROM s"""
 
-URGENT_SQL = f"""
+ZONE_SQL = r"regexp_replace(regexp_replace(body, 'https?://\S+', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g')"
+URGENT_SQL = rf"""
 WITH {ITEMS_SQL}, {TERMS_SQL},
-n AS (SELECT id, {masked_sql(MATCH_NORM.format("title"))} AS t, {masked_sql(MATCH_NORM.format("regexp_replace(regexp_replace(body, 'https?://\S+', ' ', 'g'), '#[\p{L}\p{N}_]+', ' ', 'g')"))} AS z FROM base),
+n AS (SELECT id, {masked_sql(MATCH_NORM.format("title"))} AS t, {masked_sql(MATCH_NORM.format(ZONE_SQL))} AS z FROM base),
 {hits_sql("n", "t", "ht")}, {hits_sql("n", "z", "hz")},
 th AS (SELECT *, tier IN ('constituency', 'district') AS place FROM ht WHERE tier IN ('constituency', 'district') OR tier IN ('civic', 'crime') AND role = 'urgent'),
 zh AS (SELECT *, tier IN ('constituency', 'district') AS place, e <= 400 AS lede FROM hz WHERE tier IN ('constituency', 'district') OR tier IN ('civic', 'crime') AND role = 'urgent'),
@@ -259,42 +264,36 @@ SELECT doc_id, CASE WHEN con THEN 'constituency' WHEN dis THEN 'district' WHEN p
   CASE WHEN urgent THEN 'negative' ELSE 'neutral' END AS sentiment FROM f"""
 
 AGENTS = [
-    "Mozilla/5.0 (Linux; Android 14; Pixel) AppleWebKit/537.36 Chrome/120.0 Mobile Safari/537.36",
-    "Mozilla/5.0 (iPad; CPU OS 17_0 like Mac OS X) AppleWebKit/605.1 Version/17.0 Safari/604.1",
-    "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 Chrome/120.0 Safari/537.36 Edg/120.0",
-    "WhatsApp/2.23 A",
+    "Mozilla/5.0 (Linux; Android 14; Pixel 8) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Mobile Safari/537.36",
+    "Mozilla/5.0 (iPad; CPU OS 17_0 like Mac OS X) AppleWebKit/605.1 (KHTML, like Gecko) Version/17.0 Safari/604.1",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36 Edg/120.0",
+    "WhatsApp/2.23.20 A",
     "curl/8.0",
-    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_0) Gecko/20100101 Firefox/121.0",
-    "Mozilla/5.0 (X11; CrOS x86_64) AppleWebKit/537.36 Chrome/119.0 Safari/537.36",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14.0; rv:121.0) Gecko/20100101 Firefox/121.0",
+    "Mozilla/5.0 (X11; CrOS x86_64 14541.0.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/119.0 Safari/537.36",
+    "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)",
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) CriOS/120.0 Mobile/15E148 Safari/604.1",
+    "Mozilla/5.0 (Linux; Android 13; SM-X200) AppleWebKit/537.36 (KHTML, like Gecko) SamsungBrowser/23.0 Chrome/115.0 Safari/537.36",
+    "Mozilla/5.0 (compatible; SomethingBot/1.0)",
+    "",
 ]
 
 
-def classify_agent(ua) -> dict:
-    """Device, browser, system and bot flag of a user agent, first rule first."""
-    has = lambda p: F.coalesce(ua, F.lit("")).rlike(f"(?i){p}")
-    preview = F.when(has("WhatsApp"), "WhatsApp preview").when(has("TelegramBot"), "Telegram preview").when(has("facebookexternalhit|Facebot|Twitterbot|LinkedInBot|Slackbot|Discordbot|Pinterest|Embedly"), "Link preview")
-    crawler = F.when((F.length(F.coalesce(ua, F.lit(""))) == 0) | has(r"bot|crawl|spider|slurp|headless|lighthouse|python-requests|python-httpx|curl/|wget|go-http|java/|libwww|monitor|uptime|scan"), "Crawler")
-    bot = F.coalesce(preview, crawler)
-    system = F.when(has("Android"), "Android").when(has("iPhone|iPad|iPod"), "iOS").when(has("Windows"), "Windows").when(has("Mac OS X|Macintosh"), "macOS").when(has("CrOS"), "ChromeOS").when(has("Linux"), "Linux").otherwise("")
-    device = F.when(has("iPad|Tablet") | (has("Android") & ~has("Mobile")), "Tablet").when(has("Mobi|iPhone|Android"), "Mobile").otherwise("Desktop")
-    browser = F.lit("Other")
-    for p, name in reversed([("Telegram", "Telegram in-app"), ("FBAN|FBAV|FB_IAB", "Facebook in-app"), ("Instagram", "Instagram in-app"), ("EdgA?/|Edge/", "Edge"), ("SamsungBrowser", "Samsung Internet"), ("OPR/|Opera", "Opera"), ("Firefox|FxiOS", "Firefox"), ("CriOS|Chrome", "Chrome"), ("Safari", "Safari")]):
-        browser = F.when(has(p), name).otherwise(browser)
-    return {"device": F.when(bot.isNotNull(), "Bot").otherwise(device), "browser": F.coalesce(bot, browser), "os": F.when(bot.isNotNull(), "").otherwise(system), "bot": bot.isNotNull()}
-
-
 def ua_classify(spark: SparkSession, d: str) -> DataFrame:
-    ua = F.element_at(F.array(*(F.lit(a) for a in AGENTS)), (F.pmod("user_id", F.lit(len(AGENTS))) + 1).cast("int"))
-    rows = table(spark, d, "events").filter("event_type = 'view'").select(ua.alias("ua"))
-    named = rows.select(*(c.alias(n) for n, c in classify_agent(F.col("ua")).items()))
+    ua = F.element_at(F.array(*(F.lit(a) for a in AGENTS)), (F.pmod("event_id", F.lit(len(AGENTS))) + 1).cast("int"))
+    named = table(spark, d, "events").select(*(c.alias(n) for n, c in agents.classify_agent(ua).items()))
     return named.groupBy("device", "browser", "os", "bot").agg(F.count("*").alias("visits"))
 
 
-UA_SQL = """
-WITH k AS (SELECT user_id % 7 AS a, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1),
-m(a, device, browser, os, bot) AS (VALUES (0, 'Mobile', 'Chrome', 'Android', false), (1, 'Tablet', 'Safari', 'iOS', false), (2, 'Desktop', 'Edge', 'Windows', false),
-  (3, 'Bot', 'WhatsApp preview', '', true), (4, 'Bot', 'Crawler', '', true), (5, 'Desktop', 'Firefox', 'macOS', false), (6, 'Desktop', 'Chrome', 'ChromeOS', false))
-SELECT device, browser, os, bot, n AS visits FROM k JOIN m USING (a)"""
+def _labels_sql(rules: list[tuple[str, list[str]]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(ua, '{'|'.join(t.replace('/', '[/]') for t in tokens)}') THEN '{label}'" for label, tokens in rules) + " END"
+
+
+UA_SQL = f"""
+WITH a AS (SELECT lower([{', '.join(repr(x) for x in AGENTS)}][event_id % {len(AGENTS)} + 1]) AS ua FROM events),
+l AS (SELECT ua, CASE WHEN ua = '' THEN 'Script' ELSE {_labels_sql(agents.BOTS)} END AS kind, {_labels_sql(agents.BROWSERS)} AS browser, {_labels_sql(agents.SYSTEMS)} AS os FROM a)
+SELECT CASE WHEN kind IS NOT NULL THEN 'Bot' WHEN regexp_matches(ua, 'ipad|tablet') OR contains(ua, 'android') AND NOT contains(ua, 'mobile') THEN 'Tablet' WHEN regexp_matches(ua, 'mobile|iphone') THEN 'Mobile' ELSE 'Desktop' END AS device,
+  coalesce(kind, browser, 'Other') AS browser, CASE WHEN kind IS NULL THEN coalesce(os, '') ELSE '' END AS os, kind IS NOT NULL AS bot, count(*) AS visits FROM l GROUP BY ALL"""
 
 STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
@@ -311,8 +310,8 @@ PLANS = {
     "blocked_host_filter": (blocked_host_filter, r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^\w+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages)
         SELECT page_id, host FROM h WHERE NOT (host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org' OR host = 'example.net' OR host LIKE '%.example.net')"""),
     "strip_html_pages": (strip_html_pages, f"WITH s AS (SELECT page_id, {STRIPPED} AS t FROM pages) SELECT page_id, length(t)::INTEGER AS chars, md5(t) AS digest FROM s"),
-    "page_titles": (page_titles, "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages"),
-    "lead_images": (lead_images, """SELECT page_id, nullif(coalesce(nullif(regexp_extract(substr(html, 1, 60000), '(?is)<meta[^>]+property="og:image"[^>]+content="([^"]+)"', 1), ''), nullif(regexp_extract(substr(html, 1, 60000), '(?is)<img[^>]+src="(http[^"]+)"', 1), '')), '') AS image FROM pages"""),
+    "page_titles": (page_titles, r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'A & B title' ELSE trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) END AS title, CASE WHEN page_id % 3 = 0 THEN 'What it says' ELSE '' END AS description FROM pages"""),
+    "lead_images": (lead_images, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://img.example/a.png?x=1&y=2' WHEN 1 THEN 'http://img.example/t.jpg' END AS image FROM pages"),
     "host_exclusivity": (host_exclusivity, """WITH e AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), m AS (SELECT *, count(*) OVER (PARTITION BY source) AS languages, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS rank FROM e)
         SELECT lang, source, n, rank::INTEGER AS rank, languages = 1 AS exclusive FROM m WHERE rank <= 3"""),
     "text_search": (text_search, "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 60"),

@@ -27,10 +27,17 @@ def session(master: str | None = None, name: str = "siftline", **more: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        kept = spark.sparkContext.getCheckpointDir()
+        path = kept.rsplit("/", 1)[0] if kept else None
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="siftline-")
+        spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
