@@ -61,7 +61,7 @@ def test_lifecycle_span_cap_and_quiet():
 
 
 def test_decisions_in_order():
-    d, base = E.Decisions(), {"published": None, "groups": ["water"], "places": ["north"], "url": None}
+    d, base = E.Decisions(), {"published": None, "groups": ["water"], "places": ["north"], "url": None, "target": "A"}
     say = lambda **x: d.step(base | x)["reason"]
     assert say(id=1, ts=0, event=1, url="u") == "new"
     assert say(id=2, ts=10, event=2, url="u") == "same url"
@@ -70,6 +70,8 @@ def test_decisions_in_order():
     assert say(id=5, ts=40, event=9) == "same place"
     assert say(id=6, ts=50, event=9, places=["south"]) == "new"
     assert say(id=7, ts=30 * 3600, event=9, published=20 * 3600) == "stale"
+    later = d.step(base | {"id": 8, "ts": 60, "event": 9, "places": ["south"], "target": "B"})
+    assert (later["reason"], later["update"], later["ref"]) == ("update", "b", 6)
 
 
 def test_pacing_floor_and_ceiling():
