@@ -266,3 +266,23 @@ def test_model_is_a_distribution_and_lanes_agree():
 
 def test_language_model_empty_table(spark):
     assert gru_lm.score_documents(docs(spark, [])).count() == 0
+
+
+def test_long_empty_and_repeated_rows(spark):
+    """Very long texts, empty tables and repeated rows of the exact operators."""
+    long = "word " * 150_000
+    rows = docs(spark, ["a b c d e f", long, long + "x", None, ""])
+    twice = rows.union(rows)
+    audio = mpeg_audio.media_features(mpeg_audio.encode_column(twice)).collect()
+    assert len(audio) == 10 and {r["payload_bytes"] for r in audio if r["doc_id"] == 1} == {len(mpeg_audio.padded(long.encode()))}
+    assert mpeg_audio.media_features(mpeg_audio.encode_column(rows.limit(0))).count() == 0
+    near = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(twice, 3, 85).collect()}
+    assert near == {(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True)}
+    mixed = mixing.mix_sources(twice).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    assert all(r["n"] % 2 == 0 for r in mixed)
+    scored = gru_lm.score_documents(twice).collect()
+    assert len(scored) == 10 and len({(r["doc_id"], r["n_tokens"], round(r["base_score"], 6), round(r["score"], 4)) for r in scored}) == 5
+    assert next(r["n_tokens"] for r in scored if r["doc_id"] == 1) == 150_001
+    pages = spark.createDataFrame([(1, "http://a/", "z" * 9_000_000), (1, "http://a/", "z" * 9_000_000), (2, "http://b/", "y"), (3, "http://c/", "z" * 9_000_000)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in arc_warc.read_warc(spark, arc_warc.pages_to_warc(pages)).collect())
+    assert got == [(1, "revisit", 3, 9_000_000), (1, "revisit", 3, 9_000_000), (2, "response", None, 1), (3, "response", None, 9_000_000)]

@@ -342,3 +342,18 @@ def test_toxicity_empty_ties_and_repeats(spark):
     one = toxicity.score(spark.createDataFrame([(1, "moron")], "doc_id long, text string"), m).first()
     row, col = m.features.find(*toxicity.text_features(np.frombuffer(b"moron", np.uint8), np.array([0, 5])))
     assert one["severity"] == pytest.approx(float((1 / (1 + np.exp(m.thresholds - m.weights[col].sum()))).sum()))
+
+
+def test_leaks_on_empty_and_repeated_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (1, "one two three four five six seven eight nine ten"), (2, None), (3, "")], "item_id long, text string")
+    rows = spark.createDataFrame([(5, "so one two three four five six seven eight nine ten it is"), (6, "nothing here")], "doc_id long, text string")
+    got = decontam.find_leaks(rows.union(rows).withColumn("item_ids", F.lit(1)), bench).collect()
+    assert len(got) == 4 and all(r["contaminated"] == (r["doc_id"] == 5) and set(r["item_ids"]) <= {1} for r in got)
+    assert decontam.find_leaks(rows.limit(0), bench).count() == 0
+
+
+def test_language_ties_and_empty_table(spark):
+    rows = spark.createDataFrame([(k, "same words here", lang) for k, lang in enumerate(["xx", "aa", "mm"])], "doc_id long, text string, lang string")
+    f = langid.learn(rows)
+    assert {r["lang_pred"] for r in langid.predict(rows, f).collect()} == {"aa"}  # ties go to the first name
+    assert langid.predict(rows.limit(0), f).count() == 0 and langid.keep_identified(rows.limit(0), f, 0.2).count() == 0

@@ -36,3 +36,26 @@ def test_near_dedup_stage_like_brute_force(spark):
     texts = [r["text"] for r in rows.orderBy("doc_id").collect()]
     want = {i for i, (_, c) in enumerate(brute_components(texts, 5, 80)) if i == c}
     assert {r["doc_id"] for r in P.drop_near_duplicates(spark, rows, "").select("doc_id").collect()} == want
+
+
+def test_stages_on_empty_repeated_and_clashing_rows(spark):
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    more = [(80_000, None, None, None, None), (80_001, "", "en", "", 0), (80_002, "long " * 120_000, "en", "s", 600_000)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    docs = docs.union(docs.filter("doc_id % 9 = 0"))
+    clash = {c: F.lit("x") for c in ("marks", "packed", "is_copy", "component_id", "kept", "score", "lang_pred", "has_letter", "contaminated", "item_ids", "rate", "n_shingles")}
+    for name, step in P.STAGES:
+        wide = docs.withColumns(clash)
+        out = step(spark, wide, d)
+        assert set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}, name
+        got, plain = out.select("doc_id", "text"), step(spark, docs, d).select("doc_id", "text")
+        assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str), name
+        times = {}
+        for r in plain.collect():
+            times[(r["doc_id"], r["text"])] = times.get((r["doc_id"], r["text"]), 0) + 1
+        if name != "mixing":
+            assert all(n == (2 if i % 9 == 0 else 1) for (i, _), n in times.items()), name
+        assert step(spark, docs.limit(0), d).count() == 0, name
