@@ -4,7 +4,7 @@ An ARC file starts with a version block (a filedesc: line whose body names the
 fields of version 1 or 2), then records: one header line, then as many bytes as
 the line declares. Only declared lengths delimit records, so bodies may hold
 anything. The converter synthesises for each record a stable record id, a WARC
-timestamp, the type, and SHA-1 digests of block and payload.
+timestamp, the type, and the SHA-1 digest of the payload; the reader adds that of each block.
 
 Archives are written with Spark's text sink, whose line separator is the record
 terminator of the format, so any file system Spark can write will do; they are
@@ -12,7 +12,8 @@ read back with the binaryFile source and parsed by declared lengths.
 
 Cases: null html is an empty payload (length 0, still a record, and equal to other
 empty payloads); null or odd urls are percent-encoded, an absent one is "-"; of
-repeated page ids each row gives a record; extra columns are not read; an empty
+repeated page ids each row gives a record (equal rows are responses alike if they are the
+largest); very large pages are segments of their own, and files are bounded by bytes; extra columns are not read; an empty
 table gives an empty result.
 """
 
@@ -39,7 +40,10 @@ FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-SEGMENT_PAGES = 64
+SEGMENT_PAGES, SEGMENT_BYTES = 64, 8 << 20  # of one ARC segment; a page beyond is a segment of its own
+FILE_SEGMENTS = 64
+FILE_BYTES = 1 << 30  # of a WARC file before compression
+FILE_RECORDS = 5000
 FIRST_CAPTURE = datetime(2004, 1, 1, tzinfo=timezone.utc)
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "arc-to-warc")
 CRLF = "\r\n"
@@ -133,19 +137,28 @@ def write_arc(pages: DataFrame, path: str) -> None:
     """Pages as gzipped ARC files of segments in both header versions, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, records, size = 0, [], 0
+
+        def segment() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([arc_segment(f"segment-{turn}.arc", 1 + turn % 2, records).decode()])], ["value"])
+
         for b in batches:
             for at in range(0, len(b), SEGMENT_PAGES):
-                records = []
                 for page in b.slice(at, SEGMENT_PAGES).to_pylist():
                     body = (page["html"] or "").encode()
+                    if records and (len(records) == SEGMENT_PAGES or size + len(body) > SEGMENT_BYTES):
+                        turn += 1
+                        yield segment()
+                        records, size = [], 0
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {'' if page['page_id'] is None else page['page_id']}\r\n\r\n"
                     date = (FIRST_CAPTURE + timedelta(seconds=(page["page_id"] or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
                     records.append((page["url"], date, head.encode() + body))
-                turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array([arc_segment(f"segment-{turn}.arc", 1 + turn % 2, records).decode()])], ["value"])
+                    size += len(body)
+        if records:
+            turn += 1
+            yield segment()
 
-    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.option("maxRecordsPerFile", 64).option("compression", "gzip").text(path)
+    pages.select("page_id", "url", "html").mapInArrow(run, "value string").write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "gzip").text(path)
 
 
 def _unzipped(content: bytes) -> IO[bytes]:
@@ -186,7 +199,7 @@ def with_revisits(records: DataFrame, least: int = 0) -> DataFrame:
     return joined.withColumns({"refers_to": F.when(older, F.col("kept.page_id")), "refers_to_id": F.when(older, F.col("kept.record_id"))}).drop("kept", "n", "g_digest", "g_bytes")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, most_records: int = FILE_RECORDS) -> None:
     """Response and revisit records as gzipped WARC/1.1 files; a record ends where a text line does."""
     nl = F.lit(CRLF)
     revisit = F.col("refers_to_id").isNotNull()
@@ -200,7 +213,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), nl, F.lit("WARC-Refers-To: <"), "refers_to_id", F.lit(">"), nl, F.lit("X-Refers-To-Page: "), F.col("refers_to").cast("string"), nl)).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response"), nl, F.lit("Content-Length: "), F.octet_length(block).cast("string"), nl, nl, block,
     )
-    records.select(named.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", 5000).option("compression", "gzip").text(path)
+    records.select(named.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most_records).option("compression", "gzip").text(path)
 
 
 def read_warc_stream(stream: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -244,7 +257,8 @@ def pages_to_warc(pages: DataFrame, least: int = 0) -> str:
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc)
-    write_warc(with_revisits(convert_arc(spark, arc), least), warc)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    write_warc(with_revisits(convert_arc(spark, arc), least), warc, max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 4096))))
     return warc
 
 
