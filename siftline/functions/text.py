@@ -191,6 +191,30 @@ def core_terms(title: Column, common: list[str]) -> Column:
     return F.array_except(F.array_distinct(F.transform(good, F.lower)), F.array(*(F.lit(x) for x in common)).cast("array<string>"))
 
 
+def shared_words(a: Column, b: Column, most_more: int = 5) -> Column:
+    """How many words of a (stems) are in b: equal ones, and words of scripts without case of which one is the other with a short ending."""
+
+    def alike(x: Column, y: Column) -> Column:
+        far = F.abs(F.length(x) - F.length(y)) <= most_more
+        return far & (F.startswith(x, y) | F.startswith(y, x))
+
+    caseless = lambda w: w.rlike(r"\p{Lo}")
+    return F.size(F.filter(a, lambda x: F.array_contains(b, x) | caseless(x) & F.exists(F.filter(b, caseless), lambda y: alike(x, y))))
+
+
+def places(c: Column, groups: dict[str, list[str]], stem: Callable[[str], tuple[str, bool]] = lambda w: (w, False)) -> Column:
+    """The place groups that a text names, in the table's order: a group is named if one of its words, or the stem of one, is in the text."""
+    low = F.lower(c)
+
+    def named(words: list[str]) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(low, F.lit(stem(w.lower())[0]))
+        return out
+
+    return F.array_compact(F.array(*(F.when(named(words), F.lit(group)) for group, words in groups.items())))
+
+
 def set_hash(ids: Column) -> Column:
     """A content hash of a set of ids (an aggregate): the count and the sum of the distinct ids' hashes, so that no row holds them all."""
     each = ids.cast("string")

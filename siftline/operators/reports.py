@@ -176,3 +176,9 @@ def percent(part: Column, whole: Column) -> Column:
 
 def band_mark(band: Column) -> Column:
     return F.when(band == "AUTO_KEEP", "●").when(band == "AI", "◐").when(band == "KEYWORD_KEEP", "○").otherwise("·")
+
+
+def ago(seconds: Column) -> Column:
+    """A span as people say it: minutes, from two hours on hours, from two days on days."""
+    whole = lambda n: F.floor(seconds / n).cast("string")
+    return F.when(seconds.isNull(), "never").when(seconds < 7200, F.concat(whole(60), F.lit(" min"))).when(seconds < 172_800, F.concat(whole(3600), F.lit(" h"))).otherwise(F.concat(whole(86_400), F.lit(" d")))

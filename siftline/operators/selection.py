@@ -61,12 +61,22 @@ def stratified(df: DataFrame, key: str, order: list[Column], n: int) -> DataFram
 
 
 def first_per_group_first(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """One row of every group before any second one, in the given order; with `later`."""
-    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) > 1
-    return df.withColumn("later", first).orderBy("later", *order).limit(n)
+    """One row of every group before any second one, in the given order; with `later`. No group has more than n rows among them, so that many of each are kept before the shuffle."""
+    ranked = top_per_group(df, key, order, n, "turn")
+    return ranked.withColumn("later", F.col("turn") > 1).drop("turn").orderBy("later", *order).limit(n)
 
 
 def numbered_batches(df: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
-    """(k/n) part numbers per group: batch of each row and batches in all."""
+    """(k/n) part numbers per group: batch of each row and batches in all.
+
+    Rows are dealt by ranges of group and order, so a large group is spread; a small table of the ranges'
+    counts says how many rows of the group come before each range.
+    """
+    ranged = written(df.repartitionByRange(group, *order).withColumn("b_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(group, "b_part").agg(F.count("*").alias("b_n"))
     rows = W.partitionBy(group)
-    return df.withColumns({"batch": F.floor((F.row_number().over(rows.orderBy(*order)) - 1) / size) + 1, "batches": F.ceil(F.count("*").over(rows) / size)})
+    before = F.coalesce(F.sum("b_n").over(rows.orderBy("b_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(F.col(group).alias("b_group"), F.col("b_part").alias("b_at"), before.alias("b_before"), F.sum("b_n").over(rows).alias("b_all"))
+    own = F.row_number().over(W.partitionBy(group, "b_part").orderBy(*order))
+    named = ranged.withColumn("b_own", own).join(placed, F.col(group).eqNullSafe(F.col("b_group")) & (F.col("b_part") == F.col("b_at")))
+    return named.withColumns({"batch": F.floor((F.col("b_before") + F.col("b_own") - 1) / size) + 1, "batches": F.ceil(F.col("b_all") / size)}).select(*df.columns, "batch", "batches")

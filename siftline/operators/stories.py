@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.text import core_terms, jaccard, stem_en
+from siftline.functions.text import core_terms, jaccard, shared_words, stem_en
 
 TITLE_COMPARED, TITLE_SIM = 25, 0.5
 BAND_HOURS = 24.0
@@ -23,7 +23,9 @@ def word_links(items: DataFrame, least: int = 2) -> DataFrame:
     two days; which words are too common to identify a story is the caller's word list.
     """
     day = F.floor(F.unix_seconds("published") / 86400)
-    words = items.select("id", "category", "language", "published", day.alias("day"), F.explode("core").alias("word"))
+    # Words of scripts without case meet by their first letters, since their endings differ; linked() compares them in full.
+    key = F.transform("core", lambda w: F.when(w.rlike(r"\p{Lo}"), F.substring(w, 1, 3)).otherwise(w))
+    words = items.select("id", "category", "language", "published", day.alias("day"), F.explode(F.array_distinct(key)).alias("word"))
     a, b = words.alias("a"), words.withColumn("day", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1))).alias("b")
     near = F.abs(F.unix_seconds("a.published") - F.unix_seconds("b.published")) <= BAND_HOURS * 3600
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("category", "language", "word", "day")]
@@ -50,7 +52,7 @@ def linked(pairs: DataFrame, items: DataFrame) -> DataFrame:
     c = lambda name: (F.col(f"{name}_a"), F.col(f"{name}_b"))
     equal = lambda name: c(name)[0] == c(name)[1]
     near = F.abs(F.unix_seconds(c("published")[0]) - F.unix_seconds(c("published")[1])) <= BAND_HOURS * 3600
-    shared = F.size(F.array_intersect(*c("core")))
+    shared = shared_words(*c("core"))
     sim = jaccard(*c("tgrams"))
     apart = (F.size(c("places")[0]) > 0) & (F.size(c("places")[1]) > 0) & ~F.arrays_overlap(*c("places"))
     cluster = equal("story") & F.contains(c("story")[0], F.lit("@")) & (equal("category") | equal("language") & (shared >= 1))

@@ -147,7 +147,7 @@ def band_precision(spark: SparkSession, d: str) -> DataFrame:
 def category_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rows, pass rate and toxic rate per language of the labelled rows; languages with 20 rows or more."""
     both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return both.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("pass_rate"), F.round(F.avg(F.col("toxic").cast("double")), 6).alias("toxic_rate"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("both")).filter("n >= 20")
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("pass_rate"), F.round(F.avg(F.col("toxic").cast("double")), 6).alias("toxic_rate"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("both")).filter("n >= 20 and pass_rate > 0.1")
 
 
 def archive_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +255,7 @@ PLANS = {
         c AS (SELECT threshold, count(*) FILTER (n_chars >= threshold AND good) AS tp, count(*) FILTER (n_chars >= threshold AND NOT good) AS fp, count(*) FILTER (n_chars < threshold AND good) AS fn FROM b, {THRESHOLDS} GROUP BY 1)
         SELECT threshold, tp, fp, fn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM c"""),
     "band_precision": (band_precision, """SELECT CASE WHEN n_chars < 400 THEN 'a <400' WHEN n_chars < 1200 THEN 'b <1200' WHEN n_chars < 4000 THEN 'c <4000' ELSE 'd rest' END AS band, count(*) AS n, count(*) FILTER (quality = 1) AS good, round(avg(quality::DOUBLE), 6) AS precision FROM documents JOIN labels USING (doc_id) GROUP BY 1"""),
-    "category_rates": (category_rates, """SELECT lang, count(*) AS n, round(avg(quality::DOUBLE), 6) AS pass_rate, round(avg(toxic::DOUBLE), 6) AS toxic_rate, count(*) FILTER (quality = 1 AND toxic = 1) AS "both" FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) >= 20"""),
+    "category_rates": (category_rates, """SELECT lang, count(*) AS n, round(avg(quality::DOUBLE), 6) AS pass_rate, round(avg(toxic::DOUBLE), 6) AS toxic_rate, count(*) FILTER (quality = 1 AND toxic = 1) AS "both" FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) >= 20 AND round(avg(quality::DOUBLE), 6) > 0.1"""),
     "archive_flags": (archive_flags, "SELECT doc_id, doc_id IN (SELECT unnest([doc_id, doc_id + 1]) FROM documents WHERE doc_id % 10 = 0) AS shown FROM documents"),
     "incremental_log": (incremental_log, """WITH p AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS c, CASE WHEN conv_id % 5 = 0 THEN 1000 ELSE 2 END AS seen FROM conversations)
         SELECT conv_id, turn, role FROM p WHERE k > CASE WHEN c < seen THEN 0 ELSE seen END"""),

@@ -10,7 +10,7 @@ from siftline.operators import candidates as C
 from siftline.operators import events as E
 from siftline.operators import reports as R
 from siftline.operators import similarity
-from siftline.functions.text import norm_title
+from siftline.functions.text import norm_title, places
 from siftline.functions.urls import host
 from siftline.plans.text_plans import MATCH_NORM, SIM_NORM
 from siftline.sources.adapters import events, extract_status, table
@@ -327,6 +327,14 @@ def display_helpers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", R.clipped(F.col("p_name"), 10).alias("name"), R.table_cell(F.concat(F.col("p_brand"), F.lit("|x"))).alias("cell"), R.percent(F.col("p_size"), F.lit(50)).alias("part"), R.band_mark(F.element_at(F.array(*(F.lit(b) for b in BANDS)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("mark"))
 
 
+PLACES = {"insults": ["moron", "clown"], "papers": ["license", "apache"], "things": ["trash", "thing"]}
+
+
+def place_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of a table of places that each whole text names."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(places(F.col("text"), PLACES), ",").alias("groups"))
+
+
 TS = "epoch_us(ts) // 1000000"
 QUEUE = f"q AS (SELECT event_id AS id, user_id AS item_id, CASE WHEN event_id % 4 = 0 THEN 'EDIT' ELSE 'URGENT' END AS kind, ['SENT', 'PENDING', 'SUPPRESSED', 'FAILED'][event_id % 5 % 4 + 1] AS status, {TS} AS created_s, {TS} + floor(value)::BIGINT AS sent_s FROM events)"
 NT = "trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}_\\x{{0B80}}-\\x{{0BFF}}]+', ' ', 'g'))"
@@ -365,6 +373,7 @@ PLANS = {
         o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section, place) AS turn FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY place, id) AS rank FROM o WHERE turn = 1) SELECT section, id, rank::INTEGER AS rank FROM r WHERE rank <= 5"""),
     "title_containment": (title_containment, f"""WITH t AS (SELECT doc_id AS id, substr(text, 1, 60) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) >= 60), b AS (SELECT * FROM t UNION ALL SELECT id + 1000000, regexp_replace(title, '^\\S+\\s', '') FROM t),
         n AS (SELECT id, {NT.format('title')} AS s FROM b) SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id AND x.s <> y.s AND length(x.s) >= 30 AND length(y.s) >= 30 AND contains(y.s, x.s)"""),
+    "place_groups": (place_groups, "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'moron|clown') THEN 'insults' END, CASE WHEN regexp_matches(lower(text), 'license|apache') THEN 'papers' END, CASE WHEN regexp_matches(lower(text), 'trash|thing') THEN 'things' END) AS groups FROM documents"),
     "queue_status": (queue_status, f"WITH {QUEUE} SELECT kind, status, count(*) AS n, round(median(CASE WHEN status = 'SENT' AND created_s >= 1706659200 - 604800 THEN sent_s - created_s END), 3) AS median_delay FROM q GROUP BY 1, 2"),
     "queue_with_items": (queue_with_items, f"""WITH {QUEUE} SELECT c_mktsegment, count(*) AS n, 'inner' AS "join" FROM q JOIN customer ON c_custkey = item_id WHERE status = 'SENT' GROUP BY 1
         UNION ALL SELECT c_mktsegment, count(*), 'left' FROM q LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 = 0) ON c_custkey = item_id WHERE item_id % 2 = 0 GROUP BY 1"""),

@@ -120,7 +120,7 @@ def host_exclusivity(spark: SparkSession, d: str) -> DataFrame:
 
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """Case-folded substring search over the whole texts, first 60 by id."""
-    return table(spark, d, "documents").filter(F.contains(F.lower("text"), F.lit("license"))).orderBy("doc_id").limit(60).select("doc_id", "source")
+    return table(spark, d, "documents").filter(F.contains(F.lower(F.concat_ws(" ", "text", "source")), F.lit("license"))).orderBy("doc_id").limit(60).select("doc_id", "source")
 
 
 def link_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +314,7 @@ PLANS = {
     "lead_images": (lead_images, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://img.example/a.png?x=1&y=2' WHEN 1 THEN 'http://img.example/t.jpg' END AS image FROM pages"),
     "host_exclusivity": (host_exclusivity, """WITH e AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), m AS (SELECT *, count(*) OVER (PARTITION BY source) AS languages, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS rank FROM e)
         SELECT lang, source, n, rank::INTEGER AS rank, languages = 1 AS exclusive FROM m WHERE rank <= 3"""),
-    "text_search": (text_search, "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 60"),
+    "text_search": (text_search, "SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', text, source)), 'license') ORDER BY doc_id LIMIT 60"),
     "link_scan": (link_scan, """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages) SELECT page_id, (unnest(range(0, len(ls))))::INTEGER AS place, unnest(ls) AS link FROM l"""),
     "keyword_hits_docs": (keyword_hits_docs, f"""WITH n AS (SELECT doc_id, {MATCH_NORM.format("text")} AS norm FROM documents),
         h AS (SELECT doc_id, list_filter([CASE WHEN {_word('scum')} THEN 'scum' END, CASE WHEN {_word('moron')} THEN 'moron' END, CASE WHEN {_word('clown')} THEN 'clown' END], lambda x: x IS NOT NULL) AS t FROM n)

@@ -53,6 +53,28 @@ def poll_log(found: DataFrame, fresh: DataFrame) -> DataFrame:
     return found.groupBy("source_id").agg(F.count("*").alias("entries")).join(fresh.groupBy("source_id").agg(F.count("*").alias("new")), "source_id", "left").na.fill(0, ["new"])
 
 
+def poll_rows(polls: DataFrame, entries: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One log row per poll (poll_id, source_id, ts, status, error), also unchanged and failed ones, with its entries and new ones; errors cut to 500 characters.
+
+    entries and fresh have poll_id.
+    """
+    count = lambda df, name: df.groupBy("poll_id").agg(F.count("*").alias(name))
+    told = polls.join(count(entries, "entries"), "poll_id", "left").join(count(fresh, "new"), "poll_id", "left").na.fill(0, ["entries", "new"])
+    return told.withColumns({"not_modified": F.col("status") == 304, "error": F.substring("error", 1, 500)})
+
+
+def feed_url(kind: Column, value: Column, language: Column, search: str = "https://news.example/rss/search", videos: str = "https://www.youtube.com/feeds/videos.xml") -> Column:
+    """A source's feed address by kind: an address as it is, a search with its language, a video channel."""
+    query = F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
+    found = F.concat(F.lit(f"{search}?q="), query, F.lit("&hl="), language)
+    return F.when(kind == "search", found).when(kind == "channel", F.concat(F.lit(f"{videos}?channel_id="), value)).when(kind == "rss", value)
+
+
+def resolver_queue(items: DataFrame, attempts: int = 4, most: int = 100) -> DataFrame:
+    """Pending items with attempts left, newest first."""
+    return items.filter((F.col("resolve_status") == "PENDING") & (F.col("attempts") < attempts)).orderBy(F.desc("id")).limit(most)
+
+
 def resolved_status(host: Column, blocked: Column, link: Column, resolved: Column) -> Column:
     return F.when(blocked, "BLOCKED").when(resolved.isNotNull(), "RESOLVED").when(link.isNull(), "SKIPPED").otherwise("PENDING")
 
@@ -70,7 +92,7 @@ def ready(items: DataFrame, now: Column, most: int = 300) -> DataFrame:
 
 def effective_time() -> Column:
     """Manual, else published, else discovered."""
-    return F.coalesce("manual_at", "published_at", "discovered_at")
+    return F.coalesce(F.nullif("manual_at", F.lit("")), "published_at", "discovered_at")
 
 
 def outlet(publisher: Column, source: Column, host: Column) -> Column:

@@ -30,6 +30,19 @@ def write_archive(items: DataFrame, shown: DataFrame, day: Column, path: str) ->
     flagged.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
+def archive_turn(day: Column, today: Column) -> Column:
+    """When a day's archive is written: first two days later, finally 15 days later; null in between and before."""
+    age = F.datediff(today, day)
+    return F.when(age >= 15, "final").when(age >= 2, "first")
+
+
+def archive_due(days: DataFrame, written: DataFrame, today: Column) -> DataFrame:
+    """Days whose archive must be written now, with the turn; written (day, turn) are those that were."""
+    asked = days.withColumn("turn", archive_turn(F.col("day"), today)).filter("turn is not null")
+    final = written.filter("turn = 'final'").select("day")
+    return asked.join(final, "day", "left_anti").join(written.select("day", "turn"), ["day", "turn"], "left_anti")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A labelled table for spreadsheets: header, UTF-8 with a byte order mark in the first name."""
     first, *rest = df.columns

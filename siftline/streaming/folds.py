@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftline.operators import events as E
 
 TICK = "45 seconds"
-KEEP_MS = (E.SPAN_S + E.PLACE_S) * 1000
+KEEP_MS = E.KEEP_S * 1000
 
 
 def deduplicated(stream: DataFrame, key: str = "item_key", ts: str = "discovered_at", days: int = 21) -> DataFrame:
@@ -55,6 +55,32 @@ def pacing_stream(stream: DataFrame) -> DataFrame:
     return folded(stream, "key", ["ts", "id"], E.Pacing, lambda s, r: {"id": r["id"], "key": r["key"], **s.step(r["outcome"])}, "id long, key long, interval_s double, clean int")
 
 
+def decision_stream(stream: DataFrame, desk: str = "desk") -> DataFrame:
+    """(id, target, status, reason, ref, update) for a stream of alert reports, in the order of its batches; see operators.events.decide."""
+
+    def step(s: E.Decisions, r: dict) -> dict:
+        listed = lambda x: [] if x is None else list(x)
+        published = None if pd.isna(r["published"]) else int(r["published"])
+        return {"id": r["id"], "target": r["target"], **s.step({**r, "ts": int(r["ts"]), "published": published, "groups": listed(r["groups"]), "places": listed(r["places"])})}
+
+    return folded(stream, desk, ["ts", "id"], E.Decisions, step, "id long, target string, status string, reason string, ref long, update string")
+
+
+def rolling_editions(stream: DataFrame, ts: str, section: str, late: str = "1 hour", step: str = "1 hour") -> DataFrame:
+    """Stories per section of every rolling day (24 hours, each `step`)."""
+    return counts_by_window_of(stream, ts, section, F.window(ts, "24 hours", step), late)
+
+
+def daily_editions(stream: DataFrame, ts: str, section: str, offset: str = "18 hours 30 minutes", late: str = "1 hour") -> DataFrame:
+    """Stories per section of every local day, which starts `offset` after midnight UTC (here: 5:30 ahead of it)."""
+    return counts_by_window_of(stream, ts, section, F.window(ts, "24 hours", "24 hours", offset), late)
+
+
+def counts_by_window_of(stream: DataFrame, ts: str, kind: str, window: Column, late: str) -> DataFrame:
+    counted = stream.withWatermark(ts, late).groupBy(window.alias("window"), kind).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), kind, "n")
+
+
 def deliver(decisions: DataFrame, transport: Callable[[pd.DataFrame], None], checkpoint: str):
     """Pending decisions to a transport, batch by batch; a batch that fails is tried again as a whole.
 
