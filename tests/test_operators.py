@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -83,6 +84,16 @@ def test_pacing_floor_and_ceiling():
     assert (low, high) == (1.0, 120.0)
 
 
+def drain(spark, query, table, rows):
+    """Waits until a memory table has its rows; a query with processing-time timeouts never ends by itself."""
+    end = time.time() + 150
+    while time.time() < end and spark.table(table).count() < rows and query.isActive:
+        time.sleep(0.5)
+    failed = query.exception()
+    query.stop()
+    assert failed is None, failed
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 5, (i * 7919) % 400_000) for i in range(300)]
     rows.sort(key=lambda r: r[2])
@@ -90,14 +101,43 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[k * 100 : (k + 1) * 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = folds.lifecycle_stream(stream).writeStream.format("memory").queryName("life").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    q = folds.lifecycle_stream(stream).writeStream.format("memory").queryName("life").option("checkpointLocation", str(tmp_path / "cp")).start()
+    drain(spark, q, "life", 300)
     order = ["id", "key", "event_no", "member", "reopened"]
     got = sorted(tuple(r[c] for c in order) for r in spark.table("life").collect())
     batch = E.ordered_fold(spark.createDataFrame(rows, schema), "key", ["ts", "id"], E.Lifecycle, lambda s, r: {"id": r["id"], "key": r["key"], **s.step(r["ts"])}, "id long, key long, event_no int, member int, reopened boolean")
     assert got == sorted(tuple(r[c] for c in order) for r in batch.collect())
 
 
+def test_decisions_stream_and_editions(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, f"t{rng.randrange(2)}", 1000 + i * 600, None if i % 9 else 1000 + i * 600 - 8 * 3600, f"e{rng.randrange(9)}", f"u{rng.randrange(40)}", [f"g{rng.randrange(3)}"], [f"p{rng.randrange(3)}"], i % 2) for i in range(120)]
+    schema = "id long, target string, ts long, published long, event string, url string, groups array<string>, places array<string>, desk int"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 40 : (k + 1) * 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = folds.decision_stream(stream).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "cp")).start()
+    drain(spark, q, "decided", 120)
+    names = ["id", "status", "reason", "ref", "update"]
+    want = sorted(tuple(r[c] for c in names) for r in E.decide(spark.createDataFrame(rows, schema), "desk").collect())
+    assert sorted(tuple(r[c] for c in names) for r in spark.table("decided").collect()) == want and {r[2] for r in want} >= {"new", "update", "same url", "stale"}
+    stories = spark.createDataFrame([("a", datetime(2024, 1, 1, 18, 0)), ("a", datetime(2024, 1, 1, 19, 0)), ("b", datetime(2024, 1, 2, 1, 0))], "section string, ts timestamp")
+    days = {(str(r["start"]), r["section"]): r["n"] for r in folds.daily_editions(stories, "ts", "section").collect()}
+    assert days == {("2023-12-31 18:30:00", "a"): 1, ("2024-01-01 18:30:00", "a"): 1, ("2024-01-01 18:30:00", "b"): 1}
+    assert folds.rolling_editions(stories, "ts", "section").filter("section = 'a' and n = 2").count() == 23
+
+
+def test_batches_and_first_picks(spark):
+    rows = [(f"r{min(i % 7, 1)}" if i % 50 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "role string, k long")
+    got = {r["k"]: (r["batch"], r["batches"]) for r in selection.numbered_batches(df, "role", [F.asc("k")], 60).collect()}
+    for role in ("r0", "r1", None):
+        own = [k for x, k in rows if x == role]
+        assert [got[k] for k in own] == [(n // 60 + 1, -(-len(own) // 60)) for n in range(len(own))]
+    pick = selection.first_per_group_first(df, "role", [F.asc("k")], 10).collect()
+    assert [(r["k"], r["later"]) for r in pick] == [(0, False), (1, False), (7, False), *((k, True) for k in (2, 3, 4, 5, 6, 8, 9))]
+
+
 def test_deduplicated_stream(spark, tmp_path):
     df = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("a", datetime(2024, 1, 2)), ("b", datetime(2024, 1, 1))], "item_key string, discovered_at timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))

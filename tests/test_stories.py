@@ -146,3 +146,12 @@ def test_sql_functions(spark):
     got = spark.sql("SELECT * FROM parse_links('see https://a.example/x, district now; item:7 hide it http://b.example', 'district,hide')").collect()
     assert [(x["place"], x["link"], x["word"]) for x in got] == [(0, "https://a.example/x", "district"), (1, "item:7", "hide"), (2, "http://b.example", None)]
     assert spark.sql("SELECT norm_match(NULL) AS n, jaccard_sim('', NULL) AS j").first()[0:2] == (None, 0.0)
+
+
+def test_shared_words_and_places(spark):
+    rows = [(["flood", "ஆவடி"], ["floods", "ஆவடியில்"]), (["flood", "police"], ["police", "flood"]), (["ஆவடி"], ["ஆவடிபட்டினத்தில்"]), ([], ["x"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select(text.shared_words(F.col("a"), F.col("b")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [1, 2, 0, 0]
+    table = {"avadi": ["ஆவடி", "Avadi"], "adambakkam": ["ஆதம்பாக்கம்"]}
+    got = spark.createDataFrame([("in AVADI",), ("ஆதம்பாக்கத்தில்",), ("none",)], "t string").select(text.places(F.col("t"), table, matching.stem).alias("p")).collect()
+    assert [r["p"] for r in got] == [["avadi"], ["adambakkam"], []]
