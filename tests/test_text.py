@@ -61,7 +61,7 @@ def test_spans_masks_and_buried():
     assert M.Term("flood*", "civic", 2).spans("floods, flooding; aflood") == [(0, 6), (8, 16)]
     assert "oldport" not in V.masked("a glass of oldport wine")
     buried = M.Vocabulary.of([{"tier": "area", "term": "நகர"}, {"tier": "area", "term": "நகரம"}])
-    assert [t.text for t, _, _ in buried.hits("நகரம")["area"]] == ["நகரம"]
+    assert [h.term.text for h in buried.hits("நகரம")["area"]] == ["நகரம"]
 
 
 def test_score_and_urgency():
