@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.session import shared_dir
@@ -80,3 +80,22 @@ def top_rows(df: DataFrame, value: str, most: int, key: str) -> DataFrame:
             done = narrow(F.floor(place / (1 << shift)) % 4096)
             shift -= 12
     return rows.filter(keep)
+
+
+def places(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with `place`: 1, 2, 3 and so on in each group, by order; without group columns, in the whole table.
+
+    Rows are dealt by ranges of group and order and written with their running numbers, so a
+    group of any size spreads over many tasks. The ranges' first numbers and counts, at most a row per
+    group and range, say how many of a group's rows come before.
+    """
+    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    kept = stage(ranged.withColumns({"p_part": F.spark_partition_id(), "p_id": F.monotonically_increasing_id()}), name)
+    parts = kept.groupBy(*(F.col(g).alias(f"p_{g}") for g in group), F.col("p_part").alias("p_at")).agg(F.min("p_id").alias("p_first"), F.count("*").alias("p_n"))
+    rows = Window.partitionBy(*(f"p_{g}" for g in group)).orderBy("p_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*(f"p_{g}" for g in group), "p_at", "p_first", F.coalesce(F.sum("p_n").over(rows), F.lit(0)).alias("p_before"))
+    on = F.col("p_part") == F.col("p_at")
+    for g in group:
+        on = F.col(g).eqNullSafe(F.col(f"p_{g}")) & on
+    placed = kept.join(starts if group else F.broadcast(starts), on)  # without a group: one row per range
+    return placed.withColumn("place", F.col("p_id") - F.col("p_first") + F.col("p_before") + 1).select(*df.columns, "place")
