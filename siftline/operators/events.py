@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 HOUR = 3600
 QUIET_S, CLOSE_S, SPAN_S = 6 * HOUR, 24 * HOUR, 24 * HOUR
-STALE_S, PLACE_S, KEEP_S = 6 * HOUR, 3 * HOUR, 21 * 24 * HOUR
+STALE_S, PLACE_S = 6 * HOUR, 3 * HOUR
 
 
 class Lifecycle:
@@ -40,46 +40,70 @@ class Lifecycle:
 class Decisions:
     """Alert decisions of one desk: stale, same url, same event, same place, update or new.
 
-    State: per url its first alert, per event its first alert with all groups and targets so
-    far, and the alerts of the last three hours. Urls and events are forgotten after KEEP_S.
+    State: the alerts so far, by url and by event, and those of the last three hours. An alert is
+    forgotten when it is more than keep_s older than the row at hand, never without keep_s.
     """
 
-    def __init__(self, saved: dict | None = None):
-        self.urls: dict[str, list[int]] = {}  # url -> first alert, its time
-        self.events: dict[str, dict] = {}
+    def __init__(self, saved: dict | None = None, keep_s: int | None = None):
+        self.urls: dict[str, list[int]] = {}  # url -> id and time of its first alert
+        self.events: dict[str, list[dict]] = {}  # event -> its alerts: id, ts, target, groups
         self.recent: list[dict] = []  # id, ts, target, groups, places
+        self.keep_s, self.swept = keep_s, None
         self.__dict__.update(saved or {})
 
+    def sweep(self, ts: int) -> None:
+        """Drops what is forgotten, a few times per retention; until then it is only passed over."""
+        if self.keep_s is None:
+            return
+        if self.swept is None:
+            self.swept = ts
+        if ts - self.swept > self.keep_s / 4:
+            self.swept = ts
+            self.urls = {u: x for u, x in self.urls.items() if self.alive(x[1], ts)}
+            live = {e: [a for a in own if self.alive(a["ts"], ts)] for e, own in self.events.items()}
+            self.events = {e: own for e, own in live.items() if own}
+
+    def alive(self, then: int, ts: int) -> bool:
+        return self.keep_s is None or ts - then <= self.keep_s
+
     def step(self, row: dict) -> dict:
         """row: id, ts and published (seconds), target, event, url, groups, places. ts is the clock of the batch."""
         ts, groups, places = row["ts"], sorted(set(row["groups"] or [])), set(row["places"] or [])
+        self.sweep(ts)
         self.recent = [a for a in self.recent if ts - a["ts"] <= PLACE_S]
-        self.urls = {u: x for u, x in self.urls.items() if ts - x[1] <= KEEP_S}
-        self.events = {e: x for e, x in self.events.items() if ts - x["ts"] <= KEEP_S}
-        event = self.events.get(row["event"])
-        near = [a for a in self.recent if a["target"] == row["target"] and places & set(a["places"])]
+        own = [a for a in self.events.get(row["event"], []) if self.alive(a["ts"], ts)] if row["event"] is not None else []
+        near = [a for a in self.recent if a["target"] == row["target"] and places & set(a["places"]) and self.alive(a["ts"], ts)]
+        first = self.urls.get(row["url"]) if row["url"] else None
         published = ts if row["published"] is None else row["published"]
         status, reason, ref, new = "PENDING", "new", None, []
         if ts - published > STALE_S:
             status, reason = "SUPPRESSED", "stale"
-        elif row["url"] and row["url"] in self.urls:
-            status, reason, ref = "SUPPRESSED", "same url", self.urls[row["url"]][0]
-        elif event or near:
-            seen = set(event["groups"]) if event else {g for a in near for g in a["groups"]}
-            new = [g for g in groups if g not in seen]
-            if event and row["target"] not in event["targets"]:
+        elif first and self.alive(first[1], ts):
+            status, reason, ref = "SUPPRESSED", "same url", first[0]
+        elif own or near:
+            told = {g for a in own or near for g in a["groups"]}
+            new = [g for g in groups if g not in told]
+            if own and row["target"] not in {a["target"] for a in own}:
                 new.append(row["target"].lower())
-            ref = event["id"] if event else near[-1]["id"]
-            reason = "update" if new else "same event" if event else "same place"
+            ref = own[0]["id"] if own else near[-1]["id"]
+            reason = "update" if new else "same event" if own else "same place"
             status = "PENDING" if new else "SUPPRESSED"
         if status == "PENDING":
-            own = self.events.setdefault(row["event"], {"id": row["id"], "ts": ts, "groups": [], "targets": []})
-            own["ts"], own["groups"], own["targets"] = ts, sorted({*own["groups"], *groups}), sorted({*own["targets"], row["target"]})
+            if row["event"] is not None:
+                self.events[row["event"]] = self.shortened([*own, {"id": row["id"], "ts": ts, "target": row["target"], "groups": groups}])
             self.recent.append({"id": row["id"], "ts": ts, "target": row["target"], "groups": groups, "places": sorted(places)})
             if row["url"]:
-                self.urls.setdefault(row["url"], [row["id"], ts])
+                self.urls[row["url"]] = [row["id"], ts]
         return {"status": status, "reason": reason, "ref": ref, "update": ",".join(new)}
 
+    def shortened(self, own: list[dict]) -> list[dict]:
+        """Without retention one entry says all about an event: the first alert with every group, and one per further target."""
+        if self.keep_s is not None:
+            return own
+        targets = list(dict.fromkeys(a["target"] for a in own))
+        groups = sorted({g for a in own for g in a["groups"]})
+        return [{**own[0], "target": t, "groups": groups if t == targets[0] else []} for t in targets]
+
 
 class Pacing:
     """Seconds between requests: half a second less after 15 clean ones (1 at least), three times on a refusal, half as much again on an error (120 at most)."""
@@ -121,20 +145,26 @@ def lifecycle(reports: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
     return ordered_fold(ready, "key", ["ts", "id"], Lifecycle, lambda s, r: {"id": r["id"], "key": r["key"], **s.step(r["ts"])}, "id long, key long, event_no int, member int, reopened boolean")
 
 
-def decide(reports: DataFrame, desk: str = "target") -> DataFrame:
+DECIDED = "id long, target string, status string, reason string, ref double, update string"
+
+
+def decision_step(s: Decisions, r: dict) -> dict:
+    """One report as a frame's row has it, with its id and target."""
+    listed = lambda x: [] if x is None else list(x)
+    none = lambda x: None if x is None or x is pd.NaT or x != x else x
+    published = none(r["published"])
+    clean = {"ts": int(r["ts"]), "published": None if published is None else int(published), "event": none(r["event"]), "url": none(r["url"]), "groups": listed(r["groups"]), "places": listed(r["places"])}
+    return {"id": r["id"], "target": r["target"], **s.step({**r, **clean})}
+
+
+def decide(reports: DataFrame, desk: str = "target", keep_s: int | None = None) -> DataFrame:
     """(id, target, status, reason, ref, update) for rows (id, target, ts, published, event, url, groups, places).
 
     A desk's rows are decided in order, so an event, a url or a place that must be seen
-    together belongs to one desk.
+    together belongs to one desk. keep_s is the retention, the same as decision_stream's.
     """
-
-    def step(s: Decisions, r: dict) -> dict:
-        listed = lambda x: [] if x is None else list(x)
-        published = None if pd.isna(r["published"]) else int(r["published"])
-        return {"id": r["id"], "target": r["target"], **s.step({**r, "published": published, "groups": listed(r["groups"]), "places": listed(r["places"])})}
-
     keyed = reports.withColumn("desk_key", F.col(desk))
-    out = ordered_fold(keyed, "desk_key", ["ts", "id"], Decisions, step, "id long, target string, status string, reason string, ref double, update string")
+    out = ordered_fold(keyed, "desk_key", ["ts", "id"], lambda: Decisions(keep_s=keep_s), decision_step, DECIDED)
     return out.withColumn("ref", F.col("ref").cast("long"))
 
 

@@ -23,18 +23,28 @@ def silent_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.silent_sessions(seconds(spark, d).select("user_id", "s"), "user_id", "s")
 
 
-def alert_decisions(spark: SparkSession, d: str) -> DataFrame:
+def urgent_reports(spark: SparkSession, d: str) -> DataFrame:
     """Errors as urgent reports at four desks: twenty users an event, two targets, the value's half the url, k's parts groups and places."""
     k = F.get_json_object("props", "$.k").cast("int")
     text = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
-    rows = seconds(spark, d).filter("event_type = 'error'").select(
+    return seconds(spark, d).filter("event_type = 'error'").select(
         F.col("event_id").alias("id"), text("t", F.floor(F.col("user_id") / 20) % 2).alias("target"), F.col("s").alias("ts"), F.when(F.col("event_id") % 11 == 0, F.col("s") - 8 * 3600).otherwise(F.col("s")).alias("published"),
         text("e", F.concat_ws("-", F.col("user_id") % 20, F.floor(F.col("s") / 86400))).alias("event"), text("u", F.floor(F.col("value") * 2)).alias("url"), F.array(text("g", k % 3)).alias("groups"), F.array(text("p", F.floor(k / 10))).alias("places"), (F.col("user_id") % 4).alias("desk"),
     )
-    return E.decide(rows, "desk")
 
 
-# State: the alerts so far, as one list of structs a desk.
+def alert_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return E.decide(urgent_reports(spark, d), "desk")
+
+
+def alert_decisions_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a retention of five days."""
+    return E.decide(urgent_reports(spark, d), "desk", keep_s=KEPT_S)
+
+
+KEPT_S = 5 * 86400
+
+# State: the alerts so far, as one list of structs a desk; REMEMBERED stands for what a row may still look at.
 DECISIONS_SQL = """
 WITH RECURSIVE r AS (SELECT event_id AS id, user_id % 4 AS desk, epoch_us(ts) // 1000000 AS s, CASE WHEN event_id % 11 = 0 THEN 28800 ELSE 0 END AS lag, 't' || (user_id // 20) % 2 AS target, 'e' || user_id % 20 || '-' || (epoch_us(ts) // 1000000) // 86400 AS event, 'u' || floor(value * 2)::BIGINT AS url,
     'g' || (json_extract_string(props, '$.k')::INTEGER % 3) AS grp, 'p' || (json_extract_string(props, '$.k')::INTEGER // 10) AS place FROM events WHERE event_type = 'error'),
@@ -46,7 +56,7 @@ f(desk, k, id, target, status, reason, ref, new, alerts) AS (
   FROM (SELECT *, CASE WHEN lag > 21600 THEN 'stale' WHEN len(same) > 0 THEN 'same url' WHEN len(own) = 0 AND len(near) = 0 THEN 'new' WHEN len(fresh) > 0 THEN 'update' WHEN len(own) > 0 THEN 'same event' ELSE 'same place' END AS reason
   FROM (SELECT *, CASE WHEN len(own) > 0 THEN list_concat(CASE WHEN len(list_filter(own, lambda a: a.grp = grp0)) = 0 THEN [grp0] ELSE [] END, CASE WHEN len(list_filter(own, lambda a: a.target = target0)) = 0 THEN [target0] ELSE [] END)
       WHEN len(near) > 0 AND len(list_filter(near, lambda a: a.grp = grp0)) = 0 THEN [grp0] ELSE [] END AS fresh
-  FROM (SELECT o.desk, o.k, o.id, o.target, o.s, o.lag, o.event, o.url, o.grp, o.place, o.grp AS grp0, o.target AS target0, f.alerts, list_filter(f.alerts, lambda a: a.url = o.url) AS same, list_filter(f.alerts, lambda a: a.event = o.event) AS own,
+  FROM (SELECT o.desk, o.k, o.id, o.target, o.s, o.lag, o.event, o.url, o.grp, o.place, o.grp AS grp0, o.target AS target0, f.alerts, list_filter(f.alerts, lambda a: a.url = o.url AND REMEMBERED) AS same, list_filter(f.alerts, lambda a: a.event = o.event AND REMEMBERED) AS own,
       list_filter(f.alerts, lambda a: a.target = o.target AND a.place = o.place AND o.s - a.s <= 10800) AS near FROM f JOIN o ON o.desk = f.desk AND o.k = f.k + 1))))
 SELECT id, target, status, reason, ref, new AS "update" FROM f WHERE k > 0"""
 
@@ -125,7 +135,8 @@ PLANS = {
     "silent_sessions": (silent_sessions, """WITH o AS (SELECT user_id, epoch_us(ts) // 1000000 AS s FROM events), m AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) >= 21600 THEN 1 ELSE 0 END AS fresh FROM o),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s RANGE UNBOUNDED PRECEDING) AS session FROM m)
         SELECT user_id, session::BIGINT AS session, count(*) AS reports, min(s)::BIGINT AS first_ts, max(s)::BIGINT AS last_ts FROM n GROUP BY 1, 2"""),
-    "alert_decisions": (alert_decisions, DECISIONS_SQL),
+    "alert_decisions": (alert_decisions, DECISIONS_SQL.replace("REMEMBERED", "true")),
+    "alert_decisions_kept": (alert_decisions_kept, DECISIONS_SQL.replace("REMEMBERED", f"o.s - a.s <= {KEPT_S}")),
     "adaptive_pacing": (adaptive_pacing, """WITH RECURSIVE o AS (SELECT event_id AS id, user_id AS key, CASE WHEN event_type = 'error' THEN 1.5::DOUBLE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 3 ELSE 0 END AS up, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS k FROM events),
         f(key, k, id, interval_s, clean) AS (SELECT key, 0, NULL::BIGINT, 2.0::DOUBLE, 0 FROM o WHERE k = 1
           UNION ALL SELECT o.key, o.k, o.id, CASE WHEN o.up > 0 THEN least(120.0, f.interval_s * o.up) WHEN f.clean + 1 >= 15 THEN greatest(1.0, f.interval_s - 0.5) ELSE f.interval_s END,

@@ -109,18 +109,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(tuple(r[c] for c in order) for r in batch.collect())
 
 
-def test_decisions_stream_and_editions(spark, tmp_path):
-    rng = random.Random(7)
-    rows = [(i, f"t{rng.randrange(2)}", 1000 + i * 600, None if i % 9 else 1000 + i * 600 - 8 * 3600, f"e{rng.randrange(9)}", f"u{rng.randrange(40)}", [f"g{rng.randrange(3)}"], [f"p{rng.randrange(3)}"], i % 2) for i in range(120)]
+@pytest.mark.parametrize(("gap", "keep_s"), [(0, None), (3 * 86400, None), (3 * 86400, 86400), (3 * 86400, 7 * 86400), (0, 3600)])
+def test_decisions_stream_equals_batch(spark, tmp_path, gap, keep_s):
+    """Desks silent for three days remember all of it, or what the retention leaves."""
+    rng, name = random.Random(7), f"decided_{gap}_{keep_s}"
+    at = lambda i: 1000 + i * 600 + i // 40 * gap
+    rows = [(i, f"t{rng.randrange(2)}", at(i), None if i % 9 else at(i) - 8 * 3600, f"e{rng.randrange(9)}", f"u{rng.randrange(40)}", [f"g{rng.randrange(3)}"], [f"p{rng.randrange(3)}"], i % 2) for i in range(120)]
     schema = "id long, target string, ts long, published long, event string, url string, groups array<string>, places array<string>, desk int"
     for k in range(3):
         spark.createDataFrame(rows[k * 40 : (k + 1) * 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = folds.decision_stream(stream).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "cp")).start()
-    drain(spark, q, "decided", 120)
+    q = folds.decision_stream(stream, keep_s=keep_s).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    drain(spark, q, name, 120)
     names = ["id", "status", "reason", "ref", "update"]
-    want = sorted(tuple(r[c] for c in names) for r in E.decide(spark.createDataFrame(rows, schema), "desk").collect())
-    assert sorted(tuple(r[c] for c in names) for r in spark.table("decided").collect()) == want and {r[2] for r in want} >= {"new", "update", "same url", "stale"}
+    want = sorted(tuple(r[c] for c in names) for r in E.decide(spark.createDataFrame(rows, schema), "desk", keep_s).collect())
+    assert sorted(tuple(r[c] for c in names) for r in spark.table(name).collect()) == want and {r[2] for r in want} >= {"new", "update", "stale"}
+    if keep_s is None:
+        assert sum(r[2] == "new" for r in want) <= 9 * 2 * 2 and "same url" in {r[2] for r in want}
+
+
+def test_editions_by_day(spark):
     stories = spark.createDataFrame([("a", datetime(2024, 1, 1, 18, 0)), ("a", datetime(2024, 1, 1, 19, 0)), ("b", datetime(2024, 1, 2, 1, 0))], "section string, ts timestamp")
     days = {(str(r["start"]), r["section"]): r["n"] for r in folds.daily_editions(stories, "ts", "section").collect()}
     assert days == {("2023-12-31 18:30:00", "a"): 1, ("2024-01-01 18:30:00", "a"): 1, ("2024-01-01 18:30:00", "b"): 1}
