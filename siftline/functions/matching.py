@@ -378,12 +378,6 @@ def term_counts(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
     return df.withColumn("counts", run(F.when(maybe(v, F.col(text)), F.col(text))))
 
 
-def native_hits(text: Column, terms: list[Term]) -> Column:
-    """Terms that occur in a normalised text, in vocabulary order; no Python."""
-    every = F.array(*(F.struct(F.lit(t.text).alias("term"), F.lit(t.weight).alias("weight"), F.lit(t.group).alias("group"), text.rlike(t.pattern).alias("hit")) for t in terms))
-    return F.filter(every, lambda x: x["hit"])
-
-
 def native_score(text: Column, v: Vocabulary, has_ai: bool = True) -> dict[str, Column]:
     """Score and band of a normalised, masked text by occurrence only; the part of score_item that needs no positions. Context counts once, by its largest weight."""
 

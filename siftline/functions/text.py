@@ -24,13 +24,13 @@ def without(c: Column, marks: list[str]) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode composition, in Arrow batches; Spark has no function for it. Only for inputs that aren't known to be composed."""
+    """Unicode composition, in Arrow batches; Spark has no function for it. Rows without a character from U+0300 on are composed as they are and stay out of Python."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 
-    return run(c)
+    return F.coalesce(run(F.when(c.rlike(r"[^\x00-\x{02FF}]"), c)), c)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,14 +39,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def norm_match(c: Column) -> Column:
-    """For term matching: hidden marks out, ASCII lower case only, white space to single spaces. Input composed (see nfc)."""
+    """For term matching: composed, hidden marks out, ASCII lower case only, white space to single spaces."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.trim(F.regexp_replace(F.translate(without(c, HIDDEN), upper, lower), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(without(nfc(c), HIDDEN), upper, lower), r"\s+", " "))
 
 
 def sim_norm(c: Column) -> Column:
-    """For similarity: joiners out, full lower case, anything but word characters to one space."""
-    return F.trim(F.regexp_replace(F.lower(without(c, JOINERS)), WORD_CLASS, " "))
+    """For similarity: composed, joiners out, full lower case, anything but word characters to one space."""
+    return F.trim(F.regexp_replace(F.lower(without(nfc(c), JOINERS)), WORD_CLASS, " "))
 
 
 def grams(c: Column, n: int = 4) -> Column:

@@ -23,6 +23,13 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similar_pairs(bodies(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def similarity_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """What the body similarity join reads, in blocks of 64."""
+    rows = bodies(spark, d)
+    names = rows.select("band", "language").distinct()
+    return similarity.block_report(rows, block_rows=64).join(names, "band").drop("band")
+
+
 def near_dup_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows = bodies(spark, d)
     return similarity.threshold_sweep(similarity.similar_pairs(rows, threshold=min(SWEEP), cross_host=False), rows, SWEEP)
@@ -122,6 +129,9 @@ SELECT id, host FROM t, h WHERE id >= half AND NOT (nt IS NOT NULL AND nt IN (SE
 
 PLANS = {
     "near_dup_pairs": (near_dup_pairs, f"WITH {CROSS} SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.45"),
+    "similarity_blocks": (similarity_blocks, f"""WITH {GRAMS}, z AS (SELECT doc_id, lang, len(gs) AS n FROM g WHERE len(gs) > 0), o AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY n, doc_id) - 1) // 64 AS b FROM z),
+        k AS (SELECT lang, b, count(*) AS n, min(n) AS least, max(n) AS most FROM o GROUP BY lang, b), r AS (SELECT x.lang, count(*) AS read FROM k x JOIN k y ON x.lang = y.lang AND x.b <= y.b AND x.most >= 0.45 * y.least GROUP BY x.lang)
+        SELECT lang AS language, sum(n)::BIGINT AS n, count(*) AS blocks, count(*) * (count(*) + 1) // 2 AS block_pairs, max(read) AS read FROM k JOIN r USING (lang) GROUP BY lang"""),
     "near_dup_threshold_sweep": (near_dup_threshold_sweep, f"WITH {GRAMS}, {PAIRS.format('')} SELECT t AS threshold, count(*) AS pairs, count(*) FILTER (sa <> sb) AS cross_pairs, count(DISTINCT b) AS suppressed FROM p JOIN (SELECT unnest([0.25::DOUBLE, 0.35, 0.45, 0.55]) AS t) ON similarity >= t GROUP BY t"),
     "dup_clusters": (dup_clusters, f"WITH RECURSIVE {CROSS}, {REACH} SELECT component, count(*) AS members, count(DISTINCT d.source) AS sources, max(id) AS last_id FROM c JOIN documents d ON d.doc_id = c.id GROUP BY component"),
     "event_outlets": (event_outlets, f"WITH RECURSIVE {CROSS}, {REACH}, f AS (SELECT component, d.source, min(id) AS first_id FROM c JOIN documents d ON d.doc_id = c.id GROUP BY ALL) SELECT component, string_agg(source, ',' ORDER BY first_id, source) AS outlets FROM f GROUP BY component"),

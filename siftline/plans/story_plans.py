@@ -303,11 +303,8 @@ def poll_totals(spark: SparkSession, d: str) -> DataFrame:
 def folded_by_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Clusters and the rows that they fold away, for several thresholds."""
     rows = stories(spark, d).filter("extract_status = 'OK'").withColumn("band", F.xxhash64("language"))
-    out = None
-    for t in (0.45, 0.6, 0.8):
-        c = similarity.duplicate_clusters(rows, t).agg(F.countDistinct("component").alias("clusters"), (F.count("*") - F.countDistinct("component")).alias("folded")).withColumn("threshold", F.lit(t))
-        out = c if out is None else out.union(c)
-    return out
+    found = similarity.clusters_by_threshold(rows, [0.45, 0.6, 0.8])
+    return found.groupBy("threshold").agg(F.countDistinct("component").alias("clusters"), (F.count("*") - F.countDistinct("component")).alias("folded"))
 
 
 def merge_counters(spark: SparkSession, d: str) -> DataFrame:

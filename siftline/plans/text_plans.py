@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.functions import agents, matching, text, urls
+from siftline.functions import agents, automaton, matching, text, urls
 from siftline.operators import ranking
 from siftline.operators.selection import top_per_group
 from siftline.sources.adapters import items, table
@@ -130,10 +130,39 @@ def link_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_hits_docs(spark: SparkSession, d: str) -> DataFrame:
-    norm = text.norm_match(F.col("text"))
+    """Which terms stand in a text, in the vocabulary's order."""
     terms = [t for t in VOCABULARY.terms if t.tier in ("crime", "party")]
-    hits = matching.native_hits(F.col("norm"), terms)
-    return table(spark, d, "documents").select("doc_id", norm.alias("norm")).select("doc_id", F.array_join(F.transform(hits, lambda x: x["term"]), ",").alias("terms"), F.size(hits).alias("n"))
+    names = F.array(*(F.lit(t.text) for t in terms))
+    found = F.array_distinct(F.transform(automaton.term_spans(spark, terms, F.col("text")), lambda h: F.get(names, h["term"])))
+    return table(spark, d, "documents").select("doc_id", found.alias("hits")).select("doc_id", F.array_join("hits", ",").alias("terms"), F.size("hits").alias("n"))
+
+
+def benchmark_terms(spark: SparkSession, d: str) -> list[matching.Term]:
+    """A large vocabulary: every ASCII word of four letters or more in the benchmark's texts."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}])([a-z]{4,})(?![\p{L}\p{N}])"), F.lit(1)))
+    return [matching.Term(r["w"], "area", 1) for r in table(spark, d, "benchmark").select(words.alias("w")).distinct().orderBy("w").collect()]
+
+
+def vocabulary_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the large vocabulary in every whole text: terms, hits and the sum of the places where they begin."""
+    hits = automaton.term_spans(spark, benchmark_terms(spark, d), F.col("text"))
+    found = table(spark, d, "documents").select("doc_id", hits.alias("h"))
+    return found.select("doc_id", F.size(F.array_distinct(F.transform("h", lambda x: x["term"]))).alias("terms"), F.size("h").alias("hits"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("places"))
+
+
+def hit_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every hit of the large vocabulary in a page's source, quoted as it stands there."""
+    terms = benchmark_terms(spark, d)
+    rows = table(spark, d, "pages").select("page_id", "html", F.explode(automaton.term_spans(spark, terms, F.col("html"), in_source=True)).alias("h"))
+    names = spark.createDataFrame([(k, t.text) for k, t in enumerate(terms)], "number int, name string")
+    quote = F.substring("html", F.col("h.start") + 1, F.col("h.stop") - F.col("h.start"))
+    return rows.select("page_id", F.col("h.term").alias("number"), F.col("h.start").alias("start"), F.col("h.stop").alias("stop"), quote.alias("quote")).join(names, "number").select("page_id", F.col("name").alias("term"), "start", "stop", "quote")
+
+
+def composed_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose accents come as marks of their own have the normal forms of composed ones."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ä"), F.lit("a\u0308"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.norm_match(apart)).alias("match_digest"), F.md5(text.sim_norm(apart)).alias("sim_digest"))
 
 
 def keyword_score_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +276,9 @@ SELECT id, len(regexp_extract_all(t, 'é(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER - te
   SELECT id, t, len(regexp_extract_all(t, 'té(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS te, len(regexp_extract_all(t, 'ré(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS re, len(regexp_extract_all(t, 'ä(?:[^\p{{L}}\p{{M}}]|$)'))::INTEGER AS a FROM n)"""
 
 
+TERMS_SQL = r"terms AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) WHERE regexp_full_match(w, '[a-z]{4,}'))"
+
+
 def rule_rank_docs(spark: SparkSession, d: str) -> DataFrame:
     norm = table(spark, d, "documents").select("doc_id", text.norm_match(F.substring("text", 1, 1200)).alias("norm"))
     s = matching.native_score(F.col("norm"), VOCABULARY)
@@ -319,6 +351,13 @@ PLANS = {
     "keyword_hits_docs": (keyword_hits_docs, f"""WITH n AS (SELECT doc_id, {MATCH_NORM.format("text")} AS norm FROM documents),
         h AS (SELECT doc_id, list_filter([CASE WHEN {_word('scum')} THEN 'scum' END, CASE WHEN {_word('moron')} THEN 'moron' END, CASE WHEN {_word('clown')} THEN 'clown' END], lambda x: x IS NOT NULL) AS t FROM n)
         SELECT doc_id, coalesce(array_to_string(t, ','), '') AS terms, len(t)::INTEGER AS n FROM h"""),
+    "vocabulary_hits": (vocabulary_hits, f"""WITH {TERMS_SQL}, n AS (SELECT doc_id, {MATCH_NORM.format("text")} AS norm FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(norm, '[a-z0-9]+|[^a-z0-9]+')) AS t, unnest(range(0, len(regexp_extract_all(norm, '[a-z0-9]+|[^a-z0-9]+')))) AS k FROM n),
+        a AS (SELECT doc_id, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p), h AS (SELECT doc_id, count(DISTINCT t) AS terms, count(*) AS hits, sum(pos) AS places FROM a JOIN terms ON t = w GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(terms, 0)::INTEGER AS terms, coalesce(hits, 0)::INTEGER AS hits, coalesce(places, 0)::BIGINT AS places FROM documents d LEFT JOIN h USING (doc_id)"""),
+    "hit_spans": (hit_spans, f"""WITH {TERMS_SQL}, n AS (SELECT page_id, html, regexp_extract_all(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+|[^a-z0-9]+') AS ts FROM pages), p AS (SELECT page_id, unnest(ts) AS t, unnest(range(0, len(ts))) AS k FROM n),
+        a AS (SELECT page_id, t, coalesce(sum(length(t)) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p)
+        SELECT a.page_id, t AS term, pos::INTEGER AS start, (pos + length(t))::INTEGER AS stop, substr(html, pos::INTEGER + 1, length(t)) AS quote FROM a JOIN terms ON t = w JOIN pages USING (page_id)"""),
+    "composed_docs": (composed_docs, f"WITH c AS (SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ä', 'a' || chr(776))) AS text FROM documents) SELECT doc_id, md5({MATCH_NORM.format('text')}) AS match_digest, md5({SIM_NORM.format('text')}) AS sim_digest FROM c"),
     "keyword_score_docs": (keyword_score_docs, KEYWORD_SCORE_SQL),
     "full_scores": (full_scores, FULL_SCORES_SQL),
     "urgent_docs": (urgent_docs, URGENT_SQL),
