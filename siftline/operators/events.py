@@ -190,14 +190,6 @@ def retry(kind: Column, attempts: Column) -> dict[str, Column]:
     return {"status": status, "wait_s": wait, "counts": kind.isin("server", "parse")}
 
 
-def delivery_queue(queue: DataFrame, now: Column) -> DataFrame:
-    """Queue rows after housekeeping: pending ones expire after 12 hours, claims of over 10 minutes go back, and the order of sending."""
-    old = (F.col("status") == "PENDING") & (F.unix_seconds(now) - F.unix_seconds("created_at") > 12 * HOUR)
-    stuck = (F.col("status") == "SENDING") & (F.unix_seconds(now) - F.unix_seconds("claimed_at") > 600)
-    kind = F.when(F.col("kind") == "URGENT", 0).when(F.col("kind") == "EDIT", 1).otherwise(2)
-    return queue.withColumn("status", F.when(old, "EXPIRED").when(stuck, "PENDING").otherwise(F.col("status"))).withColumn("send_order", F.struct(F.col("priority"), kind.alias("kind"), F.col("id")))
-
-
 def saved(fold: object) -> str:
     return json.dumps(fold.__dict__)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators import delivery, selection
 from siftline.operators import events as E
-from siftline.operators import selection
 from siftline.sources import sheets, sinks
 from siftline.sources.adapters import candidates, events, table
 
@@ -73,6 +73,45 @@ def delivery_retries(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("kind", "attempts", "status", "wait_s", "counts").agg(F.count("*").alias("n"))
 
 
+def scripted(i: int, sends: int) -> str:
+    """What a transport would answer to a row's next send."""
+    if i % 29 == 0:
+        return "server"
+    return ("rate", "network", "server", "config", "parse")[(i + 7 * sends) % 13] if (i + 7 * sends) % 13 < 5 else "ok"
+
+
+def delivery_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as alerts of eight channels, sent at hourly ticks: every change of status."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    queue = seconds(spark, d).filter("event_type = 'error'").select((F.col("user_id") % 8).alias("channel"), F.col("event_id").alias("id"), F.col("s").alias("ts"), (k % 3).alias("priority"), F.when(F.col("value") > 50, 0).otherwise(2).alias("rank"))
+    ticks = spark.range(8 * TICKS).select((F.col("id") % 8).alias("channel"), (F.lit(FIRST_TICK) + 3600 * F.floor(F.col("id") / 8)).alias("ts"))
+    return delivery.replay(queue, ticks, scripted, most=5)
+
+
+# One step is a tick's beginning (sends is -1) or one send; pend is the open rows, out what the step says.
+FIRST_TICK, TICKS = 1_704_067_200, 768
+REPLAY_QUEUE_SQL = f"""
+WITH RECURSIVE q AS (SELECT user_id % 8 AS ch, event_id AS id, epoch_us(ts) // 1000000 AS s, json_extract_string(props, '$.k')::INTEGER % 3 * 3 + CASE WHEN value > 50 THEN 0 ELSE 2 END AS ord FROM events WHERE event_type = 'error'),
+a AS (SELECT ch, greatest(0, ceil((s - {FIRST_TICK}) / 3600)::BIGINT) AS j, list({{'ord': ord, 'id': id, 's': s, 'due': 0::BIGINT, 'att': 0, 'tries': 0}}) AS fresh FROM q GROUP BY ALL),
+t AS MATERIALIZED (SELECT c.ch, c.j, coalesce(a.fresh, []) AS fresh FROM (SELECT unnest(range(8)) AS ch, j FROM (SELECT unnest(range({TICKS})) AS j)) c LEFT JOIN a ON a.ch = c.ch AND a.j = c.j),
+f(ch, j, sends, hold, pend, out) AS (
+  SELECT ch, -1::BIGINT, 5, 0::BIGINT, []::STRUCT(ord INTEGER, id BIGINT, s BIGINT, due BIGINT, att INTEGER, tries INTEGER)[], []::STRUCT(id BIGINT, "at" BIGINT, status VARCHAR, attempts INTEGER, outcome VARCHAR)[] FROM (SELECT unnest(range(8)) AS ch)
+  UNION ALL
+  SELECT ch, j2, CASE WHEN begins THEN CASE WHEN now < hold THEN 5 ELSE 0 END WHEN stops THEN 5 ELSE sends + 1 END, CASE WHEN said IN ('rate', 'config') THEN greatest(hold, then_due) ELSE hold END,
+    CASE WHEN begins THEN list_filter(pool, lambda x: now - x.s <= 43200) WHEN head IS NULL THEN pool WHEN final THEN list_filter(pool, lambda x: x.id <> head.id)
+      ELSE list_append(list_filter(pool, lambda x: x.id <> head.id), {{'ord': head.ord, 'id': head.id, 's': head.s, 'due': then_due, 'att': att2, 'tries': head.tries + 1}}) END,
+    CASE WHEN begins THEN list_transform(list_filter(pool, lambda x: now - x.s > 43200), lambda x: {{'id': x.id, 'at': now, 'status': 'EXPIRED', 'attempts': x.att, 'outcome': NULL::VARCHAR}})
+      WHEN head IS NULL THEN [] ELSE [{{'id': head.id, 'at': now, 'status': CASE WHEN said IN ('ok', 'parse') THEN 'SENT' WHEN final THEN 'FAILED' ELSE 'PENDING' END, 'attempts': att2, 'outcome': said}}] END
+  FROM (SELECT *, coalesce(said IN ('ok', 'parse') OR said = 'server' AND att2 >= 6, false) AS final, head IS NULL OR said IN ('rate', 'network', 'config') OR said = 'server' AND att2 < 6 AS stops,
+    now + CASE said WHEN 'rate' THEN 30 WHEN 'network' THEN 60 WHEN 'config' THEN 900 ELSE least(900, (30 * 2 ** att2)::BIGINT) END AS then_due
+  FROM (SELECT *, CASE WHEN said IN ('ok', 'parse', 'server') THEN head.att + 1 ELSE head.att END AS att2
+  FROM (SELECT *, CASE WHEN head IS NULL THEN NULL WHEN head.id % 29 = 0 THEN 'server' ELSE coalesce(['rate', 'network', 'server', 'config', 'parse'][(head.id + 7 * head.tries) % 13 + 1], 'ok') END AS said
+  FROM (SELECT *, CASE WHEN begins THEN NULL ELSE list_sort(list_filter(pool, lambda x: x.due <= now))[1] END AS head
+  FROM (SELECT f.ch, f.sends, f.hold, f.sends >= 5 AS begins, t.j AS j2, {FIRST_TICK} + 3600 * t.j AS now, CASE WHEN f.sends >= 5 THEN list_concat(f.pend, t.fresh) ELSE f.pend END AS pool
+    FROM f JOIN t ON t.ch = f.ch AND t.j = CASE WHEN f.sends >= 5 THEN f.j + 1 ELSE f.j END))))))
+SELECT ch AS channel, o.id, o."at", o.status, o.attempts, o.outcome FROM (SELECT ch, unnest(out) AS o FROM f)"""
+
+
 def quota_select(spark: SparkSession, d: str) -> DataFrame:
     return selection.quota_select(candidates(spark, d), per=5, total=260).select("id", "category", "pass")
 
@@ -145,6 +184,7 @@ PLANS = {
     "delivery_retries": (delivery_retries, """WITH r AS (SELECT ['ok', 'rate', 'network', 'config', 'server', 'parse'][event_id % 6 + 1] AS kind, (user_id % 8)::INTEGER AS attempts FROM events)
         SELECT kind, attempts, CASE WHEN kind = 'ok' THEN 'SENT' WHEN kind = 'server' AND attempts >= 6 THEN 'FAILED' WHEN kind = 'parse' THEN 'PLAIN' ELSE 'PENDING' END AS status,
           (CASE kind WHEN 'rate' THEN 30 WHEN 'network' THEN 60 WHEN 'config' THEN 900 WHEN 'server' THEN least(900, 30 * 2 ** attempts) ELSE 0 END)::INTEGER AS wait_s, kind IN ('server', 'parse') AS counts, count(*) AS n FROM r GROUP BY ALL"""),
+    "delivery_replay": (delivery_replay, REPLAY_QUEUE_SQL),
     "quota_select": (quota_select, f"""WITH {CAND}, h AS (SELECT *, NOT manual AND priority <= 2 AND row_number() OVER (PARTITION BY category, manual, priority <= 2 ORDER BY {ORDER}) <= 5 AS head FROM cand),
         f AS (SELECT *, CASE WHEN manual THEN 'forced' WHEN head THEN 'head' END AS pass, row_number() OVER (PARTITION BY manual OR head ORDER BY {ORDER}) AS k FROM h), c AS (SELECT count(*) AS n FROM f WHERE pass IS NOT NULL)
         SELECT id, category, coalesce(pass, 'fill') AS pass FROM f, c WHERE pass IS NOT NULL OR k <= greatest(0, 260 - c.n)"""),

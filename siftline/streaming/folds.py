@@ -17,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftline.operators import events as E
 
-TICK = "45 seconds"
 LATE = "1 hour"
 
 
@@ -82,20 +81,3 @@ def daily_editions(stream: DataFrame, ts: str, section: str, offset: str = "18 h
 def counts_by_window_of(stream: DataFrame, ts: str, kind: str, window: Column, late: str) -> DataFrame:
     counted = stream.withWatermark(ts, late).groupBy(window.alias("window"), kind).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), kind, "n")
-
-
-def deliver(decisions: DataFrame, transport: Callable[[pd.DataFrame], None], checkpoint: str):
-    """Pending decisions to a transport, batch by batch; a batch that fails is tried again as a whole.
-
-    transport runs in the executors, once per part of a batch, and must ignore ids that it has sent.
-    """
-
-    def send(batch: DataFrame, _: int) -> None:
-        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                transport(p)
-                yield pd.DataFrame({"sent": [len(p)]})
-
-        batch.filter("status = 'PENDING'").mapInPandas(each, "sent long").agg(F.sum("sent")).collect()
-
-    return decisions.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=TICK).start()
