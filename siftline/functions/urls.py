@@ -72,9 +72,3 @@ def on_hosts(df: DataFrame, host_column: str, rules: DataFrame, rule_column: str
 def channel_id(text: Column) -> Column:
     """UC and 22 characters, alone or in a url; null where only a lookup by handle could tell."""
     return F.nullif(F.regexp_extract(text, r"(UC[\w-]{22})(?![\w-])", 1), F.lit(""))
-
-
-def feed_url(kind: Column, query_text: Column, language: Column, channel: Column, url: Column, base: str = "https://feeds.example.org") -> Column:
-    """A source's feed address by its kind; spaces are %20."""
-    asked = F.replace(F.url_encode(query_text), F.lit("+"), F.lit("%20"))
-    return F.when(kind == "search", F.concat(F.lit(f"{base}/search?q="), asked, F.lit("&hl="), F.coalesce(language, F.lit("en")))).when(kind == "channel", F.concat(F.lit(f"{base}/channel?id="), channel)).otherwise(url)

@@ -21,6 +21,9 @@ class Profile:
     outside_places: list[str] = field(default_factory=list)
     portfolio: list[str] = field(default_factory=list)
     political: list[str] = field(default_factory=list)
+    district_places: list[str] = field(default_factory=list)
+    generic: list[str] = field(default_factory=list)  # forms of the name that others bear too: they count beside an anchor
+    anchors: list[str] = field(default_factory=list)
     commercial: list[str] = field(default_factory=list)
     governance: list[str] = field(default_factory=list)
 
@@ -42,16 +45,29 @@ def rule_rank(df: DataFrame) -> DataFrame:
     })
 
 
+OWN_TAGS = ("constituency", "district", "portfolio")
+
+
+def names_in(text: Column, tags: Column, p: Profile, strict: bool = False) -> Column:
+    """Whether a text names the person followed. A generic form counts beside an anchor or a tag of the own places, or always if strict."""
+    beside = any_word(text, p.anchors) | F.arrays_overlap(F.coalesce(tags, F.array().cast("array<string>")), F.array(*(F.lit(t) for t in OWN_TAGS)))
+    return any_word(text, p.names) | (any_word(text, p.generic) if strict else any_word(text, p.generic) & beside)
+
+
 def guard(df: DataFrame, p: Profile) -> DataFrame:
     """Re-files what the item can't support; adds `guard`, the rule that fired (first match only).
 
-    Needs category, tags, title_norm and text_norm (normalised headline and whole text).
+    Needs category, tags, title_norm and text_norm (normalised headline and whole text). With a column reason, the rule is
+    added to it; with takeaways, notes that name the person where the text doesn't are thrown away (notes_note says so).
     """
-    text, head, cat = F.col("text_norm"), F.col("title_norm"), F.col("category")
-    named = any_word(text, p.names)
-    tagged = lambda t: F.coalesce(F.array_contains("tags", t), F.lit(False))
-    local = any_word(text, p.constituency_places) | tagged("constituency")
-    evidence = {"mention": named, "constituency": local, "district": tagged("district"), "portfolio": any_word(text, p.portfolio), "political": any_word(text, p.political)}
+    text, head, cat, tags = F.col("text_norm"), F.col("title_norm"), F.col("category"), F.coalesce("tags", F.array().cast("array<string>"))
+    named = names_in(text, tags, p)
+    tagged = lambda t: F.array_contains(tags, t)
+    inside, outside, local = any_word(head, p.constituency_places), any_word(head, p.outside_places), any_word(text, p.constituency_places)
+    there = any_word(text, p.district_places)
+    portfolio = any_word(text, p.portfolio)
+    anchored = F.arrays_overlap(tags, F.array(*(F.lit(t) for t in OWN_TAGS))) | named | local | there | portfolio
+    evidence = {"mention": named, "constituency": inside | (tagged("constituency") | local) & ~outside, "district": tagged("district") | there, "portfolio": tagged("portfolio") | portfolio, "political": tagged("party") & anchored}
 
     def refile(exclude: str) -> Column:
         out = F.lit("none")
@@ -60,20 +76,24 @@ def guard(df: DataFrame, p: Profile) -> DataFrame:
                 out = F.when(evidence[name], name).otherwise(out)
         return out
 
-    anchored = named | local | any_word(text, p.portfolio) | F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*(F.lit(t) for t in ("constituency", "district", "mention"))))
-    headless = (cat == "constituency") & ~any_word(head, p.constituency_places)
-    outside = any_word(head, p.outside_places)
+    headless = (cat == "constituency") & ~inside
     rule = (
         F.when((cat != "none") & any_word(text, p.commercial) & ~any_word(text, p.governance), "commercial")
         .when((cat == "mention") & ~named, "not named")
         .when(headless & outside, "outside")
-        .when(headless & ~local, "no place")
+        .when(headless & ~(local | tagged("constituency")), "no place")
         .when(headless, None)
         .when((cat == "political") & ~anchored, "not anchored")
         .when(~cat.isin("mention", "none") & named, "named")
     )
     after = F.when(rule == "commercial", "none").when(rule == "not named", refile("mention")).when(rule.isin("outside", "no place"), refile("constituency")).when(rule == "not anchored", refile("political")).when(rule == "named", "mention").otherwise(cat)
-    return df.withColumns({"guard": rule, "category": after})
+    out = {"guard": rule, "category": after}
+    if "reason" in df.columns:
+        out["reason"] = F.when(rule.isNotNull(), F.substring(F.concat(F.coalesce("reason", F.lit("")), F.lit(" [guard: "), rule, F.lit(" -> "), after, F.lit("]")), 1, 240)).otherwise(F.col("reason"))
+    if "takeaways" in df.columns:
+        tainted = ~named & F.coalesce(names_in(F.lower(F.array_join("takeaways", " \n ")), tags, p, strict=True), F.lit(False))
+        out |= {"takeaways": F.when(tainted, F.array().cast("array<string>")).otherwise(F.col("takeaways")), "notes_note": F.when(tainted, "notes named another"), "guard": F.coalesce(rule, F.when(tainted, "notes"))}
+    return df.withColumns(out)
 
 
 def place_manual(asked: Column, verdict: Column, rules: Column) -> Column:
@@ -91,9 +111,3 @@ def checked_verdict(df: DataFrame) -> DataFrame:
         "sentiment": F.when(F.col("sentiment").isin(SENTIMENTS), F.col("sentiment")).otherwise("neutral"),
         "takeaways": F.slice(F.filter(F.transform(F.coalesce("takeaways", F.array().cast("array<string>")), lambda x: F.substring(F.trim(x), 1, 200)), lambda x: x != ""), 1, 5),
     })
-
-
-def evidence_holds(shared: Column, title: Column, least: int = 2) -> Column:
-    """Names cited for a cluster must occur in the item: all of them, or at least `least`."""
-    found = F.size(F.filter(shared, lambda w: F.contains(F.lower(title), F.lower(w))))
-    return (F.size(shared) > 0) & ((found == F.size(shared)) | (found >= least))

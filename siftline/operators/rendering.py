@@ -42,38 +42,56 @@ def units(text: str) -> int:
 
 
 class Packer:
-    """Lines into messages of bounded length; a section that goes on in the next message repeats its header."""
+    """Blocks of lines into messages of bounded length. A block stays whole if it fits into a message at all; one that doesn't goes on in the next message under its header."""
 
     def __init__(self, limit: int = MESSAGE_UNITS):
-        self.limit, self.message, self.size, self.section = limit, 1, 0, None
-
-    def step(self, section: str, line: str) -> tuple[int, str]:
-        header = "" if section == self.section else f"\n{section}\n"
-        need = units(header + line) + 1
-        if self.size and self.size + need > self.limit:
-            self.message, self.size = self.message + 1, 0
-            header = f"{section} (continued)\n" if section == self.section else f"{section}\n"
-            need = units(header + line) + 1
-        self.size, self.section = self.size + need, section
-        return self.message, header + line
+        self.limit, self.message, self.size, self.split = limit, 0, 0, False
+
+    def begin(self, header: str, block: int) -> tuple[int, str]:
+        """A block of so many units, its header and lines joined."""
+        gap = 2 if self.size else 0
+        whole = block <= self.limit
+        self.split = not whole
+        if not self.message or self.size + gap + (block if whole else units(header)) > self.limit:
+            self.message, self.size, gap = self.message + 1, 0, 0
+        self.size += gap + units(header)
+        return self.message, ("\n" if gap else "") + header
+
+    def line(self, header: str, line: str) -> tuple[int, str]:
+        need = 1 + units(line)
+        if self.split and self.size + need > self.limit:
+            header = f"{header} (continued)"
+            self.message, self.size = self.message + 1, units(header) + need
+            return self.message, f"{header}\n{line}"
+        self.size += need
+        return self.message, line
 
 
 def packed(lines: DataFrame, limit: int = MESSAGE_UNITS) -> DataFrame:
-    """(edition, message, of, text) for rows (edition, section_order, line_order, section, line). An edition is bounded by its quotas."""
+    """(edition, message, of, text) for rows (edition, section_order, line_order, section, line).
+
+    A section is a block: its name is the header. Sizes of blocks are summed up first; then a fold places them in order, holding the place
+    in the current message only, so it can go on from any block. The number of a message isn't counted in its length.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, packer = object(), None
+        now, block, packer = object(), object(), None
         for p in parts:
             out = []
             for r in p.itertuples(index=False):
                 if r.edition != now:
-                    now, packer = r.edition, Packer(limit)
-                message, text = packer.step(r.section, r.line)
+                    now, block, packer = r.edition, object(), Packer(limit)
+                if r.section_order != block:
+                    block = r.section_order
+                    message, text = packer.begin(r.section, int(r.block))
+                    out.append((r.edition, message, r.section_order, -1, text))
+                message, text = packer.line(r.section, r.line)
                 out.append((r.edition, message, r.section_order, r.line_order, text))
             yield pd.DataFrame(out, columns=["edition", "message", "section_order", "line_order", "text"])
 
-    ready = lines.select("edition", "section_order", "line_order", "section", "line").repartition("edition").sortWithinPartitions("edition", "section_order", "line_order")
+    block = lines.groupBy("edition", "section_order").agg((F.sum(utf16_length(F.col("line")) + 1) + F.max(utf16_length(F.col("section")))).alias("block"))
+    ready = lines.join(block, ["edition", "section_order"]).select("edition", "section_order", "line_order", "section", "line", "block").repartition("edition").sortWithinPartitions("edition", "section_order", "line_order")
     placed = ready.mapInPandas(run, "edition string, message int, section_order int, line_order int, text string")
     whole = placed.groupBy("edition", "message").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_order", "line_order", "text"))), lambda x: x["text"]), "\n").alias("text"))
     last = whole.groupBy("edition").agg(F.max("message").alias("of"))
-    return whole.join(last, "edition").select("edition", "message", "of", F.ltrim("text").alias("text"))
+    return whole.join(last, "edition").select("edition", "message", "of", "text")

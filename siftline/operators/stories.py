@@ -69,14 +69,6 @@ def with_cached(items: DataFrame, cache: DataFrame, key: Column) -> tuple[DataFr
     return keyed.join(cache, "cache_key"), keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def reason_kind(reason: Column) -> Column:
-    """The kind of a suppression from its wording."""
-    out = F.lit("other")
-    for word in ("stale", "same url", "same event", "same place"):
-        out = F.when(F.contains(reason, F.lit(word)), word).otherwise(out)
-    return out
-
-
 def image(stored: Column, payload: Column) -> Column:
     """The stored picture, else the payload's thumbnails, medium first."""
     paths = [F.get_json_object(payload, f"$.thumbnails.{k}.url") for k in ("medium", "high", "default")]

@@ -70,11 +70,6 @@ def feed_url(kind: Column, value: Column, language: Column, search: str = "https
     return F.when(kind == "search", found).when(kind == "channel", F.concat(F.lit(f"{videos}?channel_id="), value)).when(kind == "rss", value)
 
 
-def resolver_queue(items: DataFrame, attempts: int = 4, most: int = 100) -> DataFrame:
-    """Pending items with attempts left, newest first."""
-    return items.filter((F.col("resolve_status") == "PENDING") & (F.col("attempts") < attempts)).orderBy(F.desc("id")).limit(most)
-
-
 def resolved_status(host: Column, blocked: Column, link: Column, resolved: Column) -> Column:
     return F.when(blocked, "BLOCKED").when(resolved.isNotNull(), "RESOLVED").when(link.isNull(), "SKIPPED").otherwise("PENDING")
 
@@ -90,11 +85,6 @@ def ready(items: DataFrame, now: Column, most: int = 300) -> DataFrame:
     return items.filter(F.col("band").isNull() & ((F.col("extract_status") != "PENDING") | F.col("resolve_status").isin("FAILED", "BLOCKED")) & (F.col("discovered_at") <= now)).orderBy("discovered_at", "id").limit(most)
 
 
-def effective_time() -> Column:
-    """Manual, else published, else discovered."""
-    return F.coalesce(F.nullif("manual_at", F.lit("")), "published_at", "discovered_at")
-
-
 def outlet(publisher: Column, source: Column, host: Column) -> Column:
     known = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(known(publisher), known(source), known(host), F.lit("?"))
