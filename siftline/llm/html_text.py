@@ -3,11 +3,12 @@
 Parser events of the standard library are cut into lines at block tags. A line's
 text-to-tag ratio, less its share of link text and less for text that stands bare in a
 container instead of in a text element, is smoothed over its neighbours with a Gaussian; a
-threshold between the two clusters of smoothed ratios marks content lines. The region is the
-smallest container with most of the marked text, or the article element around it; every
-line of it that no boilerplate element holds and that isn't links belongs to the text, so
-short paragraphs between long ones stay. Beside the region, marked lines in text elements
-belong to it too, with what stands in their container, and headings next to marked lines.
+threshold between the two clusters of smoothed ratios marks content lines (all of them where
+the clusters lie too close together to tell). If most of the marked text stands in article elements, or else in a main
+element, these are the regions. Otherwise the region is the smallest container with most of the marked text, and what
+stands beside it counts too where the ratios mark it or where it is text elements next to the region, such as
+other sections of an article. Of a region every line counts that no boilerplate element holds and that isn't links,
+so short paragraphs between long ones stay; headings next to marked lines count.
 
 Boilerplate elements are those whose tag, role, or class and id words say so: menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
@@ -15,15 +16,17 @@ comments of readers.
 
 Cases: null or empty html and pages without content give the empty string; unclosed
 tags end where HTML ends them or at their parent's end; broken markup is read as the
-standard parser reads it; very long pages are processed whole; repeated rows give
+standard parser reads it; very long and very deep pages are processed whole, in time that grows with their length; repeated rows give
 equal rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,9 @@ KEPT = frozenset("html body main article".split())
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BARE = 0.2  # how much bare text counts
+CLOSE = 0.2  # clusters whose mean ratios differ by less than about a fifth are one
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
+ITEM_HOLDERS = frozenset("ul ol dl table div".split())
 ENDS_P = BLOCKS - frozenset(["br", "html", "body", "head", "title"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACES = re.compile(r"\s+")
@@ -69,35 +74,48 @@ class Line:
         return 0.0 if self.dropped else (self.size - self.linked) / max(1, self.tags) * (1.0 if self.kind else BARE)
 
 
+class Open(NamedTuple):
+    """An open element, with what holds inside it."""
+
+    tag: str = ""
+    dropped: bool = False  # here or above
+    container: int = 0
+    kind: str = ""  # the text element that bare text here belongs to
+    article: bool = False  # in an article or main element
+    barred: bool = False  # in an element whose tag alone is boilerplate
+
+
 class Events(HTMLParser):
     """Lines of a page, each with its tag count and the container it stands in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether dropped here or above, container
+        self.stack: list[Open] = [Open()]
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.parent: list[int] = [-1]
         self.kind: list[str] = ["page"]
         self.links = 0
         self.lines: list[Line] = [Line(0, False)]
 
     @property
-    def _top(self) -> tuple[str, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, 0)
+    def _top(self) -> Open:
+        return self.stack[-1]
+
+    def _pop(self, k: int) -> None:
+        self.count.subtract(x.tag for x in self.stack[k:])
+        del self.stack[k:]
 
     def _line(self) -> None:
-        _, dropped, container = self._top
-        last = self.lines[-1]
-        kind = next((t for t, _, c in reversed(self.stack) if c != container or t in TEXT_ELEMENTS), "")
-        kind = kind if kind in TEXT_ELEMENTS else ""
+        top, last = self._top, self.lines[-1]
         if last.parts:
-            self.lines.append(Line(container, dropped, kind))
+            self.lines.append(Line(top.container, top.dropped, top.kind))
         else:
-            last.container, last.dropped, last.kind = container, dropped, kind
+            last.container, last.dropped, last.kind = top.container, top.dropped, top.kind
 
     def _names_boilerplate(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
             return True
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
+        inside = self._top.article
         if tag == "header" and not inside:
             return True
         if tag in KEPT or not attrs:
@@ -110,23 +128,28 @@ class Events(HTMLParser):
         return bool(words & NAMES or not inside and words & TOPS)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ENDS_P and any(t == "p" for t, _, _ in self.stack[-6:]):
+        if tag in ENDS_P and any(x.tag == "p" for x in self.stack[-6:]):
             self._close("p", stop=CONTAINERS)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close(tag, stop=frozenset("ul ol dl table div".split()))
-        _, dropped, container = self._top
-        if tag in ("article", "main") and dropped and not any(t in DROPPED for t, _, _ in self.stack):
+            self._close(tag, stop=ITEM_HOLDERS)
+        if tag in ("article", "main") and self._top.dropped and not self._top.barred:
             # An advert or notice that was never closed doesn't hold the article.
-            while self.stack and self._top[1]:
-                self.stack.pop()
-            _, dropped, container = self._top
+            k = len(self.stack)
+            while self.stack[k - 1].dropped:
+                k -= 1
+            self._pop(k)
+        up = self._top
+        dropped = up.dropped
         if tag not in VOID:
             dropped = dropped or self._names_boilerplate(tag, attrs)
+            container = up.container
             if tag in CONTAINERS:
                 self.parent.append(container)
                 self.kind.append(tag)
                 container = len(self.parent) - 1
-            self.stack.append((tag, dropped, container))
+            above = up.kind if container == up.container else up.tag if up.tag in TEXT_ELEMENTS else ""
+            self.stack.append(Open(tag, dropped, container, tag if tag in TEXT_ELEMENTS else above, up.article or tag in ("article", "main"), up.barred or tag in DROPPED))
+            self.count[tag] += 1
         self.links += tag == "a"
         if tag in BLOCKS or dropped != self.lines[-1].dropped:
             self._line()
@@ -134,21 +157,22 @@ class Events(HTMLParser):
 
     handle_startendtag = handle_starttag
 
-    def _close(self, tag: str, stop: frozenset[str] = frozenset()) -> bool:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return True
-            if self.stack[k][0] in stop:
-                return False
-        return False
+    def _close(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
+        if not self.count[tag]:
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
+                self._pop(k)
+                return
+            if self.stack[k].tag in stop:
+                return
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1].tags += 1
         self.links = max(0, self.links - (tag == "a"))
         if tag not in VOID:
             self._close(tag, stop=frozenset() if tag in BLOCKS else CONTAINERS)
-        if tag in BLOCKS or self._top[1] != self.lines[-1].dropped:
+        if tag in BLOCKS or self._top.dropped != self.lines[-1].dropped:
             self._line()
 
     def handle_data(self, data: str) -> None:
@@ -165,8 +189,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0, reach: int = 3) -> np.ndarr
     return np.convolve(ratios, weights, "full")[reach : reach + len(ratios)] / np.convolve(np.ones(len(ratios)), weights, "full")[reach : reach + len(ratios)]
 
 
-def cluster_threshold(values: np.ndarray, rounds: int = 20) -> float:
-    """The middle between two means of the values' logarithms (1-d two-means from the extremes)."""
+def cluster_marks(values: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Which values belong to the upper of two clusters of their logarithms (1-d two-means from the extremes); all, where the means are closer than CLOSE."""
     logs = np.log1p(values)
     low, high = logs.min(), logs.max()
     for _ in range(rounds):
@@ -175,7 +199,23 @@ def cluster_threshold(values: np.ndarray, rounds: int = 20) -> float:
         if not len(a) or not len(b):
             break
         low, high = a.mean(), b.mean()
-    return float(np.expm1((low + high) / 2))
+    return logs >= (low + high) / 2 if high - low >= CLOSE else np.ones(len(values), bool)
+
+
+def subtree_sums(parent: list[int], own: dict[int, int]) -> list[int]:
+    """Per container what it and the containers inside it hold; parents come first."""
+    out = [own.get(c, 0) for c in range(len(parent))]
+    for c in range(len(parent) - 1, 0, -1):
+        out[parent[c]] += out[c]
+    return out
+
+
+def within(parent: list[int], tops: set[int]) -> list[bool]:
+    """Per container whether it is one of tops or inside one."""
+    out: list[bool] = []
+    for c, up in enumerate(parent):
+        out.append(c in tops or up >= 0 and out[up])
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -188,53 +228,35 @@ def main_text(html: str | None) -> str:
     lines = [x for x in events.lines if x.size]
     if not lines:
         return ""
-    ratio = smoothed(np.array([x.ratio for x in lines]))
-    marked = ratio >= cluster_threshold(ratio) if ratio.max() > ratio.min() else np.ones(len(lines), bool)
-    marked &= np.array([not x.dropped and not x.links for x in lines])
+    able = np.array([not x.dropped and not x.links for x in lines])
+    marked = cluster_marks(smoothed(np.array([x.ratio for x in lines]))) & able
     for k, x in enumerate(lines):  # headings next to content
-        if x.kind in HEADINGS and not x.dropped and not x.links and marked[max(0, k - 1) : k + 3].any():
+        if x.kind in HEADINGS and able[k] and marked[max(0, k - 1) : k + 3].any():
             marked[k] = True
-    # The smallest container with most of the marked text.
-    weight: dict[int, int] = {}
+    own: dict[int, int] = {}
     total = bare = 0
     for x in (x for x, m in zip(lines, marked, strict=True) if m):
         total += x.size
         bare += x.size * (not x.kind)
-        c = x.container
-        while c >= 0:
-            weight[c] = weight.get(c, 0) + x.size
-            c = events.parent[c]
+        own[x.container] = own.get(x.container, 0) + x.size
     if not total:
         return ""
-    region = max(c for c, w in weight.items() if 2 * w > total)
-    c = region
-    while c > 0 and events.kind[c] not in ("article", "main"):  # an article element around it is the better border
-        c = events.parent[c]
-    own = c > 0
-    region = c if own else region
-    # Beside it, text elements count, or bare text where most of the content is bare.
-    joined = set() if own else {x.container for x, m in zip(lines, marked, strict=True) if m and (x.kind or 2 * bare > total)}
-    joined &= around(events.parent, region)
-    inside: list[bool] = []
-    for c, parent in enumerate(events.parent):  # parents come first
-        inside.append(c == region or parent >= 0 and inside[parent])
-    kept = []
-    for x, m in zip(lines, marked, strict=True):
-        if x.dropped or x.links and not (own and inside[x.container]):
-            continue
-        if inside[x.container] or x.container in joined and (m or x.kind):
-            text = SPACES.sub(" ", "".join(x.parts)).strip()
-            if text:
-                kept.append(text)
-    return " ".join(kept)
-
-
-def around(parent: list[int], region: int) -> set[int]:
-    """The containers of a page but the region's inside."""
-    inside: list[bool] = []
-    for c, up in enumerate(parent):
-        inside.append(c == region or up >= 0 and inside[up])
-    return {c for c, x in enumerate(inside) if not x}
+    weight = subtree_sums(events.parent, own)
+    for kind in ("article", "main"):
+        tops = {c for c, k in enumerate(events.kind) if k == kind}
+        inside = within(events.parent, tops)
+        if 2 * sum(n for c, n in own.items() if inside[c]) > total:
+            return joined_text(x for x in lines if not x.dropped and inside[x.container])
+    # The smallest container with most of the marked text: children come after their parents.
+    region = max(c for c, w in enumerate(weight) if 2 * w > total)
+    inside = within(events.parent, {region})
+    beside = within(events.parent, {max(0, events.parent[region])})  # sections next to the region
+    told = {x.container for x, m in zip(lines, marked, strict=True) if m and (x.kind or 2 * bare > total)}
+    return joined_text(x for x, m, ok in zip(lines, marked, able, strict=True) if ok and (inside[x.container] or x.kind and beside[x.container] or x.container in told and (m or x.kind)))
+
+
+def joined_text(lines: Iterable[Line]) -> str:
+    return " ".join(t for t in (SPACES.sub(" ", "".join(x.parts)).strip() for x in lines) if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:

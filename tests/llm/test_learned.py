@@ -297,7 +297,7 @@ def test_ratios_decide_on_pages_without_telling_tags(spark, monkeypatch):
         m.setattr(html_text, "smoothed", lambda r: np.ones(len(r)))
         assert measured()[0] < precision - 0.03
     with monkeypatch.context() as m:
-        m.setattr(html_text, "cluster_threshold", lambda v: -1.0)
+        m.setattr(html_text, "cluster_marks", lambda v: np.ones(len(v), bool))
         assert measured()[0] < precision - 0.03
     with monkeypatch.context() as m:
         m.setattr(html_text, "smoothed", lambda r: r)
