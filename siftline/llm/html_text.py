@@ -44,6 +44,7 @@ NAMES = frozenset(
     " sidebar menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar footer comment comments commentlist disqus discussion replies respond share sharing social related recommended"
     " newsletter subscribe subscription signup login search widget skip".split()
 )
+ASIDE_ARTICLES = frozenset("comment reply related recommended promo ad advert sponsored".split())
 TOPS = frozenset("header masthead topbar".split())
 KEPT = frozenset("html body main article".split())
 TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
@@ -118,9 +119,11 @@ class Events(HTMLParser):
         inside = self._top.article
         if tag == "header" and not inside:
             return True
+        found = dict(attrs)
+        if tag == "article":  # a card or comment in its own right; longer names may only speak of what it has
+            return not ASIDE_ARTICLES.isdisjoint((found.get("class") or "").lower().split())
         if tag in KEPT or not attrs:
             return False
-        found = dict(attrs)
         if (found.get("role") or "").lower() in ROLES or "hidden" in found or (found.get("aria-hidden") or "").lower() == "true" or "display:none" in (found.get("style") or "").replace(" ", "").lower():
             return True
         named = f"{found.get('class') or ''} {found.get('id') or ''}"
