@@ -239,33 +239,88 @@ def test_space_is_the_leading_singular_space(spark):
     docs = spark.createDataFrame(list(enumerate(texts[40:])), "doc_id long, text string")
     frequency, n = decontam.document_frequencies(docs)
     idf = np.log((n + 1) / (frequency + 1)).astype(np.float32) + np.float32(1e-3)
-    bench = decontam.build(docs, list(enumerate(texts[:40])), idf, n)
-    assert bench.basis.shape[1] == 20 < 40 and np.allclose(bench.basis.T @ bench.basis, np.eye(20), atol=1e-3)
-
-    def rows(text):
-        h = decontam.word_sequence(text)
-        out = np.zeros(len(bench.table.words))
-        for s in range(0, len(h), decontam.STRIDE * 4):
-            part = h[s : s + decontam.PASSAGE]
-            np.add.at(out, bench.table.find(part)[bench.table.find(part) >= 0], idf[decontam.buckets(part)][bench.table.find(part) >= 0] / np.sqrt((idf[decontam.buckets(part)] ** 2).sum()))
-        return out
-
-    items, sample = np.stack([rows(t) for t in texts[:40]]), np.stack([rows(t) for t in texts[40:]])
-    full = np.linalg.svd(np.vstack([items, sample * np.sqrt(0.5 * 40 / len(sample))]), compute_uv=False)
-    assert np.allclose(bench.singular[:10], full[:10], rtol=0.02)
-    kept = np.linalg.norm(items @ bench.basis, axis=1) / np.linalg.norm(items, axis=1)
-    assert 0.8 < kept.mean() < 0.999  # truncated, not a rotation of the word space
+    bench = decontam.build(docs, list(enumerate(texts[:40])), idf, n, rank=20)
+    basis = bench.load[:-1] / idf[:, None]
+    assert basis.shape[1] == 20 and np.allclose(basis.T @ basis, np.eye(20), atol=1e-3)
 
+    def row(text):
+        out = np.zeros(decontam.DIMENSIONS)
+        out[np.unique(decontam.buckets(decontam.word_sequence(text)))] = 1
+        return out * idf / np.sqrt((out * idf**2).sum())
 
-def test_search_without_a_space_finds_the_same(spark):
-    """The bound on what the space leaves out holds for any rank: one dimension finds what many find."""
+    items, sample = np.stack([row(t) for t in texts[:40]]), np.stack([row(t) for t in texts[40:]])
+    full = np.linalg.svd(np.vstack([items, sample * np.sqrt(0.5 * 40 / len(sample))]), compute_uv=False)
+    assert np.allclose(bench.singular[:10], full[:10], rtol=0.02)
+    kept = np.linalg.norm(items @ basis, axis=1)
+    assert 0.7 < kept.mean() < 0.999  # truncated, not a rotation of the word space
+
+
+def reworded(rng, n_items=40, concepts=300):
+    """Documents that use two words for every concept side by side; items in first words; paraphrases that change half of them."""
+    first, second = ([f"{mark}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(concepts)] for mark in "xy")
+    docs = [" ".join(f"{first[c]} {second[c]}" for c in rng.choice(concepts, 12)) for _ in range(1500)]
+    items, other = [], []
+    for _ in range(n_items):
+        c = rng.choice(concepts, 40, replace=False)
+        change = np.arange(40) % 2 == 1
+        change[34:] = False  # the answer
+        items.append(" ".join(first[k] for k in c[:34]) + ". " + " ".join(first[k] for k in c[34:]))
+        other.append(" ".join(second[k] if x else first[k] for k, x in zip(c, change, strict=True)))
+    return docs, items, other
+
+
+def test_paraphrases_in_other_words_are_found_through_the_space(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    docs, items, other = reworded(rng)
+    rows = spark.createDataFrame([*enumerate(docs), *((10_000 + k, f"{docs[k]} {t} {docs[k + 1]}") for k, t in enumerate(other))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: {(r["doc_id"], i) for r in decontam.find_leaks(rows, bench).collect() for i in r["item_ids"]}
+    got = found()
+    want = {(10_000 + k, k) for k in range(len(items))}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+    real = decontam.build
+
+    def without_space(*args, **more):
+        made = real(*args, **more)
+        idf = np.linalg.norm(made.load[:-1], axis=1, keepdims=True)
+        flat = np.random.default_rng(1).normal(size=made.load.shape).astype(np.float32) / np.sqrt(made.load.shape[1])
+        flat[:-1] *= np.where(idf > 0, 1, 0)
+        flat[-1] = 0
+        return decontam.Benchmark(made.ids, made.words, made.answers, flat, made.singular, made.short)
+
+    monkeypatch.setattr(decontam, "build", without_space)
+    assert len(found() & want) < 0.2 * len(want)
+
+
+def test_recall_of_planted_paraphrases(spark):
+    """Items in real documents with 28 % of their words replaced and others put between."""
+    rng = np.random.default_rng(1)
     d = "/root/testdata/sf0.01"
-    docs, bench = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet")
-    frequency, n = decontam.document_frequencies(docs)
-    idf = np.log((n + 1) / (frequency + 1)).astype(np.float32) + np.float32(1e-3)
-    items = [(r["item_id"], r["text"]) for r in bench.collect()]
-    found = [{(r["doc_id"], tuple(r["item_ids"])) for r in decontam.search(docs, decontam.build(docs, items, idf, n, rank=k)).collect()} for k in (1, 256)]
-    assert found[0] == found[1]
+    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    texts = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").filter("n_chars > 2000").orderBy("doc_id").limit(200).collect()]
+    words = " ".join(texts).split()
+    any_word = lambda: words[rng.integers(len(words))]
+    rows, want = [], set()
+    for k, r in enumerate(bench.collect()):
+        out = [x for w in r["text"].split() for x in ([w if rng.random() > 0.28 else any_word()] + ([any_word()] if rng.random() < 0.15 else []))]
+        body = texts[k].split()
+        rows.append((k, " ".join(body[:100] + out + body[100:])))
+        want.add((k, r["item_id"]))
+    df = spark.createDataFrame(rows + [(1_000 + k, t) for k, t in enumerate(texts[50:])], "doc_id long, text string")
+    exact = {(i, x["item_id"]) for i, t in rows for x in bench.collect() if decontam.common_subsequence(decontam.word_sequence(x["text"]), decontam.word_sequence(t)) >= 0.7 * len(decontam.word_sequence(x["text"]))} & want
+    got = {(r["doc_id"], i) for r in decontam.find_leaks(df, bench).collect() for i in r["item_ids"]}
+    assert len(exact) > 15 and len(got & exact) >= 0.9 * len(exact)
+
+
+def test_more_items_than_one_turn_holds(spark):
+    """Searched in turns, the result is the same, and repeated rows stay rows of their own."""
+    d = "/root/testdata/sf0.001"
+    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rows = docs.union(docs.filter("doc_id % 3 = 0"))
+    key = lambda df: sorted((r["doc_id"], r["contaminated"], tuple(r["item_ids"])) for r in df.collect())
+    one, turns = key(decontam.find_leaks(rows, bench)), key(decontam.find_leaks(rows, bench, most_items=15))
+    assert len(one) == rows.count() and one == turns and any(x[1] for x in one)
 
 
 def soup(html):
