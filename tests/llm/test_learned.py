@@ -240,7 +240,10 @@ def test_space_is_the_leading_singular_space(spark):
     frequency, n = decontam.document_frequencies(docs)
     idf = np.log((n + 1) / (frequency + 1)).astype(np.float32) + np.float32(1e-3)
     bench = decontam.build(docs, list(enumerate(texts[:40])), idf, n, rank=20)
-    basis = bench.load[:-1] / idf[:, None]
+    inside = bench.place[bench.place < len(bench.load) - 1]
+    basis = np.zeros((decontam.DIMENSIONS, 20))
+    basis[bench.place < len(bench.load) - 1] = bench.load[inside]
+    basis /= idf[:, None]
     assert basis.shape[1] == 20 and np.allclose(basis.T @ basis, np.eye(20), atol=1e-3)
 
     def row(text):
@@ -286,7 +289,7 @@ def test_paraphrases_in_other_words_are_found_through_the_space(spark, monkeypat
         flat = np.random.default_rng(1).normal(size=made.load.shape).astype(np.float32) / np.sqrt(made.load.shape[1])
         flat[:-1] *= np.where(idf > 0, 1, 0)
         flat[-1] = 0
-        return decontam.Benchmark(made.ids, made.words, made.answers, flat, made.singular, made.short)
+        return decontam.Benchmark(made.ids, made.words, made.answers, made.place, flat, made.singular, made.short)
 
     monkeypatch.setattr(decontam, "build", without_space)
     assert len(found() & want) < 0.2 * len(want)
