@@ -1,9 +1,10 @@
 """Language-model scoring with a gated recurrent network, and the add-one unigram base beside it.
 
 Tokens are words (A-Z lower-cased) and one end per document. The network reads the
-VOCABULARY most frequent tokens by name and all others as one rare token. Its output
-is factored: a softmax over classes, then a softmax within the token's class; a rare
-token's share of the rare class is its add-one share of the rare counts. So the model
+VOCABULARY most frequent tokens by name and all others as one of RARE rare tokens, by a hash of their last two
+bytes, so it can tell which endings are likely. Its output
+is factored: a softmax over classes, then a softmax within the token's class. Every rare token is a class; a
+word's share of it is its add-one share of that class's counts. So the model
 is a proper distribution over all texts.
 
 Counts cover all training rows: they are combined within tasks and added up by word.
@@ -38,6 +39,7 @@ from .textbytes import U64, Words, chunks, gathered, run_starts, tidy
 
 VOCABULARY = 2047
 CLASS_WORDS = 48
+RARE = 48
 HIDDEN = 16
 FREQUENT = 65_536
 ROUNDS = 3
@@ -45,7 +47,7 @@ RATE = 0.02
 MERGED = 16
 WINDOW = 16
 LANES = 512
-LEAST_UPDATES = 24  # of one chunk; fewer lanes where a chunk has too few tokens for that
+LEAST_UPDATES = 72  # of one chunk; fewer lanes where a chunk has too few tokens for that
 CHUNK = 4 << 20
 MOST_LOGIT = np.float32(80)
 END = np.uint64(0xE0D0C0B0A0908071)
@@ -56,40 +58,43 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def tokens(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes with each row's end, row borders)."""
+def tokens(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes with each row's end, row borders, each token's group by its last two bytes)."""
     words = Words(flat, off)
     border = words.first + np.arange(len(words.first))
-    out = np.empty(int(border[-1]), np.uint64)
+    out, group = np.empty(int(border[-1]), np.uint64), np.zeros(int(border[-1]), np.uint8)
     at = np.arange(len(words.row)) + words.row
     out[at] = words.hash
+    pair = words.flat[words.end - 1].astype(np.uint32) * np.uint32(31) + words.flat[np.maximum(words.end - 2, words.start)]
+    group[at] = (pair * np.uint32(2_654_435_761) >> np.uint32(7)) % np.uint32(RARE)
     out[border[1:] - 1] = END
-    return out, border
+    return out, border, group
 
 
 def token_counts(training: DataFrame) -> DataFrame:
-    """(word, n): how often each token occurs, tasks' own counts first."""
+    """(word, n, part): how often each token occurs and its group, tasks' own counts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            word, n = np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held])
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            word, n, part = (np.concatenate([x[k] for x in held]) for k in range(3))
             order = np.argsort(word, kind="stable")
-            word, n = word[order], n[order]
+            word, n, part = word[order], n[order], part[order]
             at = run_starts(word)
-            return word[at], np.add.reduceat(n, at)
+            return word[at], np.add.reduceat(n, at), part[at]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            word, n = merged()
+            word, n, part = merged()
             for at in range(0, len(word), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(word[at : at + 65536].view(np.int64)), pa.array(n[at : at + 65536])], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(word[at : at + 65536].view(np.int64)), pa.array(n[at : at + 65536]), pa.array(part[at : at + 65536].astype(np.int32))], ["word", "n", "part"])
 
         for b in batches:
             for _, flat, off in chunks(b.column(0)):
-                word, n = np.unique(tokens(flat, off)[0], return_counts=True)
-                held.append((word, n.astype(np.int64)))
+                h, _, group = tokens(flat, off)
+                word, at, n = np.unique(h, return_index=True, return_counts=True)
+                held.append((word, n.astype(np.int64), group[at]))
                 size += len(word)
                 if size > 3_000_000:
                     held = [merged()]
@@ -100,8 +105,8 @@ def token_counts(training: DataFrame) -> DataFrame:
         if held:
             yield from rows()
 
-    counted = training.select("text").mapInArrow(tidy(run), "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = training.select("text").mapInArrow(tidy(run), "word long, n long, part int")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("part").alias("part"))
 
 
 @dataclass
@@ -118,23 +123,24 @@ class Gru:
 
     @property
     def rare(self) -> int:
-        return len(self.gates) - 1
+        """The first rare token; the others follow."""
+        return len(self.gates) - RARE
 
     @property
     def rare_class(self) -> int:
-        return len(self.class_b) - 1
+        return len(self.class_b) - RARE
 
     @classmethod
-    def start(cls, n_words: int, counts: np.ndarray, rare_count: float, hidden: int = HIDDEN, seed: int = 5) -> Gru:
+    def start(cls, n_words: int, counts: np.ndarray, rare_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> Gru:
         """Small random weights; output biases start at the add-one unigram shares."""
         rng = np.random.default_rng(seed)
         classes = -(-n_words // CLASS_WORDS) if n_words else 0
         share = np.concatenate([counts.astype(float) + 1, np.zeros(classes * CLASS_WORDS - n_words)]).reshape(classes, CLASS_WORDS)
-        total = np.concatenate([share.sum(axis=1), [rare_count + 1.0]])
+        total = np.concatenate([share.sum(axis=1), rare_counts + 1.0])
         with np.errstate(divide="ignore"):
             word_b = np.maximum(np.log(share / np.maximum(share.sum(axis=1, keepdims=True), 1)), -1e4)
         make = lambda *s: rng.normal(0, 0.15, s).astype(np.float32)
-        return cls(make(n_words + 1, 3 * hidden), make(hidden, 2 * hidden), make(hidden, hidden), make(hidden, classes + 1) * 0.1, np.log(total / total.sum()).astype(np.float32), make(classes, hidden, CLASS_WORDS) * 0.1, word_b.astype(np.float32))
+        return cls(make(n_words + RARE, 3 * hidden), make(hidden, 2 * hidden), make(hidden, hidden), make(hidden, classes + RARE) * 0.1, np.log(total / total.sum()).astype(np.float32), make(classes, hidden, CLASS_WORDS) * 0.1, word_b.astype(np.float32))
 
     def parts(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in ("gates", "back", "back_n", "class_w", "class_b", "word_w", "word_b")}
@@ -168,7 +174,7 @@ class Gru:
         return n + z * (h - n), z, r, n
 
     def losses(self, h: np.ndarray, word: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P(word | h) per row (for the rare token, of its class only); with grads, also the gradient of -sum by h."""
+        """ln P(word | h) per row (for rare tokens, of their class only); with grads, also the gradient of -sum by h."""
 
         def shares(logit: np.ndarray, own: np.ndarray) -> np.ndarray:
             """ln of the chosen column's share; logit becomes the shares, less 1 in that column, if there are grads."""
@@ -182,7 +188,7 @@ class Gru:
                 logit[rows, own] -= 1
             return chosen - np.log(total)
 
-        group = np.where(word == self.rare, self.rare_class, word // CLASS_WORDS)
+        group = np.where(word >= self.rare, self.rare_class + word - self.rare, word // CLASS_WORDS)
         order = np.argsort(group.astype(np.uint16), kind="stable")
         h, word, group = h[order], word[order], group[order]
         p = h @ self.class_w
@@ -370,17 +376,20 @@ def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes
 class Scorer:
     words: np.ndarray  # sorted hashes of the frequent words
     counts: np.ndarray
-    named: np.ndarray  # the network's token of each, or the rare token
+    named: np.ndarray  # the network's token of each, or the first rare token where it has none
     model: Gru
     end: int
+    rare_totals: np.ndarray  # of each rare class: its tokens and distinct words, and one
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into words or -1, network token) of each token."""
+        rare, group = self.model.rare, group.astype(np.int64)
         if not len(self.words):
-            return np.full(len(h), -1), np.full(len(h), self.model.rare)
+            return np.full(len(h), -1), rare + group
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         known = self.words[at] == h
-        return np.where(known, at, -1), np.where(known, self.named[at], self.model.rare)
+        token = np.where(known, self.named[at], rare)
+        return np.where(known, at, -1), np.where(token == rare, rare + group, token)
 
 
 def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +418,8 @@ def fit(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> Gru:
             moments = Moments(model)
             for b in gathered(batches, CHUNK):
                 for _, flat, off in chunks(b.column(0), CHUNK):
-                    h, _ = tokens(flat, off)
-                    train(model, s.look_up(h)[1], s.end, rate, moments=moments)
+                    h, _, group = tokens(flat, off)
+                    train(model, s.look_up(h, group)[1], s.end, rate, moments=moments)
                     n += len(h)
             if n:
                 change = (model.flat() - s.model.flat()).astype(np.float32)
@@ -429,54 +438,55 @@ def fit(docs: DataFrame, scorer: Scorer, rounds: int = ROUNDS) -> Gru:
     for k in range(rounds):
         change = one_round(k)
         if change is not None:
-            scorer = Scorer(scorer.words, scorer.counts, scorer.named, scorer.model.moved(change), scorer.end)
+            scorer = Scorer(scorer.words, scorer.counts, scorer.named, scorer.model.moved(change), scorer.end, scorer.rare_totals)
     return scorer.model
 
 
-def learn(docs: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int, int, int]:
-    """The scorer and N, V, and N, V of the words the network doesn't name."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total["n"] or 0), int(total["v"])
+def learn(docs: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
+    """The scorer and N, V."""
+    parts = {r["part"]: (r["n"], r["v"]) for r in counts.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # RARE rows
+    n, v = (sum(x[k] for x in parts.values()) for k in range(2))
     top = top_rows(counts, "n", FREQUENT, "word").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    word, c = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    word, c, part = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["part"].to_numpy(np.int64)
     if not (word == END).any():
         row = counts.filter(F.col("word") == int(END.astype(np.int64))).select("n").first()
-        word, c = np.r_[word, END], np.r_[c, row["n"] if row else 0]
-    named = np.minimum(np.arange(len(word)), VOCABULARY)
+        word, c, part = np.r_[word, END], np.r_[c, row["n"] if row else 0], np.r_[part, 0]
     size = min(len(word), VOCABULARY)
-    where = np.flatnonzero(word[:size] == END)
-    if len(word) and not len(where):  # the end is always named
-        rest = np.flatnonzero(word[size - 1 :] != END) + size - 1
-        word, c = np.r_[word[: size - 1], END, word[rest]], np.r_[c[: size - 1], c[word == END], c[rest]]
-        named, where = np.minimum(np.arange(len(word)), VOCABULARY), np.array([size - 1])
-    rare_n, rare_v = n - int(c[:size].sum()), v - size + (int(c[int(where[0])]) == 0)
-    model = Gru.start(size, c[:size], rare_n + max(rare_v, 0))
+    if not (word[:size] == END).any():  # the end is always named
+        last = int(np.flatnonzero(word == END)[0])
+        order = np.r_[np.arange(size - 1), last, np.setdiff1d(np.arange(size - 1, len(word)), [last])]
+        word, c, part = word[order], c[order], part[order]
+    where = int(np.flatnonzero(word[:size] == END)[0])
+    there = c[:size] > 0
+    rare = np.array([sum(parts.get(g, (0, 0))) for g in range(RARE)], np.float64)
+    rare -= np.bincount(part[:size], c[:size] + there, minlength=RARE)
+    model = Gru.start(size, c[:size], rare)
     order = np.argsort(word)
-    named = np.where(named < size, named, size)
-    scorer = Scorer(word[order], c[order], named[order], model, int(where[0]))
+    named = np.minimum(np.arange(len(word)), size)
+    scorer = Scorer(word[order], c[order], named[order], model, where, rare + 1)
     scorer.model = fit(docs, scorer)
-    return scorer, n, v, rare_n, max(rare_v, 0)
+    return scorer, n, v
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, n_tokens, frequent, base_part, rare_tokens, named_rare_part, model_ln) by the network and the frequent words."""
+    """(doc_id, n_tokens, frequent, base_part, rare_part, model_ln) by the network and the frequent words; rare_part has the rare tokens' shares of their classes, less what their own counts add if they aren't frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # FREQUENT words and the network: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        logs = np.log10(s.counts + 1.0)
+        logs, totals = np.log10(s.counts + 1.0), np.log10(s.rare_totals)
         for b in gathered(batches, CHUNK):
             for first, flat, off in chunks(b.column(1), CHUNK):
-                h, border = tokens(flat, off)
-                at, word = s.look_up(h)
+                h, border, group = tokens(flat, off)
+                at, word = s.look_up(h, group)
                 known = (at >= 0) & (s.counts[at] > 0)
                 part = np.where(at >= 0, logs[at], 0)
-                rare = word == s.model.rare
+                rare = word >= s.model.rare
                 add = lambda x: np.add.reduceat(x.astype(np.float64), border[:-1])  # noqa: E731, B023
-                arrays = [pa.array(np.diff(border)), pa.array(add(known).astype(np.int64)), pa.array(add(part)), pa.array(add(rare).astype(np.int64)), pa.array(add(np.where(rare, part, 0))), pa.array(score_rows(s.model, word, border, s.end))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), *arrays], ["doc_id", "n_tokens", "frequent", "base_part", "rare_tokens", "rare_part", "model_ln"])
+                arrays = [pa.array(np.diff(border)), pa.array(add(known).astype(np.int64)), pa.array(add(part)), pa.array(add(np.where(rare, part - totals[group], 0))), pa.array(score_rows(s.model, word, border, s.end))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(off) - 1), *arrays], ["doc_id", "n_tokens", "frequent", "base_part", "rare_part", "model_ln"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, frequent long, base_part double, rare_tokens long, rare_part double, model_ln double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, frequent long, base_part double, rare_part double, model_ln double")
 
 
 def other_words(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -488,7 +498,7 @@ def other_words(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, flat, off in chunks(b.column(1)):
-                h, border = tokens(flat, off)
+                h, border, _ = tokens(flat, off)
                 row = np.repeat(np.arange(len(border) - 1), np.diff(border))
                 if len(known):
                     other = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
@@ -506,18 +516,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with the base and the model's log10 likelihood."""
     training = docs.filter(~held_out(F.col("doc_id")))
     counts = stage(token_counts(training), "counts")
-    scorer, n, v, rare_n, rare_v = learn(training.select("doc_id", "text"), counts)
+    scorer, n, v = learn(training.select("doc_id", "text"), counts)
     # A repeated row adds its words again, so sums are divided by the doc_id's rows.
     parts = other_words(docs, scorer.words).join(counts, "word").groupBy("doc_id").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     rows = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
     parts = parts.join(rows, "doc_id").select("doc_id", (F.col("more") / F.col("rows")).alias("more"), (F.col("more_known") / F.col("rows")).cast("long").alias("more_known"))
     joined = scored(docs, scorer).join(parts, "doc_id", "left")
     more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    rare_total = rare_n + rare_v + 1
     return joined.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("frequent") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_part") + more - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        (F.col("model_ln") / F.lit(LN10) + F.col("rare_part") + more - F.col("rare_tokens") * F.lit(math.log10(rare_total))).alias("score"),
+        (F.col("model_ln") / F.lit(LN10) + F.col("rare_part") + more).alias("score"),
     )
 
 

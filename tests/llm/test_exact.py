@@ -232,11 +232,11 @@ def test_language_model_counts_and_gradient(spark):
     for i, ws in words.items():
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-    m = gru_lm.Gru.start(70, np.arange(70)[::-1], 9.0, hidden=3)
+    m = gru_lm.Gru.start(70, np.arange(70)[::-1], np.full(gru_lm.RARE, 9.0), hidden=3)
     for k, p in m.parts().items():
         setattr(m, k, p.astype(np.float64))
     rng = np.random.default_rng(0)
-    word, h0 = rng.integers(0, 71, (6, 4)), rng.normal(size=(4, 3))
+    word, h0 = rng.integers(0, 70 + gru_lm.RARE, (6, 4)), rng.normal(size=(4, 3))
     live = np.ones_like(word, bool)
     _, grads, _ = m.window_gradient(h0, word, live, 5)
     for k, at in (("back", (1, 2)), ("back_n", (0, 1)), ("gates", (int(word[1, 0]), 4)), ("class_w", (2, 1)), ("word_b", (0, 3))):
@@ -250,14 +250,14 @@ def test_language_model_counts_and_gradient(spark):
 
 
 def test_model_is_a_distribution_and_lanes_agree():
-    m = gru_lm.Gru.start(130, np.arange(130)[::-1], 9.0, hidden=4)
+    m = gru_lm.Gru.start(130, np.arange(130)[::-1], np.full(gru_lm.RARE, 9.0), hidden=4)
     h = np.random.default_rng(1).normal(size=(1, 4)).astype(np.float32)
-    total = sum(np.exp(m.losses(h, np.array([w]))[0][0]) for w in range(131))
+    total = sum(np.exp(m.losses(h, np.array([w]))[0][0]) for w in range(130 + gru_lm.RARE))
     assert total == pytest.approx(1, abs=1e-4)
     rng = np.random.default_rng(2)
     lengths = [1, 3, 90, 40, 7]
     border = np.r_[0, np.cumsum(lengths)]
-    word = rng.integers(0, 131, border[-1])
+    word = rng.integers(0, 130 + gru_lm.RARE, border[-1])
     word[word == 5] = 6
     word[border[1:] - 1] = 5
     one, many = gru_lm.score_rows(m, word, border, 5, lanes=1), gru_lm.score_rows(m, word, border, 5, lanes=4)

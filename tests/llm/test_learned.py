@@ -210,7 +210,7 @@ def test_network_learns_from_every_training_row(spark):
     say = lambda x: " ".join(f"{x}{k}" for k in "abcdefgh")
     rows = spark.range(5000).toDF("doc_id").withColumn("text", F.repeat(F.when(half, say("p") + " ").otherwise(say("q") + " "), 12)).filter(~gru_lm.held_out(F.col("doc_id")))
     scorer = gru_lm.learn(rows.repartition(4), gru_lm.token_counts(rows))[0]
-    score = lambda t: gru_lm.score_rows(scorer.model, *(lambda h, border: (scorer.look_up(h)[1], border))(*gru_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))), scorer.end)[0]
+    score = lambda t: gru_lm.score_rows(scorer.model, *(lambda h, border, group: (scorer.look_up(h, group)[1], border))(*gru_lm.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))), scorer.end)[0]
     for x in "pq":
         assert score(f"{say(x)} {say(x)}") > score(" ".join(f"{x}{k}" for k in "hcfaebgdgcahdbfe")) + 5
 
