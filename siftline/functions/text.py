@@ -88,11 +88,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def strip_html(c: Column) -> Column:
-    """Tags to spaces, the common character references decoded (ampersand last), white space collapsed."""
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Tags to spaces, character references decoded, white space collapsed."""
+    c = unescape(F.regexp_replace(c, r"<[^>]+>", " "))
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
 
 
 def unescape(c: Column) -> Column:
@@ -175,6 +173,20 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def escape_attribute(c: Column) -> Column:
+    """For a quoted attribute of markup."""
+    return F.replace(escape_html(c), F.lit('"'), F.lit("&quot;"))
+
+
+def plain_of_markup(c: Column) -> Column:
+    """The inverse, for a channel that takes no markup: a link's address after its text in brackets, tags out, references decoded (ampersand last)."""
+    c = F.regexp_replace(c, r'(?is)<a\s+href="([^"]*)">(.*?)</a>', "$2 ($1)")
+    c = F.regexp_replace(c, r"<[^>]+>", "")
+    for raw, name in (('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(name), F.lit(raw))
+    return c
+
+
 def stem_en(word: Column) -> Column:
     """Plural and participle endings off, where four letters stay."""
     kept = lambda k: F.substring(word, F.lit(1), F.length(word) - k)

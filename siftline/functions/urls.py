@@ -69,6 +69,25 @@ def on_hosts(df: DataFrame, host_column: str, rules: DataFrame, rule_column: str
     return df.join(hit, host_column, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
+def block_list(configured: Column, more: Column) -> Column:
+    """Configured hosts, then those of a comma-separated text, lower case, without www., each once in order."""
+    clean = lambda h: F.regexp_replace(F.lower(F.trim(h)), r"^www\.", "")
+    both = F.concat(F.coalesce(configured, F.array().cast("array<string>")), F.split(F.coalesce(more, F.lit("")), ","))
+    return F.array_distinct(F.filter(F.transform(both, clean), lambda h: h != ""))
+
+
+def drop_blocked(items: DataFrame, hosts: DataFrame, host_column: str = "host") -> DataFrame:
+    """Scored items of blocked hosts leave: band DROP, score 0, not urgent, the host added to their matched terms; handed-in ones stay."""
+    seen = on_hosts(items, host_column, hosts)
+    gone = F.col("listed") & F.col("band").isNotNull() & (F.col("band") != "DROP") & ~F.coalesce("manual", F.lit(False))
+    why = F.array(F.concat(F.lit("blocked host: "), F.col(host_column)))
+    terms = F.coalesce("matched_terms", F.array().cast("array<string>"))
+    return seen.withColumns({
+        "band": F.when(gone, "DROP").otherwise(F.col("band")), "score": F.when(gone, 0).otherwise(F.col("score")), "urgent": F.col("urgent") & ~gone,
+        "matched_terms": F.when(gone, F.concat(terms, why)).otherwise(F.col("matched_terms")),
+    }).drop("listed")
+
+
 def channel_id(text: Column) -> Column:
     """UC and 22 characters, alone or in a url; null where only a lookup by handle could tell."""
     return F.nullif(F.regexp_extract(text, r"(UC[\w-]{22})(?![\w-])", 1), F.lit(""))

@@ -28,6 +28,19 @@ def alert_text(title: Column, excerpt: Column, link: Column, outlets: Column, un
     return out
 
 
+def quiet(groups: Column, excerpt: Column, listed: list[str]) -> tuple[Column, Column]:
+    """(excerpt, siren) of an alert: groups that are listed as quiet come without an excerpt and without the mark."""
+    hushed = F.arrays_overlap(F.coalesce(groups, F.array().cast("array<string>")), F.array(*(F.lit(g) for g in listed)).cast("array<string>"))
+    return F.when(hushed, F.lit("")).otherwise(excerpt), F.when(hushed, F.lit("")).otherwise(F.lit("🚨 "))
+
+
+def story_card(stories: DataFrame) -> DataFrame:
+    """What a page shows of a story, and the line that shares it (id, title, outlet, url, sources, more, share)."""
+    more = F.size("sources") - 1
+    named = F.when(more > 0, F.concat("outlet", F.lit(" +"), more.cast("string"))).otherwise(F.col("outlet"))
+    return stories.select("id", cut(F.col("title"), LINE_TITLE).alias("title"), "outlet", "url", "sources", F.greatest(more, F.lit(0)).alias("more"), F.concat("title", F.lit(" — "), named, F.lit("\n"), "url").alias("share"))
+
+
 def delay_note(created: Column, sent: Column, text: Column, minutes: int = 30) -> Column:
     late = F.floor((F.unix_seconds(sent) - F.unix_seconds(created)) / 60)
     return F.when(late > minutes, F.concat(text, F.lit("\n(delayed by "), late.cast("string"), F.lit(" min)"))).otherwise(text)

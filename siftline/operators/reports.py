@@ -27,6 +27,11 @@ def day_bounds(day: Column, zone: str = LOCAL_ZONE) -> tuple[Column, Column]:
     return F.to_utc_timestamp(day.cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone)
 
 
+def local_text(ts: Column, zone: str = LOCAL_ZONE) -> Column:
+    """An instant as local people read it."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "d MMM HH:mm")
+
+
 def nearest_rank(value: Column, q: float) -> Column:
     """Nearest-rank quantile, an aggregate: element int(q (n - 1) + 0.5) of the sorted values."""
     sorted_ = F.sort_array(F.collect_list(value))
@@ -112,6 +117,14 @@ def visit_stats(visits: DataFrame, ts: str, visitor: str, bot: Column, zone: str
     return calendar.join(each, "day", "left").select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("views", "visitors", "bots")))
 
 
+LEAST_DAYS = 15
+
+
+def pruned(items: DataFrame, ts: str, now: Column, days: int, keep: Column) -> DataFrame:
+    """Rows that a retention leaves: at most `days` old (never less than LEAST_DAYS), and those to keep (handed in, hidden) whatever their age."""
+    return items.filter((F.col(ts) >= now - F.make_interval(days=F.lit(max(days, LEAST_DAYS)))) | F.coalesce(keep, F.lit(False)))
+
+
 def retained(df: DataFrame, ts: str, key: str, now: Column, days: int, newest: int) -> DataFrame:
     """Rows of at most `days` age, of them the newest `newest`."""
     return df.filter(F.col(ts) >= now - F.make_interval(days=F.lit(days))).orderBy(F.desc(ts), F.desc(key)).limit(newest)

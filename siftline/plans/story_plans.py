@@ -236,8 +236,8 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Titles (here: the first 60 characters of a line, and those without their first word) of which one holds the other."""
-    t = table(spark, d, "documents").filter(F.length(F.substring_index("text", "\n", 1)) >= 60).select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"))
+    """Titles (here: first lines, and those without their first word) of which one holds the other."""
+    t = table(spark, d, "documents").filter(F.length(F.substring_index("text", "\n", 1)) >= 30).select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"))
     cut = t.select((F.col("id") + 1_000_000).alias("id"), F.regexp_replace("title", r"^\S+\s", "").alias("title"))
     return C.title_inside_links(t.union(cut).select("id", norm_title(F.col("title")).alias("ntitle")))
 
@@ -368,7 +368,7 @@ PLANS = {
     "edit_coalescing": (edit_coalescing, "WITH e AS (SELECT user_id AS alert, arg_max(floor(value / 100)::BIGINT::VARCHAR, event_id) AS body, max(event_id) AS seq FROM events WHERE event_type = 'click' GROUP BY 1) SELECT * FROM e WHERE body <> '0'"),
     "summary_lines": (summary_lines, """WITH l AS (SELECT conv_id AS id, turn AS place, min(role) AS section, min(text) AS text FROM conversations GROUP BY 1, 2), g AS (SELECT * FROM l WHERE NOT regexp_matches(lower(text), 'the') OR id % 2 = 0),
         o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section, place) AS turn FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY place, id) AS rank FROM o WHERE turn = 1) SELECT section, id, rank::INTEGER AS rank FROM r WHERE rank <= 5"""),
-    "title_containment": (title_containment, f"""WITH t AS (SELECT doc_id AS id, substr(text, 1, 60) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) >= 60), b AS (SELECT * FROM t UNION ALL SELECT id + 1000000, regexp_replace(title, '^\\S+\\s', '') FROM t),
+    "title_containment": (title_containment, f"""WITH t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM documents WHERE length(split_part(text, chr(10), 1)) >= 30), b AS (SELECT * FROM t UNION ALL SELECT id + 1000000, regexp_replace(title, '^\\S+\\s', '') FROM t),
         n AS (SELECT id, {NT.format('title')} AS s FROM b) SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id AND x.s <> y.s AND length(x.s) >= 30 AND length(y.s) >= 30 AND contains(y.s, x.s)"""),
     "place_groups": (place_groups, "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'moron|clown') THEN 'insults' END, CASE WHEN regexp_matches(lower(text), 'license|apache') THEN 'papers' END, CASE WHEN regexp_matches(lower(text), 'trash|thing') THEN 'things' END) AS groups FROM documents"),
     "queue_status": (queue_status, f"WITH {QUEUE} SELECT kind, status, count(*) AS n, round(median(CASE WHEN status = 'SENT' AND created_s >= 1706659200 - 604800 THEN sent_s - created_s END), 3) AS median_delay FROM q GROUP BY 1, 2"),

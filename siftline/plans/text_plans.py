@@ -327,7 +327,7 @@ l AS (SELECT ua, CASE WHEN ua = '' THEN 'Script' ELSE {_labels_sql(agents.BOTS)}
 SELECT CASE WHEN kind IS NOT NULL THEN 'Bot' WHEN regexp_matches(ua, 'ipad|tablet') OR contains(ua, 'android') AND NOT contains(ua, 'mobile') THEN 'Tablet' WHEN regexp_matches(ua, 'mobile|iphone') THEN 'Mobile' ELSE 'Desktop' END AS device,
   coalesce(kind, browser, 'Other') AS browser, CASE WHEN kind IS NULL THEN coalesce(os, '') ELSE '' END AS os, kind IS NOT NULL AS bot, count(*) AS visits FROM l GROUP BY ALL"""
 
-STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+STRIPPED = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
 PLANS = {
     "sim_norm_docs": (sim_norm_docs, f"SELECT doc_id, md5({SIM_NORM.format('text')}) AS digest FROM documents"),

@@ -70,8 +70,9 @@ def feed_url(kind: Column, value: Column, language: Column, search: str = "https
     return F.when(kind == "search", found).when(kind == "channel", F.concat(F.lit(f"{videos}?channel_id="), value)).when(kind == "rss", value)
 
 
-def resolved_status(host: Column, blocked: Column, link: Column, resolved: Column) -> Column:
-    return F.when(blocked, "BLOCKED").when(resolved.isNotNull(), "RESOLVED").when(link.isNull(), "SKIPPED").otherwise("PENDING")
+def resolved_status(blocked: Column, encoded: Column, resolved: Column, attempts: Column, most: int = 4) -> Column:
+    """What becomes of a link: SKIPPED where it is no token, BLOCKED before any attempt, RESOLVED, FAILED after the last attempt, else PENDING."""
+    return F.when(~encoded, "SKIPPED").when(blocked, "BLOCKED").when(resolved.isNotNull(), "RESOLVED").when(attempts >= most, "FAILED").otherwise("PENDING")
 
 
 def extracted_status(host: Column, http: Column, chars: Column, video_hosts: list[str], social_hosts: list[str]) -> Column:

@@ -82,6 +82,33 @@ def parse_links(df: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({"link": F.regexp_extract("part", r"^(https?://[^\s,;]+|item:\d+)", 1), "category": word(CATEGORY_WORDS), "sentiment": word(SENTIMENT_WORDS)}).drop("part")
 
 
+HIDE_WORDS, RESTORE_WORDS = ["hidden", "hide", "remove"], ["restore", "show", "unhide"]
+FEEDBACK_TYPES, NOTE_CHARS = ["wrong", "missing", "praise", "move", "hide"], 500
+
+
+def links_sheet(raw: DataFrame) -> DataFrame:
+    """Rows of the links sheet in order: (line, ref, category, sentiment, kind). raw: line, link, category, sentiment, note.
+
+    ref is the first address of the cell without closing marks, else `item:` and the story's number from the cell or, in rows
+    that the page wrote itself (kind move, by their note), from the note; rows without either go.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    own = F.lower(text("note")).startswith("on-page")
+    address = F.regexp_replace(F.regexp_extract(text("link"), r"(https?://\S+)", 1), r"[.;)|,]+$", "")
+    number = F.coalesce(F.nullif(F.regexp_extract(text("link"), r"(?:item:|#)(\d{1,12})", 1), F.lit("")), F.when(own, F.nullif(F.regexp_extract(text("note"), r"on-page \w+ #(\d{1,12})", 1), F.lit(""))))
+    ref = F.coalesce(F.nullif(address, F.lit("")), F.concat(F.lit("item:"), number))
+    asked = F.lower(text("category"))
+    category = F.when(asked.isin(HIDE_WORDS), "hidden").when(asked.isin(RESTORE_WORDS), "restore").when(asked.isin(CATEGORY_WORDS), asked)
+    mood = F.lower(text("sentiment"))
+    return raw.select("line", ref.alias("ref"), category.alias("category"), F.when(mood.isin(SENTIMENT_WORDS), mood).alias("sentiment"), F.when(own, "move").otherwise("sheet").alias("kind")).filter("ref is not null")
+
+
+def accepted_feedback(posts: DataFrame, token: str) -> DataFrame:
+    """Posts (type, note, token, ts) that may be appended: a known type and the right token; notes cut to NOTE_CHARS."""
+    kind = F.lower(F.trim("type"))
+    return posts.filter(kind.isin(FEEDBACK_TYPES) & (F.col("token") == token)).select(kind.alias("type"), F.substring(F.coalesce("note", F.lit("")), 1, NOTE_CHARS).alias("note"), "ts")
+
+
 def feedback_counts(feedback: DataFrame, now) -> DataFrame:
     """Feedback by type: all, and of the last seven days."""
     return feedback.groupBy("type").agg(F.count("*").alias("all"), F.count_if(F.col("when") >= now - F.make_interval(days=F.lit(7))).alias("week"))
