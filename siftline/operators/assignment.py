@@ -1,6 +1,6 @@
 """Event assignment and replay: which open event a report belongs to, and the states of events over time.
 
-The joins do the heavy part: candidates are pairs of similar bodies and equal keys within
+The joins do the heavy part: candidates are similar bodies (copies as one) and equal keys within
 the longest life of an event. What depends on order is a small fold over each connected
 group of candidates, whose state is the group's open events.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.events import CLOSE_S, QUIET_S, SPAN_S, ordered_fold
 from siftline.operators.graph import components
-from siftline.operators.similarity import BODY_CHARS, THRESHOLD, similar_pairs
+from siftline.operators.similarity import BODY_CHARS, THRESHOLD, gram_sets, set_pairs
 from siftline.session import written
 
 SLOT_S = 300
@@ -24,37 +24,35 @@ def slot_end(ts: Column, slot_s: int = SLOT_S) -> Column:
     return (F.ceil(ts / slot_s) * slot_s).cast("long")
 
 
-def near_in_time(items: DataFrame, ts: str, span_s: int) -> DataFrame:
-    """Every item in its span-long band and the next: two items at most span_s apart share a band."""
-    own = F.floor(F.col(ts) / span_s)
-    bands = items.withColumn("at", F.explode(F.array(own, own + 1)))
-    return bands.withColumn("band", F.xxhash64("band", "at") if "band" in items.columns else F.xxhash64("at"))
-
-
-def similar_within(items: DataFrame, ts: str, span_s: int = SPAN_S, threshold: float = THRESHOLD, chars: int = BODY_CHARS) -> DataFrame:
-    """similar_pairs of items at most span_s apart; linear in time, each pair once."""
-    pairs = similar_pairs(near_in_time(items, ts, span_s), threshold, text="body", chars=chars).distinct()
-    times = items.select("id", ts)
-    both = pairs.join(times.toDF("a", "ts_a"), "a").join(times.toDF("b", "ts_b"), "b")
-    return both.filter(F.abs(F.col("ts_a") - F.col("ts_b")) <= span_s).select("a", "b", "similarity")
-
-
 class Assignment:
-    """Reports of one connected group, in order of time: by key among open events (the latest report's), else by the most similar report of an open event, else a new event."""
+    """Reports of one connected group, in order of time: by key among open events (the latest report's), else by the most similar report of an open event and another host, else a new event.
+
+    Reports with equal sets are members of one vertex, so a report knows what it is like by vertices, however many copies there are.
+    """
 
     def __init__(self, saved: dict | None = None):
         self.events: dict[int, list[int]] = {}  # event -> first and last time
         self.of: dict[int, int] = {}  # report -> event
         self.keys: dict[str, list[int]] = {}  # key -> reports
+        self.members: dict[int, dict[str, list[int]]] = {}  # vertex -> host -> reports
         self.__dict__.update(saved or {})
 
+    def nearest(self, vertex: int, host: str) -> int | None:
+        """The smallest report of a vertex that belongs to an open event and to another host."""
+        own = self.members.get(vertex, {})
+        for h in list(own):
+            own[h] = [i for i in own[h] if i in self.of]
+            if not own[h]:
+                del own[h]
+        return min((min(ids) for h, ids in own.items() if h != host), default=None)
+
     def step(self, row: dict) -> dict:
-        """row: id, ts, now, key (or None), matches [(other id, similarity)] of earlier or later reports."""
+        """row: id, ts, now, key (or None), host, vertex (or None), matches [(vertex, similarity)], its own at 1 among them."""
         now = row["now"]
         self.events = {e: t for e, t in self.events.items() if t[1] >= now - CLOSE_S and t[0] >= now - SPAN_S}
         self.of = {i: e for i, e in self.of.items() if e in self.events}
         same = [i for i in self.keys.get(row["key"], []) if i in self.of] if row["key"] else []
-        alike = [(-s, i) for i, s in row["matches"] if i in self.of]
+        alike = [] if same else [(-s, i) for v, s in row["matches"] if (i := self.nearest(v, row["host"])) is not None]
         found = self.of[max(same)] if same else self.of[min(alike)[1]] if alike else None
         event = row["id"] if found is None else found
         first, last = self.events.get(event, (row["ts"], row["ts"]))
@@ -62,28 +60,50 @@ class Assignment:
         self.of[row["id"]] = event
         if row["key"]:
             self.keys[row["key"]] = [*same, row["id"]]
+        if row["vertex"] is not None:
+            self.members.setdefault(row["vertex"], {}).setdefault(row["host"], []).append(row["id"])
         return {"id": row["id"], "event": event, "joined": found is not None}
 
 
+def near_vertices(items: DataFrame, threshold: float = THRESHOLD, chars: int = BODY_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(id, vertex) of items with a body, and similar vertices (a, b, similarity) of one stretch of SPAN_S seconds or the next.
+
+    A vertex is what one stretch has of one set: copies are compared once, and pairs are never of copies.
+    """
+    stretch = F.floor(F.col("ts") / SPAN_S)
+    band = F.col("band") if "band" in items.columns else F.lit(0)
+    sets = written(gram_sets(items.select("id", "host", "body", F.xxhash64(band, stretch).alias("band"), F.struct(band.alias("band"), stretch.alias("at")).alias("place")), "body", chars, keep=["place"]), "gram-sets")
+    keyed = sets.select("id", "place", F.xxhash64("set").alias("hash"), F.size("set").alias("n"), "set")
+    vertices = written(keyed.groupBy("place", "hash", "n").agg(F.min("id").alias("vertex"), F.any_value("set").alias("set")), "vertices")
+    of = keyed.select("id", "place", "hash", "n").join(vertices.select("place", "hash", "n", "vertex"), ["place", "hash", "n"]).select("id", "vertex")
+    both = vertices.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("vertex").alias("id"), F.lit("").alias("host"), F.xxhash64("place.band", F.col("place.at") + F.col("shift")).alias("band"), "set")
+    return of, set_pairs(both, threshold, cross_host=False).distinct()
+
+
 def assign_events(items: DataFrame, slot_s: int = SLOT_S) -> DataFrame:
     """(id, event, joined) for items (id, ts in seconds, host, key, body, extract_status, n_chars); an event is named by its first report.
 
-    Only extracted bodies of LEAST_BODY characters or more are compared, and never two of one host.
+    Only extracted bodies of LEAST_BODY characters or more are compared, and never two of one host. Reports are linked with their vertex, vertices
+    with similar ones, reports of a key with the first of their day's and that with the next day's: groups are cut where
+    nothing happens for a day, since no event lives longer.
     """
     full = items.filter((F.col("extract_status") == "OK") & (F.col("n_chars") >= LEAST_BODY))
-    pairs = written(similar_within(full, "ts"), "pairs")
-    keyed = items.filter("key is not null and key <> ''")
-    first = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    stars = keyed.join(first, "key").filter("id <> b").select(F.col("id").alias("a"), "b")
-    groups = components(pairs.select("a", "b").union(stars))
-    sides = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("id", "other", "similarity")
-    matches = sides.groupBy("id").agg(F.collect_list(F.struct("other", "similarity")).alias("matches"))
-    rows = items.select("id", "ts", "key").join(groups, "id", "left").join(matches, "id", "left")
-    ready = rows.select("id", "ts", slot_end(F.col("ts"), slot_s).alias("now"), "key", F.coalesce("component", "id").alias("group"), "matches")
+    of, pairs = near_vertices(full)
+    of, pairs = written(of, "vertices-of"), written(pairs, "pairs")
+    keyed = items.filter("key is not null and key <> ''").select("id", "key", F.floor(F.col("ts") / SPAN_S).alias("day"))
+    first = written(keyed.groupBy("key", "day").agg(F.min("id").alias("first")), "keys")
+    stars = keyed.join(first, ["key", "day"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    next_day = first.join(first.select("key", (F.col("day") - 1).alias("day"), F.col("first").alias("after")), ["key", "day"]).select(F.col("first").alias("a"), F.col("after").alias("b"))
+    groups = components(pairs.select("a", "b").union(of.filter("id <> vertex")).union(stars).union(next_day))
+    sides = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("vertex", "other", "similarity")
+    own = of.select("vertex").distinct().select("vertex", F.col("vertex").alias("other"), F.lit(1.0).alias("similarity"))
+    matches = sides.union(own).groupBy("vertex").agg(F.collect_list(F.struct("other", "similarity")).alias("matches"))
+    rows = items.select("id", "ts", "key", "host").join(groups, "id", "left").join(of, "id", "left").join(matches, "vertex", "left")
+    ready = rows.select("id", "ts", slot_end(F.col("ts"), slot_s).alias("now"), "key", "host", F.coalesce("component", "id").alias("group"), "vertex", "matches")
 
     def step(s: Assignment, r: dict) -> dict:
         matches = [] if r["matches"] is None else [(int(m["other"]), float(m["similarity"])) for m in r["matches"]]
-        return s.step({**r, "matches": matches})
+        return s.step({**r, "matches": matches, "vertex": None if r["vertex"] != r["vertex"] else r["vertex"]})
 
     return ordered_fold(ready, "group", ["now", "ts", "id"], Assignment, step, "id long, event long, joined boolean")
 

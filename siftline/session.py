@@ -42,8 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder: cuts lineage, survives lost executors, and gives later plans its size."""
+    """A table in the shared folder: cuts lineage, survives lost executors, and gives later plans its size. See drop_written."""
     path, schema = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}", df.schema
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the tables that this process has written so far; to be called when the results that read them have been read. How many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from siftline.session import session
+    from siftline.session import drop_written, session
 
     s = session("local[4]", "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_written(s)
     s.stop()
 
 
