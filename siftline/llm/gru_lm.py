@@ -49,6 +49,7 @@ WINDOW = 16
 LANES = 512
 LEAST_UPDATES = 72  # of one chunk; fewer lanes where a chunk has too few tokens for that
 CHUNK = 4 << 20
+AT_ONCE = 8192  # tokens scored together
 MOST_LOGIT = np.float32(80)
 END = np.uint64(0xE0D0C0B0A0908071)
 LN10 = math.log(10)
@@ -290,7 +291,7 @@ def lane_grid(word: np.ndarray, border: np.ndarray, dealt: list[list[int]]) -> t
     """(time, lanes) positions into word, -1 where a lane has ended; and the same shape's liveness."""
     length = np.diff(border)
     deep = max(int(length[rows].sum()) for rows in dealt)
-    grid = np.full((deep, len(dealt)), -1, np.int64)
+    grid = np.full((deep, len(dealt)), -1, np.int32)
     for i, rows in enumerate(dealt):
         at = np.concatenate([np.arange(border[r], border[r + 1]) for r in rows])
         grid[: len(at), i] = at
@@ -355,20 +356,23 @@ def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes
     out = np.zeros(len(word), np.float32)
     grid, live = lane_grid(word, border, lanes_of(border, max(1, min(lanes, rows))))
     h = np.zeros((grid.shape[1], model.back.shape[0]), np.float32)
-    lane = np.arange(grid.shape[1])
-    for at in range(0, len(grid), WINDOW):
+    lane, at = np.arange(grid.shape[1]), 0
+    while at < len(grid):
         active = np.flatnonzero(live[at, lane])  # lanes end for good
         if len(active) < len(lane):
             lane, h = lane[active], h[active]
-        g, ok = grid[at : at + WINDOW, lane], live[at : at + WINDOW, lane]
+        until = at + max(WINDOW, AT_ONCE // len(lane))  # long windows where few lanes are left
+        g, ok = grid[at:until, lane], live[at:until, lane]
         w = np.where(ok, word[g], end)
         states = np.empty((len(g), *h.shape), np.float32)
+        given, goes_on = model.gates[w], (w != end)[:, :, None]
         for t in range(len(g)):
             states[t] = h
-            h = model.step(h, model.gates[w[t]])[0]
-            h *= (w[t] != end)[:, None]
+            h = model.step(h, given[t])[0]
+            h *= goes_on[t]
         which = np.flatnonzero(ok.ravel())
         out[g.ravel()[which]] = model.losses(states.reshape(-1, h.shape[1])[which], w.ravel()[which])[0]
+        at = until
     return np.add.reduceat(out.astype(np.float64), border[:-1])
 
 
@@ -475,8 +479,8 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         logs, totals = np.log10(s.counts + 1.0), np.log10(s.rare_totals)
-        for b in gathered(batches, CHUNK):
-            for first, flat, off in chunks(b.column(1), CHUNK):
+        for b in gathered(batches, 2 * CHUNK):
+            for first, flat, off in chunks(b.column(1), 2 * CHUNK):
                 h, border, group = tokens(flat, off)
                 at, word = s.look_up(h, group)
                 known = (at >= 0) & (s.counts[at] > 0)
