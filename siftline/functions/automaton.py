@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.matching import Term, matched, stem
+from siftline.functions.matching import PLACES, Term, Vocabulary, matched, stem
 from siftline.functions.positions import norm_map
+from siftline.functions.text import places
 
 PIECE = 512
 LANES = 4096
@@ -175,3 +176,11 @@ def term_spans(spark: SparkSession, terms: Iterable[Term], text: Column, in_sour
         return pd.Series(shared.value.spans([matched(t) for t in texts]))
 
     return run(text)
+
+
+def named_places(spark: SparkSession, text: Column, groups: dict[str, list[str]], vocabulary: Vocabulary) -> Column:
+    """The place groups that a text names: those of a table (see functions.text.places), then those of the vocabulary's place tiers, by the terms' groups."""
+    terms = vocabulary.tier(*PLACES)
+    names = F.array(*(F.lit((t.group or t.text).lower()) for t in terms)).cast("array<string>")
+    hits = F.transform(term_spans(spark, terms, text), lambda h: F.get(names, h["term"]))
+    return F.array_distinct(F.concat(places(text, groups, stem), F.coalesce(hits, F.array().cast("array<string>"))))

@@ -33,19 +33,29 @@ def video_id(url: Column) -> Column:
     return F.when(h == "youtu.be", F.nullif(short, none)).when(on_site, F.coalesce(F.nullif(asked, none), F.nullif(named, none)))
 
 
+def decoded(c: Column) -> Column:
+    """A query's part as text; as it is where it isn't well encoded."""
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def encoded(c: Column) -> Column:
+    """Text as a query's part: letters, digits and -._~ stay, blanks become plus signs."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_key(url: Column) -> Column:
     """One key for all addresses of an article; null for an empty url.
 
     Host without www., m., amp. (each once, in this order), path without amp endings
-    and a last slash, both lower case; other parameters stay, sorted.
+    and a last slash, both lower case; other parameters stay, sorted, in one way of encoding.
     """
     u = F.trim(url)
     h = F.regexp_replace(F.regexp_replace(host(u), r"^m\.", ""), r"^amp\.", "")
     p = F.regexp_replace(path(u), r"/amp/?$|\.amp$|/$", "")
     pairs = F.filter(F.split(query(u), "&"), lambda x: x != "")
-    named = F.transform(pairs, lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")))
+    named = F.transform(pairs, lambda x: F.struct(F.lower(decoded(F.substring_index(x, "=", 1))).alias("k"), decoded(F.regexp_replace(x, "^[^=]*=?", "")).alias("v")))
     kept = F.filter(named, lambda x: ~x["k"].startswith("utm_") & ~x["k"].isin(TRACKING))
-    text = F.array_join(F.array_sort(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), x["v"]))), "&")
+    text = F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(encoded(x["k"]), F.lit("="), encoded(x["v"]))), "&")
     key = F.concat(F.lower(F.concat(h, p)), F.when(F.size(kept) > 0, F.concat(F.lit("?"), text)).otherwise(""))
     video = video_id(u)
     return F.when(F.length(u) == 0, None).when(video.isNotNull(), F.concat(F.lit("youtube.com/watch?v="), video)).otherwise(key)

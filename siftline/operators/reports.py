@@ -117,6 +117,44 @@ def visit_stats(visits: DataFrame, ts: str, visitor: str, bot: Column, zone: str
     return calendar.join(each, "day", "left").select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("views", "visitors", "bots")))
 
 
+def visit_summary(visits: DataFrame, ts: str, now: Column, bot: Column, admin: Column, ip: str, agent: str, zone: str = LOCAL_ZONE) -> DataFrame:
+    """One row: views, distinct visitors (address and agent) and addresses of today (a local day) and of the last seven days, and the week's bots and visits to the editor's pages."""
+    at = F.col(ts)
+    week = at >= now - F.make_interval(days=F.lit(7))
+    view = week & ~bot & ~admin
+    today = view & (local_day(at, zone) == local_day(now, zone))
+    who = F.concat_ws("|", ip, agent)
+    count = lambda when, name: [F.count_if(when).alias(f"{name}_views"), F.countDistinct(F.when(when, who)).alias(f"{name}_visitors"), F.countDistinct(F.when(when, F.col(ip))).alias(f"{name}_ips")]
+    return visits.agg(*count(today, "today"), *count(view, "week"), F.count_if(week & bot).alias("week_bots"), F.count_if(week & ~bot & admin).alias("week_admin"))
+
+
+# The least rates of a probe's stages, and what seconds are slow.
+FEEDS_OK, LINKS_BLOCKED, LINKS_OK, ARTICLES_OK, SLOW_S = 0.9, 0.3, 0.9, 0.7, 5.0
+
+
+def probe_assessment(tries: DataFrame) -> DataFrame:
+    """One row about tries (stage feeds, links or articles; host, ok, seconds, error): rates, the links' median time and refusals for too many requests, hosts whose articles fail most often, and the verdict."""
+    rate = lambda stage: F.count_if((F.col("stage") == stage) & F.col("ok")) / F.nullif(F.count_if(F.col("stage") == stage), F.lit(0))
+    refused = F.lower(F.coalesce("error", F.lit(""))).rlike("429|too many")
+    one = tries.agg(
+        *(rate(s).alias(f"{s}_rate") for s in ("feeds", "links", "articles")), F.median(F.when((F.col("stage") == "links") & F.col("ok"), F.col("seconds"))).alias("links_median"), F.count_if((F.col("stage") == "links") & refused).alias("refused")
+    )
+    bad = tries.filter((F.col("stage") == "articles") & ~F.col("ok")).groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(8)
+    names = bad.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "host"))), lambda x: x["host"]), ", ").alias("failing"))
+    verdict = (
+        F.when(F.col("feeds_rate").isNull(), "no result: no feeds").when(F.col("feeds_rate") < FEEDS_OK, "no").when(F.col("links_rate").isNull(), "no result: no links").when(F.col("links_rate") < LINKS_BLOCKED, "headlines only")
+        .when((F.col("links_rate") < LINKS_OK) | (F.col("articles_rate") < ARTICLES_OK), "partly").otherwise("yes")
+    )
+    return one.join(F.broadcast(names)).withColumns({"slow": F.coalesce(F.col("links_median") > SLOW_S, F.lit(False)), "verdict": verdict})  # one row each
+
+
+def latest_other(items: DataFrame, row_id: str, key: str) -> DataFrame:
+    """(id, other): for items with a key, the latest other item of the same key, if there is one."""
+    top = items.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.max(row_id).alias("last"), F.count("*").alias("n")).filter("n > 1")
+    second = items.join(top, key).filter(F.col(row_id) < F.col("last")).groupBy(key).agg(F.max(row_id).alias("before"))
+    return items.join(top.join(second, key), key).select(F.col(row_id).alias("id"), F.when(F.col(row_id) == F.col("last"), F.col("before")).otherwise(F.col("last")).alias("other"))
+
+
 LEAST_DAYS = 15
 
 

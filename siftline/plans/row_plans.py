@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import automaton, urls
 from siftline.functions import text as T
-from siftline.functions import urls
 from siftline.operators import candidates as C
 from siftline.operators import ranking, rendering, similarity
 from siftline.operators import reports as R
 from siftline.operators import stories as ST
 from siftline.plans.similarity_plans import GRAMS, PAIRS, bodies
 from siftline.plans.story_plans import START, STORIES, stories
-from siftline.plans.text_plans import MATCH_NORM
+from siftline.plans.text_plans import MATCH_NORM, VOCABULARY, _word
 from siftline.sources import feeds, sheets
 from siftline.sources.adapters import events, table
 
@@ -191,6 +191,40 @@ def story_cards(spark: SparkSession, d: str) -> DataFrame:
     return rendering.story_card(rows).select("id", F.md5("title").alias("title_digest"), "more", F.md5("share").alias("share_digest"))
 
 
+def visit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """events as visits: users as addresses, types as agents."""
+    e = events(spark, d).withColumns({"ip": (F.col("user_id") % 40).cast("string"), "agent": F.col("event_type")})
+    return R.visit_summary(e, "ts", F.lit("2024-01-30 20:00:00").cast("timestamp"), F.col("event_type") == "error", F.col("event_id") % 9 == 0, "ip", "agent")
+
+
+def probe_report(spark: SparkSession, d: str) -> DataFrame:
+    """events as tries of a probe."""
+    e = table(spark, d, "events")
+    stage = F.element_at(F.array(F.lit("feeds"), F.lit("links"), F.lit("articles")), (F.col("event_id") % 3 + 1).cast("int"))
+    bad = (F.col("event_type") == "error") & (stage != "feeds")
+    tries = e.select(stage.alias("stage"), F.concat(F.lit("h"), (F.col("user_id") % 15).cast("string")).alias("host"), (~bad).alias("ok"), (F.col("value") / 10).alias("seconds"), F.when(bad, F.when(F.col("user_id") % 4 == 0, "HTTP 429").when(F.col("user_id") % 4 == 1, "Too Many requests").otherwise("timeout")).alias("error"))
+    out = R.probe_assessment(tries)
+    return out.select(*(F.round(f"{s}_rate", 6).alias(f"{s}_rate") for s in ("feeds", "links", "articles")), F.round("links_median", 6).alias("links_median"), "refused", "failing", "slow", "verdict")
+
+
+def latest_copies(spark: SparkSession, d: str) -> DataFrame:
+    """For every document with copies, the latest other one."""
+    return R.latest_other(table(spark, d, "documents").select("doc_id", F.md5("text").alias("key")), "doc_id", "key")
+
+
+def named_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place groups of a table and of the vocabulary's place tiers."""
+    found = automaton.named_places(spark, F.col("text"), {"papers": ["license"], "things": ["thing"]}, VOCABULARY)
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("groups"))
+
+
+def encoded_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses whose parameters are encoded in several ways have one key."""
+    n, e = F.col("page_id"), F.lit("https://www.X.example/a/?")
+    forms = [F.concat(e, F.lit("q=caf%C3%A9+au%20lait&utm_x=1&id="), n.cast("string")), F.concat(e, F.lit("id="), n.cast("string"), F.lit("&q=caf%c3%a9%20au+lait&fbclid=9")), F.concat(e, F.lit("b=%zz&B=~*&id="), n.cast("string"))]
+    return table(spark, d, "pages").select("page_id", urls.canonical_key(F.element_at(F.array(*forms), (n % 3 + 1).cast("int"))).alias("key"))
+
+
 def _cut_sql(c: str, n: int) -> str:
     """Without marks beyond the base letters: head of n characters, at the last space beyond 60 %."""
     head = f"regexp_replace(substr({c}, 1, {n + 1}), '.\\p{{M}}*$', '')"
@@ -238,6 +272,17 @@ PLANS = {
         UNION ALL SELECT NULL, 'no channel id', '', count(*)::INTEGER FROM r WHERE ch IS NULL HAVING count(*) > 0"""),
     "cached_verdicts": (cached_verdicts, "WITH c AS (SELECT text, min(lang) AS v FROM documents WHERE doc_id % 3 = 0 GROUP BY text) SELECT doc_id, v AS verdict, c.text IS NOT NULL AS cached FROM documents d LEFT JOIN c ON d.text = c.text"),
     "quiet_alerts": (quiet_alerts, f"""WITH {STORIES} SELECT id, CASE WHEN id % 3 = 0 THEN '' ELSE '🚨 ' END || 'alert ' || id || CASE WHEN id % 5 * 15 > 30 THEN chr(10) || '(delayed by ' || (id % 5 * 15) || ' min)' ELSE '' END AS head, md5(CASE WHEN id % 3 = 0 THEN '' ELSE title END) AS excerpt FROM st WHERE urgent"""),
+    "visit_summary": (visit_summary, """WITH v AS (SELECT *, event_type = 'error' AS bot, event_id % 9 = 0 AS adm, (ts + INTERVAL 330 MINUTE)::DATE = DATE '2024-01-31' AS today, (user_id % 40)::VARCHAR AS ip FROM events WHERE ts >= TIMESTAMP '2024-01-23 20:00:00'), w AS (SELECT *, NOT bot AND NOT adm AS seen, ip || '|' || event_type AS who FROM v)
+        SELECT count(*) FILTER (seen AND today) AS today_views, count(DISTINCT who) FILTER (seen AND today) AS today_visitors, count(DISTINCT ip) FILTER (seen AND today) AS today_ips, count(*) FILTER (seen) AS week_views, count(DISTINCT who) FILTER (seen) AS week_visitors, count(DISTINCT ip) FILTER (seen) AS week_ips,
+          count(*) FILTER (bot) AS week_bots, count(*) FILTER (NOT bot AND adm) AS week_admin FROM w"""),
+    "probe_report": (probe_report, """WITH t AS (SELECT ['feeds', 'links', 'articles'][event_id % 3 + 1] AS stage, 'h' || user_id % 15 AS host, NOT (event_type = 'error' AND event_id % 3 <> 0) AS ok, value / 10 AS s, user_id % 4 < 2 AS many FROM events),
+        b AS (SELECT host, count(*) AS n FROM t WHERE stage = 'articles' AND NOT ok GROUP BY host ORDER BY n DESC, host LIMIT 8), a AS (SELECT avg(ok::INTEGER) FILTER (stage = 'feeds') AS f, avg(ok::INTEGER) FILTER (stage = 'links') AS l, avg(ok::INTEGER) FILTER (stage = 'articles') AS r, median(s) FILTER (stage = 'links' AND ok) AS m, count(*) FILTER (stage = 'links' AND NOT ok AND many) AS refused FROM t)
+        SELECT round(f, 6) AS feeds_rate, round(l, 6) AS links_rate, round(r, 6) AS articles_rate, round(m, 6) AS links_median, refused, (SELECT string_agg(host, ', ' ORDER BY n DESC, host) FROM b) AS failing, m > 5 AS slow,
+          CASE WHEN f < 0.9 THEN 'no' WHEN l < 0.3 THEN 'headlines only' WHEN l < 0.9 OR r < 0.7 THEN 'partly' ELSE 'yes' END AS verdict FROM a"""),
+    "latest_copies": (latest_copies, "SELECT a.doc_id AS id, max(b.doc_id) AS other FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.text <> '' GROUP BY a.doc_id"),
+    "named_places": (named_places, f"""WITH n AS (SELECT doc_id, lower(text) AS low, {MATCH_NORM.format("text")} AS norm FROM documents)
+        SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN contains(low, 'license') THEN 'papers' END, CASE WHEN contains(low, 'thing') THEN 'things' END, CASE WHEN {_word('pathetic')} THEN 'north' END, CASE WHEN {_word('worthless')} THEN 'south' END, CASE WHEN {_word('disgusting')} THEN 'disgusting' END, CASE WHEN {_word('thin')} THEN 'thin' END], lambda x: x IS NOT NULL)), ',') AS groups FROM n"""),
+    "encoded_addresses": (encoded_addresses, "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'x.example/a?id=' || page_id || '&q=caf%C3%A9+au+lait' ELSE 'x.example/a?b=%25zz&b=~%2A&id=' || page_id END AS key FROM pages"),
     "story_cards": (story_cards, f"""WITH {STORIES}, s AS (SELECT id, host, regexp_replace(title, '\\s+', ' ', 'g') AS t, id % 3 = 0 AS many FROM st)
         SELECT id, md5({_cut_sql('t', 120)}) AS title_digest, (CASE WHEN many THEN 2 ELSE 0 END)::INTEGER AS more, md5(t || ' — ' || host || CASE WHEN many THEN ' +2' ELSE '' END || chr(10) || 'https://x/' || id) AS share_digest FROM s"""),
 }

@@ -64,3 +64,12 @@ def test_trail_ends_where_an_item_goes(spark):
     trail, left = explained(items, [half, odd])
     assert sorted((r["id"], r["stage"], r["decision"], r["detail"]) for r in trail.collect()) == sorted([(i, "half", "low" if i < 3 else "high", str(2 * i)) for i in range(6)] + [(i, "odd", "seen", None) for i in range(3)])
     assert [r["id"] for r in left.collect()] == [1]
+
+
+def test_written_tables_go(spark):
+    from siftline.session import drop_written, written
+
+    drop_written(spark)
+    df = written(spark.range(5), "gone")
+    assert df.count() == 5 and drop_written(spark) == 1 and drop_written(spark) == 0
+    assert written(spark.range(3), "again").count() == 3

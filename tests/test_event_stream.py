@@ -65,3 +65,29 @@ def test_stream_gives_what_batch_gives(rocks, tmp_path):
     assert quiet and set(quiet) - {10_000, 10_001, 10_010, 10_011} <= set(first)
     kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
     assert kept and kept[-1] < 25  # two open events, their reports and timers; all else is dropped
+
+
+def test_copies_are_compared_once(spark):
+    """Many copies of one report, from few hosts, over days: one vertex a day, no pairs of copies, and the same events as a plain fold."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(300)]
+    body = " ".join(rng.choice(words) for _ in range(90))
+    other = " ".join(rng.choice(words) for _ in range(90))
+    rows = [(i, 0, 1_700_000_000 + i * 600, f"h{i % 3}", f"k{i // 100}" if i % 9 == 0 else None, body if i % 5 else other, "OK", len(body)) for i in range(600)]
+    items = spark.createDataFrame(rows, ITEM)
+    of, pairs = A.near_vertices(items)
+    assert pairs.count() <= 12 and of.select("vertex").distinct().count() <= 12
+    got = {tuple(r) for r in A.assign_events(items).collect()}
+    events, where, want = {}, {}, set()
+    for i, _, ts, host, key, text, _, _ in sorted(rows, key=lambda r: (-(-r[2] // 300), r[2], r[0])):
+        now = -(-ts // 300) * 300
+        events = {e: t for e, t in events.items() if t[1] >= now - 86400 and t[0] >= now - 86400}
+        alive = {j: w for j, w in where.items() if w[0] in events}
+        same = [j for j, w in alive.items() if key and w[2] == key]
+        alike = [j for j, w in alive.items() if w[3] == text and w[1] != host]
+        event = alive[max(same)][0] if same else alive[min(alike)][0] if alike else i
+        want.add((i, event, bool(same or alike)))
+        first, last = events.get(event, (ts, ts))
+        events[event] = (first, max(last, ts))
+        where[i] = (event, host, key, text)
+    assert got == want
