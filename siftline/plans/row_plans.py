@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from siftline.functions import automaton, urls
 from siftline.functions import text as T
 from siftline.operators import candidates as C
-from siftline.operators import ranking, rendering, similarity
+from siftline.operators import merge, ranking, rendering, similarity
 from siftline.operators import reports as R
 from siftline.operators import stories as ST
-from siftline.plans.similarity_plans import GRAMS, PAIRS, bodies
+from siftline.plans.similarity_plans import GRAMS, NTITLE, PAIRS, bodies
 from siftline.plans.story_plans import START, STORIES, stories
 from siftline.plans.text_plans import MATCH_NORM, VOCABULARY, _word
 from siftline.sources import feeds, sheets
@@ -49,6 +49,24 @@ w AS (SELECT a, b, CASE WHEN apart THEN NULL WHEN ss AND at_ AND (sc OR sl AND s
 SELECT a, b, why FROM w WHERE why IS NOT NULL"""
 
 
+def pre_merge_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between stories before they are ranked: events, equal titles, titles inside others."""
+    rows = stories(spark, d).withColumn("event", F.when(F.col("id") % 7 == 0, F.floor(F.col("id") / 40)))
+    return merge.pre_links(merge.with_title_keys(rows))
+
+
+def confirmed_links(spark: SparkSession, d: str) -> DataFrame:
+    """Equal titles that also agree in section and language, within a day."""
+    rows = merge.with_title_keys(stories(spark, d).withColumns({"category": F.col("id") % 3, "published": F.timestamp_seconds("ts")}))
+    return merge.confirmed(merge.equal_title_links(rows), rows, hours=72.0)
+
+
+def own_outlet_first(spark: SparkSession, d: str) -> DataFrame:
+    """The longest report of each outlet and language, one outlet before all others."""
+    rows = table(spark, d, "documents").select("lang", F.col("source").alias("outlet"), F.col("n_chars").alias("detail"), F.lit(0).alias("ts"), F.col("doc_id").alias("id"))
+    return merge.best_per_outlet(rows, "lang", own="src5").select("lang", "outlet", "id", "place")
+
+
 def blocked_items(spark: SparkSession, d: str) -> DataFrame:
     """Stories of blocked hosts (and of their subdomains) leave, but for those that were handed in."""
     hosts = spark.createDataFrame([(["src3.example", "WWW.src5.example"], "src7.example , src3.example,")], "configured array<string>, more string").select(F.explode(urls.block_list(F.col("configured"), F.col("more"))).alias("host"))
@@ -237,6 +255,13 @@ SEVEN = "['mention', 'constituency', 'district', 'portfolio', 'political', 'none
 
 PLANS = {
     "linked_stories": (linked_stories, LINKED_SQL),
+    "pre_merge_links": (pre_merge_links, f"""WITH {STORIES}, k AS (SELECT id, CASE WHEN id % 7 = 0 THEN id // 40 END AS ev, {NTITLE} AS t0 FROM st), t AS (SELECT id, ev, CASE WHEN length(t0) >= 12 THEN t0 END AS nt FROM k)
+        SELECT m.a, t.id AS b FROM t JOIN (SELECT ev, min(id) AS a FROM t WHERE ev IS NOT NULL GROUP BY ev) m ON m.ev = t.ev WHERE t.id <> m.a UNION SELECT m.a, t.id FROM t JOIN (SELECT nt, min(id) AS a FROM t WHERE nt IS NOT NULL GROUP BY nt) m ON m.nt = t.nt WHERE t.id <> m.a
+        UNION SELECT least(x.id, y.id), greatest(x.id, y.id) FROM t x JOIN t y ON length(x.nt) >= 30 AND length(y.nt) >= 30 AND x.nt <> y.nt AND contains(y.nt, x.nt)"""),
+    "confirmed_links": (confirmed_links, f"""WITH {STORIES}, k AS (SELECT id, ts, language, {NTITLE} AS t0 FROM st), t AS (SELECT id, ts, language, CASE WHEN length(t0) >= 12 THEN t0 END AS nt FROM k), m AS (SELECT nt, min(id) AS b FROM t WHERE nt IS NOT NULL GROUP BY nt)
+        SELECT x.id AS a, y.id AS b FROM t x JOIN m ON m.nt = x.nt JOIN t y ON y.id = m.b WHERE x.id <> y.id AND x.id % 3 = y.id % 3 AND x.language = y.language AND abs(x.ts - y.ts) <= 72 * 3600"""),
+    "own_outlet_first": (own_outlet_first, """WITH b AS (SELECT lang, source AS outlet, n_chars AS n, doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id DESC) = 1)
+        SELECT lang, outlet, id, (row_number() OVER (PARTITION BY lang ORDER BY outlet = 'src5' DESC, n DESC, id))::INTEGER AS place FROM b QUALIFY place <= 8"""),
     "blocked_items": (blocked_items, f"""WITH {STORIES}, b AS (SELECT *, host IN ('src3', 'src5', 'src7') AND band <> 'DROP' AND manual_at = '' AS gone, CASE WHEN id % 2 = 0 THEN 'm.' ELSE '' END || host || '.example' AS h FROM st)
         SELECT id, CASE WHEN gone THEN 'DROP' ELSE band END AS band, CASE WHEN gone THEN 0 ELSE score END AS score, urgent AND NOT gone AS urgent, CASE WHEN gone THEN CASE WHEN id % 3 = 0 THEN 'x|' ELSE '' END || 'blocked host: ' || h WHEN id % 3 = 0 THEN 'x' END AS terms FROM b"""),
     "pruned_stories": (pruned_stories, f"WITH {STORIES} SELECT id FROM st WHERE ts >= {NOW} + 864000 - 15 * 86400 OR manual_at <> '' OR id % 31 = 0"),

@@ -73,3 +73,16 @@ def test_written_tables_go(spark):
     df = written(spark.range(5), "gone")
     assert df.count() == 5 and drop_written(spark) == 1 and drop_written(spark) == 0
     assert written(spark.range(3), "again").count() == 3
+
+
+def test_sinks_write_what_they_say(spark, tmp_path):
+    from siftline.sources import sinks
+
+    items = spark.createDataFrame([(1, "2024-01-01", "b", "t1"), (2, "2024-01-02", "b", "t, 2")], "id long, day string, body string, title string")
+    sinks.write_archive(items, items.filter("id = 2").select("id"), F.col("day"), str(tmp_path / "archive"))
+    back = spark.read.parquet(str(tmp_path / "archive"))
+    assert sorted((r["id"], r["shown"]) for r in back.collect()) == [(1, False), (2, True)] and "body" not in back.columns
+    sinks.export_csv(items.coalesce(1), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("part-*.csv")).read_bytes()
+    assert text.startswith(b"\xef\xbb\xbfid,") and b'"t, 2"' in text
+    assert sinks.publish_if_changed(items, str(tmp_path / "edition")) and not sinks.publish_if_changed(items.orderBy(F.desc("id")), str(tmp_path / "edition"))
