@@ -178,6 +178,18 @@ def term_spans(spark: SparkSession, terms: Iterable[Term], text: Column, in_sour
     return run(text)
 
 
+def term_numbers(spark: SparkSession, terms: list[Term], text: Column) -> Column:
+    """The numbers, in terms, of those that occur in a text."""
+    shared = spark.sparkContext.broadcast((Matcher(terms), [k for k, t in enumerate(terms) if literal(t)]))
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        matcher, number = shared.value
+        return pd.Series([sorted({number[k] for k, _, _ in own}) for own in matcher.spans([matched(t) for t in texts])])
+
+    return run(text)
+
+
 def named_places(spark: SparkSession, text: Column, groups: dict[str, list[str]], vocabulary: Vocabulary) -> Column:
     """The place groups that a text names: those of a table (see functions.text.places), then those of the vocabulary's place tiers, by the terms' groups."""
     terms = vocabulary.tier(*PLACES)

@@ -378,11 +378,17 @@ def term_counts(df: DataFrame, text: str, v: Vocabulary) -> DataFrame:
     return df.withColumn("counts", run(F.when(maybe(v, F.col(text)), F.col(text))))
 
 
-def native_score(text: Column, v: Vocabulary, has_ai: bool = True) -> dict[str, Column]:
-    """Score and band of a normalised, masked text by occurrence only; the part of score_item that needs no positions. Context counts once, by its largest weight."""
+def native_score(text: Column, v: Vocabulary, has_ai: bool = True, hits: Column | None = None) -> dict[str, Column]:
+    """Score and band of a normalised, masked text by occurrence only; the part of score_item that needs no positions. Context counts once, by its largest weight.
+
+    hits: the numbers of the counted terms that occur, as automaton.term_numbers finds them in one pass; without it each weight is a pattern.
+    """
 
     def largest(*tiers: str) -> Column:
         """The largest weight of the tiers' terms that occur; null if none does. Terms of one weight are one pattern."""
+        if hits is not None:
+            own = F.array(*(F.lit(abs(t.weight) if t.tier in tiers else None).cast("int") for t in v.counted)).cast("array<int>")
+            return F.array_max(F.transform(hits, lambda k: F.get(own, k)))
         by_weight: dict[int, list[str]] = {}
         for t in v.tier(*tiers):
             by_weight.setdefault(abs(t.weight), []).append(t.pattern)

@@ -165,10 +165,16 @@ def composed_docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.norm_match(apart)).alias("match_digest"), F.md5(text.sim_norm(apart)).alias("sim_digest"))
 
 
+def scored_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The part of a text that is scored, and the vocabulary's terms in it."""
+    head = F.substring("text", 1, 1200)
+    return table(spark, d, "documents").select("doc_id", text.norm_match(head).alias("norm"), automaton.term_numbers(spark, VOCABULARY.counted, head).alias("hits"))
+
+
 def keyword_score_docs(spark: SparkSession, d: str) -> DataFrame:
     """Score and band by occurrence in the first 1,200 characters, which is what the rule looks at."""
-    norm = table(spark, d, "documents").select("doc_id", text.norm_match(F.substring("text", 1, 1200)).alias("norm"))
-    s = matching.native_score(F.col("norm"), VOCABULARY)
+    norm = scored_texts(spark, d)
+    s = matching.native_score(F.col("norm"), VOCABULARY, hits=F.col("hits"))
     return norm.select("doc_id", s["score"].alias("score"), s["band"].alias("band"))
 
 
@@ -280,8 +286,8 @@ TERMS_SQL = r"terms AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all
 
 
 def rule_rank_docs(spark: SparkSession, d: str) -> DataFrame:
-    norm = table(spark, d, "documents").select("doc_id", text.norm_match(F.substring("text", 1, 1200)).alias("norm"))
-    s = matching.native_score(F.col("norm"), VOCABULARY)
+    norm = scored_texts(spark, d)
+    s = matching.native_score(F.col("norm"), VOCABULARY, hits=F.col("hits"))
     tag = lambda t, p: F.when(F.col("norm").rlike(rf"(?:^|[^a-z0-9])(?:{p})(?:[^a-z0-9]|$)"), t)
     tags = F.filter(F.array(tag("constituency", "pathetic|worthless"), tag("district", "disgusting"), tag("party", "clown")), lambda x: x.isNotNull())
     ready = norm.select("doc_id", s["band"].alias("band"), tags.alias("tags"), F.coalesce(tag("u", "scum|moron").isNotNull(), F.lit(False)).alias("urgent"))
