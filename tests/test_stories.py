@@ -11,6 +11,7 @@ from siftline.functions import agents, matching, registry, text
 from siftline.operators import assignment as A
 from siftline.operators import candidates as C
 from siftline.operators import selection, similarity
+from siftline.plans import text_plans
 
 
 def vocabulary(*rows, **more):
@@ -73,6 +74,13 @@ def test_score_columns_match_rules_and_isolate_rows(spark, monkeypatch):
     assert zones == {1: "title", 2: None, 3: None, 4: "title+lede"}
 
 
+def test_terms_over_two_lines_are_scored(spark):
+    v = vocabulary(("veto", "released under"), ("district", "old port"))
+    df = spark.createDataFrame([(1, "x", None, "it was released\nunder a name"), (2, "x", None, "old  \tport"), (3, "old\u2003port", None, "")], "id int, title string, description string, body string")
+    got = {r["id"]: (r["scored"]["score"], r["scored"]["terms"]) for r in matching.score_items(df, v).collect()}
+    assert got == {1: (0, ["✖veto:released under"]), 2: (3, ["old port"]), 3: (3, ["old port"])}
+
+
 def test_assignment_against_a_loop(spark):
     rng = random.Random(2)
     base = {k: "".join(rng.choice("abcdefgh ") for _ in range(600)) for k in range(6)}
@@ -124,11 +132,15 @@ def test_story_cards_and_urgent_block(spark):
     assert {r["id"]: r["block"] for r in selection.urgent_block(df, ["district"]).collect()} == {1: "urgent", 2: "district", 3: "district", 4: "district"}
 
 
-def test_page_head(spark):
+def test_page_head(spark, tmp_path):
     pages = ["""<meta content="A &ldquo;B&rdquo;" property="og:title"><title>no</title>""", "<TITLE>\n T &#233; | YouTube</TITLE>", """<meta name="description" content="it's">""", None]
     df = spark.createDataFrame([(p,) for p in pages], "p string")
     got = df.select(text.page_title(F.col("p")).alias("t"), text.page_description(F.col("p")).alias("d"), text.lead_image(F.col("p")).alias("i")).collect()
     assert [r["t"] for r in got] == ["A “B”", "T é", "", None] and got[2]["d"] == "it's" and got[0]["i"] is None
+    cut = spark.createDataFrame([("<title>a &amp; b &quot;c &amp</title>",)], "p string").select(F.lit(1).alias("page_id"), F.col("p").alias("html"))
+    cut.write.parquet(f"{tmp_path}/pages.parquet")
+    assert text_plans.page_titles(spark, str(tmp_path)).first()["title"] == "a & b &quot;c &amp"  # as its SQL has it
+    assert cut.select(text.page_title(F.col("html")).alias("t")).first()["t"] == 'a & b "c &'
     secure = spark.createDataFrame([("""<meta property='og:image:secure_url' content='https://x/y.png'>""",)], "p string")
     assert secure.select(text.lead_image(F.col("p")).alias("i")).first()["i"] == "https://x/y.png"
 
