@@ -335,14 +335,15 @@ def score_items(df: DataFrame, v: Vocabulary, has_ai: bool = True) -> DataFrame:
         return pd.DataFrame([one(*x) for x in zip(asked, title, description, body, strict=True)], columns=list(empty))
 
     title, description, body = (_column(df, c) for c in ("title", "description", "body"))
+    body = F.substring(body, 1, BODY_CHARS)
     asked = maybe(v, title, description, body) | F.coalesce(title.rlike(FOREIGN_SCRIPT), F.lit(False))
     none = lambda c: F.when(asked, c)
-    return df.withColumn("scored", run(asked, none(title), none(description), none(F.substring(body, 1, BODY_CHARS))))
+    return df.withColumn("scored", run(asked, none(title), none(description), none(body)))
 
 
 def maybe(v: Vocabulary, *parts: Column) -> Column:
-    """Whether something of the vocabulary may be in a text; hidden marks and odd white space, which only Python's form takes out, count as maybe."""
-    text = F.lower(F.concat_ws(" ", *parts))
+    """Whether something of the vocabulary may be in a text; hidden marks and odd white space, which only Python's form takes out, count as maybe. A term's words may stand on two lines."""
+    text = F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"[\s\x0B\x1C-\x1F\x{0085}\p{Z}]+", " ")
     return text.rlike(v.any_pattern()) | text.rlike(r"[​‌‍﻿ \p{M}]")
 
 
