@@ -46,6 +46,27 @@ def test_similar_pairs_in_blocks(spark):
     assert {(a, b) for a, b, _ in whole} == want == {(a, b) for a, b, _ in blocks}
 
 
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_sweep_counts_without_pairs(spark, monkeypatch, block_rows):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcd") for _ in range(5)) for _ in range(12)]
+    rows = [(i, None if i % 11 == 0 else f"h{i % 3}", i % 2, " ".join(rng.choice(words) for _ in range(rng.randint(4, 14)))) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, host string, band long, body string")
+    monkeypatch.setattr(similarity, "set_pairs", lambda *a, **k: pytest.fail("pairs were made"))
+    got = sorted(tuple(r) for r in similarity.threshold_sweep(df, [0.25, 0.5, 0.99], block_rows=block_rows).collect())
+
+    def jaccard(s, t):
+        a, b = ({x[k : k + 4] for k in range(len(x) - 3)} for x in (s, t))
+        return len(a & b) / len(a | b)
+
+    pairs = [(ha, hb, b, jaccard(ta, tb)) for a, ha, la, ta in rows for b, hb, lb, tb in rows if a < b and la == lb]
+    want = []
+    for t in (0.25, 0.5, 0.99):
+        own = [p for p in pairs if p[3] >= t]
+        want += [(t, len(own), sum(x is not None and y is not None and x != y for x, y, *_ in own), len({p[2] for p in own}))] if own else []
+    assert got == want
+
+
 def test_quota_fill_and_forced(spark):
     rows = [(i, c, 1 + i % 3, i % 5 == 0, float(i), datetime(2024, 1, 1), i == 3) for i, c in enumerate(["a"] * 9 + ["b"] * 2 + ["c"] * 12)]
     df = spark.createDataFrame(rows, "id long, category string, priority int, urgent boolean, score double, published timestamp, manual boolean")
