@@ -115,6 +115,21 @@ def test_clusters_of_copies_need_two_hosts(spark):
     assert similarity.duplicate_clusters(df.filter("id < 5")).count() == 0
 
 
+def test_titles_inside_others(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ab é") for _ in range(n)) for n in (29, 30, 31, 45, 200)]
+    titles = [*base, *(f"{x}{t}{y}" for t in base for x, y in (("", "z"), ("q", ""), ("qq", "zz"))), base[1], base[4][50:80], base[4][51:80], base[4][150:], "ab" * 40, "ab" * 16]
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, ntitle string")
+    got = sorted(tuple(r) for r in C.title_inside_links(df).collect())
+    assert got == sorted((i, j) for i, s in enumerate(titles) for j, t in enumerate(titles) if s != t and len(s) >= 30 and s in t)
+
+
+def test_anchors_are_few(spark):
+    title = "".join(random.Random(5).choice("abcdefgh") for _ in range(4000))
+    n = spark.createDataFrame([(title,)], "t string").select(F.size(C.title_anchors(F.col("t"))["keys"])).first()[0]
+    assert n < 0.16 * len(title)  # every place was one before
+
+
 def test_manual_changes(spark):
     log = [("a", None, None), ("a", "hide", None), ("a", "hide", None), ("a", "restore", None), ("a", "district", "negative"), ("a", "district", "negative"), ("b", "hide", None), ("b", "district", None), ("c", "restore", None)]
     rows = [(k, i, 100 + i, a, s, k == "c", False) for i, (k, a, s) in enumerate(log)] + [("d", 20, 120, None, None, False, True)]
