@@ -193,6 +193,42 @@ def test_vocabulary_problems(spark):
     assert {r["line"]: r["problem"] for r in bad.collect()} == {2: "unknown tier", 3: "empty term", 4: "urgent outside civic and crime", 5: "weight is not a number", 6: "duplicate"}
 
 
+def test_rerun_pairs_like_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    base = [([word() for _ in range(6)], [word() for _ in range(60)]) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        title, body = (list(x) for x in base[rng.randrange(6)])
+        for part, n in ((title, rng.randint(0, 4)), (body, rng.randint(0, 12))):
+            for _ in range(n):
+                part[rng.randrange(len(part))] = word()
+        rows.append((i, f"h{i % 3}", i % 2, "" if i % 13 == 0 else " ".join(title), " ".join(body), "OK" if i % 5 else "THIN"))
+    df = merge.with_title_keys(spark.createDataFrame(rows, "id long, host string, band long, title string, body string, extract_status string"))
+    old, new = df.filter("id < 45"), df.filter("id >= 45")
+    got = {r["id"] for r in merge.drop_reruns(new, old, merge.rerun_pairs(new, old)).collect()}
+
+    def jaccard(s, t):
+        a, b = ({x[k : k + 4] for k in range(len(x) - 3)} for x in (s, t))
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    def again(x, y):
+        ours = x[3] == y[3] != "" or x[2] == y[2] and jaccard(x[3], y[3]) >= 0.8
+        return ours or x[2] == y[2] and x[5] == y[5] == "OK" and jaccard(x[4], y[4]) >= 0.8 and jaccard(x[3], y[3]) >= 0.3
+
+    want = {x[0] for x in rows[45:] if not any(again(x, y) for y in rows[:45])}
+    assert got == want and 0 < len(want) < 45
+
+
+def test_similar_rows_of_one_side_never_meet(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "old" if i < 30 else "new", 0, [10, 20, 30, i % 4]) for i in range(60)], "id long, host string, band long, set array<long>")
+    placed, units = similarity.size_blocks(df, 0.5, 8, apart=True)
+    sides = placed.select("part", "host").distinct()
+    assert sides.count() == 2 and units.filter("part_low = part_high").count() == 0 and units.count() == 16
+    pairs = similarity.set_pairs(df, 0.99, True, 8, apart=True).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a in range(30) for b in range(30, 60) if a % 4 == b % 4}
+
+
 def test_links_feeds_and_channels(spark):
     df = spark.createDataFrame([("see https://a.example/x portfolio positive and item:12 hidden, https://b.example/y",)], "t string")
     assert [(r["link"], r["category"], r["sentiment"]) for r in sheets.parse_links(df, "t").orderBy("place").collect()] == [("https://a.example/x", "portfolio", "positive"), ("item:12", None, None), ("https://b.example/y", None, None)]
