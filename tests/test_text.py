@@ -24,6 +24,16 @@ def test_titles_and_cut(spark):
     assert values(spark, ["stories", "walking", "bus", "ét"], text.stem_en)[:3] == ["story", "walk", "bus"]
 
 
+def test_batches_are_sliced_and_only_numbers_leave(spark):
+    import pyarrow as pa
+
+    texts = ["x" * 30, None, "é" * 20, "", "y" * 100, "z"]
+    got = list(text.text_slices(pa.array(texts), 50))
+    assert [t for some in got for t in some] == texts and [len(some) for some in got] == [2, 2, 1, 1]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [tuple(r) for r in df.select(text.gram_counts(F.col("t")), F.size(text.gram_hashes(F.col("t")))).collect()] == [(1, 1), (0, 0), (1, 1), (0, 0), (1, 1), (0, 0)]
+
+
 def test_grams_and_jaccard(spark):
     df = spark.createDataFrame([("abcde", "abcdx"), ("abc", "abc"), (None, "abcd")], "a string, b string")
     got = df.select(F.size(text.grams(F.col("a"))), text.jaccard(text.grams(F.col("a")), text.grams(F.col("b")))).collect()
