@@ -107,6 +107,21 @@ def test_assignment_against_a_loop(spark):
     assert A.assign_events(items.limit(0)).count() == 0
 
 
+def test_assignment_keeps_only_what_is_open(spark):
+    fold, most = A.Assignment(), 0
+    for i in range(5000):
+        fold.step({"id": i, "ts": i * 3600, "now": i * 3600, "key": f"k{i}", "host": "h", "vertex": i, "matches": [(i, 1.0)]})
+        most = max(most, len(fold.keys) + len(fold.members))
+    assert most <= 2 * A.SWEEP_LEAST + 2 and len(fold.of) <= 25
+
+
+def test_gram_sets_read_a_text_once(spark):
+    rows = spark.createDataFrame([(1, "a", "abcdef"), (2, "b", "x"), (3, "a", None), (4, "b", "cdefgh" * 300)], "id long, host string, body string")
+    sets = similarity.gram_sets(rows)
+    assert sets._jdf.queryExecution().executedPlan().toString().count("EvalPython [") <= 1
+    assert sorted((r["id"], len(r["set"]), len(r["bits"])) for r in sets.collect()) == [(1, 3, 512), (4, 6, 512)]
+
+
 def test_clusters_of_copies_need_two_hosts(spark):
     rows = [(k, "a", "same words in every one of them") for k in range(5)] + [(10, "a", "another text that stands twice"), (11, "b", "another text that stands twice"), (12, "b", "same words in every one of these"), (13, "c", "alone")]
     df = spark.createDataFrame(rows, "id long, host string, body string")
