@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,14 @@ class Profile:
 
 
 def any_word(text: Column, words: list[str]) -> Column:
-    return text.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(words) + r")(?:[^a-z0-9]|$)") if words else F.lit(False)
+    """Whether a word (a pattern) stands in a text. Where all are plain words, texts that hold none as a string never reach the pattern."""
+    if not words:
+        return F.lit(False)
+    found = text.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(words) + r")(?:[^a-z0-9]|$)")
+    if all(re.fullmatch(r"[A-Za-z0-9 ]+", w) for w in words):
+        held = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+        return held & found
+    return found
 
 
 def rule_rank(df: DataFrame) -> DataFrame:
@@ -61,11 +70,13 @@ def guard(df: DataFrame, p: Profile) -> DataFrame:
     added to it; with takeaways, notes that name the person where the text doesn't are thrown away (notes_note says so).
     """
     text, head, cat, tags = F.col("text_norm"), F.col("title_norm"), F.col("category"), F.coalesce("tags", F.array().cast("array<string>"))
-    named = names_in(text, tags, p)
+    # Columns of their own, so that a text meets each pattern once, however often the rules ask.
+    asked = {
+        "guard_named": names_in(text, tags, p), "guard_inside": any_word(head, p.constituency_places), "guard_outside": any_word(head, p.outside_places), "guard_local": any_word(text, p.constituency_places),
+        "guard_there": any_word(text, p.district_places), "guard_portfolio": any_word(text, p.portfolio), "guard_commercial": any_word(text, p.commercial) & ~any_word(text, p.governance),
+    }
+    named, inside, outside, local, there, portfolio, commercial = (F.col(c) for c in asked)
     tagged = lambda t: F.array_contains(tags, t)
-    inside, outside, local = any_word(head, p.constituency_places), any_word(head, p.outside_places), any_word(text, p.constituency_places)
-    there = any_word(text, p.district_places)
-    portfolio = any_word(text, p.portfolio)
     anchored = F.arrays_overlap(tags, F.array(*(F.lit(t) for t in OWN_TAGS))) | named | local | there | portfolio
     evidence = {"mention": named, "constituency": inside | (tagged("constituency") | local) & ~outside, "district": tagged("district") | there, "portfolio": tagged("portfolio") | portfolio, "political": tagged("party") & anchored}
 
@@ -78,7 +89,7 @@ def guard(df: DataFrame, p: Profile) -> DataFrame:
 
     headless = (cat == "constituency") & ~inside
     rule = (
-        F.when((cat != "none") & any_word(text, p.commercial) & ~any_word(text, p.governance), "commercial")
+        F.when((cat != "none") & commercial, "commercial")
         .when((cat == "mention") & ~named, "not named")
         .when(headless & outside, "outside")
         .when(headless & ~(local | tagged("constituency")), "no place")
@@ -93,7 +104,7 @@ def guard(df: DataFrame, p: Profile) -> DataFrame:
     if "takeaways" in df.columns:
         tainted = ~named & F.coalesce(names_in(F.lower(F.array_join("takeaways", " \n ")), tags, p, strict=True), F.lit(False))
         out |= {"takeaways": F.when(tainted, F.array().cast("array<string>")).otherwise(F.col("takeaways")), "notes_note": F.when(tainted, "notes named another"), "guard": F.coalesce(rule, F.when(tainted, "notes"))}
-    return df.withColumns(out)
+    return df.withColumns(asked).withColumns(out).drop(*asked)
 
 
 def place_manual(asked: Column, verdict: Column, rules: Column) -> Column:

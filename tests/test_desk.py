@@ -34,6 +34,16 @@ def test_generic_names_need_an_anchor(spark):
     assert got[4][:2] == ("political", None) and got[5] == ("district", "notes", "r", []) and got[6][:2] == ("mention", "named") and got[6][3]
 
 
+def test_guard_reads_a_text_once_a_pattern(spark):
+    p = ranking.Profile(names=["mira vale"], constituency_places=["oldport"], outside_places=["farcity"], district_places=["northshire"], portfolio=["rail"], commercial=["sale"], governance=["council"])
+    rows = [(1, "constituency", [], "farcity", "rail sale"), (2, "political", [], "x", "a railway"), (3, "district", None, "x", None), (4, "none", [], "x", "rail sale")]
+    df = spark.createDataFrame(rows, "id long, category string, tags array<string>, title_norm string, text_norm string").withColumn("reason", F.lit("r"))
+    out = ranking.guard(df, p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == [*df.columns, "guard"] and plan.count("(?:rail)") == 1 and plan.count("(?:northshire)") == 1
+    assert {r["id"]: (r["category"], r["guard"]) for r in out.collect()} == {1: ("none", "commercial"), 2: ("none", "not anchored"), 3: ("district", None), 4: ("none", None)}
+
+
 def test_overlaps_like_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3000), f"t{rng.randrange(2)}", [f"p{rng.randrange(6)}" for _ in range(rng.randrange(4))], [f"g{rng.randrange(4)}"]) for i in range(200)] + [(900, 10, None, ["p1"], None), (901, 10, "t1", None, ["g1"])]
