@@ -85,9 +85,9 @@ def explain_items(spark: SparkSession, d: str) -> DataFrame:
     stays = C.kept() | F.col("urgent")
     kept, top = F.col("first") == F.col("id"), F.col("rank") <= PER_CATEGORY
     steps = [
-        Step("score", lambda rows: rows, F.when(stays, "kept").otherwise("dropped"), F.concat_ws(" ", "band", "score"), stays),
+        Step("score", None, F.when(stays, "kept").otherwise("dropped"), F.concat_ws(" ", "band", "score"), stays),
         Step("merge", merged, F.when(kept, "kept").otherwise("folded"), F.col("first"), kept),
-        Step("guard", guarded, F.coalesce("guard", F.lit("as ranked")), F.col("category"), F.col("category") != "none"),
+        Step("guard", lambda rows: guarded(rows).drop("title", "body", "title_norm", "text_norm"), F.coalesce("guard", F.lit("as ranked")), F.col("category"), F.col("category") != "none"),
         Step("select", chosen, F.when(top, "chosen").otherwise("left out"), F.col("rank"), top),
     ]
     return explained(stories(spark, d), steps)[0]

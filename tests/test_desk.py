@@ -44,6 +44,13 @@ def test_guard_reads_a_text_once_a_pattern(spark):
     assert {r["id"]: (r["category"], r["guard"]) for r in out.collect()} == {1: ("none", "commercial"), 2: ("none", "not anchored"), 3: ("district", None), 4: ("none", None)}
 
 
+def test_a_stage_that_adds_nothing_writes_nothing(spark):
+    rows = spark.range(4)
+    look = Step("look", None, F.lit("seen"), F.col("id"), F.col("id") > 1)
+    trail, left = explained(rows, [look])
+    assert sorted(r["id"] for r in left.collect()) == [2, 3] and trail.count() == 4 and "parquet" not in trail._jdf.queryExecution().executedPlan().toString()
+
+
 def test_overlaps_like_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, rng.randrange(3000), f"t{rng.randrange(2)}", [f"p{rng.randrange(6)}" for _ in range(rng.randrange(4))], [f"g{rng.randrange(4)}"]) for i in range(200)] + [(900, 10, None, ["p1"], None), (901, 10, "t1", None, ["g1"])]
