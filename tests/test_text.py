@@ -93,3 +93,9 @@ def test_bad_row_is_isolated(spark, monkeypatch):
 def test_matched_is_idempotent(s):
     assert M.matched(M.matched(s)) == M.matched(s)
     assert not re.search(r"\s\s", M.matched(s))
+
+
+def test_grams_of_a_long_title_in_one_pass(spark):
+    df = spark.createDataFrame([("é😀" * 50_000,), ("😀😀😀😀",), ("",)], "t string").select(text.grams(F.col("t")).alias("g"))
+    assert [r["g"] for r in df.collect()] == [["é😀é😀", "😀é😀é"], ["😀😀😀😀"], []]
+    assert "substring(" not in df._jdf.queryExecution().executedPlan().toString().lower()
