@@ -20,6 +20,18 @@ def test_components_of_chain_and_star(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(1)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)]
+    df, made = spark.createDataFrame(edges, "a long, b long"), []
+    rounds = {tuple(r) for r in graph.components(df, few_links=0).collect()}
+    late = {tuple(r) for r in graph.components(df, few_links=60).collect()}
+    own = graph.written
+    monkeypatch.setattr(graph, "written", lambda table, name: made.append(name) or own(table, name))
+    assert {tuple(r) for r in graph.components(df).collect()} == rounds == late
+    assert made == ["edges", "components"]
+
+
 def test_anchored_merge_never_chains(spark):
     rng = random.Random(3)
     edges = {(a, b) for _ in range(80) for a, b in [sorted(rng.sample(range(40), 2))]}
