@@ -28,6 +28,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,9 @@ WINDOW = 16
 LANES = 512
 LEAST_UPDATES = 72  # of one chunk; fewer lanes where a chunk has too few tokens for that
 CHUNK = 4 << 20
+PIECE = 1 << 18  # bytes tokenised at once
 AT_ONCE = 8192  # tokens scored together
+CACHED = 1024  # of these, rows whose class shares are in memory at once
 MOST_LOGIT = np.float32(80)
 END = np.uint64(0xE0D0C0B0A0908071)
 LN10 = math.log(10)
@@ -60,7 +64,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with each row's end, row borders, each token's group by its last two bytes)."""
+    """(token hashes with each row's end, row borders, each token's group by its last two bytes), made in pieces of whole rows that stay in the processor's cache."""
+    cut = np.unique(np.r_[0, np.searchsorted(off[:-1], np.arange(PIECE, len(flat), PIECE)), len(off) - 1]).tolist()
+    parts = [_piece(flat[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pairwise(cut)] or [_piece(flat, off)]
+    size = np.cumsum([0, *(len(p[0]) for p in parts)]).tolist()
+    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], *(p[1][1:] + at for p, at in zip(parts, size, strict=False))]), np.concatenate([p[2] for p in parts])
+
+
+def _piece(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = Words(flat, off)
     border = words.first + np.arange(len(words.first))
     out, group = np.empty(int(border[-1]), np.uint64), np.zeros(int(border[-1]), np.uint8)
@@ -180,26 +191,32 @@ class Gru:
         def shares(logit: np.ndarray, own: np.ndarray) -> np.ndarray:
             """ln of the chosen column's share; logit becomes the shares, less 1 in that column, if there are grads."""
             rows = np.arange(len(own))
-            np.minimum(logit, MOST_LOGIT, out=logit)
+            if capped:
+                np.minimum(logit, MOST_LOGIT, out=logit)
             chosen = logit[rows, own]
             np.exp(logit, out=logit)
-            total = logit.sum(axis=1)
+            total = logit @ np.ones(logit.shape[1], logit.dtype)
             if grads is not None:
                 logit /= total[:, None]
                 logit[rows, own] -= 1
             return chosen - np.log(total)
 
+        # States lie between -1 and 1, so the weights bound the logits.
+        bounds = [np.abs(self.class_w).sum(axis=0) + self.class_b, np.abs(self.word_w).sum(axis=1) + self.word_b]
+        capped = any(x.size and not x.max() < MOST_LOGIT - 1 for x in bounds)
         group = np.where(word >= self.rare, self.rare_class + word - self.rare, word // CLASS_WORDS)
         order = np.argsort(group.astype(np.uint16), kind="stable")
         h, word, group = h[order], word[order], group[order]
-        p = h @ self.class_w
-        p += self.class_b
-        found = shares(p, group)
-        dh = None
-        if grads is not None:
-            grads["class_w"] += h.T @ p
-            grads["class_b"] += p.sum(axis=0)
-            dh = p @ self.class_w.T
+        found, dh = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
+        for lo in range(0, len(h), CACHED):
+            rows = slice(lo, lo + CACHED)
+            p = h[rows] @ self.class_w
+            p += self.class_b
+            found[rows] = shares(p, group[rows])
+            if grads is not None:
+                grads["class_w"] += h[rows].T @ p
+                grads["class_b"] += np.ones(len(p), p.dtype) @ p
+                np.matmul(p, self.class_w.T, out=dh[rows])
         cut = np.searchsorted(group, np.arange(self.rare_class + 1))
         named = int(cut[-1])
         if named:
@@ -376,6 +393,27 @@ def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes
     return np.add.reduceat(out.astype(np.float64), border[:-1])
 
 
+class Finder:
+    """Places in sorted hashes by their leading bits: as np.searchsorted, but for a few steps within a bucket; beyond the last, the last."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.shift = U64(64 - max(1, (4 * len(words)).bit_length()))
+        self.first = np.searchsorted(words >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(self.first[h >> self.shift], len(self.words) - 1)
+        left = np.flatnonzero(self.words[at] < h)
+        for _ in range(self.most):
+            left = left[at[left] < len(self.words) - 1]
+            at[left] += 1
+            left = left[self.words[at[left]] < h[left]]
+            if not len(left):
+                break
+        return at
+
+
 @dataclass
 class Scorer:
     words: np.ndarray  # sorted hashes of the frequent words
@@ -385,12 +423,16 @@ class Scorer:
     end: int
     rare_totals: np.ndarray  # of each rare class: its tokens and distinct words, and one
 
+    @cached_property
+    def finder(self) -> Finder:
+        return Finder(self.words)
+
     def look_up(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into words or -1, network token) of each token."""
         rare, group = self.model.rare, group.astype(np.int64)
         if not len(self.words):
             return np.full(len(h), -1), rare + group
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = self.finder.places(h)
         known = self.words[at] == h
         token = np.where(known, self.named[at], rare)
         return np.where(known, at, -1), np.where(token == rare, rare + group, token)
@@ -499,13 +541,14 @@ def other_words(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        finder = Finder(known) if len(known) else None
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, flat, off in chunks(b.column(1)):
                 h, border, _ = tokens(flat, off)
                 row = np.repeat(np.arange(len(border) - 1), np.diff(border))
                 if len(known):
-                    other = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+                    other = known[finder.places(h)] != h
                     h, row = h[other], row[other]
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]

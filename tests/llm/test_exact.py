@@ -249,6 +249,33 @@ def test_language_model_counts_and_gradient(spark):
         assert grads[k][at] == pytest.approx((up - down) / (2 * e), rel=2e-3, abs=1e-4), k
 
 
+def test_tokens_in_pieces_and_places_by_leading_bits(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [b"Ab c  d\xc3\xa9 zz\n" * int(rng.integers(0, 40)) for _ in range(200)] + [b"", b"x" * 5000, b""]
+    flat, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    whole = gru_lm.tokens(flat, off)
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(gru_lm, "PIECE", piece)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(whole, gru_lm.tokens(flat, off), strict=True))
+    words = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    for known in (words, words[:1], np.r_[words[:9], np.uint64(2**64 - 1)], np.arange(50, dtype=np.uint64)):
+        h = np.r_[rng.choice(known, 100), rng.integers(0, 2**64, 2000, dtype=np.uint64), np.uint64(0), np.uint64(2**64 - 1)]
+        assert (gru_lm.Finder(known).places(h) == np.minimum(np.searchsorted(known, h), len(known) - 1)).all()
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_losses_of_many_rows_are_those_of_each(scale):
+    m = gru_lm.Gru.start(130, np.arange(130)[::-1], np.full(gru_lm.RARE, 9.0), hidden=4)
+    m.class_w *= scale  # logits beyond MOST_LOGIT are cut
+    rng = np.random.default_rng(4)
+    h, word = rng.uniform(-1, 1, (2500, 4)).astype(np.float32), rng.integers(0, 130 + gru_lm.RARE, 2500)
+    grads, each = ({k: np.zeros_like(v) for k, v in m.parts().items()} for _ in range(2))
+    loss, d = m.losses(h, word, grads)
+    one = [m.losses(h[i : i + 1], word[i : i + 1], each) for i in range(2500)]
+    assert np.isfinite(loss).all() and np.allclose(loss, [x[0][0] for x in one], rtol=1e-4, atol=1e-4) and np.allclose(d, np.concatenate([x[1] for x in one]), rtol=1e-3, atol=1e-4 * scale)
+    assert all(np.allclose(grads[k], each[k], rtol=1e-3, atol=1e-2) for k in grads)
+
+
 def test_model_is_a_distribution_and_lanes_agree():
     m = gru_lm.Gru.start(130, np.arange(130)[::-1], np.full(gru_lm.RARE, 9.0), hidden=4)
     h = np.random.default_rng(1).normal(size=(1, 4)).astype(np.float32)
