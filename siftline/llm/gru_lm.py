@@ -171,68 +171,91 @@ class Gru:
             at += v.size
         return out
 
-    def step(self, h: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        k = h.shape[1]
-        zr = h @ self.back
-        zr += given[:, : 2 * k]
-        np.negative(zr, out=zr)
-        np.exp(np.minimum(zr, MOST_LOGIT, out=zr), out=zr)
+    def turned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gate inputs and recurrent weights for step: lanes lie side by side, so that a gate is one run of memory, and z and r have the other sign."""
+        k = len(self.back)
+        gates = np.ascontiguousarray(self.gates.T)
+        np.negative(gates[: 2 * k], out=gates[: 2 * k])
+        return gates, np.ascontiguousarray(-self.back.T), np.ascontiguousarray(self.back_n.T)
+
+    @staticmethod
+    def step(h: np.ndarray, given: np.ndarray, back: np.ndarray, back_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The next state of (hidden, lanes), and z, r and the candidate; weights as turned, given as (3 * hidden, lanes). Gates beyond what a float holds are 0."""
+        k = len(h)
+        zr = back @ h
+        zr += given[: 2 * k]
+        np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :k], zr[:, k:]
-        n = (r * h) @ self.back_n
-        n += given[:, 2 * k :]
+        z, r = zr[:k], zr[k:]
+        n = back_n @ (r * h)
+        n += given[2 * k :]
         np.tanh(n, out=n)
-        return n + z * (h - n), z, r, n
+        out = h - n
+        out *= z
+        out += n
+        return out, z, r, n
 
     def losses(self, h: np.ndarray, word: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(word | h) per row (for rare tokens, of their class only); with grads, also the gradient of -sum by h."""
 
-        def shares(logit: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """ln of the chosen column's share; logit becomes the shares, less 1 in that column, if there are grads."""
+        def shares(logit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """ln of the chosen column's share, and each row's total; logit becomes the shares times the total, less the total in that column, if there are grads."""
             rows = np.arange(len(own))
             if capped:
                 np.minimum(logit, MOST_LOGIT, out=logit)
             chosen = logit[rows, own]
             np.exp(logit, out=logit)
             total = logit @ np.ones(logit.shape[1], logit.dtype)
+            found = chosen - np.log(total)
             if grads is not None:
-                logit /= total[:, None]
-                logit[rows, own] -= 1
-            return chosen - np.log(total)
+                if capped:  # totals may be too large for products with weights
+                    logit /= total[:, None]
+                    total[:] = 1
+                logit[rows, own] -= total
+            return found, total[:, None]
 
         # States lie between -1 and 1, so the weights bound the logits.
         bounds = [np.abs(self.class_w).sum(axis=0) + self.class_b, np.abs(self.word_w).sum(axis=1) + self.word_b]
         capped = any(x.size and not x.max() < MOST_LOGIT - 1 for x in bounds)
+        k = h.shape[1]
+        class_w, word_w = np.concatenate([self.class_w, self.class_b[None]]), np.concatenate([self.word_w, self.word_b[:, None]], axis=1)  # a bias is the weight of a last state, one
         group = np.where(word >= self.rare, self.rare_class + word - self.rare, word // CLASS_WORDS)
         order = np.argsort(group.astype(np.uint16), kind="stable")
-        h, word, group = h[order], word[order], group[order]
+        word, group = word[order], group[order]
+        own = np.ones((len(h), k + 1), h.dtype)
+        own[:, :k] = h[order]
         found, dh = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
+        change = np.zeros_like(class_w)
         for lo in range(0, len(h), CACHED):
             rows = slice(lo, lo + CACHED)
-            p = h[rows] @ self.class_w
-            p += self.class_b
-            found[rows] = shares(p, group[rows])
+            p = own[rows] @ class_w
+            found[rows], total = shares(p, group[rows])
             if grads is not None:
-                grads["class_w"] += h[rows].T @ p
-                grads["class_b"] += np.ones(len(p), p.dtype) @ p
-                np.matmul(p, self.class_w.T, out=dh[rows])
-        cut = np.searchsorted(group, np.arange(self.rare_class + 1))
-        named = int(cut[-1])
+                change += (own[rows] / total).T @ p
+                np.divide(p @ self.class_w.T, total, out=dh[rows])
+        if grads is not None:
+            grads["class_w"] += change[:k]
+            grads["class_b"] += change[k]
+        cut = np.searchsorted(group, np.arange(self.rare_class + 1)).tolist()
+        named = cut[-1]
         if named:
             p = np.empty((named, CLASS_WORDS), h.dtype)
-            there = np.flatnonzero(np.diff(cut)).tolist()
+            there = [c for c in range(self.rare_class) if cut[c] < cut[c + 1]]
             for c in there:
-                own = p[cut[c] : cut[c + 1]]
-                np.matmul(h[cut[c] : cut[c + 1]], self.word_w[c], out=own)
-                own += self.word_b[c]
-            found[:named] += shares(p, word[:named] - group[:named] * CLASS_WORDS)
+                np.matmul(own[cut[c] : cut[c + 1]], word_w[c], out=p[cut[c] : cut[c + 1]])
+            more, total = shares(p, word[:named] - group[:named] * CLASS_WORDS)
+            found[:named] += more
             if grads is not None:
+                share, back = own[:named] / total, np.empty((named, k), h.dtype)
                 for c in there:
                     rows = slice(cut[c], cut[c + 1])
-                    grads["word_w"][c] += h[rows].T @ p[rows]
-                    grads["word_b"][c] += p[rows].sum(axis=0)
-                    dh[rows] += p[rows] @ self.word_w[c].T
+                    change = share[rows].T @ p[rows]
+                    grads["word_w"][c] += change[:k]
+                    grads["word_b"][c] += change[k]
+                    np.matmul(p[rows], self.word_w[c].T, out=back[rows])
+                back /= total
+                dh[:named] += back
         out = np.empty_like(found)
         out[order] = found
         if dh is not None:
@@ -246,48 +269,53 @@ class Gru:
         steps, lanes = word.shape
         k = h0.shape[1]
         grads = {name: np.zeros_like(v) for name, v in self.parts().items()}
-        states = np.empty((steps + 1, lanes, k), h0.dtype)
-        states[0] = h0
-        goes_on = (word != end)[:, :, None].astype(h0.dtype)
-        given = self.gates[word]
+        gates, back, back_n = self.turned()
+        states = np.empty((k, steps + 1, lanes), h0.dtype)
+        states[:, 0] = h0.T
+        goes_on = (word != end).astype(h0.dtype)
+        given = gates.take(word, axis=1)
         kept = []
-        for t in range(steps):
-            h, z, r, n = self.step(states[t], given[t])
-            kept.append((z, r, n))
-            np.multiply(h, goes_on[t], out=states[t + 1])
-        flat = states[:-1].reshape(-1, k)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h, z, r, n = self.step(states[:, t], given[:, t], back, back_n)
+                kept.append((z, r, n))
+                np.multiply(h, goes_on[t], out=states[:, t + 1])
+        flat = states[:, :-1].reshape(k, -1)
         which = np.flatnonzero(live.ravel())
-        loss, d = self.losses(flat[which], word.ravel()[which], grads)
+        loss, d = self.losses(flat.T[which], word.ravel()[which], grads)
         dh_out = np.zeros_like(flat)
-        dh_out[which] = d
-        dh_out = dh_out.reshape(steps, lanes, k)
-        dgiven, reset = np.empty_like(given), np.empty_like(states[1:])
-        ahead = np.zeros_like(h0)
+        dh_out[:, which] = d.T
+        dh_out = dh_out.reshape(k, steps, lanes)
+        dgiven, reset = np.empty_like(given), np.empty_like(dh_out)
+        ahead = np.zeros((k, lanes), h0.dtype)
         for t in range(steps - 1, -1, -1):
             z, r, n = kept[t]
-            h = states[t]
-            g = ahead * goes_on[t]
-            dn = g * (1 - z)
-            dn *= 1 - n * n
-            drh = dn @ self.back_n.T
-            own = dgiven[t]
-            np.multiply(g * (h - n), z * (1 - z), out=own[:, :k])
-            np.multiply(drh * h, r * (1 - r), out=own[:, k : 2 * k])
-            own[:, 2 * k :] = dn
-            np.multiply(r, h, out=reset[t])
+            h, own = states[:, t], dgiven[:, t]
+            ahead *= goes_on[t]
+            g, z_off = ahead, 1 - z
+            dn = np.multiply(g, z_off, out=own[2 * k :])
+            dn -= n * n * dn
+            drh = self.back_n @ dn
+            dz = np.multiply(h - n, g, out=own[:k])
+            z_off *= z
+            dz *= z_off
+            np.multiply(r, h, out=reset[:, t])
+            dr = np.multiply(drh, reset[:, t], out=own[k : 2 * k])
+            dr *= 1 - r
+            drh *= r
             ahead = g * z
-            ahead += drh * r
-            ahead += own[:, : 2 * k] @ self.back.T
-            ahead += dh_out[t]
-        rows = dgiven.reshape(-1, 3 * k)
-        grads["back_n"] += reset.reshape(-1, k).T @ rows[:, 2 * k :]
-        grads["back"] += flat.T @ rows[:, : 2 * k]
+            ahead += drh
+            ahead += self.back @ own[: 2 * k]
+            ahead += dh_out[:, t]
+        rows = dgiven.reshape(3 * k, -1)
+        grads["back_n"] += reset.reshape(k, -1) @ rows[2 * k :].T
+        grads["back"] += flat @ rows[: 2 * k].T
         names = word.ravel().astype(np.uint16)
         order = np.argsort(names, kind="stable")
         names = names[order]
         at = run_starts(names)
-        grads["gates"][names[at]] += np.add.reduceat(rows[order], at, axis=0)
-        return float(-loss.sum()), grads, states[-1].copy()
+        grads["gates"][names[at]] += np.add.reduceat(rows.take(order, axis=1), at, axis=1).T
+        return float(-loss.sum()), grads, states[:, -1].T.copy()
 
 
 def lanes_of(border: np.ndarray, lanes: int) -> list[list[int]]:
@@ -372,23 +400,25 @@ def score_rows(model: Gru, word: np.ndarray, border: np.ndarray, end: int, lanes
     rows = len(border) - 1
     out = np.zeros(len(word), np.float32)
     grid, live = lane_grid(word, border, lanes_of(border, max(1, min(lanes, rows))))
-    h = np.zeros((grid.shape[1], model.back.shape[0]), np.float32)
+    gates, back, back_n = model.turned()
+    h = np.zeros((len(back_n), grid.shape[1]), np.float32)
     lane, at = np.arange(grid.shape[1]), 0
     while at < len(grid):
         active = np.flatnonzero(live[at, lane])  # lanes end for good
         if len(active) < len(lane):
-            lane, h = lane[active], h[active]
+            lane, h = lane[active], h[:, active]
         until = at + max(WINDOW, AT_ONCE // len(lane))  # long windows where few lanes are left
         g, ok = grid[at:until, lane], live[at:until, lane]
         w = np.where(ok, word[g], end)
-        states = np.empty((len(g), *h.shape), np.float32)
-        given, goes_on = model.gates[w], (w != end)[:, :, None]
-        for t in range(len(g)):
-            states[t] = h
-            h = model.step(h, given[t])[0]
-            h *= goes_on[t]
+        states = np.empty((len(h), *g.shape), np.float32)
+        given, goes_on = gates.take(w, axis=1), (w != end).astype(np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(len(g)):
+                states[:, t] = h
+                h = model.step(h, given[:, t], back, back_n)[0]
+                h *= goes_on[t]
         which = np.flatnonzero(ok.ravel())
-        out[g.ravel()[which]] = model.losses(states.reshape(-1, h.shape[1])[which], w.ravel()[which])[0]
+        out[g.ravel()[which]] = model.losses(states.reshape(len(h), -1).T[which], w.ravel()[which])[0]
         at = until
     return np.add.reduceat(out.astype(np.float64), border[:-1])
 

@@ -276,6 +276,28 @@ def test_losses_of_many_rows_are_those_of_each(scale):
     assert all(np.allclose(grads[k], each[k], rtol=1e-3, atol=1e-2) for k in grads)
 
 
+
+def test_network_step_with_lanes_side_by_side():
+    """Against the plain formula with states as rows; gates far beyond a float's range are 0, large logits give finite gradients."""
+    rng = np.random.default_rng(11)
+    m = gru_lm.Gru.start(70, np.arange(70)[::-1], np.full(gru_lm.RARE, 9.0), hidden=4)
+    m.gates[3, :8] = -500
+    gates, back, back_n = m.turned()
+    assert gates.flags.c_contiguous and gates.shape == (12, 70 + gru_lm.RARE)
+    h, word = rng.uniform(-1, 1, (5, 4)), np.array([3, 5, 90, 3, 60])
+    given = m.gates[word].astype(float)
+    z, r = (1 / (1 + np.exp(-(h @ m.back[:, c] + given[:, c]))) for c in (slice(0, 4), slice(4, 8)))
+    n = np.tanh((r * h) @ m.back_n + given[:, 8:])
+    with np.errstate(over="ignore"):
+        got = m.step(h.T.astype(np.float32), gates.take(word, axis=1), back, back_n)
+    for x, y in zip(got, (n + z * (h - n), z, r, n), strict=True):
+        assert np.allclose(x, y.T, atol=1e-6)
+    assert (got[1][:, 0] == 0).all()
+    m.class_w[:] = 1000
+    grads = {k: np.zeros_like(v) for k, v in m.parts().items()}
+    assert all(np.isfinite(x).all() for x in (*m.losses(np.ones((5, 4), np.float32), word, grads), *grads.values()))
+
+
 def test_model_is_a_distribution_and_lanes_agree():
     m = gru_lm.Gru.start(130, np.arange(130)[::-1], np.full(gru_lm.RARE, 9.0), hidden=4)
     h = np.random.default_rng(1).normal(size=(1, 4)).astype(np.float32)
