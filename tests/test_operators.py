@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,32 @@ def test_similar_pairs_in_blocks(spark):
     assert {(a, b) for a, b, _ in whole} == want == {(a, b) for a, b, _ in blocks}
 
 
+def test_packed_sets_and_bounds_of_a_unit(monkeypatch):
+    """Products bound overlaps from above, sets come back as they were, and pairs are brute force's, with a large group of copies and without."""
+    rng = np.random.default_rng(7)
+    every = rng.integers(-(2**63), 2**63 - 1, 300)
+    sets = [rng.choice(every, rng.integers(3, 60), replace=False) for _ in range(90)]
+    sets += [sets[5]] * 40 + [sets[k][2:] for k in range(20)]
+    common = np.sort(every[:70])
+    for known in (common, common[:0]):
+        assert all(set(similarity.unpack(similarity.pack(s, known), known).tolist()) == set(s.tolist()) for s in sets)
+    sizes = np.array([len(s) for s in sets])
+    both = np.array([[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets])
+    marks = similarity._marks(sets, common, 8)
+    assert (marks @ marks.T >= both - 1e-3).all()
+    ids, hosts, side = rng.permutation(len(sets)), np.arange(len(sets)) % 3, np.arange(len(sets)) % 2
+    sim = both / (sizes[:, None] + sizes[None] - both)
+    counted = []
+    shared = similarity._shared
+    monkeypatch.setattr(similarity, "_shared", lambda *a: counted.append(1) or shared(*a))
+    for two in (False, True):
+        for cross in (False, True):
+            want = {(min(ids[i], ids[j]), max(ids[i], ids[j]), sim[i, j]) for i in range(len(sets)) for j in range(i) if sim[i, j] >= 0.45 and (not two or side[i] != side[j]) and (not cross or hosts[i] != hosts[j])}
+            got = [tuple(x) for found in similarity._unit_pairs(ids, hosts, side * two, sets, 0.45, cross) for x in zip(*found, strict=True)]
+            assert len(got) == len(want) > 100 and set(got) == want
+    assert counted and len(counted) < 4 * len(sets)
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_sweep_counts_without_pairs(spark, monkeypatch, block_rows):
     rng = random.Random(3)
