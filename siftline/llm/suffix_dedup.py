@@ -40,18 +40,18 @@ others; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import might_be_in, stage, table
+from .shared import drop, might_be_in, stage, table
 from .textbytes import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, mix, powers, rolling, run_starts, sliding_min, tidy
 
 LENGTH = 50
@@ -233,15 +233,17 @@ def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units
     Rows with a unit have that unit's distinct stretches of the batch, those of its first shard
     under twice the unit, those of its second under one more; the row with unit -1
     says which document has which stretch where. texts has doc_id and packed.
+    A task that runs again makes the same batches under the same names.
     """
     wanted = shared.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     known_hot = texts.sparkSession.sparkContext.broadcast(np.sort(hot))  # at most MOST_HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # per chunk: contents' bytes and lengths, keys, documents, positions, windows, content hashes
-        size = 0
+        size, batch = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
+            nonlocal batch
             raw = np.concatenate([x[0] for x in held])
             lengths, key, doc, at, windows, content = (np.concatenate([x[k] for x in held]) for k in range(1, 7))
             end = np.cumsum(lengths)
@@ -255,7 +257,7 @@ def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units
             place[order] = np.arange(len(order))
             which, first, low, unit = place[which], first[order], low[order], unit[order]
             cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
-            batch = uuid.uuid4().int >> 65
+            batch += 1
             rows = [(batch, -1, frame(which, doc, at, windows))]
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own = first[lo:hi]
@@ -297,7 +299,7 @@ def packed_stretches(texts: DataFrame, shared: DataFrame, hot: np.ndarray, units
 
     ids = stage(shared.filter("doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "ids")
     joined = might_be_in(texts.select("doc_id", "packed"), ids).join(wanted, "doc_id").select("doc_id", "packed", "anchors")
-    return joined.mapInArrow(tidy(run), "batch long, unit long, data binary")
+    return joined.sortWithinPartitions("doc_id").mapInArrow(tidy(run), "batch long, unit long, data binary")
 
 
 def cyclic_order(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -460,7 +462,8 @@ def gather(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def shard_transforms(packed: DataFrame, units: int, pieces: int) -> DataFrame:
-    """(unit, shard, data): per unit and shard the transforms of its pieces, their strings' first documents, and which batch has which strings."""
+    """(batch, unit, shard, data): per unit and shard the transforms of its pieces, their strings' first documents, and which batch has which strings; rows with unit -1 pass as they are."""
+    columns = ["batch", "unit", "shard", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(unit: int, shard: int, held: list[tuple]) -> pa.RecordBatch:
@@ -485,11 +488,15 @@ def shard_transforms(packed: DataFrame, units: int, pieces: int) -> DataFrame:
             place[order] = np.arange(len(order))
             counts = np.array([len(x[2]) for x in held], np.int64)
             arrays = (np.array([len(x) for x in symbols], np.int64), np.concatenate(symbols).astype(np.uint8), least[order], np.array([x[0] for x in held], np.int64), np.array([x[1][0] for x in held], np.int64), counts, place[which].astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([shard], pa.int32()), pa.array([frame(*arrays)], pa.binary())], ["unit", "shard", "data"])
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([unit]), pa.array([shard], pa.int32()), pa.array([frame(*arrays)], pa.binary())], columns)
 
         now, held = None, []
         for b in batches:
-            for batch, unit, shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for batch, both, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if both == -1:
+                    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([-1]), pa.nulls(1, pa.int32()), pa.array([data.as_py()], pa.binary())], columns)
+                    continue
+                unit, shard = divmod(both, 2)
                 if (unit, shard) != now:
                     if held:
                         yield done(*now, held)
@@ -498,8 +505,8 @@ def shard_transforms(packed: DataFrame, units: int, pieces: int) -> DataFrame:
         if held:
             yield done(*now, held)
 
-    dealt = packed.filter("unit >= 0").select("batch", F.floor(F.col("unit") / 2).alias("unit"), F.pmod("unit", F.lit(2)).cast("int").alias("shard"), "data")
-    return dealt.repartition(2 * units, "unit", "shard").sortWithinPartitions("unit", "shard").mapInArrow(tidy(run), "unit long, shard int, data binary")
+    dealt = packed.repartition(2 * units, F.when(F.col("unit") < 0, F.xxhash64("batch")).otherwise(F.col("unit")))
+    return dealt.sortWithinPartitions("unit").mapInArrow(tidy(run), "batch long, unit long, shard int, data binary")
 
 
 def decided_stretches(transforms: DataFrame, units: int, pieces: int, length: int = LENGTH) -> DataFrame:
@@ -558,8 +565,10 @@ def removal_marks(texts: DataFrame, text_bytes: int, length: int = LENGTH) -> Da
     units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // UNIT_BYTES))
     pieces = max(1, -(-size // (units * PIECE_BYTES)))
     hot = shared.filter("doc_id is null").orderBy(F.desc("documents"), "anchor").limit(MOST_HOT).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)
-    packed = stage(packed_stretches(compressed(texts), shared, hot, units, pieces, length), "stretches")
-    decided = decided_stretches(shard_transforms(packed, units, pieces), units, pieces, length)
+    # Steps are written one by one, so that what each shuffles goes before the next one begins.
+    transforms = stage(shard_transforms(packed_stretches(compressed(texts), shared, hot, units, pieces, length), units, pieces), "transforms")
+    drop(shared)
+    decided = decided_stretches(transforms.filter("unit >= 0").select("unit", "shard", "data"), units, pieces, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(own: tuple, parts: list[tuple]) -> pa.RecordBatch:
@@ -595,10 +604,12 @@ def removal_marks(texts: DataFrame, text_bytes: int, length: int = LENGTH) -> Da
         if own is not None:
             yield done(own, parts)
 
-    both = packed.filter("unit = -1").unionByName(decided.select("batch", F.lit(0).cast("long").alias("unit"), "data"))
+    both = transforms.filter("unit = -1").select("batch", "unit", "data").unionByName(decided.select("batch", F.lit(0).cast("long").alias("unit"), "data"))
     back = both.repartition("batch").sortWithinPartitions("batch").mapInArrow(tidy(run), "doc_id long, marks binary")
     # A repeated row may stand in two batches; its marks are equal there.
-    return back.groupBy("doc_id").agg(F.first("marks").alias("marks"))
+    marks = stage(back.groupBy("doc_id").agg(F.first("marks").alias("marks")), "marks")
+    drop(transforms)
+    return marks
 
 
 def removed_bytes(n: int, at: np.ndarray, bits: np.ndarray, length: int) -> np.ndarray:
@@ -628,6 +639,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     digest = stage(text_digests(docs), "digests")
     copies = stage(copies_of(digest), "copies")
     text_bytes = digest.agg(F.sum("n")).first()[0] or 0
+    drop(digest)
     texts = docs.filter(F.octet_length("text") >= length).select("doc_id", "text").join(copies, "doc_id", "left_anti")
     marks = removal_marks(texts, text_bytes, length).withColumn("is_copy", F.lit(False))
     copied = copies.select("doc_id", F.lit(None).cast("binary").alias("marks"), F.lit(True).alias("is_copy"))
