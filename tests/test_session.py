@@ -6,9 +6,13 @@ from urllib.parse import urlparse
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftline import session
 from siftline.llm import suffix_dedup
 
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture
 def own_tables(spark, monkeypatch):
     """The written tables of a test alone."""
@@ -42,3 +46,9 @@ def test_repeats_keep_only_what_the_result_reads(spark, own_tables):
     rows = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(suffix_dedup.remove_repeats(docs)).collect()}
     assert rows == {1: 0, 2: 70, 3: 0}
     assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in own_tables) == ["copies", "firsts", "ids", "marks"]
+
+
+def test_pipeline_drops_a_stage_when_the_next_is_written(spark, own_tables):
+    corpus_pipeline.run(spark, SF).count()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in own_tables}
+    assert "decontamination" in left and not left & {"language_id", "near_dedup", "passage_dedup"}
