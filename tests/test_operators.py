@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import session
 from siftline.operators import events as E
 from siftline.operators import graph, merge, ranking, reports, selection, similarity
 from siftline.sources import feeds, sheets, sinks
@@ -85,6 +86,31 @@ def test_packed_sets_and_bounds_of_a_unit(monkeypatch):
     assert counted and len(counted) < 4 * len(sets)
 
 
+def test_pairs_in_waves_are_those_of_one(spark, monkeypatch):
+    """What is dealt at once is bounded, whatever the number of pairs of blocks, and nothing but the pairs is left."""
+    rows = [(i, f"h{i % 3}", "the quick brown fox jumps " + "abcdefghij"[: i % 10] + str(i // 10)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, host string, body string")
+    whole = {tuple(r) for r in similarity.similar_pairs(df, threshold=0.7, block_rows=13).collect()}
+    sweep = sorted(tuple(r) for r in similarity.threshold_sweep(df, [0.4, 0.7], block_rows=13).collect())
+    dealt = []
+    own = similarity.unit_rows
+    monkeypatch.setattr(similarity, "unit_rows", lambda placed, units, each: dealt.append(units.count()) or own(placed, units, each))
+    monkeypatch.setattr(similarity, "WAVE_BYTES", 1)
+    with session.tables_written() as made:
+        waves = similarity.similar_pairs(df, threshold=0.7, block_rows=13)
+        assert {tuple(r) for r in waves.collect()} == whole and len(whole) > 100
+    assert len(dealt) > 4 and max(dealt[1:]) < sum(dealt[1:])
+    assert [t for t in made if t in session._PATH_OF] == [waves]
+    assert sorted(tuple(r) for r in similarity.threshold_sweep(df, [0.4, 0.7], block_rows=13).collect()) == sweep
+
+
+def test_blocks_of_large_sets_have_fewer_rows(spark):
+    sets = spark.createDataFrame([(i, "h", 0, 10 if i < 40 else 6000) for i in range(60)], "id long, host string, band long, n int")
+    placed, units = similarity.size_blocks(sets, 0.5, 10)
+    most = {r["n"]: r["rows"] for r in placed.groupBy("n", "batch").count().groupBy("n").agg(F.max("count").alias("rows")).collect()}
+    assert most[10] == 10 and most[6000] == 2 and placed.count() == 60
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_sweep_counts_without_pairs(spark, monkeypatch, block_rows):
     rng = random.Random(3)
