@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftline import session
 from siftline.operators import events as E
 from siftline.operators import graph, merge, ranking, reports, selection, similarity
+from siftline.plans import similarity_plans
 from siftline.sources import feeds, sheets, sinks
 from siftline.streaming import folds
 
@@ -111,6 +112,16 @@ def test_blocks_of_large_sets_have_fewer_rows(spark):
     assert most[10] == 10 and most[6000] == 2 and placed.count() == 60
 
 
+def test_sweep_reads_whole_bodies(spark, tmp_path):
+    """Two texts that part after their first 1,200 characters, and three that agree only from there on."""
+    rng = random.Random(2)
+    a, b, c, d = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (1200, 6000, 6000, 1200))
+    rows = [(0, a + b, "en", "s", 7200), (1, a + c, "en", "t", 7200), (2, d + b, "en", "u", 7200), (3, d[::-1] + b, "en", "u", 7200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in similarity_plans.near_dup_threshold_sweep(spark, str(tmp_path)).collect())
+    assert got == [(t, 3, 2, 2) for t in similarity_plans.SWEEP]
+
+
 @pytest.mark.parametrize("block_rows", [7, 1000])
 def test_sweep_counts_without_pairs(spark, monkeypatch, block_rows):
     rng = random.Random(3)
