@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline import session
 from siftline.operators import events as E
-from siftline.operators import graph, merge, ranking, reports, selection, similarity
+from siftline.operators import anchored, graph, merge, ranking, reports, selection, similarity
 from siftline.plans import similarity_plans
 from siftline.sources import feeds, sheets, sinks
 from siftline.streaming import folds
@@ -143,6 +143,36 @@ def test_sweep_counts_without_pairs(spark, monkeypatch, block_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("head_rows", [8, 4096])
+def test_merge_of_similar_rows_makes_no_pairs(spark, monkeypatch, head_rows):
+    """Brute force, one row after the other, over whole texts, with copies in one host and in two, several bands and a text without grams."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcd") for _ in range(5)) for _ in range(14)]
+    lead = "same opening words " * 70
+    texts = [lead + " ".join(rng.choice(words) for _ in range(rng.choice([3, 200, 400]))) for _ in range(20)] + [" ".join(rng.choice(words) for _ in range(rng.randint(4, 14))) for _ in range(70)]
+    texts += texts[20:45] + ["x"]
+    rows = [(i, f"h{rng.randrange(3)}", i % 2, rng.random(), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, host string, band long, rank double, body string")
+    for module in (similarity, anchored):
+        monkeypatch.setattr(module, "set_pairs", lambda *a, **k: pytest.fail("pairs were made"), raising=False)
+    got = {r["id"]: r["representative"] for r in anchored.merge_similar(df, head_rows=head_rows).collect()}
+    sets = {i: {t[k : k + 4] for k in range(len(t) - 3)} for i, *_, t in rows}
+    want, reps = {}, []
+    for i, host, band, _, _ in sorted(rows, key=lambda r: r[3]):
+        want[i] = next((j for j, h, b in reps if h != host and b == band and sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.45), i)
+        if want[i] == i:
+            reps.append((i, host, band))
+    assert got == want and len(reps) < len(rows) - 20
+
+
+def test_anchored_merge_reads_whole_bodies(spark, tmp_path):
+    rng = random.Random(2)
+    a, b, c = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (1200, 6000, 6000))
+    rows = [(0, a + b, "en", "s", 7200), (1, a + c, "en", "t", 7200), (2, a[::-1] + b, "en", "u", 7200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in similarity_plans.anchored_merge(spark, str(tmp_path)).collect()] == [(0, 2, 2)]
+
+
 def test_quota_fill_and_forced(spark):
     rows = [(i, c, 1 + i % 3, i % 5 == 0, float(i), datetime(2024, 1, 1), i == 3) for i, c in enumerate(["a"] * 9 + ["b"] * 2 + ["c"] * 12)]
     df = spark.createDataFrame(rows, "id long, category string, priority int, urgent boolean, score double, published timestamp, manual boolean")
